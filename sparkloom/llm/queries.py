@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, quality, sharding
+import corpus_pipeline
+
+from . import lines, minhash, mixing, packing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +18,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(spark, table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(spark, docs, shingle=3, percent=85).drop("text_key")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model).withColumn("held_out", toxicity.held_out("doc_id"))
+    scored = scored.withColumnsRenamed({c: c.removeprefix(toxicity.MADE) for c in scored.columns})
+    return scored.select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_offending", "worst_score", "worst_start", "worst_end")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs)
 
 
+def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_batches(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(spark, table(spark, sf_dir, "documents"))
     return mixed.drop("_text_key", "source")
@@ -35,9 +54,13 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
+        "op8_length_packing": op8_length_packing,
         "op9_source_mixing": op9_source_mixing,
         "op10_jump_sharding": op10_jump_sharding,
+        "pipeline": corpus_pipeline.run,
     }
 
 
