@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import lines, minhash, mixing, packing, quality, sharding, toxicity
+from . import chat, embeddings, lines, minhash, mixing, packing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, docs, shingle=3, percent=85).drop("text_key")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op4_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(spark, docs, table(spark, sf_dir, "labels"))
@@ -55,6 +63,8 @@ def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_embedding_near_dedup": op3_embedding_near_dedup,
+        "op4_role_repair": op4_role_repair,
         "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
         "op8_length_packing": op8_length_packing,

@@ -18,7 +18,7 @@ SAMPLE_BYTES = 1 << 16
 SLOTS = 1 << 18
 CHUNK_BYTES = 4 << 20
 #: Besides the whole word, its first bytes are features, for inflected and compound words.
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6)
 
 _VALUES = mix(np.arange(11, 267, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LETTER = np.zeros(256, bool)
@@ -98,11 +98,12 @@ def document_scores(logits: np.ndarray, first_sentence: np.ndarray) -> np.ndarra
     return -np.expm1(-(total[first_sentence[1:]] - total[first_sentence[:-1]]))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 16, batch: int = 256, rate: float = 0.15, least_docs: int = 3, decay: float = 1e-6) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 16, batch: int = 256, rate: float = 0.15, least_z: float = 4.0, decay: float = 1e-5) -> Model:
     """Minimises the documents' log loss through the noisy-or by Adam; only document labels are used.
 
-    Features of fewer than ``least_docs`` documents keep the weight 0. Without texts or without a positive label the
-    model scores 0 everywhere.
+    Only features that lie in more positive documents than chance allows, by ``least_z`` standard errors, get a weight:
+    the others would only let the model remember single documents. Without texts or without a positive label the model
+    scores 0 everywhere.
     """
     if not len(texts) or not labels.any():
         return Model(np.zeros(SLOTS + 1, np.float32), -40.0)
@@ -112,28 +113,35 @@ def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 16, batch: int
         own = order[i : i + batch]
         parts.append(sentences([texts[j] for j in own]))
         y.append(labels[own].astype(float))
-    seen = np.zeros(SLOTS + 1, np.int32)
-    for s in parts:
+    seen, positive = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+    for s, target in zip(parts, y, strict=True):
         doc = np.repeat(np.arange(len(s.first_sentence) - 1), np.diff(s.first_sentence))
         word_doc = np.repeat(doc, np.diff(np.concatenate([s.first_word, [s.features.shape[1]]])))
         pairs = np.unique((s.features.astype(np.int64) * batch + word_doc).ravel())
-        seen += np.bincount(pairs // batch, minlength=SLOTS + 1).astype(np.int32)
-    live = seen >= least_docs
+        seen += np.bincount(pairs // batch, minlength=SLOTS + 1)
+        positive += np.bincount(pairs // batch, target[pairs % batch], minlength=SLOTS + 1)
+    share = labels.mean()
+    live = positive - share * seen >= least_z * np.sqrt(seen * share * (1 - share) + 1e-9)
+    live &= positive >= 2
     live[SLOTS] = False
+    # words without such a feature add nothing to a logit: the epochs go over the others only
+    kept = []
+    for s in parts:
+        of_word = np.repeat(np.arange(len(s.first_word)), np.diff(np.concatenate([s.first_word, [s.features.shape[1]]])))
+        some = live[s.features].any(axis=0)
+        kept.append((np.where(live[s.features[:, some]], s.features[:, some], SLOTS), of_word[some], len(s.first_word), s.first_sentence))
     weights, bias = np.zeros(SLOTS + 1), -5.0
     m, v, mb, vb, t = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), 0.0, 0.0, 0
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.005
-        for s, target in zip(parts, y, strict=True):
+        for (features, of_word, n, first_sentence), target in zip(kept, y, strict=True):
             t += 1
-            model = Model(weights, bias)
-            z = model.sentence_logits(s)
+            z = np.clip(np.bincount(of_word, weights[features].sum(axis=0), minlength=n) + bias, -40, 40)
             p = 1 / (1 + np.exp(-z))
-            score = np.clip(document_scores(z, s.first_sentence), 1e-9, 1 - 1e-9)
+            score = np.clip(document_scores(z, first_sentence), 1e-9, 1 - 1e-9)
             pull = np.where(target > 0, -(1 - score) / score, 1.0) / len(target)
-            g = p * np.repeat(pull, np.diff(s.first_sentence))
-            by_word = np.repeat(g, np.diff(np.concatenate([s.first_word, [s.features.shape[1]]])))
-            grad = sum(np.bincount(f, by_word, minlength=SLOTS + 1) for f in s.features)
+            g = p * np.repeat(pull, np.diff(first_sentence))
+            grad = sum(np.bincount(f, g[of_word], minlength=SLOTS + 1) for f in features)
             grad = np.where(live, grad + decay * weights, 0)
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
