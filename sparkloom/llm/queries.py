@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, embeddings, lines, minhash, mixing, packing, quality, sharding, toxicity
+from . import chat, embeddings, lines, minhash, mixing, packing, quality, repeats, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_strings(spark, table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_batches(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +71,7 @@ def queries() -> dict:
         "op4_role_repair": op4_role_repair,
         "op5_toxicity": op5_toxicity,
         "op6_line_dedup": op6_line_dedup,
+        "op7_repeated_strings": op7_repeated_strings,
         "op8_length_packing": op8_length_packing,
         "op9_source_mixing": op9_source_mixing,
         "op10_jump_sharding": op10_jump_sharding,

@@ -5,6 +5,7 @@ A written table cuts the lineage: a lost executor costs a re-read, not a re-run
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,3 +55,9 @@ def bins_for(rows: int, per_bin: int = 512, most: int = 1 << 16) -> int:
     while n < most and rows > n * per_bin:
         n *= 2
     return n
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now, where a later step needs the disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
