@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest
 from .store import Stage
 
 #: Dimensions of a block; fewer make cheaper cells but a looser budget each.
@@ -51,20 +51,6 @@ def _cells(batches, least_cosine: float):
                     )
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest member of each point's component, by repeated minimum over links and pointer jumps."""
-    root = np.arange(n)
-    while len(a):
-        before = root.copy()
-        least = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], least)
-        np.minimum.at(root, root[b], least)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _links(pdf: pd.DataFrame, least_cosine: float) -> pd.DataFrame:
     """Links of one cell's pair of parts: a count for each vector and a forest that spans them.
 
@@ -109,7 +95,7 @@ def _links(pdf: pd.DataFrame, least_cosine: float) -> pd.DataFrame:
             found_b.append(v[cosine >= least_cosine])
     a, b = np.concatenate([*found_a, [0][:0]]).astype(int), np.concatenate([*found_b, [0][:0]]).astype(int)
     counts = np.bincount(a, minlength=len(x)) + np.bincount(b, minlength=len(x))
-    root = _roots(len(x), a, b)
+    root = forest(len(x), a, b)
     rows = pdf["row"].to_numpy()
     some = counts > 0
     return pd.DataFrame({"row": rows[some], "root": rows[root[some]], "n": counts[some]})

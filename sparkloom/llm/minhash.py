@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest
 from .shingles import mix, shingle_sets
 from .store import Stage
 
@@ -20,7 +20,7 @@ BITS = 4
 WORDS = HASHES * BITS // 64
 #: Standard errors of the estimate below the threshold at which a candidate is still confirmed exactly.
 MARGIN = 5.0
-#: Members of a bucket that meet in one task when a bucket needs more than its first pivot.
+#: Members of a family that meet in one task, from each of two blocks, where the pivot alone does not settle it.
 BLOCK = 256
 #: Members that are confirmed against one copy of a pivot's text.
 PER_PIVOT = 64
@@ -139,10 +139,8 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle:
     pivots = parts.select(
         F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node")
     )
-    wanted = members.unionByName(pivots).join(reps, "node").select("pivot", "part", "role", "node", "id", "text_key")
-    rows = wanted.alias("w").join(
-        texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id")) & (F.col("w.text_key") == F.col("t.text_key"))
-    ).select("pivot", "part", "role", "node", "text")
+    wanted = members.unionByName(pivots).join(reps, "node")
+    rows = _texts(wanted, texts, ["pivot", "part", "role", "node"])
     dealt = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
     return dealt.mapInArrow(lambda batches: _confirm(batches, shingle, percent), "a long, b long").distinct()
 
@@ -152,8 +150,9 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
 
     Two documents link if 100 * intersection >= percent * union of their sets of ``shingle``-word shingles (ASCII
     lower case). Documents with equal sets form a class, one node. Nodes that agree in a band of minima are candidates:
-    first each with its bucket's smallest node, then, where a bucket still spans several components, blocks of its
-    members with each other. Candidates whose b-bit estimate is within reach are confirmed on full sets.
+    first each with its bucket's smallest node, the pivot, then, where a pivot's family still spans several components,
+    blocks of its members with each other. Those whose b-bit estimate is within reach are confirmed on full sets; the
+    second step gives out spanning forests, not pairs.
     ``component_id`` is the smallest id reachable by links, ``kept`` whether the row has it. Texts that are null or
     without words have no shingles and only reach themselves. Rows with equal ids are rows of their own; equal rows get
     equal results; a null id counts only where its component has no other. Other columns are not looked at.
@@ -173,31 +172,26 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     entries = classes.select(F.explode("bands").alias("bucket"), "node")
     buckets = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     # only nodes of shared buckets go on
-    shared = stage.save(entries.join(buckets, "bucket"))
-    stars = shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    shared = entries.join(buckets, "bucket")
+    stars = stage.save(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     tried = stage.save(_within_reach(stars, sketch, percent))
     links = stage.save(confirm_pairs(tried, texts, reps, shingle, percent))
     found = stage.save(connected_components(stage, links))
-    # buckets that still span several components
-    placed = shared.join(found, "node", "left").select("bucket", "node", "members", F.coalesce("component", "node").alias("component"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    rest = placed.join(open_.select("bucket"), "bucket").join(sketch, "node")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rest = stage.save(rest.withColumn("blocks", blocks).withColumn("block", own))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = rest.withColumn("other", F.explode(others))
-    right = rest.withColumnsRenamed({"block": "other"}).withColumn("block", F.explode(others))
-    more = (
-        left.alias("l")
-        .join(right.alias("r"), ["bucket", "block", "other"])
-        .where((F.col("l.component") < F.col("r.component")) & _plausible("l", "r", percent))
-        .select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    # a bucket is part of its pivot's family; families that still span several components are searched in full
+    family = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
+    own, other = (found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in ("node", "pivot"))
+    family = family.join(own, "node", "left").join(other, "pivot", "left").select(
+        "pivot", "node", F.coalesce("of_node", "node").alias("component"),
+        (F.coalesce("of_node", "node") == F.coalesce("of_pivot", "pivot")).alias("near"),
     )
-    more = stage.save(more)
-    more_links = stage.save(confirm_pairs(more, texts, reps, shingle, percent))
+    family = stage.save(family)
+    sketched = _deal(family, "node").join(sketch, "node").select("pivot", "x", "y", "side", "node", "component", "n_shingles", *_SIGNATURE)
+    sketched = sketched.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
+    hopeful = sketched.mapInArrow(lambda batches: _hopeful(batches, percent), "pivot long, node long").distinct()
+    hopeful = stage.save(family.join(hopeful, ["pivot", "node"]))
+    worded = _texts(_deal(hopeful, "node").join(reps, "node"), texts, ["pivot", "x", "y", "side", "node", "component"])
+    worded = worded.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
+    more_links = stage.save(worded.mapInArrow(lambda batches: _confirm_blocks(batches, shingle, percent), "a long, b long").distinct())
     bridged = more_links.alias("m")
     for side in ("a", "b"):
         at = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
@@ -218,6 +212,131 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     )
 
 
+def _texts(wanted: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and ``text`` of rows that name a document by ``id`` and ``text_key``."""
+    joined = wanted.alias("w").join(
+        texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id")) & (F.col("w.text_key") == F.col("t.text_key"))
+    )
+    return joined.select(*[F.col(f"w.{c}") for c in columns], "text")
+
+
+def _deal(family: DataFrame, node: str) -> DataFrame:
+    """Members of families dealt to pairs of blocks ``x <= y`` of about BLOCK members, ``side`` 1 for those of y alone.
+
+    The pivot has met everyone. Members near it share its component and need not meet each other, so at least one block
+    of a pair holds members that are not. A family of m members with few of these costs about m rows.
+    """
+    sizes = family.groupBy("pivot").agg(
+        F.count(F.when(F.col("near"), 1)).alias("n_near"), F.count(F.when(~F.col("near"), 1)).alias("n_far")
+    ).where("n_far > 1 or (n_far > 0 and n_near > 0)")
+    rows = family.join(sizes, "pivot").withColumn("b_near", F.ceil(F.col("n_near") / BLOCK)).withColumn("b_far", F.ceil(F.col("n_far") / BLOCK))
+    draw = F.xxhash64(node)
+    own = F.when(F.col("near"), F.pmod(draw, F.col("b_near"))).otherwise(F.col("b_near") + F.pmod(draw, F.col("b_far")))
+    first = F.when(F.col("near"), F.col("b_near")).otherwise(F.lit(0).cast("long"))
+    rows = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(first, F.col("b_near") + F.col("b_far") - 1)))
+    return rows.select(
+        "pivot", node, "component", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), (F.col("own") > F.col("with")).alias("side")
+    )
+
+
+def _groups(batches):
+    """Arrow tables of whole (pivot, x, y) groups, from batches sorted by them."""
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        keys = [table.column(k).to_numpy() for k in range(3)]
+        new = np.ones(table.num_rows, bool)
+        new[1:] = (keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1]) | (keys[2][1:] != keys[2][:-1])
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield table.slice(a, b - a)
+        held = table.slice(starts[-1]).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of both blocks of a pair (the same rows twice if it is one block)."""
+    if table.column(1)[0].as_py() == table.column(2)[0].as_py():
+        rows = np.arange(table.num_rows)
+        return rows, rows
+    side = table.column(3).to_numpy().astype(bool)
+    return np.flatnonzero(~side), np.flatnonzero(side)
+
+
+def _hopeful(batches, percent: int):
+    """Members with a partner of another component that the packed signatures do not rule out."""
+    j = percent / 100
+    p = j + (1 - j) / (1 << BITS)
+    error = (p * (1 - p) / HASHES) ** 0.5 / (1 - 1 / (1 << BITS))
+    chance = 1 / (1 << BITS)
+    most_unequal = (1 - (j - MARGIN * error) * (1 - chance) - chance) * HASHES
+    ones = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    out_pivot, out_node = [], []
+    for table in _groups(batches):
+        left, right = _sides(table)
+        node, component, size = (table.column(k).to_numpy() for k in (4, 5, 6))
+        words = np.stack([table.column(7 + k).to_numpy().view(np.uint64) for k in range(WORDS)], axis=1)
+        unequal = np.zeros((len(left), len(right)), np.int64)
+        for k in range(WORDS):
+            x = words[left, None, k] ^ words[None, right, k]
+            x |= x >> np.uint64(1)
+            x |= x >> np.uint64(2)
+            unequal += np.bitwise_count(x & ones)
+        low, high = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
+        ok = (unequal <= most_unequal) & (low * 100 >= high * percent) & (component[left][:, None] != component[right][None, :])
+        some = np.unique(np.concatenate([left[ok.any(axis=1)], right[ok.any(axis=0)]]))
+        if len(some):
+            out_pivot.append(np.full(len(some), table.column(0)[0].as_py()))
+            out_node.append(node[some])
+        if len(out_node) >= 2000:
+            yield _two(out_pivot, out_node, "pivot", "node")
+            out_pivot, out_node = [], []
+    yield _two(out_pivot, out_node, "pivot", "node")
+
+
+def _two(a: list, b: list, name_a: str, name_b: str) -> pa.RecordBatch:
+    arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (a, b)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name_a, name_b])
+
+
+def _confirm_blocks(batches, shingle: int, percent: int):
+    """A forest that spans the links between two blocks' members of different components, from their full sets."""
+    out_a, out_b = [], []
+    for table in _groups(batches):
+        node, at = np.unique(table.column(4).to_numpy(), return_index=True)
+        left, right = (x[np.isin(x, at)] for x in _sides(table))
+        component = table.column(5).to_numpy()
+        sets = list(shingle_sets(table.column(6).cast(pa.binary()).to_pylist(), shingle))
+        size = np.array([len(x) for x in sets])
+        element, index, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        common = count[index] > 1
+        column, owner = (np.cumsum(count > 1) - 1)[index[common]], owner[common]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        n = int((count > 1).sum())
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for a in range(0, n, 8192):
+            lo, hi = np.searchsorted(column, [a, a + 8192])
+            has = np.zeros((len(sets), min(8192, n - a)), np.float32)
+            has[owner[lo:hi], column[lo:hi] - a] = 1
+            both += has @ has.T
+        inter = both[np.ix_(left, right)].astype(np.int64)
+        union = size[left][:, None] + size[right][None, :] - inter
+        ok = (100 * inter >= percent * union) & (component[left][:, None] != component[right][None, :])
+        i, j = np.nonzero(ok)
+        if len(i):
+            root = forest(len(sets), left[i], right[j])
+            some = np.flatnonzero(root != np.arange(len(sets)))
+            all_nodes = table.column(4).to_numpy()
+            out_a.append(all_nodes[some])
+            out_b.append(all_nodes[root[some]])
+    yield _two(out_a, out_b, "a", "b")
+
+
 def _within_reach(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     joined = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.node")).join(sketch.alias("y"), F.col("b") == F.col("y.node"))
     return joined.where(_plausible("x", "y", percent)).select("a", "b")
