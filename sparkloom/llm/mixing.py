@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import Stage, bins_for
@@ -36,6 +36,12 @@ def source_targets(sizes: DataFrame, *, weights=WEIGHTS, most: int = MOST_EPOCHS
     )
 
 
+def random_key(key: Column, seed: int) -> Column:
+    """The first 60 bits of the MD5 of the key's text and the seed, as the top bits of a long."""
+    digest = F.md5(F.concat_ws("/", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.shiftleft(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), 4)
+
+
 def mix_sources(
     spark: SparkSession,
     df: DataFrame,
@@ -65,9 +71,7 @@ def mix_sources(
         )
     )
     bins = bins_for(sized.count())
-    keyed = sized.withColumn("_key", F.xxhash64(F.col(id_col), F.col("_text_key"), F.lit(seed))).withColumn(
-        "_bin", hash_bin(F.col("_key"), bins)
-    )
+    keyed = sized.withColumn("_key", random_key(F.col(id_col), seed)).withColumn("_bin", hash_bin(F.col("_key"), bins))
     by_bin = keyed.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size"))
     targets = source_targets(by_bin.groupBy("source").agg(F.sum("_bin_size").alias("source_size")), weights=weights, most=most)
     starts = by_bin.withColumn(

@@ -46,6 +46,13 @@ def _powers(n: int, base: int, cache={}) -> np.ndarray:  # noqa: B006
     return cache[base][:n]
 
 
+def _prefix_sums(body: np.ndarray) -> np.ndarray:
+    """Sums of value * base**place before each place, modulo 2**64: all in uint64, as a float would lose low bits."""
+    out = np.zeros(len(body) + 1, np.uint64)
+    np.cumsum(_VALUES[body] * _powers(len(body), _BASE), dtype=np.uint64, out=out[1:])
+    return out
+
+
 def runs(texts: list[bytes]):
     """Cuts each text's strings of LENGTH bytes into runs that share an anchor.
 
@@ -153,7 +160,7 @@ def _pieces(batches):
             text, first, count, h = text[keep], first[keep], count[keep], h[keep]
             end = first + count + LENGTH - 1
             n = len(body)
-            sums = np.concatenate([[0], np.cumsum(_VALUES[body] * _powers(n, _BASE), dtype=np.uint64)]).astype(np.uint64)
+            sums = _prefix_sums(body)
             piece = mix((sums[end] - sums[first]) * _powers(n, _INVERSE)[first] + (end - first).astype(np.uint64))
             raw = body.tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -317,7 +324,7 @@ def _strings(batches):
             n = len(body)
             lengths = np.array([len(p) for p in own])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            sums = np.concatenate([[0], np.cumsum(_VALUES[body] * _powers(n, _BASE), dtype=np.uint64)]).astype(np.uint64)
+            sums = _prefix_sums(body)
             counts = lengths - LENGTH + 1
             piece = np.repeat(np.arange(len(own)), counts)
             offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)

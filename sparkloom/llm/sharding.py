@@ -30,7 +30,7 @@ def jump_hash(key: Column, shards: int) -> Column:
 def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
     """Every row with ``shard``, ``grown_shard`` (with one shard more), ``size``, ``text_crc32`` and ``slot``.
 
-    ``size`` is the text's UTF-8 bytes plus 1 (null: 1), ``text_crc32`` null for a null text. ``slot`` counts from 0
+    ``size`` is the text's UTF-8 bytes plus 1 (null: 1); ``text_crc32`` is that of no bytes, 0, for a null text. ``slot`` counts from 0
     without gaps in each shard: shards are cut into bins of the id's hash, bins are counted, and a row's slot is the
     count of the bins before plus its place in its own bin, so no task sorts a whole shard. Rows with equal ids share
     a shard and get slots of their own. Columns of the same names in ``df`` are replaced; an empty table stays empty.
@@ -52,7 +52,7 @@ def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         place(df)
         .withColumn("grown_shard", jump_hash(F.col(id_col), shards + 1))
         .withColumn("size", (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long"))
-        .withColumn("text_crc32", F.crc32(F.col(text_col).cast("binary")))
+        .withColumn("text_crc32", F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
         .withColumn("_shard_key", key)
     )
     own = Window.partitionBy("shard", "_shard_bin").orderBy("_shard_key", id_col, "text_crc32", "size")
