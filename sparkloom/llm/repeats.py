@@ -16,7 +16,7 @@ from .store import Stage, release_shuffles
 LENGTH, ANCHOR = 50, 16
 STARTS = LENGTH - ANCHOR + 1
 CHUNK_BYTES = 1 << 20
-#: Different pieces of one anchor that a suffix array takes; anchors with more go by the strings' own hashes.
+#: A shard of the suffix arrays, and the different runs of an anchor that fill one; anchors with more go by the strings' own hashes.
 MOST_KINDS = 1000
 SHARD_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -145,7 +145,7 @@ def _shared(batches):
 
 
 def _pieces(batches):
-    """For each text the runs whose anchor's hash is among its shared ones, with their bytes and a hash of these."""
+    """For each text the runs whose anchor's hash is among its shared ones, with a hash of their bytes."""
     for batch in batches:
         docs = batch.column(0).to_numpy(zero_copy_only=False)
         texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -159,21 +159,30 @@ def _pieces(batches):
             keep = np.isin(h ^ salt[text], wanted.view(np.uint64) ^ salt[owner])
             text, first, count, h = text[keep], first[keep], count[keep], h[keep]
             end = first + count + LENGTH - 1
-            n = len(body)
             sums = _prefix_sums(body)
-            piece = mix((sums[end] - sums[first]) * _powers(n, _INVERSE)[first] + (end - first).astype(np.uint64))
-            raw = body.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(h.view(np.int64)),
-                    pa.array(piece.view(np.int64)),
-                    pa.array(docs[i:j][text]),
-                    pa.array(first - at[text]),
-                    pa.array(count.astype(np.int32)),
-                    pa.array([raw[a:b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary()),
-                ],
-                names=["h", "piece", "doc", "at", "n", "bytes"],
-            )
+            piece = mix((sums[end] - sums[first]) * _powers(len(body), _INVERSE)[first] + (end - first).astype(np.uint64))
+            columns = [pa.array(h.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(docs[i:j][text]), pa.array((first - at[text]).astype(np.int32)), pa.array(count.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "piece", "doc", "at", "n"])
+
+
+def _bytes(batches):
+    """The bytes of the runs ``h, piece, at, n, many`` that each text is asked for."""
+    for batch in batches:
+        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        texts = batch.column(1).cast(pa.binary())
+        lists = batch.column(2)
+        ends = lists.offsets.to_numpy()
+        flat = lists.flatten()
+        at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
+        for i in range(batch.num_rows):
+            a, b = int(ends[i] - ends[0]), int(ends[i + 1] - ends[0])
+            for k in range(a, b, 1 << 15):
+                to = min(b, k + (1 << 15))
+                raw = texts[i].as_py() or b""
+                data = [raw[x : x + m + LENGTH - 1] for x, m in zip(at[k:to].tolist(), n[k:to].tolist(), strict=True)]
+                own = flat.slice(k, to - k)
+                columns = [own.field("h"), own.field("piece"), pa.array(np.full(to - k, docs[i])), own.field("at"), pa.array(data, pa.binary()), own.field("many")]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "piece", "doc", "at", "bytes", "many"])
 
 
 def suffix_array(body: np.ndarray, depth: int) -> np.ndarray:
@@ -366,40 +375,50 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     rows with a null id come after all others and don't count against each other; rows with equal ids are one document
     and should have equal texts. An empty table gives an empty result; other columns are not looked at.
 
-    1. Every document names the anchors of its strings; one shuffle by the anchor's hash finds those that two
-    documents share. 2. Only these runs of strings are read again, with a hash of their bytes. Where a smaller document
-    has the same run, all of it goes. 3. Other runs of a shared anchor are compared string by string: anchors are dealt
-    to shards, each shard sorts its runs in a suffix array and equal strings are neighbours with 50 common bytes. Equal
-    strings have equal anchors, so no two shards hold the same string and none needs merging. Anchors with more than
-    MOST_KINDS different runs would make a hot shard: their strings are compared by their own hashes instead.
+    1. Equal texts: all of a later copy goes, so only the first goes on. 2. Every document names the anchors of its
+    strings; one shuffle by the anchor's hash finds those that two documents share. 3. Only these runs of strings are
+    looked at, by a hash of their bytes. Where a smaller document has the same run, all of it goes. 4. The different runs
+    of an anchor are read again and compared string by string: anchors are dealt to shards, each shard sorts its runs in
+    a suffix array and equal strings are neighbours with 50 common bytes. Equal strings have equal anchors, so no two
+    shards hold the same string and none needs merging. Anchors with more than MOST_KINDS different runs would make a hot
+    shard: their strings are compared by their own hashes instead.
     """
     stage = Stage(spark, "repeats")
     last = (1 << 63) - 1
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    keys = stage.save(docs.where(F.octet_length("text") >= LENGTH).select("doc", F.sha2("text", 256).alias("key"), F.octet_length("text").alias("b")))
+    firsts = keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).where("owner < high")
+    copies = stage.save(keys.join(firsts, "key").where("owner < doc").select("doc", F.lit(0).cast("long").alias("a"), F.col("b").cast("long")))
     anchors = docs.mapInArrow(_anchors, "h long, doc long").repartition("h").sortWithinPartitions("h", "doc")
     shared = stage.save(anchors.mapInArrow(_shared, "h long, doc long"))
     release_shuffles(spark)
-    lists = shared.groupBy("doc").agg(F.collect_set("h").alias("hs"))
-    pieces = docs.join(lists, "doc").select("doc", "text", "hs").mapInArrow(_pieces, "h long, piece long, doc long, at long, n int, bytes binary")
+    lists = shared.groupBy("doc").agg(F.collect_set("h").alias("hs")).join(copies.select("doc"), "doc", "left_anti")
+    pieces = docs.join(lists, "doc").select("doc", "text", "hs").mapInArrow(_pieces, "h long, piece long, doc long, at int, n int")
     pieces = stage.save(pieces)
+    stage.drop(shared)
     release_shuffles(spark)
     owners = stage.save(pieces.groupBy("h", "piece").agg(F.min("doc").alias("owner")))
-    kinds = owners.groupBy("h").agg(F.count("*").alias("kinds"), F.min("owner").alias("low"))
-    owners = owners.join(kinds, "h").select("h", "piece", "owner", "kinds", "low")
+    kinds = owners.groupBy("h").agg(F.count("*").alias("kinds"))
     # runs of a single kind that no smaller document has need no look
-    owners = owners.withColumn("own_only", F.col("kinds") == 1)
-    judged = pieces.join(owners, ["h", "piece"]).where(~(F.col("own_only") & (F.col("owner") == F.col("doc"))))
-    judged = stage.save(judged.select("h", "piece", "doc", "at", "n", "owner", "kinds", F.when(F.col("owner") == F.col("doc"), F.col("bytes")).alias("bytes")))
+    judged = pieces.join(owners.join(kinds, "h"), ["h", "piece"]).where("kinds > 1 or owner < doc")
+    judged = stage.save(judged.select("h", "piece", "doc", "at", "n", (F.col("owner") < F.col("doc")).alias("whole"), (F.col("kinds") > MOST_KINDS).alias("many")))
+    stage.drop(pieces)
+    stage.drop(owners)
+    release_shuffles(spark)
+    whole = judged.where("whole").select("doc", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n") + (LENGTH - 1)).cast("long").alias("b"))
+    asked = judged.where("not whole").groupBy("doc").agg(F.collect_list(F.struct("h", "piece", "at", "n", "many")).alias("runs"))
+    rest = docs.join(asked, "doc").select("doc", "text", "runs").mapInArrow(_bytes, "h long, piece long, doc long, at int, bytes binary, many boolean")
+    rest = stage.save(rest)
     release_shuffles(spark)
-    whole = judged.where("owner < doc").select("doc", F.col("at").alias("a"), (F.col("at") + F.col("n") + (LENGTH - 1)).alias("b"))
-    rest = judged.where("owner = doc")
-    some = rest.where(F.col("kinds") <= MOST_KINDS).select("h", "piece", "doc", "at", "bytes").repartition("h").sortWithinPartitions("h", "piece")
+    some = rest.where("not many").select("h", "piece", "doc", "at", "bytes").repartition("h").sortWithinPartitions("h", "piece")
     some = some.mapInArrow(_by_suffixes, "doc long, a long, b long")
-    many = rest.where(F.col("kinds") > MOST_KINDS).select("doc", "at", "bytes").mapInArrow(_strings, "g long, doc long, a long")
-    low = many.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    many = many.join(low, "g").where("low < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b")).distinct()
-    spans = whole.unionByName(some).unionByName(many).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    strings = rest.where("many").select("doc", "at", "bytes").mapInArrow(_strings, "g long, doc long, a long")
+    low = strings.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    strings = strings.join(low, "g").where("low < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b")).distinct()
+    spans = whole.unionByName(some).unionByName(strings).unionByName(copies).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     spans = stage.save(spans)
+    stage.drop(rest)
+    stage.drop(judged)
     release_shuffles(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = rows.join(spans, F.coalesce("id", F.lit(last)) == F.col("doc"), "left").select("id", "text", "spans")
