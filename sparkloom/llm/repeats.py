@@ -17,8 +17,8 @@ LENGTH, ANCHOR = 50, 16
 STARTS = LENGTH - ANCHOR + 1
 CHUNK_BYTES = 1 << 20
 #: A shard of the suffix arrays, and the different runs of an anchor that fill one; anchors with more go by the strings' own hashes.
-MOST_KINDS = 1000
 SHARD_BYTES = 1 << 20
+MOST_KINDS = SHARD_BYTES // 64
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
