@@ -389,6 +389,7 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     keys = stage.save(docs.where(F.octet_length("text") >= LENGTH).select("doc", F.sha2("text", 256).alias("key"), F.octet_length("text").alias("b")))
     firsts = keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).where("owner < high")
     copies = stage.save(keys.join(firsts, "key").where("owner < doc").select("doc", F.lit(0).cast("long").alias("a"), F.col("b").cast("long")))
+    stage.drop(keys)
     anchors = docs.mapInArrow(_anchors, "h long, doc long").repartition("h").sortWithinPartitions("h", "doc")
     shared = stage.save(anchors.mapInArrow(_shared, "h long, doc long"))
     release_shuffles(spark)
@@ -398,6 +399,7 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     stage.drop(shared)
     release_shuffles(spark)
     owners = stage.save(pieces.groupBy("h", "piece").agg(F.min("doc").alias("owner")))
+    release_shuffles(spark)
     kinds = owners.groupBy("h").agg(F.count("*").alias("kinds"))
     # runs of a single kind that no smaller document has need no look
     judged = pieces.join(owners.join(kinds, "h"), ["h", "piece"]).where("kinds > 1 or owner < doc")
