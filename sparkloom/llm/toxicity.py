@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shingles import mix
+from .store import Stage
 
-#: Bound of the labelled rows that the model is fitted on, and of a text in that sample. Scoring has no bounds.
+#: Bound of the labelled rows that the model is fitted on, whole texts all. Scoring has no bounds.
 SAMPLE_ROWS = 8000
-SAMPLE_BYTES = 1 << 16
 SLOTS = 1 << 18
 CHUNK_BYTES = 4 << 20
 #: Besides the whole word, its first bytes are features, for inflected and compound words.
@@ -79,76 +79,98 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Weights of the slots (the last is the unused one) and the bias of a sentence's logit."""
+    """Weights of the slots (the last is the unused one), the bias of a sentence's logit and the leak, a logit per document."""
 
     weights: np.ndarray
     bias: float
+    leak: float = -40.0
 
     def sentence_logits(self, s: Sentences) -> np.ndarray:
         return np.clip(_sums(self.weights[s.features].sum(axis=0), s.first_word) + self.bias, -40, 40)
 
+    def document_scores(self, logits: np.ndarray, first_sentence: np.ndarray) -> np.ndarray:
+        """Or of the leak and what the worst sentence adds to the bias alone; 0 for a text without sentences.
+
+        A text is toxic if one of its sentences is: many that are each a little suspect are not one, so a clean text of
+        any length scores as its worst sentence would alone.
+        """
+        counts = np.diff(first_sentence)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        worst = np.zeros(len(counts))
+        np.maximum.at(worst, doc, excess(logits, self.bias))
+        return np.where(counts > 0, -np.expm1(-worst - softplus(self.leak)), 0.0)
+
 
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def document_scores(logits: np.ndarray, first_sentence: np.ndarray) -> np.ndarray:
-    """Noisy-or of the sentences: 1 less the product of (1 - p); 0 for a text without sentences."""
-    total = np.concatenate([[0], np.cumsum(softplus(logits))])
-    return -np.expm1(-(total[first_sentence[1:]] - total[first_sentence[:-1]]))
+def excess(z: np.ndarray, bias: float) -> np.ndarray:
+    """-log(1 - q) of sentences, q = (p - p0) / (1 - p0) where p0 is the bias alone; 0 where p <= p0."""
+    return np.maximum(softplus(z) - softplus(bias), 0)
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 16, batch: int = 256, rate: float = 0.15, least_z: float = 4.0, decay: float = 1e-5) -> Model:
-    """Minimises the documents' log loss through the noisy-or by Adam; only document labels are used.
+def live_slots(seen: np.ndarray, positive: np.ndarray, share: float, *, least_z: float = 4.0) -> np.ndarray:
+    """The slots that lie in more positive documents than chance allows, by ``least_z`` standard errors.
 
-    Only features that lie in more positive documents than chance allows, by ``least_z`` standard errors, get a weight:
-    the others would only let the model remember single documents. Without texts or without a positive label the model
-    scores 0 everywhere.
+    Only these get a weight: the others would only let the model remember single documents.
     """
-    if not len(texts) or not labels.any():
-        return Model(np.zeros(SLOTS + 1, np.float32), -40.0)
-    order = np.random.default_rng(5).permutation(len(texts))
-    parts, y = [], []
-    for i in range(0, len(order), batch):
-        own = order[i : i + batch]
-        parts.append(sentences([texts[j] for j in own]))
-        y.append(labels[own].astype(float))
-    seen, positive = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-    for s, target in zip(parts, y, strict=True):
-        doc = np.repeat(np.arange(len(s.first_sentence) - 1), np.diff(s.first_sentence))
-        word_doc = np.repeat(doc, np.diff(np.concatenate([s.first_word, [s.features.shape[1]]])))
-        pairs = np.unique((s.features.astype(np.int64) * batch + word_doc).ravel())
-        seen += np.bincount(pairs // batch, minlength=SLOTS + 1)
-        positive += np.bincount(pairs // batch, target[pairs % batch], minlength=SLOTS + 1)
-    share = labels.mean()
     live = positive - share * seen >= least_z * np.sqrt(seen * share * (1 - share) + 1e-9)
     live &= positive >= 2
     live[SLOTS] = False
-    # words without such a feature add nothing to a logit: the epochs go over the others only
+    return live
+
+
+def fit(words: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, live: np.ndarray, *, epochs: int = 16, soft: int = 4, batch: int = 256, rate: float = 0.15, decay: float = 1e-5) -> Model:
+    """Minimises the documents' log loss by Adam; only document labels are used.
+
+    The first ``soft`` epochs go through the noisy-or of all sentences, so that each gets a share while none stands out
+    yet; the others through the worst sentence, as in :meth:`Model.document_scores`.
+
+    ``words``: of each document with sentences the words that have a live feature, as (number of their sentence in the
+    document, ascending; slots of the word by column, SLOTS for those not live). Other words add nothing. Without a
+    positive label the model scores 0 everywhere.
+    """
+    if not len(words) or not labels.any():
+        return Model(np.zeros(SLOTS + 1, np.float32), -40.0)
+    order = np.random.default_rng(5).permutation(len(words))
     kept = []
-    for s in parts:
-        of_word = np.repeat(np.arange(len(s.first_word)), np.diff(np.concatenate([s.first_word, [s.features.shape[1]]])))
-        some = live[s.features].any(axis=0)
-        kept.append((np.where(live[s.features[:, some]], s.features[:, some], SLOTS), of_word[some], len(s.first_word), s.first_sentence))
-    weights, bias = np.zeros(SLOTS + 1), -5.0
-    m, v, mb, vb, t = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), 0.0, 0.0, 0
+    for i in range(0, len(order), batch):
+        own = order[i : i + batch]
+        numbers = np.concatenate([words[j][0] for j in own])
+        doc = np.repeat(np.arange(len(own)), [len(words[j][0]) for j in own])
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (numbers[1:] != numbers[:-1])
+        kept.append((np.concatenate([words[j][1] for j in own], axis=1), np.cumsum(new) - 1, doc[new], labels[own].astype(float)))
+    weights, bias, leak = np.zeros(SLOTS + 1), -5.0, -5.0
+    m, v, t = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), 0
+    mb, vb = np.zeros(2), np.zeros(2)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.005
-        for (features, of_word, n, first_sentence), target in zip(kept, y, strict=True):
+        for features, of_word, doc, target in kept:
             t += 1
-            z = np.clip(np.bincount(of_word, weights[features].sum(axis=0), minlength=n) + bias, -40, 40)
-            p = 1 / (1 + np.exp(-z))
-            score = np.clip(document_scores(z, first_sentence), 1e-9, 1 - 1e-9)
+            z = np.clip(np.bincount(of_word, weights[features].sum(axis=0), minlength=len(doc)) + bias, -40, 40)
+            p, p0, pl = (1 / (1 + np.exp(-x)) for x in (z, bias, leak))
+            added = excess(z, bias)
+            if epoch < soft:
+                total, counted = np.bincount(doc, added, minlength=len(target)), z >= bias
+            else:
+                total = np.zeros(len(target))
+                np.maximum.at(total, doc, added)
+                counted = (z >= bias) & (added >= total[doc])
+            score = np.clip(-np.expm1(-total - softplus(leak)), 1e-9, 1 - 1e-9)
             pull = np.where(target > 0, -(1 - score) / score, 1.0) / len(target)
-            g = p * np.repeat(pull, np.diff(first_sentence))
+            own = np.where(counted, pull[doc], 0)
+            g = p * own
             grad = sum(np.bincount(f, g[of_word], minlength=SLOTS + 1) for f in features)
             grad = np.where(live, grad + decay * weights, 0)
+            both = np.array([(own * (p - p0)).sum(), pl * pull.sum()])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
+            mb, vb = 0.9 * mb + 0.1 * both, 0.99 * vb + 0.01 * both**2
             a, b = 1 - 0.9**t, 1 - 0.99**t
             weights = weights - step * (m / a) / (np.sqrt(v / b) + 1e-6)
-            bias -= step * (mb / a) / (vb / b + 1e-12) ** 0.5
-    return Model(weights.astype(np.float32), float(bias))
+            bias, leak = np.array([bias, leak]) - step * (mb / a) / np.sqrt(vb / b + 1e-12)
+    return Model(weights.astype(np.float32), float(bias), float(leak))
 
 
 def held_out(id_col: str) -> Column:
@@ -156,12 +178,73 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _chunks(texts: list[bytes]):
+    """Ranges i, j of texts of CHUNK_BYTES together, or of one text."""
+    i = 0
+    while i < len(texts):
+        j, held = i, 0
+        while j < len(texts) and (j == i or held + len(texts[j]) <= CHUNK_BYTES):
+            held += len(texts[j])
+            j += 1
+        yield i, j
+        i = j
+
+
+def _docs_of_words(s: Sentences) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word the number of its sentence and of its text."""
+    sentence = np.repeat(np.arange(len(s.first_word)), np.diff(np.concatenate([s.first_word, [s.features.shape[1]]])))
+    return sentence, np.repeat(np.arange(len(s.first_sentence) - 1), np.diff(s.first_sentence))[sentence]
+
+
+def _counted(batches):
+    """Rows ``slot, seen, positive``: in how many texts and positive texts a slot is; slot -1 counts the texts."""
+    seen, positive = np.zeros(SLOTS + 1, np.int64), np.zeros(SLOTS + 1, np.int64)
+    n = n_positive = 0
+    for batch in batches:
+        labels = np.array(batch.column(1).to_pylist(), np.int64)
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        n, n_positive = n + len(texts), n_positive + int((labels > 0).sum())
+        for i, j in _chunks(texts):
+            s = sentences(texts[i:j])
+            _, doc = _docs_of_words(s)
+            pairs = np.unique((s.features.astype(np.int64) * (j - i) + doc).ravel())
+            slots = pairs // (j - i)
+            seen += np.bincount(slots, minlength=SLOTS + 1)
+            positive += np.bincount(slots[labels[i:j][pairs % (j - i)] > 0], minlength=SLOTS + 1)
+    some = np.flatnonzero(seen)
+    made = ([-1, *some], [n, *seen[some]], [n_positive, *positive[some]])
+    yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in made], names=["slot", "seen", "positive"])
+
+
+def _live_words(batches, live: np.ndarray):
+    """Rows ``i, y, numbers, slots`` of the texts that have sentences: their words with a live feature, for :func:`fit`."""
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        rows, numbers, slots = [], [], []
+        for i, j in _chunks(texts):
+            s = sentences(texts[i:j])
+            sentence, doc = _docs_of_words(s)
+            some = np.flatnonzero(live[s.features].any(axis=0))
+            features = np.where(live[s.features[:, some]], s.features[:, some], SLOTS)
+            cuts = np.searchsorted(doc[some], np.arange(j - i + 1))
+            for k in np.flatnonzero(np.diff(s.first_sentence)):
+                own = slice(cuts[k], cuts[k + 1])
+                rows.append(i + int(k))
+                numbers.append((sentence[some[own]] - s.first_sentence[k]).astype(np.int32))
+                slots.append(features[:, own].astype(np.int32).ravel())
+        taken = batch.select([0, 1]).take(pa.array(rows, pa.int64()))
+        lists = [pa.array(x, pa.list_(pa.int32())) for x in (numbers, slots)]
+        yield pa.RecordBatch.from_arrays([*taken.columns, *lists], names=["i", "y", "numbers", "slots"])
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``rows`` labelled documents of up to SAMPLE_BYTES, the smallest by a hash of the id.
+    """A model from at most ``rows`` labelled documents of any length, the smallest by a hash of the id.
 
-    Rows with a null id, text or label are not learned from; an id labelled twice counts as toxic if one label is.
+    Rows with a null id, text or label are not learned from; an id labelled twice counts as toxic if one label is. The
+    texts stay with the tasks: the driver gets counts by slot, then the words that have a live feature.
     """
-    known = docs.where((F.octet_length(text_col) <= SAMPLE_BYTES) & ~held_out(id_col) & F.col(id_col).isNotNull())
+    stage = Stage(spark, "toxicity")
+    known = docs.where(F.col(text_col).isNotNull() & ~held_out(id_col) & F.col(id_col).isNotNull())
     marks = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_tx_id")).agg(F.max(label_col).alias("_tx_y"))
     chosen = (
         known.select(F.col(id_col).alias("_tx_id")).distinct().join(marks, "_tx_id")
@@ -170,11 +253,21 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col="do
     # a bounded table: at most ``rows`` ids and labels
     sample = known.join(F.broadcast(chosen), F.col(id_col) == F.col("_tx_id")).select(
         F.col("_tx_id").alias("i"), F.col("_tx_y").cast("int").alias("y"), F.col(text_col).cast("string").alias("t")
-    ).dropDuplicates(["i"]).toArrow()
-    order = np.argsort(np.array(sample.column("i").to_pylist()), kind="stable") if sample.num_rows else np.zeros(0, int)
-    texts = sample.column("t").cast(pa.binary()).to_pylist()
-    y = np.array(sample.column("y").to_pylist(), int)
-    return fit([texts[i] for i in order], y[order] if len(order) else y)
+    ).dropDuplicates(["i"])
+    sample = stage.save(sample)
+    found = sample.mapInArrow(_counted, "slot long, seen long, positive long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("positive").alias("positive")).toArrow()
+    slot, seen, positive = (np.array(found.column(c).to_pylist(), np.int64) for c in ("slot", "seen", "positive"))
+    of_slot = np.zeros((2, SLOTS + 1))
+    of_slot[:, slot[slot >= 0]] = seen[slot >= 0], positive[slot >= 0]
+    live = live_slots(*of_slot, positive[slot < 0].sum() / max(1, seen[slot < 0].sum()))
+    kind = sample.schema["i"].dataType.simpleString()
+    words = sample.mapInArrow(lambda batches: _live_words(batches, live), f"i {kind}, y int, numbers array<int>, slots array<int>").toArrow()
+    stage.drop(sample)
+    ids, y = words.column("i").to_pylist(), np.array(words.column("y").to_pylist(), int)
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    numbers, slots = words.column("numbers").combine_chunks(), words.column("slots").combine_chunks()
+    made = [(numbers[i].values.to_numpy(), slots[i].values.to_numpy().reshape(1 + len(PREFIXES), -1)) for i in order]
+    return fit(made, y[order], live)
 
 
 def _score(batches, model: Model, text_at: int):
@@ -183,22 +276,16 @@ def _score(batches, model: Model, text_at: int):
         n = len(texts)
         score, count, bad = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         worst, at, to = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        i = 0
-        while i < n:
-            j, held = i, 0
-            while j < n and (j == i or held + len(texts[j]) <= CHUNK_BYTES):
-                held += len(texts[j])
-                j += 1
+        for i, j in _chunks(texts):
             s = sentences(texts[i:j])
             z = model.sentence_logits(s)
-            score[i:j] = document_scores(z, s.first_sentence)
+            score[i:j] = model.document_scores(z, s.first_sentence)
             for k in range(j - i):
                 a, b = s.first_sentence[k], s.first_sentence[k + 1]
                 if b > a:
                     count[i + k], bad[i + k] = b - a, (z[a:b] >= 0).sum()
                     top = a + int(z[a:b].argmax())
                     worst[i + k], at[i + k], to[i + k] = 1 / (1 + np.exp(-z[top])), s.start[top], s.end[top]
-            i = j
         made = {"score": score, "predicted": (score >= 0.5).astype(np.int32), "n_sentences": count, "n_offending": bad, "worst_score": worst, "worst_start": at, "worst_end": to}
         taken = {f"{MADE}{k}": pa.array(v) for k, v in made.items()}
         yield pa.RecordBatch.from_arrays([*batch.columns, *taken.values()], names=[*batch.schema.names, *taken])

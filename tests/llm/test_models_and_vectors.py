@@ -120,6 +120,24 @@ def test_toxicity_on_held_out_rows_and_sentences(spark):
     assert toxicity.score_documents(df.where("false"), model).count() == 0
 
 
+def test_toxicity_does_not_go_by_length(spark):
+    rng = np.random.default_rng(6)
+    plain = [f"word{k}" for k in range(300)]
+
+    def text(n):
+        return ". ".join(" ".join(rng.choice(plain, 6)) for _ in range(n)) + "."
+
+    rows = [(i, text(int(rng.integers(1, 8))) + (" vileterm here." if i % 5 == 0 else "")) for i in range(1000)]
+    # "longterm" is in texts above 64 KiB only
+    rows += [(i, text(1500) + (" longterm here." if i % 5 == 0 else "")) for i in range(1000, 1060)]
+    marks = [(i, int(i % 5 == 0)) for i, _ in rows]
+    new = [(5000, text(50_000)), (5001, "clean. " * 50_000), (5002, text(50_000) + " vileterm here."), (5003, text(3) + " longterm here.")]
+    model = toxicity.train(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    out = {r.doc_id: r for r in toxicity.score_documents(spark.createDataFrame(new, "doc_id long, text string"), model).collect()}
+    assert [out[i].tox_predicted for i in range(5000, 5004)] == [0, 0, 1, 1]
+    assert out[5001].tox_n_sentences == 50_000 and out[5001].tox_score < 0.1
+
+
 def test_toxicity_never_learns_from_held_out_labels(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
