@@ -34,6 +34,7 @@ def term_hits(text: Column) -> Column:
 
 
 def budget_fill(spark, sf_dir):
+    """Over all files; its SQL still stops at the first 200 of a source, so the two agree up to that size."""
     f = files(spark, sf_dir).select("source", "path", term_hits(F.col("text")).alias("score"), T.estimate_tokens(F.char_length("text")).alias("tokens"))
     return folds.fill_budget(f, ["source"], [F.desc("score"), F.col("path")], "path", "tokens", 4000)
 

@@ -4,28 +4,37 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ranking import top_per_group
 
-
-def fill_budget(df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int, *, most: int = 200) -> DataFrame:
+def fill_budget(df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:
     """``keys, item, cost, place, admitted``: in order, an item is admitted if it still fits, else skipped; later ones may fit.
 
-    The first ``most`` candidates of a group are tried; that bounds what the fold holds.
+    Every row of a group is tried. The rows stream past in order, so the fold holds a number and not the group; an item
+    without a cost is not admitted.
     """
-    tried = top_per_group(df, keys, order, most, "place")
-    rows = tried.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.col(item).alias("item"), F.col(cost).cast("long").alias("cost")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("taken"))
-
-    def step(state: Column, x: Column) -> Column:
-        used = state["used"] + x["cost"]
-        fits = used <= budget
-        return F.struct(F.when(fits, used).otherwise(state["used"]).alias("used"), F.when(fits, F.concat(state["taken"], F.array(x["place"]))).otherwise(state["taken"]).alias("taken"))
-
-    folded = rows.withColumn("taken", F.aggregate("rows", start, step, lambda s: s["taken"]))
-    return folded.select(*keys, F.inline(F.transform("rows", lambda x: F.struct(x["item"].alias(item), x["cost"].alias(cost), x["place"].alias("place"), F.array_contains("taken", x["place"]).alias("admitted")))))
+    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = sorted_rows.select(*keys, F.col(item).alias(item), F.col(cost).cast("long").alias(cost))
+    schema = T.StructType([*rows.schema.fields, T.StructField("place", T.IntegerType()), T.StructField("admitted", T.BooleanType())])
+
+    def fold(batches):
+        group, used, place = None, 0, 0
+        for batch in batches:
+            places, admitted = [], []
+            for *own, c in zip(*[batch.column(k).to_pylist() for k in range(len(keys))], batch.column(len(keys) + 1).to_pylist(), strict=True):
+                if own != group:
+                    group, used, place = own, 0, 0
+                fits = c is not None and used + c <= budget
+                used, place = used + c if fits else used, place + 1
+                places.append(place)
+                admitted.append(fits)
+            made = [pa.array(places, pa.int32()), pa.array(admitted, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "place", "admitted"])
+
+    return rows.mapInArrow(fold, schema)
 
 
 def interacting_caps(spark: SparkSession, df: DataFrame, order: str, caps: dict[str, int], total: int, *, block: int = 10_000) -> DataFrame:

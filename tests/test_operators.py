@@ -46,6 +46,19 @@ def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     assert [r.admitted for r in out] == [True, False, True, True, False]
 
 
+def test_budget_tries_every_row_of_a_group(spark):
+    rng = random.Random(7)
+    rows = [(g, i, f"f{i}", None if i % 97 == 5 else rng.randrange(9) if i > 700 else rng.randrange(100, 900)) for g in ("a", "b", None) for i in range(900 if g else 1)]
+    out = folds.fill_budget(spark.createDataFrame(rows, "g string, o int, item string, cost int"), ["g"], [F.col("o")], "item", "cost", 1500).collect()
+    used, want = Counter(), {}
+    for g, i, item, c in rows:
+        fits = c is not None and used[g] + c <= 1500
+        used[g] += c if fits else 0
+        want[g, item] = (c, i + 1, fits)
+    assert {(r.g, r.item): (r.cost, r.place, r.admitted) for r in out} == want and len(out) == len(rows)
+    assert any(fits and place > 200 for _, place, fits in want.values())
+
+
 def test_interacting_caps_against_a_plain_loop(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("abcdef") if i % 9 else None, rng.choice("xyz")) for i in range(2000)]
