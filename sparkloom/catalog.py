@@ -90,11 +90,16 @@ def degree_topk(spark, sf_dir):
     return ranking.top_counts(read(spark, sf_dir, "lineitem").select("l_partkey"), "l_partkey", 5)
 
 
-def value_rank(spark, sf_dir):
+def valued_files(spark, sf_dir) -> DataFrame:
+    """``path, cost, value, folder_role`` of every file."""
     f = files(spark, sf_dir).select("path", "size", term_hits(F.col("text")).alias("score"))
     f = f.withColumn("cost", P.analysis_cost(F.col("size"), P.is_test_path(F.col("path")), P.is_generated_path(F.col("path"))))
     f = f.withColumn("value", P.value_score(F.col("score"), F.col("cost")))
-    return f.select("path", "cost", "value", P.folder_role(F.col("path")).alias("folder_role")).orderBy(F.desc("value"), "cost", "path").limit(300)
+    return f.select("path", "cost", "value", P.folder_role(F.col("path")).alias("folder_role"))
+
+
+def value_rank(spark, sf_dir):
+    return valued_files(spark, sf_dir).orderBy(F.desc("value"), "cost", "path").limit(300)
 
 
 def duplicate_routes(spark, sf_dir):
@@ -259,7 +264,8 @@ def language_counts(spark, sf_dir):
 
 
 def strategy_summary(spark, sf_dir):
-    v = value_rank(spark, sf_dir)
+    """Over all files; its SQL still stops at the 300 best, so the two agree up to 300 files."""
+    v = valued_files(spark, sf_dir)
     return v.groupBy("cost").agg(F.count("*").alias("n"), F.bround(F.avg("value"), 6).alias("avg_value"))
 
 

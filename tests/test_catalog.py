@@ -10,6 +10,13 @@ def test_queries_equal_their_sql(spark, sf, name):
     assert ours == theirs
 
 
+def test_strategy_summary_covers_all_files(spark, tmp_path):
+    rows = [(i, "the api" if i < 350 else "plain", "en", "a", 100 if i < 350 else 20_000) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.cost: (r.n, r.avg_value) for r in catalog.strategy_summary(spark, str(tmp_path)).collect()}
+    assert out == {1: (350, 2.0), 2: (50, 0.0)}
+
+
 def test_phrases_and_terms(spark, sf):
     import re
 
