@@ -16,9 +16,12 @@ from .store import Stage, release_shuffles
 LENGTH, ANCHOR = 50, 16
 STARTS = LENGTH - ANCHOR + 1
 CHUNK_BYTES = 1 << 20
-#: A shard of the suffix arrays, and the different runs of an anchor that fill one; anchors with more go by the strings' own hashes.
+#: Bytes of runs in a shard of the suffix arrays, and the different runs that one anchor may bring into it; an anchor
+#: with more is refined by its neighbouring bytes, and what is still larger is cut into several shards.
 SHARD_BYTES = 1 << 20
-MOST_KINDS = SHARD_BYTES // 64
+SHARD_RUNS = 1 << 12
+#: Of the LENGTH - ANCHOR bytes of a string outside its anchor, at least SIDE lie after it or more than SIDE before it.
+SIDE = (LENGTH - ANCHOR) // 2
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,14 +61,15 @@ def runs(texts: list[bytes]):
 
     The anchor of a string is its ANCHOR-byte substring with the least hash, the leftmost of equals; so equal strings
     have equal anchors at equal offsets, wherever they stand. Returns the joined bytes and, per run: the text's number,
-    its first string's place in the joined bytes, the number of strings, the anchor's hash, and each text's place.
+    its first string's place in the joined bytes, the number of strings, the anchor's hash, then each text's place, and
+    per run the anchor's place.
     """
     body = np.frombuffer(b"".join(texts) + b"\0" * 8, np.uint8)
     n = len(body) - 8
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return body, none, none, none, np.zeros(0, np.uint64), at
+        return body, none, none, none, np.zeros(0, np.uint64), at, none
     w = _words8(body)
     grams = mix(w[: n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15) + mix(w[8 : n - ANCHOR + 9]))
     width = len(grams)
@@ -88,7 +92,7 @@ def runs(texts: list[bytes]):
     ends = np.concatenate([[0], np.cumsum(whole)])
     after = np.concatenate([first[1:], [len(anchor)]])
     count = ends[after] - ends[first]
-    return body, text[first], first, count, grams[anchor[first]], at
+    return body, text[first], first, count, grams[anchor[first]], at, anchor[first]
 
 
 def _chunks(texts: list[bytes]):
@@ -102,87 +106,99 @@ def _chunks(texts: list[bytes]):
         i = j
 
 
+def _hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges, which depend on their bytes and lengths alone."""
+    return mix((sums[end] - sums[start]) * _powers(len(sums), _INVERSE)[start] + (end - start).astype(np.uint64))
+
+
+def _keyed_texts(batch):
+    return (*(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)), [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()])
+
+
 def _anchors(batches):
+    """Rows ``h, doc, k``: the different anchors of each text, by hash."""
     for batch in batches:
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        docs, ks, texts = _keyed_texts(batch)
         for i, j in _chunks(texts):
-            _, text, _, _, h, _ = runs(texts[i:j])
+            _, text, _, _, h, _ = runs(texts[i:j])[:6]
             order = np.lexsort((h, text))
             text, h = text[order], h[order]
             once = np.ones(len(h), bool)
             once[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(docs[i:j][text[once]])], names=["h", "doc"])
-
-
-def _shared(batches):
-    """Of rows sorted by (h, doc), those whose h has another doc; holds one row between batches."""
-    held = None
-    for batch in batches:
-        h, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if held is not None:
-            h, doc = np.concatenate([held[0], h]), np.concatenate([held[1], doc])
-        if not len(h):
-            continue
-        same = h[1:] == h[:-1]
-        start = np.concatenate([[True], ~same])
-        group = np.cumsum(start) - 1
-        low = doc[start][group]
-        known = held[2] if held is not None else False
-        wide = np.zeros(group[-1] + 1, bool)
-        np.logical_or.at(wide, group[doc != low], True)
-        wide[0] |= known
-        keep = wide[group]
-        if held is not None and known:
-            keep[0] = False  # given out already
-        last = group == group[-1]
-        if wide[-1]:  # the group is known to be shared: its rows can go, a marker stays
-            held = (h[-1:], low[-1:], True)
-        else:
-            keep &= ~last
-            held = (h[-1:], low[-1:], False)
-        yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(doc[keep])], names=["h", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(docs[i:j][text[once]]), pa.array(ks[i:j][text[once]])], names=["h", "doc", "k"])
 
 
 def _pieces(batches):
-    """For each text the runs whose anchor's hash is among its shared ones, with a hash of their bytes."""
+    """Rows ``h, piece, doc, k, at, n``: the runs whose anchor is among the text's shared ones, with a hash of their bytes.
+
+    ``n`` is the number of strings plus 64 times the anchor's offset in the run.
+    """
     for batch in batches:
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        lists = batch.column(2)
+        docs, ks, texts = _keyed_texts(batch)
+        lists = batch.column(3)
         for i, j in _chunks(texts):
-            body, text, first, count, h, at = runs(texts[i:j])
+            body, text, first, count, h, at, anchor = runs(texts[i:j])
             own = lists.slice(i, j - i)
             wanted = own.flatten().to_numpy(zero_copy_only=False)
             owner = np.repeat(np.arange(j - i), np.diff(own.offsets.to_numpy()))
             salt = mix(np.arange(j - i, dtype=np.uint64))
             keep = np.isin(h ^ salt[text], wanted.view(np.uint64) ^ salt[owner])
-            text, first, count, h = text[keep], first[keep], count[keep], h[keep]
-            end = first + count + LENGTH - 1
-            sums = _prefix_sums(body)
-            piece = mix((sums[end] - sums[first]) * _powers(len(body), _INVERSE)[first] + (end - first).astype(np.uint64))
-            columns = [pa.array(h.view(np.int64)), pa.array(piece.view(np.int64)), pa.array(docs[i:j][text]), pa.array((first - at[text]).astype(np.int32)), pa.array(count.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "piece", "doc", "at", "n"])
+            text, first, count, h, anchor = text[keep], first[keep], count[keep], h[keep], anchor[keep]
+            piece = _hashes(_prefix_sums(body), first, first + count + LENGTH - 1)
+            made = [h.view(np.int64), piece.view(np.int64), docs[i:j][text], ks[i:j][text], (first - at[text]).astype(np.int32), (count + 64 * (anchor - first)).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=_RUN)
+
 
+_RUN = ["h", "piece", "doc", "k", "at", "n"]
+_RUN_TYPES = "h long, piece long, doc long, k long, at int, n int"
 
-def _bytes(batches):
-    """The bytes of the runs ``h, piece, at, n, many`` that each text is asked for."""
+
+def _bytes(batches, refine: bool):
+    """Rows ``h, piece, doc, k, at, n, bytes`` of the runs ``h, piece, at, n`` that each text is asked for.
+
+    ``refine`` splits each run in two: strings with SIDE bytes or more after the anchor, whose new anchor are these
+    bytes and the old one, and strings with more than SIDE before it, likewise. Equal strings still have equal anchors.
+    """
     for batch in batches:
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
-        texts = batch.column(1).cast(pa.binary())
-        lists = batch.column(2)
+        docs, ks, texts = _keyed_texts(batch)
+        lists = batch.column(3)
         ends = lists.offsets.to_numpy()
         flat = lists.flatten()
-        at, n = flat.field("at").to_numpy(), flat.field("n").to_numpy()
-        for i in range(batch.num_rows):
-            a, b = int(ends[i] - ends[0]), int(ends[i + 1] - ends[0])
-            for k in range(a, b, 1 << 15):
-                to = min(b, k + (1 << 15))
-                raw = texts[i].as_py() or b""
-                data = [raw[x : x + m + LENGTH - 1] for x, m in zip(at[k:to].tolist(), n[k:to].tolist(), strict=True)]
-                own = flat.slice(k, to - k)
-                columns = [own.field("h"), own.field("piece"), pa.array(np.full(to - k, docs[i])), own.field("at"), pa.array(data, pa.binary()), own.field("many")]
-                yield pa.RecordBatch.from_arrays(columns, names=["h", "piece", "doc", "at", "bytes", "many"])
+        h, piece, at, n = (flat.field(c).to_numpy() for c in ("h", "piece", "at", "n"))
+        for i, j in _chunks(texts):
+            body = np.frombuffer(b"".join(texts[i:j]) + b"\0" * 8, np.uint8)
+            base = np.concatenate([[0], np.cumsum([len(t) for t in texts[i:j]])]).astype(np.int64)
+            a, b = int(ends[i] - ends[0]), int(ends[j] - ends[0])
+            text = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+            first, count, offset = base[text] + at[a:b], n[a:b].astype(np.int64) % 64, n[a:b].astype(np.int64) // 64
+            kinds, key = h[a:b], piece[a:b]
+            if refine:
+                sums = _prefix_sums(body)
+                anchor, last = first + offset, first + count - 1
+                right = np.maximum(first, anchor - SIDE)
+                has_right, has_left = right <= last, first < anchor - SIDE
+                left_last = np.minimum(last, anchor - SIDE - 1)
+                # 33 bytes each: the anchor with the SIDE bytes after it, or before it
+                of_right = _hashes(sums, np.where(has_right, anchor, 0), np.where(has_right, anchor + ANCHOR + SIDE, 0))
+                of_left = _hashes(sums, np.where(has_left, anchor - SIDE, 0), np.where(has_left, anchor + ANCHOR, 0)) ^ np.uint64(1)
+                pick = np.concatenate([np.flatnonzero(has_right), np.flatnonzero(has_left)])
+                side = np.repeat([0, 1], [has_right.sum(), has_left.sum()])
+                text, offset = text[pick], np.zeros(len(pick), np.int64)
+                first, last = np.where(side == 0, right[pick], first[pick]), np.where(side == 0, last[pick], left_last[pick])
+                count = last - first + 1
+                kinds = np.where(side == 0, of_right[pick], of_left[pick]).view(np.int64)
+                key = _hashes(sums, first, first + count + LENGTH - 1).view(np.int64)
+            for c in range(0, len(first), 1 << 15):
+                own = slice(c, c + (1 << 15))
+                made = [kinds[own], key[own], docs[i:j][text[own]], ks[i:j][text[own]], (first[own] - base[text[own]]).astype(np.int32), (count[own] + 64 * offset[own]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in made], _slices(body, first[own], count[own] + LENGTH - 1)], names=[*_RUN, "bytes"])
+
+
+def _slices(body: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The byte ranges as one binary array."""
+    ends = np.concatenate([[0], np.cumsum(length)])
+    places = np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body[places])])
 
 
 def suffix_array(body: np.ndarray, depth: int) -> np.ndarray:
@@ -193,7 +209,7 @@ def suffix_array(body: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(body)
     words = _words8(np.concatenate([body, np.zeros(8, np.uint8)]))[:n].byteswap()
-    order = np.argsort(words, kind="stable")
+    order = np.argsort(words)
     key = words[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     rank = np.empty(n + 1, np.int64)
@@ -207,7 +223,7 @@ def suffix_array(body: np.ndarray, depth: int) -> np.ndarray:
             break
         own = order[tied]
         key = rank[own] * np.int64(n + 2) + rank[np.minimum(own + length, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         order[tied] = own[by]
         key = key[by]
         new[tied] = np.concatenate([[True], key[1:] != key[:-1]])
@@ -251,178 +267,283 @@ def common_prefixes(body: np.ndarray, order: np.ndarray, breaks: np.ndarray, cap
     return prefix[order]
 
 
-def repeated_starts(pieces: list[bytes], owners: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """For each piece whose strings of LENGTH bytes some piece of a smaller owner has: its number and their offsets."""
-    lengths = np.array([len(p) for p in pieces])
-    body = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    order = suffix_array(body, 64)
-    prefix = common_prefixes(body, order, starts, 96)
-    piece = np.repeat(np.arange(len(pieces)), lengths + 1)
-    valid = np.arange(len(body)) + LENGTH <= (starts + lengths)[piece]
-    # places with a whole string, in suffix order: runs of common prefixes of LENGTH or more hold equal strings
-    new = prefix < LENGTH
-    group = np.cumsum(new)
-    ok = valid[order]
-    order, group = order[ok], group[ok]
-    if not len(order):
-        return []
-    first = np.concatenate([[True], group[1:] != group[:-1]])
-    low = np.minimum.reduceat(owners[piece[order]], np.flatnonzero(first))[np.cumsum(first) - 1]
-    hit = np.sort(order[low < owners[piece[order]]])
-    out = []
-    if len(hit):
-        of = piece[hit]
-        cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        for a, b in zip(cuts, [*cuts[1:], len(hit)], strict=True):
-            out.append((int(of[a]), hit[a:b] - starts[of[a]]))
-    return out
+class Shard:
+    """Runs of bytes in one suffix array: equal strings of LENGTH bytes are neighbours with as long a common prefix."""
+
+    def __init__(self, data: pa.Array):
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        values = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        self.lengths = np.diff(ends)
+        self.run = np.repeat(np.arange(len(data)), self.lengths + 1)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]])
+        self.body = np.full(len(self.run), 255, np.uint8)  # no byte of UTF-8, so a separator
+        self.body[np.arange(len(values)) + np.repeat(np.arange(len(data)), self.lengths)] = values
+        order = suffix_array(self.body, 64)
+        group = np.cumsum(common_prefixes(self.body, order, self.starts, 96) < LENGTH)
+        whole = (np.arange(len(self.body)) + LENGTH <= (self.starts + self.lengths)[self.run])[order]
+        #: Places of the strings in the order of the suffix array, and where a new string begins in it.
+        self.order = order[whole]
+        group = group[whole]
+        self.first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+
+    def strings(self) -> np.ndarray:
+        """The different strings, ascending, as rows of bytes."""
+        return self.body[self.order[self.first][:, None] + np.arange(LENGTH)]
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        """A value of each different string, for all its occurrences."""
+        return np.repeat(values, np.diff(np.concatenate([self.first, [len(self.order)]])))
+
+    def least(self, owners: np.ndarray, ufunc=np.minimum) -> np.ndarray:
+        """The least (or by another ufunc) owner of each different string."""
+        return ufunc.reduceat(owners[self.run[self.order]], self.first) if len(self.first) else np.zeros(0, np.int64)
+
+    def spans(self, hit: np.ndarray, docs: np.ndarray, ks: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        """``doc, k, a, b`` of the stretches that the strings of these places cover."""
+        hit = np.sort(self.order[hit])
+        run = self.run[hit]
+        cut = np.ones(len(hit), bool)
+        cut[1:] = (run[1:] != run[:-1]) | (np.diff(hit) > LENGTH)
+        begin = np.flatnonzero(cut)
+        end = np.concatenate([begin[1:], [len(hit)]])[: len(begin)] - 1
+        own = run[begin]
+        shift = at[own].astype(np.int64) - self.starts[own]
+        made = [docs[own], ks[own], hit[begin] + shift, hit[end] + LENGTH + shift]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["doc", "k", "a", "b"])
+
+
+def _held(batches, keys: int, most: int):
+    """Arrow tables of whole groups of the first ``keys`` columns, of about ``most`` bytes in the last one (0: one group each)."""
+    held: list = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.column(batch.num_columns - 1).nbytes
+        if size < most:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cols = [table.column(k).to_numpy() for k in range(keys)]
+        new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        cuts = [0, *new] if not most else ([0, int(new[-1])] if len(new) else [0])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield table.slice(a, b - a).combine_chunks()
+        held = table.slice(cuts[-1]).combine_chunks().to_batches()
+        size = sum(x.column(x.num_columns - 1).nbytes for x in held)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _spans(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Covered stretches (start, end) of strings that start at these ascending offsets."""
-    cut = np.flatnonzero(np.diff(offsets) > LENGTH) + 1
-    a, b = offsets[np.concatenate([[0], cut])], offsets[np.concatenate([cut - 1, [len(offsets) - 1]])]
-    return list(zip(a.tolist(), (b + LENGTH).tolist(), strict=True))
+def _binary(table: pa.Table) -> pa.Array:
+    return table.column(table.num_columns - 1).combine_chunks() if table.num_rows else pa.array([], pa.binary())
 
 
-def _by_suffixes(batches):
-    """Rows ``h, piece, doc, at, bytes`` sorted by (h, piece): shards of whole anchors go through a suffix array."""
-    h, rows, held = None, [], 0
-
-    def solve(rows):
-        index: dict = {}
-        pieces, owners, places = [], [], []
-        for key, doc, at, data in rows:
-            k = index.setdefault(key, len(pieces))
-            if k == len(pieces):
-                pieces.append(data)
-                owners.append(doc)
-                places.append([])
-            places[k].append(at)
-        docs, starts, ends = [], [], []
-        if pieces:
-            for k, offsets in repeated_starts(pieces, np.array(owners)):
-                for a, b in _spans(offsets):
-                    for at in places[k]:
-                        docs.append(owners[k])
-                        starts.append(at + a)
-                        ends.append(at + b)
-        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["doc", "a", "b"])
+def _one(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy()
 
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        for own, piece, doc, at, data in zip(*columns, strict=True):
-            if own != h and held >= SHARD_BYTES:
-                yield solve(rows)
-                rows, held = [], 0
-            h = own
-            rows.append(((own, piece), doc, at, data))
-            held += len(data)
-    yield solve(rows)
-
-
-def _strings(batches):
-    """Rows ``doc, at, bytes``: a hash of every string of LENGTH bytes with its place."""
-    for batch in batches:
-        docs, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        pieces = batch.column(2).to_pylist()
-        for i, j in _chunks(pieces):
-            own = pieces[i:j]
-            body = np.frombuffer(b"".join(own), np.uint8)
-            n = len(body)
-            lengths = np.array([len(p) for p in own])
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            sums = _prefix_sums(body)
-            counts = lengths - LENGTH + 1
-            piece = np.repeat(np.arange(len(own)), counts)
-            offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            place = starts[piece] + offset
-            g = mix((sums[place + LENGTH] - sums[place]) * _powers(n, _INVERSE)[place])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(g.view(np.int64)), pa.array(docs[i:j][piece]), pa.array(at[i:j][piece] + offset)], names=["g", "doc", "a"]
-            )
+
+def _by_suffixes(batches):
+    """Rows ``h, doc, k, at, bytes`` sorted by h: shards of whole anchors, in which a smaller owner takes a string."""
+    for table in _held(batches, 1, SHARD_BYTES):
+        docs, ks, at = (_one(table.column(c)) for c in (1, 2, 3))
+        shard = Shard(_binary(table))
+        low = shard.spread(shard.least(docs))
+        yield shard.spans(np.flatnonzero(low < docs[shard.run[shard.order]]), docs, ks, at)
+
+
+def _shard_strings(batches):
+    """Rows ``h, part, low, high, string``: the different strings of each shard (h, part), ascending, with their owners."""
+    for table in _held(batches, 2, 0):
+        shard, docs = Shard(_binary(table)), _one(table.column(2))
+        n = len(shard.first)
+        same = [np.full(n, table.column(c)[0].as_py()) for c in (0, 1)]
+        flat = np.ascontiguousarray(shard.strings()).ravel()
+        strings = _slices(flat, np.arange(n) * LENGTH, np.full(n, LENGTH))
+        made = [*same, shard.least(docs), shard.least(docs, np.maximum)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in made], strings], names=["h", "part", "low", "high", "bytes"])
+
+
+def _merge_shards(batches):
+    """Rows ``h, part, kind, doc, k, at, bytes`` sorted by the first three: of each shard first (kind 0) the strings that
+    some shard has from a smaller owner ``doc``, then (kind 1) its runs. The strings are found in the shard's suffix
+    array by binary search.
+    """
+    for table in _held(batches, 2, 0):
+        kind = _one(table.column(2))
+        n = int((kind == 0).sum())
+        needles = table.slice(0, n)
+        own = table.slice(n).combine_chunks()
+        if not n or not own.num_rows:
+            continue
+        docs, ks, at = (_one(own.column(c)) for c in (3, 4, 5))
+        shard = Shard(_binary(own))
+        if not len(shard.first):
+            continue
+        known = np.ascontiguousarray(shard.strings()).view(f"S{LENGTH}").ravel()
+        wanted = np.array(needles.column(6).to_pylist(), f"S{LENGTH}")
+        place = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        low = np.full(len(known), np.iinfo(np.int64).max)
+        found = known[place] == wanted
+        low[place[found]] = _one(needles.column(3))[found]
+        yield shard.spans(np.flatnonzero(shard.spread(low) < docs[shard.run[shard.order]]), docs, ks, at)
 
 
 def _cut(batches):
+    """Of each text with its spans: what is removed, and the digest of the rest."""
     for batch in batches:
-        ids = batch.column(0)
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
         out = []
-        for text, spans in zip(texts, batch.column(2).to_pylist(), strict=True):
+        for text, spans in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
             merged: list[list[int]] = []
-            for a, b in sorted((s["a"], min(s["b"], len(text))) for s in spans or []):
+            for a, b in sorted((s["a"], s["b"]) for s in spans or []):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
-                elif a < b:
+                else:
                     merged.append([a, b])
             digest, at = hashlib.sha256(), 0
             for a, b in merged:
                 digest.update(text[at:a])
                 at = b
             digest.update(text[at:])
-            out.append((len(text), sum(b - a for a, b in merged), len(merged), digest.hexdigest(), merged))
-        columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            out.append((sum(b - a for a, b in merged), len(merged), digest.hexdigest(), merged))
+        columns = list(zip(*out, strict=True)) or [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc", "k", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
+def _rows(stage: Stage, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, doc, k, text``: (doc, k) tells rows of different id or text apart; ``doc`` orders them.
+
+    ``k`` is 0 where the id is on one row only, else a hash of the text. Null ids get the greatest ``doc``.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    twins = stage.save(rows.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("twin")))
+    several = F.col("id").isNull() | F.col("twin").isNotNull()
+    rows = rows.join(twins, F.col("id") == F.col("twin"), "left")
+    return rows.select("id", F.coalesce("id", F.lit((1 << 63) - 1)).alias("doc"), F.when(several, F.xxhash64("text")).otherwise(0).alias("k"), "text")
+
+
+def _judge(stage: Stage, runs_: DataFrame) -> DataFrame:
+    """The runs that need a look, with ``whole`` (a smaller document has the same run) and ``kinds``, the different runs
+    of their anchor. Both are sums that are taken before the shuffle, so a hot anchor is no hot task.
+    """
+    owners = stage.save(runs_.groupBy("h", "piece").agg(F.min("doc").alias("owner")))
+    kinds = owners.groupBy("h").agg(F.count("*").alias("kinds"))
+    judged = runs_.join(owners.join(kinds, "h"), ["h", "piece"]).where("kinds > 1 or owner < doc")
+    judged = stage.save(judged.select(*runs_.columns, (F.col("owner") < F.col("doc")).alias("whole"), "kinds"))
+    stage.drop(owners)
+    return judged
+
+
+def _span_of_run() -> list:
+    return ["doc", "k", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n") % 64 + (LENGTH - 1)).cast("long").alias("b")]
+
+
+def _in_shards(runs_: DataFrame) -> DataFrame:
+    """Spans of runs whose anchors fit in one shard each."""
+    dealt = runs_.select("h", "doc", "k", "at", "bytes").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(_by_suffixes, _SPAN_TYPES)
+
+
+def _across_shards(stage: Stage, runs_: DataFrame) -> DataFrame:
+    """Spans of runs whose anchors are cut into several shards (h, part), each with a suffix array of its own.
+
+    The shards' different strings are merged by string; those that a smaller document has go back to the shards that
+    also have them, which look them up in their suffix arrays by binary search.
+    """
+    part = F.pmod(F.xxhash64("doc", "k", "at"), F.ceil(F.col("kinds") / SHARD_RUNS)).cast("long")
+    runs_ = runs_.select("h", part.alias("part"), F.lit(1).alias("kind"), "doc", "k", "at", "bytes")
+    dealt = runs_.select("h", "part", "doc", "bytes").repartition("h", "part").sortWithinPartitions("h", "part")
+    strings = stage.save(dealt.mapInArrow(_shard_strings, "h long, part long, low long, high long, bytes binary"))
+    merged = strings.groupBy("h", "bytes").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").drop("most")
+    needles = strings.join(merged, ["h", "bytes"]).where("least < high").select(
+        "h", "part", F.lit(0).alias("kind"), F.col("least").alias("doc"), F.lit(0).cast("long").alias("k"), F.lit(0).alias("at"), "bytes"
+    )
+    both = needles.unionByName(runs_).repartition("h", "part").sortWithinPartitions("h", "part", "kind")
+    return both.mapInArrow(_merge_shards, _SPAN_TYPES)
+
+
+_SPAN_TYPES = "doc long, k long, a long, b long"
 
 
 def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, n_bytes, n_removed, n_spans, kept_sha256, spans`` for every row.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller id; strings are judged on
-    the input. ``spans`` are the removed stretches [start, end) of the UTF-8 bytes. Null and empty texts have 0 bytes;
-    rows with a null id come after all others and don't count against each other; rows with equal ids are one document
-    and should have equal texts. An empty table gives an empty result; other columns are not looked at.
-
-    1. Equal texts: all of a later copy goes, so only the first goes on. 2. Every document names the anchors of its
-    strings; one shuffle by the anchor's hash finds those that two documents share. 3. Only these runs of strings are
-    looked at, by a hash of their bytes. Where a smaller document has the same run, all of it goes. 4. The different runs
-    of an anchor are read again and compared string by string: anchors are dealt to shards, each shard sorts its runs in
-    a suffix array and equal strings are neighbours with 50 common bytes. Equal strings have equal anchors, so no two
-    shards hold the same string and none needs merging. Anchors with more than MOST_KINDS different runs would make a hot
-    shard: their strings are compared by their own hashes instead.
+    the input. ``spans`` are the removed stretches [start, end) of the UTF-8 bytes. Null and empty texts have 0 bytes.
+    Each row is judged by its own text: rows with equal ids don't count against each other, whatever their texts, rows
+    with a null id come after all others and don't count against each other either, equal rows get equal results. An
+    empty table gives an empty result; other columns are not looked at. Very long texts are cut into runs of strings
+    like others; only their last step, the digest, takes a text whole.
+
+    1. Equal texts: all of a later copy goes, so only the first goes on. The texts that go on are written once, dealt by
+    row, so that no later join moves them. 2. Every text names the anchors of its strings; counts by anchor find those
+    that two documents share. 3. Only these runs of strings are looked at, by a hash of their bytes. Where a smaller
+    document has the same run, all of it goes. 4. The different runs of an anchor are compared string by string: anchors
+    are dealt to shards, each shard sorts its runs in a suffix array, and equal strings are neighbours with 50 common
+    bytes. Equal strings have equal anchors, so shards of whole anchors need no merging. 5. Runs of an anchor with more
+    than SHARD_RUNS kinds are split by the 17 bytes after or before it, and 3. and 4. apply to them; what has too many
+    kinds even so is cut into several shards that are merged by binary search.
     """
     stage = Stage(spark, "repeats")
-    last = (1 << 63) - 1
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    keys = stage.save(docs.where(F.octet_length("text") >= LENGTH).select("doc", F.sha2("text", 256).alias("key"), F.octet_length("text").alias("b")))
+    rows = _rows(stage, df, id_col, text_col)
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    keys = stage.save(rows.where(F.octet_length("text") >= LENGTH).select("doc", "k", F.unhex(F.sha2("text", 256)).alias("key")))
     firsts = keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).where("owner < high")
-    copies = stage.save(keys.join(firsts, "key").where("owner < doc").select("doc", F.lit(0).cast("long").alias("a"), F.col("b").cast("long")))
+    copies = stage.save(keys.join(firsts, "key").where("owner < doc").select("doc", "k").distinct())
+    again = stage.save(keys.groupBy("doc", "k").count().where("count > 1").select("doc", "k"))
     stage.drop(keys)
-    anchors = docs.mapInArrow(_anchors, "h long, doc long").repartition("h").sortWithinPartitions("h", "doc")
-    shared = stage.save(anchors.mapInArrow(_shared, "h long, doc long"))
+    long = rows.where(F.octet_length("text") >= LENGTH).select("doc", "k", "text").join(copies, ["doc", "k"], "left_anti")
+    once = long.join(again, ["doc", "k"], "left_anti").unionByName(long.join(again, ["doc", "k"], "left_semi").dropDuplicates(["doc", "k"]))
+    docs = stage.save_dealt(once, ["doc", "k"])
     release_shuffles(spark)
-    lists = shared.groupBy("doc").agg(F.collect_set("h").alias("hs")).join(copies.select("doc"), "doc", "left_anti")
-    pieces = docs.join(lists, "doc").select("doc", "text", "hs").mapInArrow(_pieces, "h long, piece long, doc long, at int, n int")
-    pieces = stage.save(pieces)
-    stage.drop(shared)
+    anchors = stage.save(docs.mapInArrow(_anchors, "h long, doc long, k long"))
+    known = anchors.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h")
+    shared = stage.save(anchors.join(known.hint("shuffle_hash"), "h", "left_semi"))
+    stage.drop(anchors)
     release_shuffles(spark)
-    owners = stage.save(pieces.groupBy("h", "piece").agg(F.min("doc").alias("owner")))
+    lists = shared.groupBy("doc", "k").agg(F.collect_list("h").alias("hs"))
+    pieces = stage.save(docs.join(lists, ["doc", "k"]).select("doc", "k", "text", "hs").mapInArrow(_pieces, _RUN_TYPES))
+    stage.drop(shared)
     release_shuffles(spark)
-    kinds = owners.groupBy("h").agg(F.count("*").alias("kinds"))
-    # runs of a single kind that no smaller document has need no look
-    judged = pieces.join(owners.join(kinds, "h"), ["h", "piece"]).where("kinds > 1 or owner < doc")
-    judged = stage.save(judged.select("h", "piece", "doc", "at", "n", (F.col("owner") < F.col("doc")).alias("whole"), (F.col("kinds") > MOST_KINDS).alias("many")))
+    judged = _judge(stage, pieces)
     stage.drop(pieces)
-    stage.drop(owners)
     release_shuffles(spark)
-    whole = judged.where("whole").select("doc", F.col("at").cast("long").alias("a"), (F.col("at") + F.col("n") + (LENGTH - 1)).cast("long").alias("b"))
-    asked = judged.where("not whole").groupBy("doc").agg(F.collect_list(F.struct("h", "piece", "at", "n", "many")).alias("runs"))
-    rest = docs.join(asked, "doc").select("doc", "text", "runs").mapInArrow(_bytes, "h long, piece long, doc long, at int, bytes binary, many boolean")
-    rest = stage.save(rest)
+
+    def with_bytes(asked: DataFrame, refine: bool) -> DataFrame:
+        lists = asked.groupBy("doc", "k").agg(F.collect_list(F.struct("h", "piece", "at", "n")).alias("runs"))
+        joined = docs.join(lists, ["doc", "k"]).select("doc", "k", "text", "runs")
+        return stage.save(joined.mapInArrow(lambda batches: _bytes(batches, refine), f"{_RUN_TYPES}, bytes binary"))
+
+    few = with_bytes(judged.where(f"not whole and kinds <= {SHARD_RUNS}"), False)
+    spans = [stage.save(_in_shards(few))]
+    stage.drop(few)
     release_shuffles(spark)
-    some = rest.where("not many").select("h", "piece", "doc", "at", "bytes").repartition("h").sortWithinPartitions("h", "piece")
-    some = some.mapInArrow(_by_suffixes, "doc long, a long, b long")
-    strings = rest.where("many").select("doc", "at", "bytes").mapInArrow(_strings, "g long, doc long, a long")
-    low = strings.groupBy("g").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-    strings = strings.join(low, "g").where("low < doc").select("doc", "a", (F.col("a") + LENGTH).alias("b")).distinct()
-    spans = whole.unionByName(some).unionByName(strings).unionByName(copies).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    spans = stage.save(spans)
-    stage.drop(rest)
+    refined = with_bytes(judged.where(f"not whole and kinds > {SHARD_RUNS}"), True)
+    finer = _judge(stage, refined)
+    stage.drop(refined)
+    spans += [x.where("whole").select(*_span_of_run()) for x in (judged, finer)]
+    spans.append(_in_shards(finer.where(f"not whole and kinds <= {SHARD_RUNS}")))
+    spans.append(_across_shards(stage, finer.where(f"not whole and kinds > {SHARD_RUNS}")))
+    every = spans[0]
+    for more in spans[1:]:
+        every = every.unionByName(more)
+    found = stage.save(every.groupBy("doc", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     stage.drop(judged)
+    stage.drop(finer)
     release_shuffles(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = rows.join(spans, F.coalesce("id", F.lit(last)) == F.col("doc"), "left").select("id", "text", "spans")
-    out = joined.mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
-    return out.withColumnRenamed("id", id_col)
+    cut = docs.join(found, ["doc", "k"], "left").select("doc", "k", "text", "spans")
+    cut = cut.mapInArrow(_cut, "doc long, k long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    cut = stage.save(cut)
+    gone = copies.withColumn("copy", F.lit(True))
+    sized = rows.select("id", "doc", "k", n_bytes.alias("n_bytes"), F.when(n_bytes < LENGTH, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("own"))
+    out = sized.join(cut, ["doc", "k"], "left").join(gone, ["doc", "k"], "left")
+    whole = F.array(F.array(F.lit(0).cast("long"), "n_bytes"))
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_bytes",
+        F.when(F.col("copy"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("copy"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "own")).alias("kept_sha256"),
+        F.when(F.col("copy"), whole).otherwise(F.coalesce("spans", F.array().cast("array<array<long>>"))).alias("spans"),
+    )

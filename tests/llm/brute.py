@@ -104,6 +104,22 @@ def repeated_strings(rows, length=50):
     return out
 
 
+def repeated_strings_of_rows(rows, length=50):
+    """[(n_bytes, n_removed, n_spans, sha256)] of rows (id, text) with any ids: a null id is after all others."""
+    order = [float("inf") if i is None else i for i, _ in rows]
+    bodies = [(t or "").encode() for _, t in rows]
+    out = []
+    for own, body in zip(order, bodies, strict=True):
+        earlier = {b[k : k + length] for i, b in zip(order, bodies, strict=True) if i < own for k in range(len(b) - length + 1)}
+        gone = [False] * len(body)
+        for k in range(len(body) - length + 1):
+            if body[k : k + length] in earlier:
+                gone[k : k + length] = [True] * length
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((len(body), sum(gone), spans, hashlib.sha256(bytes(b for b, g in zip(body, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
 def line_dedup(rows, width=3):
     """{id: (text, n_lines, n_removed, n_windows_removed)} of rows (id, text) with distinct ids."""
     blank = " \t\n\x0b\x0c\r"

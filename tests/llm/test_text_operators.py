@@ -80,9 +80,10 @@ def test_repeated_strings_on_edges(spark, edges, nothing):
     assert repeats.repeated_strings(spark, nothing).count() == 0
 
 
-@pytest.mark.parametrize("most", [0, 3, 1000])
-def test_repeated_strings_by_suffixes_or_by_hashes(spark, monkeypatch, most):
-    monkeypatch.setattr(repeats, "MOST_KINDS", most)
+@pytest.mark.parametrize("most", [1, 3, 1000])
+def test_repeated_strings_in_and_across_shards(spark, monkeypatch, most):
+    monkeypatch.setattr(repeats, "SHARD_RUNS", most)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", most * 100)
     shared = passage(7, 20)
     rows = [(i, f"{passage(i + 20, 8 + i % 5)} {shared[: 60 + i]} {passage(i + 50, 9)} {shared[20 + i :]}") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -90,6 +91,16 @@ def test_repeated_strings_by_suffixes_or_by_hashes(spark, monkeypatch, most):
     assert out == brute.repeated_strings(rows)
 
 
+@pytest.mark.parametrize("ids", [(1, None, None, None, 5), (7, 7, None, 3, 3)])
+def test_repeated_strings_of_rows_with_equal_or_no_ids(spark, ids):
+    p, q = passage(3, 30)[:120], passage(11, 60)[:300]
+    texts = [p, "zz" + p + "yy", q, q + p, p + q]
+    rows = [(k, i, t) for k, (i, t) in enumerate(zip(ids, texts, strict=True))] * 2
+    df = spark.createDataFrame([r[1:] for r in rows], "doc_id long, text string")
+    out = sorted((repr(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_strings(spark, df).collect())
+    assert out == sorted((repr(i), *v) for (_, i, _), v in zip(rows, brute.repeated_strings_of_rows([r[1:] for r in rows]), strict=True))
+
+
 def test_suffix_array_and_prefixes():
     import numpy as np
 
