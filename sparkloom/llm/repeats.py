@@ -20,6 +20,8 @@ CHUNK_BYTES = 1 << 20
 #: with more is refined by its neighbouring bytes, and what is still larger is cut into several shards.
 SHARD_BYTES = 1 << 20
 SHARD_RUNS = 1 << 12
+#: Runs of each of the shards into which such an anchor is cut.
+CUT_RUNS = 1 << 9
 #: Of the LENGTH - ANCHOR bytes of a string outside its anchor, at least SIDE lie after it or more than SIDE before it.
 SIDE = (LENGTH - ANCHOR) // 2
 _PLACE = np.uint64((1 << 24) - 1)
@@ -451,7 +453,7 @@ def _across_shards(stage: Stage, runs_: DataFrame) -> DataFrame:
     The shards' different strings are merged by string; those that a smaller document has go back to the shards that
     also have them, which look them up in their suffix arrays by binary search.
     """
-    part = F.pmod(F.xxhash64("doc", "k", "at"), F.ceil(F.col("kinds") / SHARD_RUNS)).cast("long")
+    part = F.pmod(F.xxhash64("doc", "k", "at"), F.ceil(F.col("kinds") / min(SHARD_RUNS, CUT_RUNS))).cast("long")
     runs_ = runs_.select("h", part.alias("part"), F.lit(1).alias("kind"), "doc", "k", "at", "bytes")
     dealt = runs_.select("h", "part", "doc", "bytes").repartition("h", "part").sortWithinPartitions("h", "part")
     strings = stage.save(dealt.mapInArrow(_shard_strings, "h long, part long, low long, high long, bytes binary"))
@@ -498,7 +500,8 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     docs = stage.save_dealt(once, ["doc", "k"])
     release_shuffles(spark)
     anchors = stage.save(docs.mapInArrow(_anchors, "h long, doc long, k long"))
-    known = anchors.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h")
+    known = stage.save(anchors.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h"))
+    release_shuffles(spark)
     shared = stage.save(anchors.join(known.hint("shuffle_hash"), "h", "left_semi"))
     stage.drop(anchors)
     release_shuffles(spark)
