@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components, forest
 from .shingles import mix, shingle_sets
-from .store import Stage
+from .store import Stage, release_shuffles
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
@@ -20,7 +20,9 @@ BITS = 4
 WORDS = HASHES * BITS // 64
 #: Standard errors of the estimate below the threshold at which a candidate is still confirmed exactly.
 MARGIN = 5.0
-#: Members of a family that meet in one task, from each of two blocks, where the pivot alone does not settle it.
+#: Rounds in which each bucket that still spans several components tries another pivot.
+ROUNDS = 4
+#: Members of a bucket that meet in one task, from each of two blocks, where no pivot settles it.
 BLOCK = 256
 #: Members that are confirmed against one copy of a pivot's text.
 PER_PIVOT = 64
@@ -29,6 +31,7 @@ _RNG = np.random.default_rng(2)
 _A = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _SIGNATURE = [f"s{i}" for i in range(WORDS)]
+_SET = ["set_a", "set_b"]
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -49,16 +52,16 @@ def pack(signature: np.ndarray) -> np.ndarray:
 def _sign(batches, shingle: int):
     odd = mix(np.arange(7, 7 + HASHES, dtype=np.uint64)) | np.uint64(1)
     bands_of = np.arange(BANDS, dtype=np.uint64)
-    names = ["id", "text_key", "n_shingles", "node", *_SIGNATURE, "bands"]
+    names = ["id", "text_key", "n_shingles", *_SET, *_SIGNATURE, "bands"]
     for batch in batches:
         n_rows = batch.num_rows
-        sizes, nodes = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.uint64)
+        sizes, whole = np.zeros(n_rows, np.int64), np.zeros((n_rows, 2), np.int64)
         packed, bands = np.zeros((n_rows, WORDS), np.uint64), np.zeros((n_rows, BANDS), np.uint64)
         texts = batch.column(2).cast(pa.binary()).to_pylist()
         for i, hashes in enumerate(shingle_sets(texts, shingle)):
             sizes[i] = len(hashes)
             if len(hashes):
-                nodes[i] = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little")
+                whole[i] = np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), np.int64)
                 least = minima(hashes)
                 packed[i] = pack(least)
                 bands[i] = (least.astype(np.uint64) * odd).reshape(BANDS, ROWS).sum(axis=1)
@@ -69,7 +72,7 @@ def _sign(batches, shingle: int):
             batch.column(0),
             batch.column(1),
             pa.array(sizes),
-            pa.array(nodes.view(np.int64), mask=sizes == 0),
+            *[pa.array(whole[:, k].copy(), mask=sizes == 0) for k in (0, 1)],
             *[pa.array(packed[:, j].copy().view(np.int64)) for j in range(WORDS)],
             pa.ListArray.from_arrays(offsets, flat),
         ]
@@ -77,9 +80,9 @@ def _sign(batches, shingle: int):
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id, text_key, n_shingles, node, s0.., bands``: ``node`` is a 64-bit hash of the whole set, null if empty."""
+    """``id, text_key, n_shingles, set_a, set_b, s0.., bands``: a hash of 128 bits of the whole set, null if empty."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, text_key long, n_shingles long, node long, " + "".join(f"{s} long, " for s in _SIGNATURE) + "bands array<long>"
+    schema = "id long, text_key long, n_shingles long, set_a long, set_b long, " + "".join(f"{s} long, " for s in _SIGNATURE) + "bands array<long>"
     return rows.mapInArrow(lambda batches: _sign(batches, shingle), schema)
 
 
@@ -126,11 +129,11 @@ def _confirm(batches, shingle: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
-def confirm_pairs(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of nodes whose full shingle sets reach the threshold.
+def confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose full shingle sets reach the threshold; ``texts`` has ``node, text``.
 
     Members are dealt to (pivot, part) groups of about PER_PIVOT with one copy of the pivot's text each, so a pivot of
-    thousands is spread, and texts are shuffled only for rows that a pair names.
+    thousands is spread, and texts are taken only for rows that a pair names.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_PIVOT).cast("int").alias("parts"))
     members = pairs.join(parts, "a").select(
@@ -139,92 +142,119 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle:
     pivots = parts.select(
         F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node")
     )
-    wanted = members.unionByName(pivots).join(reps, "node")
-    rows = _texts(wanted, texts, ["pivot", "part", "role", "node"])
+    rows = members.unionByName(pivots).join(texts, "node").select("pivot", "part", "role", "node", "text")
     dealt = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role")
     return dealt.mapInArrow(lambda batches: _confirm(batches, shingle, percent), "a long, b long").distinct()
 
 
+def _texts_of(stage: Stage, df: DataFrame, signed: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, text`` of the nodes ``node, id, text_key``, one row each, dealt by node so that later joins don't move them."""
+    again = stage.save(signed.groupBy("id", "text_key").count().where("count > 1").select(F.col("id").alias("i"), F.col("text_key").alias("k")))
+    same = F.col("w.id").eqNullSafe(F.col("t.id")) & (F.col("w.text_key") == F.col("t.text_key"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    known = F.col("id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k"))
+    once, several = wanted.join(again, known, "left_anti"), wanted.join(again, known, "left_semi")
+    rows = once.alias("w").join(texts.alias("t"), same).select("node", "text")
+    more = several.alias("w").join(texts.alias("t"), same).select("node", "text").dropDuplicates(["node"])
+    return stage.save_dealt(rows.unionByName(more), ["node"])
+
+
+def _relabel(stage: Stage, labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, component`` after the links ``a, b`` joined some of the components."""
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
+    bridges = links.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b")
+    merged = connected_components(stage, bridges).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    return stage.save(labels.join(merged, "component", "left").select("node", F.coalesce("final", "component").alias("component")))
+
+
+def _open(stage: Stage, shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """``bucket, node, component`` of the buckets that span several components."""
+    labelled = shared.select("bucket", "node").join(labels, "node")
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    return stage.save(labelled.join(several, "bucket").select("bucket", "node", "component"))
+
+
 def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``id_col, text_key, n_shingles, component_id, kept`` for every row of ``df``.
 
     Two documents link if 100 * intersection >= percent * union of their sets of ``shingle``-word shingles (ASCII
-    lower case). Documents with equal sets form a class, one node. Nodes that agree in a band of minima are candidates:
-    first each with its bucket's smallest node, the pivot, then, where a pivot's family still spans several components,
-    blocks of its members with each other. Those whose b-bit estimate is within reach are confirmed on full sets; the
-    second step gives out spanning forests, not pairs.
+    lower case). Documents with equal sets (by a hash of 128 bits) form a class, one node. Nodes that agree in a band of
+    minima are candidates. In each of up to ROUNDS rounds every bucket that spans several components tries one of its
+    nodes, the pivot, with all others of other components, so a dense family of any size settles in few rounds. What is
+    left is searched in full: buckets above BLOCK nodes are split by a second band first (a pair above the threshold
+    that shares one band only is less likely than 1e-6), and their members meet in blocks. Candidates whose b-bit
+    estimate is within reach are confirmed on full sets; the last step gives out spanning forests, not pairs.
     ``component_id`` is the smallest id reachable by links, ``kept`` whether the row has it. Texts that are null or
     without words have no shingles and only reach themselves. Rows with equal ids are rows of their own; equal rows get
-    equal results; a null id counts only where its component has no other. Other columns are not looked at.
+    equal results; a null id counts only where its component has no other. An empty table gives an empty result; very
+    long texts are read in one task each, their sets never meet in the driver. Other columns are not looked at.
     """
     stage = Stage(spark, "minhash")
     signed = stage.save(signatures(df, id_col, text_col, shingle))
-    classes = stage.save(
-        signed.where("node is not null").groupBy("node").agg(
-            F.min(F.struct("id", "text_key")).alias("rep"),
-            F.min("id").alias("least_id"),
-            *[F.first(c).alias(c) for c in ("n_shingles", *_SIGNATURE, "bands")],
-        )
+    classes = signed.where("set_a is not null").groupBy(*_SET).agg(
+        F.min(F.struct("id", "text_key")).alias("rep"),
+        F.min("id").alias("least_id"),
+        *[F.first(c).alias(c) for c in ("n_shingles", *_SIGNATURE, "bands")],
     )
-    reps = classes.select("node", F.col("rep.id").alias("id"), F.col("rep.text_key").alias("text_key"))
+    classes = stage.save(classes.withColumn("node", F.monotonically_increasing_id()))
     sketch = classes.select("node", "n_shingles", *_SIGNATURE)
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     entries = classes.select(F.explode("bands").alias("bucket"), "node")
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    # only nodes of shared buckets go on
-    shared = entries.join(buckets, "bucket")
-    stars = stage.save(shared.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    tried = stage.save(_within_reach(stars, sketch, percent))
-    links = stage.save(confirm_pairs(tried, texts, reps, shingle, percent))
-    found = stage.save(connected_components(stage, links))
-    # a bucket is part of its pivot's family; families that still span several components are searched in full
-    family = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node"))
-    own, other = (found.select(F.col("node").alias(k), F.col("component").alias(f"of_{k}")) for k in ("node", "pivot"))
-    family = family.join(own, "node", "left").join(other, "pivot", "left").select(
-        "pivot", "node", F.coalesce("of_node", "node").alias("component"),
-        (F.coalesce("of_node", "node") == F.coalesce("of_pivot", "pivot")).alias("near"),
+    several = entries.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = stage.save(entries.join(several, "bucket"))
+    wanted = classes.select("node", F.col("rep.id").alias("id"), F.col("rep.text_key").alias("text_key")).join(shared.select("node").distinct(), "node")
+    texts = _texts_of(stage, df, signed, wanted, id_col, text_col)
+    release_shuffles(spark)
+    labels = classes.select("node", F.col("node").alias("component"))
+    left = shared.withColumn("component", F.col("node"))
+    for i in range(ROUNDS):
+        pivots = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "component")).alias("p"))
+        stars = left.join(pivots, "bucket").where("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        links = stage.save(confirm_pairs(stage.save(_within_reach(stars, sketch, percent)), texts, shingle, percent))
+        labels = _relabel(stage, labels, links)
+        left = _open(stage, left, labels)
+        if left.isEmpty():
+            break
+    else:
+        labels = _relabel(stage, labels, _rest(stage, left, classes, sketch, texts, shingle, percent))
+    smallest = classes.select("node", "least_id").join(labels, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_set = classes.select("node", *_SET).join(labels, "node").join(smallest, "component").select(*_SET, "component_id")
+    of_set = stage.save(of_set)
+    stage.drop(texts)
+    out = signed.select("id", "text_key", "n_shingles", *_SET).join(of_set, _SET, "left")
+    component = F.when(F.col("set_a").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(
+        F.col("id").alias(id_col), "text_key", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
     )
+
+
+def _rest(stage: Stage, left: DataFrame, classes: DataFrame, sketch: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that span those between the components of each bucket ``bucket, node, component``."""
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("size"))
+    sized = left.join(sizes, "bucket")
+    small = sized.where(F.col("size") <= BLOCK).select(F.col("bucket").alias("pivot"), "node", "component")
+    bands = classes.select("node", F.explode("bands").alias("other"))
+    large = sized.where(F.col("size") > BLOCK).join(bands, "node").where("bucket <> other")
+    # both bands in one key; the order does not matter, so a pair of bands is one group
+    split = large.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("pivot"), "node", "component").distinct()
+    groups = small.unionByName(split)
+    spread = groups.groupBy("pivot").agg(F.mode("component").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    family = groups.join(spread, "pivot").select("pivot", "node", "component", (F.col("component") == F.col("most")).alias("near"))
     family = stage.save(family)
     sketched = _deal(family, "node").join(sketch, "node").select("pivot", "x", "y", "side", "node", "component", "n_shingles", *_SIGNATURE)
     sketched = sketched.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
     hopeful = sketched.mapInArrow(lambda batches: _hopeful(batches, percent), "pivot long, node long").distinct()
     hopeful = stage.save(family.join(hopeful, ["pivot", "node"]))
-    worded = _texts(_deal(hopeful, "node").join(reps, "node"), texts, ["pivot", "x", "y", "side", "node", "component"])
+    worded = _deal(hopeful, "node").join(texts, "node").select("pivot", "x", "y", "side", "node", "component", "text")
     worded = worded.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
-    more_links = stage.save(worded.mapInArrow(lambda batches: _confirm_blocks(batches, shingle, percent), "a long, b long").distinct())
-    bridged = more_links.alias("m")
-    for side in ("a", "b"):
-        at = found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-        bridged = bridged.join(at, side, "left")
-    bridged = bridged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    merged = connected_components(stage, bridged).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    at_last = (
-        classes.select("node", "least_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        .join(merged, "component", "left").select("node", "least_id", F.coalesce("final", "component").alias("component"))
-    )
-    at_last = stage.save(at_last)
-    smallest = at_last.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_node = at_last.join(smallest, "component").select("node", "component_id")
-    out = signed.select("id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(
-        F.col("id").alias(id_col), "text_key", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept")
-    )
-
-
-def _texts(wanted: DataFrame, texts: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` and ``text`` of rows that name a document by ``id`` and ``text_key``."""
-    joined = wanted.alias("w").join(
-        texts.alias("t"), F.col("w.id").eqNullSafe(F.col("t.id")) & (F.col("w.text_key") == F.col("t.text_key"))
-    )
-    return joined.select(*[F.col(f"w.{c}") for c in columns], "text")
+    return stage.save(worded.mapInArrow(lambda batches: _confirm_blocks(batches, shingle, percent), "a long, b long").distinct())
 
 
 def _deal(family: DataFrame, node: str) -> DataFrame:
     """Members of families dealt to pairs of blocks ``x <= y`` of about BLOCK members, ``side`` 1 for those of y alone.
 
-    The pivot has met everyone. Members near it share its component and need not meet each other, so at least one block
-    of a pair holds members that are not. A family of m members with few of these costs about m rows.
+    Near members share one component and need not meet each other, so at least one block of a pair holds members that
+    are not. A family of m members with few of these costs about m rows.
     """
     sizes = family.groupBy("pivot").agg(
         F.count(F.when(F.col("near"), 1)).alias("n_near"), F.count(F.when(~F.col("near"), 1)).alias("n_far")
@@ -343,8 +373,12 @@ def _within_reach(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, df: DataFrame, **how) -> DataFrame:
-    """``df`` with one document of each group of near-duplicates: that with the smallest id."""
+    """``df`` with one document of each group of near-duplicates: that with the smallest id.
+
+    Texts without words, null ones too, are in no group and stay; equal rows with that id all stay; a null id stays
+    where its group has no other. Columns keep their names and order, whatever they are. An empty table stays empty.
+    """
     id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    kept = near_duplicates(spark, df, **how).where("kept").select(F.col(id_col).alias("_mh_id"), F.col("text_key").alias("_mh_key")).distinct()
-    rows = df.withColumn("_mh_text", F.xxhash64(text_col))
-    return rows.join(kept, F.col(id_col).eqNullSafe(F.col("_mh_id")) & (F.col("_mh_text") == F.col("_mh_key")), "left_semi").drop("_mh_text")
+    kept = near_duplicates(spark, df, **how).where("kept").select(F.col(id_col).alias("_mh_id"), F.col("text_key").alias("_mh_key")).distinct().alias("k")
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("k._mh_id")) & (F.xxhash64(f"d.{text_col}") == F.col("k._mh_key"))
+    return df.alias("d").join(kept, same, "left_semi")
