@@ -1,69 +1,73 @@
-"""Ordered folds whose state is bounded: budgets, interacting caps, score bumps, conflicts."""
+"""Ordered folds whose state is bounded: budgets, score bumps, conflicts."""
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..store import Stage
+
+
+#: Rows of a group that one round of a fold looks at.
+LOOKED_AT = 256
 
-def fill_budget(df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:
-    """``keys, item, cost, place, admitted``: in order, an item is admitted if it still fits, else skipped; later ones may fit.
 
-    Every row of a group is tried. The rows stream past in order, so the fold holds a number and not the group; an item
-    without a cost is not admitted.
+def placed(stage: Stage, df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``place``, the number of each row in its group in order; a hot group is spread over many tasks.
+
+    The rows are dealt by range of (keys, order) and sorted; the rows of a group before a task's are counted by task.
     """
-    sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    rows = sorted_rows.select(*keys, F.col(item).alias(item), F.col(cost).cast("long").alias(cost))
-    schema = T.StructType([*rows.schema.fields, T.StructField("place", T.IntegerType()), T.StructField("admitted", T.BooleanType())])
-
-    def fold(batches):
-        group, used, place = None, 0, 0
-        for batch in batches:
-            places, admitted = [], []
-            for *own, c in zip(*[batch.column(k).to_pylist() for k in range(len(keys))], batch.column(len(keys) + 1).to_pylist(), strict=True):
-                if own != group:
-                    group, used, place = own, 0, 0
-                fits = c is not None and used + c <= budget
-                used, place = used + c if fits else used, place + 1
-                places.append(place)
-                admitted.append(fits)
-            made = [pa.array(places, pa.int32()), pa.array(admitted, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "place", "admitted"])
-
-    return rows.mapInArrow(fold, schema)
-
-
-def interacting_caps(spark: SparkSession, df: DataFrame, order: str, caps: dict[str, int], total: int, *, block: int = 10_000) -> DataFrame:
-    """The rows kept when rows are taken by the unique column ``order`` under caps by column and in all; only kept rows count.
-
-    The state is at most ``total`` rows, the answer too. Rows come to the driver in blocks of ``block``; before each,
-    rows of values that are full already are filtered out where they are stored, so no block is spent on them.
+    rows = df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*keys, *order)
+    rows = stage.save(rows.withColumns({"_task": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    w = Window.partitionBy(*keys).orderBy("_task")
+    tasks = rows.groupBy(*keys, "_task").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    starts = tasks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_task").alias("_t"), "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    same = F.col("_task") == F.col("_t")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = rows.join(starts, same)
+    return out.select(*df.columns, (F.col("_before") + F.col("_row") - F.col("_first") + 1).cast("int").alias("place"))
+
+
+def fill_budget(spark: SparkSession, df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:
+    """``keys, item, cost, place, admitted``: in order, an item is admitted if it still fits, else skipped; later ones may fit.
+
+    Every row of a group is tried, in rounds: what is left of a group's budget only shrinks, so a row above it is out
+    for good. A round takes the next LOOKED_AT rows of each group that are not, and folds them; it admits the first of
+    them at least. Rows without a cost are not admitted, those of no cost always. Groups are never in one task whole.
     """
-    counts: dict[str, Counter] = {c: Counter() for c in caps}
-    kept: list = []
-    rest, after = df.select(order, *caps), None
-    while len(kept) < total:
-        todo = rest if after is None else rest.where(F.col(order) > F.lit(after))
-        for c, cap in caps.items():
-            full = [v for v, n in counts[c].items() if n >= cap]
-            if full:
-                todo = todo.where(~F.coalesce(F.col(c), F.lit("unknown")).isin(full))
-        rows = todo.orderBy(order).limit(block).collect()
-        for r in rows:
-            values = {c: "unknown" if r[c] is None else r[c] for c in caps}
-            if len(kept) < total and all(counts[c][v] < caps[c] for c, v in values.items()):
-                kept.append((r[order], len(kept) + 1))
-                for c, v in values.items():
-                    counts[c][v] += 1
-        if len(rows) < block:
+    stage = Stage(spark, "budget")
+    rows = placed(stage, df.withColumn(cost, F.col(cost).cast("long")), keys, order)
+    rows = stage.save(rows.select(*keys, item, cost, "place"))
+    group = F.struct(*[F.col(k) for k in keys])  # null is a key like others
+    live = rows.where((F.col(cost) > 0) & (F.col(cost) <= budget)).select(group.alias("_g"), "place", F.col(cost).alias("_c"))
+    state = stage.save(live.select("_g", F.lit(0).cast("long").alias("_used"), F.lit(0).alias("_after")).distinct())
+    admitted = None
+    while True:
+        open_ = live.join(state, "_g").where((F.col("place") > F.col("_after")) & (F.col("_used") + F.col("_c") <= budget))
+        w = Window.partitionBy("_g").orderBy("place")
+        block = open_.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= LOOKED_AT)
+        start = F.struct(F.col("_used").alias("used"), F.array().cast("array<int>").alias("took"))
+
+        def step(acc: Column, x: Column) -> Column:
+            fits = acc["used"] + x["_c"] <= budget
+            took = F.struct((acc["used"] + x["_c"]).alias("used"), F.concat(acc["took"], F.array(x["place"])).alias("took"))
+            return F.when(fits, took).otherwise(acc)
+
+        lists = block.groupBy("_g", "_used").agg(F.sort_array(F.collect_list(F.struct("place", "_c"))).alias("_rows"))
+        folded = lists.withColumn("_x", F.aggregate("_rows", start, step))
+        folded = stage.save(folded.select("_g", F.col("_x.used").alias("_used"), F.col("_x.took").alias("_took"), F.element_at("_rows", -1)["place"].alias("_after")))
+        if folded.isEmpty():
             break
-        after = rows[-1][order]
-    kind = dict(df.dtypes)[order]
-    return df.join(F.broadcast(spark.createDataFrame(kept, f"{order} {kind}, kept_as long")), order)
+        took = folded.select("_g", F.explode("_took").alias("place"))
+        admitted = took if admitted is None else admitted.unionByName(took)
+        state = folded.select("_g", "_used", "_after")
+    free = F.coalesce(F.col(cost) <= 0, F.lit(False))
+    if admitted is None:
+        return rows.withColumn("admitted", free)
+    hit = admitted.withColumn("_hit", F.lit(True))
+    out = rows.withColumn("_g", group).join(hit, ["_g", "place"], "left")
+    return out.select(*keys, item, cost, "place", (free | F.coalesce("_hit", F.lit(False))).alias("admitted"))
 
 
 def merge_scores(df: DataFrame, keys: list[str], score: str, explicit: str) -> DataFrame:

@@ -1,61 +1,106 @@
-"""Reachability, cycles, components and walks on edge tables."""
+"""Reachability, cycles, components, walks and bounded traversals on edge tables."""
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import Written
+from ..store import Stage
+
+#: Rounds after which the known rows of a reachability are written as one table again.
+MERGED = 8
 
 
-def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, source: str, target: str, *, most_rounds: int = 1000) -> DataFrame:
+def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, source: str, target: str) -> DataFrame:
     """``seed, node, depth`` of all nodes that edges lead to from each seed (a column ``seed``), the seed only by a cycle.
 
-    Each round joins the newest nodes with the edges and drops what is known; rounds are written tables.
+    Each round joins the newest nodes with the edges and drops what is known, until there is nothing new. Rounds are
+    written tables, and those of several rounds are merged, so no round reads many.
     """
-    written = Written(spark, "reach")
-    steps = written.save(edges.select(F.col(source).alias("_from"), F.col(target).alias("node")).distinct())
+    stage = Stage(spark, "reach")
+    steps = stage.save(edges.select(F.col(source).alias("_from"), F.col(target).alias("node")).distinct())
     new = seeds.select("seed").distinct().join(steps, F.col("seed") == F.col("_from")).select("seed", "node", F.lit(1).alias("depth"))
-    new = written.save(new.distinct())
-    known = new
-    for depth in range(2, most_rounds + 1):
+    new = stage.save(new.distinct())
+    known, depth = new, 1
+    while not new.isEmpty():
+        depth += 1
         grown = new.join(steps.withColumnRenamed("node", "_to"), F.col("node") == F.col("_from")).select("seed", F.col("_to").alias("node")).distinct()
-        new = written.save(grown.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            break
+        new = stage.save(grown.join(known, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         known = known.unionByName(new)
+        if depth % MERGED == 0:
+            known = stage.save(known)
     return known
 
 
-def cycles(spark: SparkSession, edges: DataFrame, source: str, target: str, *, most_nodes: int = 8) -> DataFrame:
-    """``path``: each simple cycle of up to ``most_nodes`` nodes once, starting at its smallest node and ending before it.
+def cycles(spark: SparkSession, edges: DataFrame, source: str, target: str, *, most_nodes: int | None = None) -> DataFrame:
+    """``path``: each simple cycle once, starting at its smallest node and ending before it.
 
     Paths grow by joins and only through nodes above their start, so a cycle is found in one rotation. Their number is
-    exponential in the graph; the length is the bound that the caller sets.
+    exponential in the graph; a caller who wants no cycles longer than ``most_nodes`` says so, else all are found.
     """
-    written = Written(spark, "cycles")
-    steps = written.save(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct())
+    stage = Stage(spark, "cycles")
+    steps = stage.save(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct())
     found = steps.where("_from = _to").select(F.array("_from").alias("path"))
-    paths = steps.where("_from < _to").select(F.array("_from", "_to").alias("path"))
-    for _ in range(2, most_nodes + 1):
-        paths = written.save(paths)
+    paths = stage.save(steps.where("_from < _to").select(F.array("_from", "_to").alias("path")))
+    length = 2
+    while (most_nodes is None or length <= most_nodes) and not paths.isEmpty():
         ended = paths.join(steps, (F.element_at("path", -1) == F.col("_from")) & (F.element_at("path", 1) == F.col("_to"))).select("path")
         found = found.unionByName(ended)
         grown = paths.join(steps, F.element_at("path", -1) == F.col("_from")).where((F.col("_to") > F.element_at("path", 1)) & ~F.array_contains("path", F.col("_to")))
-        paths = grown.select(F.concat("path", F.array("_to")).alias("path"))
+        paths = stage.save(grown.select(F.concat("path", F.array("_to")).alias("path")))
+        length += 1
     return found
 
 
+def _size(edges: DataFrame) -> int:
+    return edges.count()
+
+
 def strong_components(spark: SparkSession, edges: DataFrame, source: str, target: str) -> DataFrame:
     """``node, component``: nodes that reach each other share the smallest of them; components of one node are left out.
 
-    From the closure, so it is for graphs whose closure is a sensible table (modules, types, services).
+    By colouring: edges whose ends lack an edge in or out are trimmed until none is left; every node takes the smallest
+    node that leads to it; of each colour, the nodes that lead back to it within the colour are its component. They
+    leave, and the rest goes on. The tables never exceed the edges.
     """
-    nodes = edges.select(F.col(source).alias("seed")).union(edges.select(F.col(target).alias("seed"))).distinct()
-    reach = reachable(spark, edges, nodes, source, target).select("seed", "node")
-    back = reach.select(F.col("node").alias("seed"), F.col("seed").alias("node"))
-    both = reach.join(back, ["seed", "node"]).where("seed <> node")
-    return both.groupBy(F.col("seed").alias("node")).agg(F.min(both["node"]).alias("_least")).select("node", F.least("node", "_least").alias("component"))
+    stage = Stage(spark, "scc")
+    live = stage.save(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a <> b").distinct())
+    found = live.select(F.col("a").alias("node"), F.col("a").alias("component")).where("false")
+    left = _size(live)
+    while left:
+        while True:  # trim
+            kept = live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+            live, before = stage.save(kept.select("a", "b")), left
+            left = _size(live)
+            if left == before:
+                break
+        if not left:
+            break
+        colour = stage.save(live.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            offered = live.join(colour, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "colour")
+            new = stage.save(colour.unionByName(offered).groupBy("node").agg(F.min("colour").alias("colour")))
+            changed = not new.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            colour = new
+            if not changed:
+                break
+        inside = live.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("c")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("d")), "b")
+        inside = stage.save(inside.where("c = d").select("a", "b", "c"))
+        back = stage.save(colour.where("node = colour").select("node", "colour"))
+        newest = back
+        while not newest.isEmpty():
+            grown = inside.join(newest, (F.col("b") == F.col("node")) & (F.col("c") == F.col("colour"))).select(F.col("a").alias("node"), "colour").distinct()
+            newest = stage.save(grown.join(back, ["node", "colour"], "left_anti"))
+            back = stage.save(back.unionByName(newest))
+        found = found.unionByName(back.select("node", F.col("colour").alias("component")))
+        gone = back.select("node")
+        live = stage.save(live.join(gone, F.col("a") == F.col("node"), "left_anti").join(gone, F.col("b") == F.col("node"), "left_anti"))
+        left = _size(live)
+    several = found.groupBy("component").count().where("count > 1").select("component")
+    return found.join(several, "component", "left_semi").select("node", "component")
 
 
 def connectivity(nodes: DataFrame, edges: DataFrame, node: str, source: str, target: str) -> DataFrame:
@@ -70,12 +115,66 @@ def connectivity(nodes: DataFrame, edges: DataFrame, node: str, source: str, tar
 
 def best_walk(spark: SparkSession, edges: DataFrame, starts: DataFrame, source: str, target: str, score: str, *, most_steps: int = 20) -> DataFrame:
     """``seed, step, node``: from each seed always the best successor (highest score, then smallest), until a repeat."""
-    written = Written(spark, "walk")
-    w = Window.partitionBy(source).orderBy(F.desc(score), target)
-    best = written.save(edges.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(F.col(source).alias("_from"), F.col(target).alias("_to")))
+    stage = Stage(spark, "walk")
+    best = edges.groupBy(F.col(source).alias("_from")).agg(F.min(F.struct((-F.col(score)).alias("_s"), F.col(target).alias("_to"))).alias("_x"))
+    best = stage.save(best.select("_from", "_x._to"))
     at = starts.select("seed", F.array("seed").alias("path"))
     for _ in range(most_steps - 1):
         at = at.join(best, F.element_at("path", -1) == F.col("_from"), "left")
         go = F.col("_to").isNotNull() & ~F.array_contains("path", F.col("_to"))
         at = at.select("seed", F.when(F.coalesce(go, F.lit(False)), F.concat("path", F.array("_to"))).otherwise(F.col("path")).alias("path"))
     return at.select("seed", F.posexplode("path").alias("step", "node"))
+
+
+def traverse(edges: DataFrame, seeds: DataFrame, *, max_depth: int = 2, max_files: int = 40, max_edges: int = 100, max_cost: float = 100.0) -> DataFrame:
+    """``seed, place, node, depth, n_edges, cost, stop``: the nodes that a best-first traversal visits from each seed, in order.
+
+    ``edges``: source, target, rank (smaller first), cost, ord (the order of a node's edges). From the frontier the node
+    of least (rank, cost, depth, name) is visited next, its edges are taken in order, and a node in the frontier keeps
+    its better key. ``stop`` names the cap that ended the traversal: files, edges or cost; null if the frontier ran dry.
+    At most ``max_edges`` edges are taken in all, so no more than that of a node are read, and a seed's neighbourhood to
+    ``max_depth``, which one task takes, is bounded by the caps.
+    """
+    own = Window.partitionBy("source").orderBy("ord", "target")
+    steps = edges.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= max_edges + 1)
+    at = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
+    kind = at.schema["seed"].dataType.simpleString()
+    around = None
+    for _ in range(max_depth):
+        found = at.join(steps, F.col("node") == F.col("source")).select("seed", "source", "target", "rank", "cost", "_n")
+        around = found if around is None else around.unionByName(found)
+        at = found.select("seed", F.col("target").alias("node")).distinct()
+    start = seeds.select("seed", F.col("seed").alias("source"), F.lit(None).cast(kind).alias("target"), F.lit(0).alias("rank"), F.lit(0.0).alias("cost"), F.lit(0).alias("_n"))
+    every = start.distinct() if around is None else start.distinct().unionByName(around.distinct())
+    every = every.select("seed", "source", "target", F.col("rank").cast("long").alias("rank"), F.col("cost").cast("double").alias("cost"), "_n")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        seed = pdf["seed"].iloc[0]
+        real = pdf[pdf["_n"] > 0].sort_values(["source", "_n"])
+        out = {k: list(zip(g["target"], g["rank"], g["cost"], strict=True)) for k, g in real.groupby("source", sort=False)}
+        frontier, seen, rows = [(-1, 0.0, 0, seed)], set(), []
+        n_edges, cost, stop = 0, 0.0, None
+        while frontier and stop is None:
+            _, _, depth, node = heapq.heappop(frontier)
+            if node in seen:
+                continue
+            if len(seen) >= max_files:
+                stop = "files"
+                break
+            seen.add(node)
+            rows.append((node, depth))
+            for target, rank, price in out.get(node, []) if depth < max_depth else []:
+                if n_edges >= max_edges:
+                    stop = "edges"
+                elif cost + price > max_cost:
+                    stop = "cost"
+                else:
+                    n_edges, cost = n_edges + 1, cost + price
+                    heapq.heappush(frontier, (rank, price, depth + 1, target))
+                    stop = "edges" if n_edges >= max_edges else None
+                if stop:
+                    break
+        made = [(seed, i + 1, node, depth, n_edges, cost, stop) for i, (node, depth) in enumerate(rows)]
+        return pd.DataFrame(made, columns=["seed", "place", "node", "depth", "n_edges", "cost", "stop"])
+
+    return every.groupBy("seed").applyInPandas(walk, f"seed {kind}, place long, node {kind}, depth long, n_edges long, cost double, stop string")

@@ -25,9 +25,8 @@ def bounded(df: DataFrame, keys: list[str], order: list[Column], k: int) -> tupl
 
 def best_or_ambiguous(df: DataFrame, keys: list[str], score: str, name: str) -> DataFrame:
     """One row a key: the highest score and, if only one candidate has it, that candidate; else null and ``ambiguous``."""
-    best = df.groupBy(*keys).agg(F.max(score).alias("_best"))
-    hits = df.join(best, keys).where(F.col(score) == F.col("_best"))
-    out = hits.groupBy(*keys).agg(F.max("_best").alias(score), F.count("*").alias("ties"), F.min(name).alias("_name"))
+    by_score = df.groupBy(*keys, score).agg(F.count("*").alias("ties"), F.min(name).alias("_name"))
+    out = by_score.groupBy(*keys).agg(F.max(F.struct(score, "ties", "_name")).alias("_b")).select(*keys, F.col(f"_b.{score}").alias(score), "_b.ties", "_b._name")
     return out.select(*keys, score, "ties", F.when(F.col("ties") == 1, F.col("_name")).alias(name), (F.col("ties") > 1).alias("ambiguous"))
 
 

@@ -1,11 +1,8 @@
-"""Written tables between steps, snapshots by time, and tables of files."""
+"""Snapshots by time, and tables of files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates
@@ -14,24 +11,6 @@ from ..functions import predicates
 MOST_BYTES = 2 << 20
 
 
-class Written:
-    """Tables in the session's shared checkpoint folder (a folder of our own only where none is set)."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="sparkloom-")
-            spark.conf.set("spark.checkpoint.dir", folder)
-        self.root = f"{folder.rstrip('/')}/sparkloom/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self._n += 1
-        df.write.parquet(f"{self.root}/{self._n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self._n}")
-
-
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """``path, size, modified, is_test, is_generated, folder_role, language`` of all files below ``root``; contents stay unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -61,6 +40,22 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("snapshot") == newest)
 
 
+def synthetic_relationships(spark: SparkSession, n: int) -> DataFrame:
+    """Relationships for scale tests, a function of their number only."""
+    i = F.col("id")
+    return spark.range(n).select(
+        i.alias("row"), F.format_string("src/source_%05d.py", i).alias("source_path"), F.format_string("src/target_%03d.py", i % 97).alias("target_path"),
+        F.format_string("/route/%d", i % 251).alias("route_path"), F.format_string("handler_%d", i % 89).alias("handler"), F.when(i % 3 == 0, "medium").otherwise("high").alias("confidence"),
+    )
+
+
+def synthetic_counts(files: Column) -> dict[str, Column]:
+    """What a synthetic repository of so many files has."""
+    candidates = F.ceil(files / 5).cast("long")
+    edges = (F.greatest(files - 1, F.lit(0)) + F.floor(files / 2)).cast("long")
+    return {"candidates": candidates, "edges": edges, "relationships": files * 2 + edges, "context_tokens": files * 6 + candidates * 12}
+
+
 def synthetic_facts(spark: SparkSession, n: int) -> DataFrame:
     """Rows for scale tests, a function of their number only."""
     i = F.col("id")

@@ -20,25 +20,38 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, *, late: str = "2
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else stream.dropDuplicates(keys)
 
 
-def apply_changes(spark, known_path: str, changes_path: str, key: str, fingerprint: str):
-    """A ``foreachBatch`` function: compares a batch with what is known, appends the changes, then the new state.
+def apply_changes(spark, known_path: str, changes_path: str, key: str, fingerprint: str, order: str | None = None):
+    """A ``foreachBatch`` function: compares a batch with what is known, writes the changes, then the new state.
 
-    The state is the newest fingerprint of each key in a table of versions; a batch run twice writes its version again.
+    Of several rows of a key in a batch the one with the greatest ``order`` counts (without one, the greatest
+    fingerprint). The state is one row a key, a table for each batch; a batch that runs twice starts from the state
+    before it and writes the same again. States older than the one before are deleted.
     """
+    jvm = spark.sparkContext._jvm
+
+    def folder(path: str):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def earlier(number: int) -> list[int]:
+        where, files = folder(known_path)
+        if not files.exists(where):
+            return []
+        names = [f.getPath().getName() for f in files.listStatus(where)]
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version=") and int(n.removeprefix("version=")) < number)
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        try:
-            versions = spark.read.parquet(known_path).where(F.col("version") < number)
-            known = versions.groupBy(key).agg(F.max_by(fingerprint, "version").alias(fingerprint))
-        except Exception as error:  # the first batch: nothing is known yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = batch.select(key, fingerprint).limit(0)
-        newest = batch.select(key, fingerprint).dropDuplicates([key])
+        newest = batch.groupBy(key).agg(F.max_by(fingerprint, order or fingerprint).alias(fingerprint))
+        before = earlier(number)
+        known = spark.read.parquet(f"{known_path}/version={before[-1]}") if before else newest.where("false")
+        known = known.select(key, fingerprint)
         touched = known.join(newest.select(key), key, "left_semi")
         changes = fingerprint_diff(touched, newest, key, fingerprint).withColumn("version", F.lit(number))
-        options = {"partitionOverwriteMode": "dynamic"}
-        changes.write.mode("overwrite").options(**options).partitionBy("version").parquet(changes_path)
-        newest.withColumn("version", F.lit(number)).write.mode("overwrite").options(**options).partitionBy("version").parquet(known_path)
+        changes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(changes_path)
+        state = known.join(newest.select(key), key, "left_anti").unionByName(newest)
+        state.write.mode("overwrite").parquet(f"{known_path}/version={number}")
+        for old in before[:-1]:
+            where, files = folder(f"{known_path}/version={old}")
+            files.delete(where, True)
 
     return on_batch
