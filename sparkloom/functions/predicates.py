@@ -84,6 +84,11 @@ def confidence(score: Column, high: float = 0.7, medium: float = 0.4) -> Column:
     return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
 
 
+def relevance_band(score: Column) -> Column:
+    """Like :func:`confidence`, but what has no relevance at all is unknown."""
+    return F.when(score > 0, confidence(score)).otherwise("unknown")
+
+
 def analysis_cost(size: Column, is_test: Column, generated: Column) -> Column:
     kib = 1024
     by_size = F.when(size <= 16 * kib, 1).when(size <= 128 * kib, 2).when(size <= 512 * kib, 4).when(size <= 2048 * kib, 8).otherwise(16)
