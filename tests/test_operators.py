@@ -4,8 +4,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from sparkloom.functions import predicates, text
-from sparkloom.operators import compare, folds, graph, ranking
-from sparkloom.sources import parsing, tables
+from sparkloom.operators import compare, folds, graph, ranking, relations
+from sparkloom.sources import parsing, scripts, tables
 from sparkloom.streaming import changes
 
 
@@ -42,14 +42,14 @@ def test_path_predicates(spark):
 
 def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     df = spark.createDataFrame([("g", i, f"f{i}", c) for i, c in enumerate([5, 9, 3, 2, 1])], "g string, o int, item string, cost int")
-    out = folds.fill_budget(df, ["g"], [F.col("o")], "item", "cost", 10).orderBy("place").collect()
+    out = folds.fill_budget(spark, df, ["g"], [F.col("o")], "item", "cost", 10).orderBy("place").collect()
     assert [r.admitted for r in out] == [True, False, True, True, False]
 
 
 def test_budget_tries_every_row_of_a_group(spark):
     rng = random.Random(7)
     rows = [(g, i, f"f{i}", None if i % 97 == 5 else rng.randrange(9) if i > 700 else rng.randrange(100, 900)) for g in ("a", "b", None) for i in range(900 if g else 1)]
-    out = folds.fill_budget(spark.createDataFrame(rows, "g string, o int, item string, cost int"), ["g"], [F.col("o")], "item", "cost", 1500).collect()
+    out = folds.fill_budget(spark, spark.createDataFrame(rows, "g string, o int, item string, cost int"), ["g"], [F.col("o")], "item", "cost", 1500).collect()
     used, want = Counter(), {}
     for g, i, item, c in rows:
         fits = c is not None and used[g] + c <= 1500
@@ -64,16 +64,17 @@ def test_interacting_caps_against_a_plain_loop(spark):
     rows = [(i, rng.choice("abcdef") if i % 9 else None, rng.choice("xyz")) for i in range(2000)]
     df = spark.createDataFrame(rows, "ord long, s string, t string")
     for caps, total in (({"s": 5, "t": 9}, 250), ({"s": 40, "t": 30}, 20)):
-        counts, want = {c: Counter() for c in caps}, []
+        counts, kept, want = {c: Counter() for c in caps}, 0, {}
         for i, s, t in rows:
             v = {"s": s or "unknown", "t": t or "unknown"}
-            if len(want) < total and all(counts[c][v[c]] < caps[c] for c in caps):
-                want.append(i)
+            full = [c for c in caps if counts[c][v[c]] >= caps[c]]
+            want[i] = "total" if kept == total else full[0] if full else None
+            if want[i] is None:
+                kept += 1
                 for c in caps:
                     counts[c][v[c]] += 1
-        for block in (7, 5000):
-            out = folds.interacting_caps(spark, df, "ord", caps, total, block=block).orderBy("kept_as").collect()
-            assert [r.ord for r in out] == want
+        out = relations.interacting_caps(spark, df, "ord", caps, total).collect()
+        assert {r.ord: r.drop_reason for r in out} == want and all(r.kept == (r.drop_reason is None) for r in out)
 
 
 def test_merged_scores_against_a_fold(spark):
@@ -118,8 +119,30 @@ def test_graph_on_random_edges(spark):
                 elif b > path[0] and b not in path:
                     yield from simple([*path, b])
 
-    cycles = sorted(tuple(r.path) for r in graph.cycles(spark, df, "a", "b", most_nodes=9).collect())
+    cycles = sorted(tuple(r.path) for r in graph.cycles(spark, df, "a", "b").collect())
     assert cycles == sorted(c for i in range(9) for c in simple([i]))
+    assert sorted(tuple(r.path) for r in graph.cycles(spark, df, "a", "b", most_nodes=2).collect()) == [c for c in cycles if len(c) <= 2]
+
+
+def test_long_chains_and_rings(spark):
+    ring = [(i, (i + 1) % 12) for i in range(12)] + [(100 + i, 101 + i) for i in range(30)] + [(3, 100), (130, 131)]
+    df = spark.createDataFrame(ring, "a int, b int")
+    assert {(r.node, r.component) for r in graph.strong_components(spark, df, "a", "b").collect()} == {(i, 0) for i in range(12)}
+    seeds = spark.createDataFrame([(100,)], "seed int")
+    assert graph.reachable(spark, df, seeds, "a", "b").agg(F.max("depth"), F.count("*")).first()[:] == (31, 31)
+    assert graph.strong_components(spark, df.where("a >= 100"), "a", "b").count() == 0
+
+
+def test_traversal_stops_at_its_caps(spark):
+    edges = spark.createDataFrame([("s", t, r, 1.0, i) for i, (t, r) in enumerate([("b", 2), ("a", 2), ("c", 1)])] + [("c", "d", 3, 1.0, 0), ("a", "s", 0, 1.0, 0)], "source string, target string, rank long, cost double, ord int")
+    seeds = spark.createDataFrame([("s",), ("lonely",)], "seed string")
+    walk = lambda **caps: [r.node for r in graph.traverse(edges, seeds, **caps).where("seed = 's'").orderBy("place").collect()]
+    assert walk() == ["s", "c", "a", "b", "d"] and walk(max_depth=1) == ["s", "c", "a", "b"] and walk(max_depth=0) == ["s"]
+    out = graph.traverse(edges, seeds, max_files=2).where("seed = 's'").collect()
+    assert [r.node for r in out] == ["s", "c"] and {r.stop for r in out} == {"files"}
+    assert {r.stop for r in graph.traverse(edges, seeds, max_edges=2).collect() if r.seed == "s"} == {"edges"}
+    assert {r.stop for r in graph.traverse(edges, seeds, max_cost=2.5).collect() if r.seed == "s"} == {"cost"}
+    assert [r.node for r in graph.traverse(edges, seeds).where("seed = 'lonely'").collect()] == ["lonely"]
 
 
 def test_lanes_caps_and_ambiguity(spark):
@@ -131,6 +154,7 @@ def test_lanes_caps_and_ambiguity(spark):
 
 
 def test_quality_of_empty_tiers(spark):
+    assert [one(spark, predicates.relevance_band(F.lit(x))) for x in (0.0, 0.1, 0.4, 0.9)] == ["unknown", "low", "medium", "high"]
     ranked = spark.createDataFrame([("t", "a", 1), ("t", "b", 2), ("t", "c", 3)], "task string, item string, rank int")
     expected = spark.createDataFrame([("t", "a", "critical"), ("t", "z", "critical"), ("t", "b", "distractor"), ("u", "q", "useful")], "task string, item string, tier string")
     out = {r.task: r for r in compare.quality_at_k(ranked, expected, "task", "item", "rank", "tier", 3).collect()}
@@ -151,11 +175,12 @@ def test_parsers(spark, tmp_path):
     assert parsing.parse_python(files).where("kind = 'error'").count() == 1
     inventory = tables.file_inventory(spark, str(tmp_path))
     assert {r.path.rsplit("/", 1)[1]: r.language for r in inventory.collect()} == {"m.py": "python", "bad.py": "python", "raw.py": "python"}
-    script = 'import a from "./a"\n// import no from "./no"\nexport * from \'b\'\nconst c = require("c")\nimport("./d")\napp.get("/u", h)\nrouter.post(\'/v\', h)\n'
-    assert one(spark, parsing.script_imports(F.lit(script))) == ["./a", "b", "c", "./d"]
-    assert one(spark, parsing.script_routes(F.lit(script))) == ["GET /u", "POST /v"]
-    assert one(spark, parsing.go_routes(F.lit('mux.HandleFunc("/h", f)\nhttp.Handle("/k", g)'))) == ["/h", "/k"]
-    assert one(spark, parsing.module_requirements(F.lit("require github.com/a/b v1.2.3\n"))) == ["github.com/a/b v1.2.3"]
+    script = 'import a from "./a"\n// import no from "./no"\nexport * from \'b\'\nconst u = "http://x/y"; const c = require("c")\nimport("./d")\n'
+    bare = one(spark, scripts.without_comments(F.lit(script)))
+    assert "./no" not in bare and "http://x/y" in bare
+    assert [(r.form, r.source) for r in one(spark, scripts.script_imports(F.lit(script)))] == [("default", "./a"), ("dynamic", "./d"), ("require", "c")]
+    assert [one(spark, scripts.balanced(F.lit(t))) for t in ("a { b '}' } // }", "{ {", "} {", "")] == [True, False, False, True]
+    assert [r.name for r in one(spark, scripts.manifest_facts(F.lit("go.mod"), F.lit("module a.b/c\nreplace x => ../y\n")))] == ["a.b/c", "x"]
 
 
 def test_snapshots_by_stamp(spark, tmp_path):
