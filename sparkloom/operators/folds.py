@@ -17,7 +17,9 @@ def placed(stage: Stage, df: DataFrame, keys: list[str], order: list[Column]) ->
 
     The rows are dealt by range of (keys, order) and sorted; the rows of a group before a task's are counted by task.
     """
-    rows = df.repartitionByRange(*[F.col(k) for k in keys], *order).sortWithinPartitions(*keys, *order)
+    # rows that are equal in all of it can be split too
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    rows = tied.repartitionByRange(*[F.col(k) for k in keys], *order, F.col("_tie")).sortWithinPartitions(*keys, *order, "_tie").drop("_tie")
     rows = stage.save(rows.withColumns({"_task": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     w = Window.partitionBy(*keys).orderBy("_task")
     tasks = rows.groupBy(*keys, "_task").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
@@ -26,7 +28,7 @@ def placed(stage: Stage, df: DataFrame, keys: list[str], order: list[Column]) ->
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = rows.join(starts, same)
-    return out.select(*df.columns, (F.col("_before") + F.col("_row") - F.col("_first") + 1).cast("int").alias("place"))
+    return out.select(*df.columns, (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("place"))
 
 
 def fill_budget(spark: SparkSession, df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:
@@ -38,7 +40,7 @@ def fill_budget(spark: SparkSession, df: DataFrame, keys: list[str], order: list
     """
     stage = Stage(spark, "budget")
     rows = placed(stage, df.withColumn(cost, F.col(cost).cast("long")), keys, order)
-    rows = stage.save(rows.select(*keys, item, cost, "place"))
+    rows = stage.save(rows.select(*keys, item, cost, F.col("place").cast("int").alias("place")))
     group = F.struct(*[F.col(k) for k in keys])  # null is a key like others
     live = rows.where((F.col(cost) > 0) & (F.col(cost) <= budget)).select(group.alias("_g"), "place", F.col(cost).alias("_c"))
     state = stage.save(live.select("_g", F.lit(0).cast("long").alias("_used"), F.lit(0).alias("_after")).distinct())
