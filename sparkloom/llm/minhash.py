@@ -21,8 +21,8 @@ WORDS = HASHES * BITS // 64
 #: Standard errors of the estimate below the threshold at which a candidate is still confirmed exactly.
 MARGIN = 5.0
 #: Rounds in which each bucket that still spans several components tries another pivot.
-ROUNDS = 4
-#: Members of a bucket that meet in one task, from each of two blocks, where no pivot settles it.
+ROUNDS = 3
+#: Members of a family that meet in one task, from each of two blocks, where no pivot settles it.
 BLOCK = 256
 #: Members that are confirmed against one copy of a pivot's text.
 PER_PIVOT = 64
@@ -181,10 +181,10 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     Two documents link if 100 * intersection >= percent * union of their sets of ``shingle``-word shingles (ASCII
     lower case). Documents with equal sets (by a hash of 128 bits) form a class, one node. Nodes that agree in a band of
     minima are candidates. In each of up to ROUNDS rounds every bucket that spans several components tries one of its
-    nodes, the pivot, with all others of other components, so a dense family of any size settles in few rounds. What is
-    left is searched in full: buckets above BLOCK nodes are split by a second band first (a pair above the threshold
-    that shares one band only is less likely than 1e-6), and their members meet in blocks. Candidates whose b-bit
-    estimate is within reach are confirmed on full sets; the last step gives out spanning forests, not pairs.
+    nodes, the pivot, with all others of other components, so most of a dense family of any size settles. What is left
+    is searched in full: the nodes of the first pivots' families that are in a bucket of several components meet in
+    blocks. Candidates whose b-bit estimate is within reach are confirmed on full sets; the last step gives out spanning
+    forests, not pairs.
     ``component_id`` is the smallest id reachable by links, ``kept`` whether the row has it. Texts that are null or
     without words have no shingles and only reach themselves. Rows with equal ids are rows of their own; equal rows get
     equal results; a null id counts only where its component has no other. An empty table gives an empty result; very
@@ -206,17 +206,19 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     texts = _texts_of(stage, df, signed, wanted, id_col, text_col)
     release_shuffles(spark)
     labels = classes.select("node", F.col("node").alias("component"))
-    left = shared.withColumn("component", F.col("node"))
+    left, first = shared.withColumn("component", F.col("node")), None
     for i in range(ROUNDS):
         pivots = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "component")).alias("p"))
         stars = left.join(pivots, "bucket").where("component <> p.component").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        stars = stage.save(stars)
+        first = stars if first is None else first
         links = stage.save(confirm_pairs(stage.save(_within_reach(stars, sketch, percent)), texts, shingle, percent))
         labels = _relabel(stage, labels, links)
         left = _open(stage, left, labels)
         if left.isEmpty():
             break
     else:
-        labels = _relabel(stage, labels, _rest(stage, left, classes, sketch, texts, shingle, percent))
+        labels = _relabel(stage, labels, _rest(stage, first, left, labels, sketch, texts, shingle, percent))
     smallest = classes.select("node", "least_id").join(labels, "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_set = classes.select("node", *_SET).join(labels, "node").join(smallest, "component").select(*_SET, "component_id")
     of_set = stage.save(of_set)
@@ -228,18 +230,17 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     )
 
 
-def _rest(stage: Stage, left: DataFrame, classes: DataFrame, sketch: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links ``a, b`` that span those between the components of each bucket ``bucket, node, component``."""
-    sizes = left.groupBy("bucket").agg(F.count("*").alias("size"))
-    sized = left.join(sizes, "bucket")
-    small = sized.where(F.col("size") <= BLOCK).select(F.col("bucket").alias("pivot"), "node", "component")
-    bands = classes.select("node", F.explode("bands").alias("other"))
-    large = sized.where(F.col("size") > BLOCK).join(bands, "node").where("bucket <> other")
-    # both bands in one key; the order does not matter, so a pair of bands is one group
-    split = large.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("pivot"), "node", "component").distinct()
-    groups = small.unionByName(split)
-    spread = groups.groupBy("pivot").agg(F.mode("component").alias("most"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    family = groups.join(spread, "pivot").select("pivot", "node", "component", (F.col("component") == F.col("most")).alias("near"))
+def _rest(stage: Stage, stars: DataFrame, left: DataFrame, labels: DataFrame, sketch: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links ``a, b`` that span those between the components of each first pivot's family (the nodes of its buckets).
+
+    Only nodes of buckets that still span several components take part.
+    """
+    open_ = left.select("node").distinct()
+    members = stars.select(F.col("a").alias("pivot"), F.col("b").alias("node")).unionByName(stars.select(F.col("a").alias("pivot"), F.col("a").alias("node")).distinct())
+    of_pivot = labels.select(F.col("node").alias("pivot"), F.col("component").alias("most"))
+    family = members.join(open_, "node", "left_semi").join(labels, "node").join(of_pivot, "pivot").select(
+        "pivot", "node", "component", (F.col("component") == F.col("most")).alias("near")
+    )
     family = stage.save(family)
     sketched = _deal(family, "node").join(sketch, "node").select("pivot", "x", "y", "side", "node", "component", "n_shingles", *_SIGNATURE)
     sketched = sketched.repartition("pivot", "x", "y").sortWithinPartitions("pivot", "x", "y")
