@@ -55,28 +55,31 @@ levels AS (
 placed AS (
   SELECT *, sum(n) OVER (PARTITION BY tag, lang, source, feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY tag, lang, source, feature) AS total FROM levels
 ),
-limits AS (
-  SELECT tag, lang, source, feature, max(total) AS total,
-    min(CASE WHEN upto >= 0.75::DOUBLE * total THEN top END) + greatest(
-      (min(CASE WHEN upto >= 0.75::DOUBLE * total THEN top END) - min(CASE WHEN upto >= 0.25::DOUBLE * total THEN top END)) * 3,
-      CASE feature WHEN 'symbol_ppm' THEN 20000 WHEN 'dup_line_ppm' THEN 500000 WHEN 'repeat_ppm' THEN 300000 ELSE 3000 END) AS top
+tails AS (
+  SELECT tag, lang, source, feature, max(total) AS total, min(CASE WHEN upto >= 0.1::DOUBLE * total THEN top END) AS q10,
+    min(CASE WHEN upto >= 0.5::DOUBLE * total THEN top END) AS q50, min(CASE WHEN upto >= 0.9::DOUBLE * total THEN top END) AS q90,
+    CASE feature WHEN 'symbol_ppm' THEN 5000 WHEN 'dup_line_ppm' THEN 100000 WHEN 'repeat_ppm' THEN 20000 ELSE 300 END AS more
   FROM placed GROUP BY tag, lang, source, feature
 ),
+limits AS (SELECT tag, lang, source, feature, total, q90 + (q90 - q50) * 2 + more AS top, q10 - (q50 - q10) * 2 - more AS low FROM tails),
 chosen AS (
-  SELECT s.lang, s.source, s.feature, CASE WHEN s.total >= 200 THEN s.top WHEN l.total >= 200 THEN l.top ELSE a.top END AS top
+  SELECT s.lang, s.source, s.feature, CASE WHEN s.total >= 200 THEN s.top WHEN l.total >= 200 THEN l.top ELSE a.top END AS top,
+    CASE WHEN s.total >= 200 THEN s.low WHEN l.total >= 200 THEN l.low ELSE a.low END AS low
   FROM (SELECT * FROM limits WHERE tag = 's') s
   JOIN (SELECT * FROM limits WHERE tag = 'l') l ON s.lang IS NOT DISTINCT FROM l.lang AND s.feature = l.feature
   JOIN (SELECT * FROM limits WHERE tag = 'a') a ON s.feature = a.feature
 ),
 wide AS (
   SELECT lang, source, max(top) FILTER (feature = 'symbol_ppm')::BIGINT AS max_symbol_ppm, max(top) FILTER (feature = 'dup_line_ppm')::BIGINT AS max_dup_line_ppm,
-    max(top) FILTER (feature = 'repeat_ppm')::BIGINT AS max_repeat_ppm, max(top) FILTER (feature = 'word_len_milli')::BIGINT AS max_word_len_milli
+    max(top) FILTER (feature = 'repeat_ppm')::BIGINT AS max_repeat_ppm, max(top) FILTER (feature = 'word_len_milli')::BIGINT AS max_word_len_milli,
+    max(low) FILTER (feature = 'word_len_milli')::BIGINT AS min_word_len_milli
   FROM chosen GROUP BY lang, source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, symbol_ppm, dup_line_ppm, repeat_ppm, word_len_milli,
-  max_symbol_ppm, max_dup_line_ppm, max_repeat_ppm, max_word_len_milli,
+  max_symbol_ppm, max_dup_line_ppm, max_repeat_ppm, max_word_len_milli, min_word_len_milli,
   NOT base_failed AND NOT (coalesce(symbol_ppm > max_symbol_ppm, false) OR coalesce(dup_line_ppm > max_dup_line_ppm, false)
-    OR coalesce(repeat_ppm > max_repeat_ppm, false) OR coalesce(word_len_milli > max_word_len_milli, false)) AS kept
+    OR coalesce(repeat_ppm > max_repeat_ppm, false) OR coalesce(word_len_milli > max_word_len_milli, false)
+    OR coalesce(word_len_milli < min_word_len_milli, false)) AS kept
 FROM rows LEFT JOIN wide ON rows.lang IS NOT DISTINCT FROM wide.lang AND rows.source IS NOT DISTINCT FROM wide.source
 """
 

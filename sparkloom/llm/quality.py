@@ -14,38 +14,44 @@ MILLION = 1_000_000
 FEATURES = ("symbol_ppm", "dup_line_ppm", "repeat_ppm", "word_len_milli")
 #: A sketch with fewer documents is merged with its language's, then with everything.
 LEAST_ROWS = 200
-#: Least distance of a threshold from the upper quartile, in the feature's unit.
-SLACK = {"symbol_ppm": 20_000, "dup_line_ppm": 500_000, "repeat_ppm": 300_000, "word_len_milli": 3_000}
+#: Features that are bounded from below too.
+TWO_SIDED = ("word_len_milli",)
+#: A threshold lies this many times the distance from the median to the tail quantile beyond that quantile.
+REACH = 2
+#: What a threshold grants besides, in the feature's unit, as many groups have a tail of zeros.
+TOLERANCE = {"symbol_ppm": 5_000, "dup_line_ppm": 100_000, "repeat_ppm": 20_000, "word_len_milli": 300}
 
 
 def text_features(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``df`` with ``n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words`` (long; 0 for a null text).
 
     ``n_repeat_words`` counts the words covered by three-word windows that occur twice or more in the text, the first
-    occurrence included. Windows are compared within one text, by a hash of 64 bits less those that number its words.
+    occurrence included. Windows of a text are sorted by a hash of 64 bits; neighbours with one hash are compared by
+    their words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.withColumn("_q_words", words(F.col(text_col)))
     w, n = F.col("_q_words"), F.size("_q_words")
     rows = rows.withColumn("_q_hashes", F.transform(w, lambda x: F.xxhash64(x)))
-    # one long holds a window's hash above and its place below: sorted, equal windows are neighbours
-    rows = rows.withColumn("_q_bits", F.greatest(F.length(F.bin(n)), F.lit(8)))
-    h, bits = F.col("_q_hashes"), F.col("_q_bits")
+    h = F.col("_q_hashes")
 
     def window(x: Column, i: Column) -> Column:
-        return F.call_function("shiftleft", F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)), bits).bitwiseOR(i.cast("long"))
+        return F.struct(F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)).alias("h"), i.alias("i"))
 
     rows = rows.withColumn("_q_sorted", F.when(n > 3, F.sort_array(F.transform(F.slice(h, F.lit(1), n - 2), window))))
     s = F.col("_q_sorted")
 
     def equals_next(k: Column) -> Column:
-        return F.call_function("shiftright", F.get(s, k).bitwiseXOR(F.get(s, k + 1)), bits) == 0
+        a, b = F.get(s, k), F.get(s, k + 1)
+        same = a["h"] == b["h"]
+        for j in range(3):
+            same = same & (F.get(w, a["i"] + j) == F.get(w, b["i"] + j))
+        return same
 
     rows = rows.withColumn("_q_twice", F.when(n > 3, F.filter(F.sequence(F.lit(0), n - 4), equals_next)))
-    place = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
 
     def six(k: Column) -> Column:
-        a, b = (F.get(s, x).bitwiseAND(place).cast("int") for x in (k, k + 1))
+        a, b = F.get(s, k)["i"], F.get(s, k + 1)["i"]
         return F.array(a, a + 1, a + 2, b, b + 1, b + 2)
 
     rows = rows.withColumn("_q_covered", F.when(n > 3, F.size(F.array_distinct(F.flatten(F.transform("_q_twice", six))))))
@@ -61,7 +67,7 @@ def text_features(df: DataFrame, *, text_col: str = "text") -> DataFrame:
         "n_dup_lines": F.size("_q_lines") - F.size(F.array_distinct("_q_lines")),
         "n_repeat_words": F.coalesce("_q_covered", F.lit(0)),
     }
-    spare = ["_q_words", "_q_hashes", "_q_bits", "_q_sorted", "_q_twice", "_q_covered", "_q_lines"]
+    spare = ["_q_words", "_q_hashes", "_q_sorted", "_q_twice", "_q_covered", "_q_lines"]
     return rows.withColumns({k: v.cast("long") for k, v in made.items()}).drop(*spare)
 
 
@@ -112,30 +118,34 @@ def sketch_quantiles(sketch: DataFrame, keys: list[str], points: dict[str, float
 
 
 def adaptive_thresholds(rows: DataFrame, *, lang_col="lang", source_col="source", least_rows: int = LEAST_ROWS) -> DataFrame:
-    """``lang, source`` and ``max_<feature>``: upper quartile plus three times the quartile distance, or plus SLACK.
+    """``lang, source`` with ``max_<feature>`` and, for TWO_SIDED ones, ``min_<feature>``, from tail quantiles of the sketches.
 
-    A (language, source) with fewer than ``least_rows`` documents takes the merged sketch of its language, and if that
-    is small too, of all documents. Null is a language and a source of its own.
+    The upper limit is q90 + REACH * (q90 - q50) + TOLERANCE, the lower one q10 - REACH * (q50 - q10) - TOLERANCE. A
+    (language, source) with fewer than ``least_rows`` documents takes the merged sketch of its language, and if that is
+    small too, of all documents. Null is a language and a source of its own.
     """
     fine = quantile_sketches(rows.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *FEATURES), ["lang", "source"], FEATURES)
-    points = {"q1": 0.25, "q3": 0.75}
+    points = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
     by_lang = fine.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("feature", "bin").agg(F.sum("n").alias("n"))
-    slack = F.create_map(*[F.lit(x) for f in FEATURES for x in (f, SLACK[f])])
+    grant = F.create_map(*[F.lit(x) for f in FEATURES for x in (f, TOLERANCE[f])])
 
     def limit(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
         q = sketch_quantiles(sketch, keys, points)
-        top = F.col("q3") + F.greatest((F.col("q3") - F.col("q1")) * 3, slack[F.col("feature")])
-        return q.select(*[F.col(k).alias(f"{tag}_{k}") for k in keys], F.col("feature").alias(f"{tag}_feature"), F.col("rows").alias(f"{tag}_rows"), top.alias(f"{tag}_max"))
+        top = F.col("q90") + (F.col("q90") - F.col("q50")) * REACH + grant[F.col("feature")]
+        low = F.col("q10") - (F.col("q50") - F.col("q10")) * REACH - grant[F.col("feature")]
+        named = [F.col(k).alias(f"{tag}_{k}") for k in keys]
+        return q.select(*named, F.col("feature").alias(f"{tag}_feature"), F.col("rows").alias(f"{tag}_rows"), F.struct(top.alias("top"), low.alias("low")).alias(f"{tag}_max"))
 
     own, lang, all_ = limit(fine, ["lang", "source"], "s"), limit(by_lang, ["lang"], "l"), limit(overall, [], "a")
     chosen = (
         own.join(lang, F.col("s_lang").eqNullSafe(F.col("l_lang")) & (F.col("s_feature") == F.col("l_feature")))
         .join(all_, F.col("s_feature") == F.col("a_feature"))
-        .withColumn("top", F.when(F.col("s_rows") >= least_rows, F.col("s_max")).when(F.col("l_rows") >= least_rows, F.col("l_max")).otherwise(F.col("a_max")))
+        .withColumn("limits", F.when(F.col("s_rows") >= least_rows, F.col("s_max")).when(F.col("l_rows") >= least_rows, F.col("l_max")).otherwise(F.col("a_max")))
     )
     return chosen.groupBy(F.col("s_lang").alias("lang"), F.col("s_source").alias("source")).agg(
-        *[F.max(F.when(F.col("s_feature") == f, F.col("top"))).alias(f"max_{f}") for f in FEATURES]
+        *[F.max(F.when(F.col("s_feature") == f, F.col("limits.top"))).alias(f"max_{f}") for f in FEATURES],
+        *[F.max(F.when(F.col("s_feature") == f, F.col("limits.low"))).alias(f"min_{f}") for f in TWO_SIDED],
     )
 
 
@@ -143,10 +153,11 @@ def quality_rules(spark: SparkSession, df: DataFrame, *, id_col="doc_id", text_c
     """One row per input row: the id, the features, ``base_failed``, the features' thresholds and ``kept``.
 
     ``base_failed``: fewer than ``least_words`` words, or more than ``most_repeat_percent`` percent of the words lie in
-    repeated three-word windows. ``kept``: not base_failed and no feature above its (language, source) threshold.
+    repeated three-word windows. ``kept``: not base_failed and no feature beyond its (language, source) thresholds.
     Thresholds come from the documents that pass the base rules, as the others would widen them. Null or empty texts
     have zeros and fail the base rules; null languages and sources are groups of their own; equal rows give equal rows;
-    an empty table gives an empty result. Other columns are not looked at, whatever their names.
+    an empty table gives an empty result; a very long text
+    is read in one task, its windows as one array. Other columns are not looked at, whatever their names.
     """
     stage = Stage(spark, "quality")
     rows = text_features(df.select(F.col(id_col).alias(id_col), F.col(text_col).alias("_q_text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source")), text_col="_q_text").drop("_q_text")
@@ -158,4 +169,6 @@ def quality_rules(spark: SparkSession, df: DataFrame, *, id_col="doc_id", text_c
     over = F.lit(False)
     for f in FEATURES:
         over = over | F.coalesce(F.col(f) > F.col(f"max_{f}"), F.lit(False))
+    for f in TWO_SIDED:
+        over = over | F.coalesce(F.col(f) < F.col(f"min_{f}"), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~over).drop("_q_lang", "_q_source")
