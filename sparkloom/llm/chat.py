@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.folds import placed
 from .store import Stage
 
 ROLES = ("system", "user", "assistant", "tool")
@@ -68,28 +69,45 @@ _END = np.array([0 if s == FINAL else (_REACH[i, STATES.index(FINAL)] + INSERT)
 _END_PATH = [() if s == FINAL else (*_PATH[i, STATES.index(FINAL)], FINAL) for i, s in enumerate(STATES)]
 
 
-def segment_matrix(roles) -> np.ndarray:
-    """Least cost through a run of turns from each state to each: a product of step matrices in (min, +)."""
-    total = np.where(np.eye(5, dtype=bool), 0, BIG)
-    for role in roles:
-        total = (total[:, :, None] + _COST[role][None, :, :]).min(axis=1)
-    return np.minimum(total, BIG)
-
-
-def repair_from(roles, start: int, end: int) -> list[tuple[str, int, tuple[str, ...]]]:
-    """The cheapest actions through a run of turns between two states: (action, role reached, empty turns before)."""
-    best, back = np.full(5, BIG), []
-    best[start] = 0
-    for role in roles:
-        whole = best[:, None] + _COST[role]
-        back.append(whole.argmin(axis=0))
-        best = whole.min(axis=0)
-    out, q = [], end
-    for role, came in zip(reversed(list(roles)), reversed(back), strict=True):
-        s = int(came[q])
-        out.append((_ACTION[role][s][q][0], q, _ACTION[role][s][q][1]))
-        q = s
-    return out[::-1]
+def _by_length(roles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of turns as rows of one table, longest first: their order, the table, and how many reach each place."""
+    lengths = np.array([len(r) for r in roles])
+    order = np.argsort(-lengths, kind="stable")
+    table = np.zeros((len(roles), int(lengths.max(initial=0))), np.int64)
+    for i, k in enumerate(order):
+        table[i, : lengths[k]] = roles[k]
+    return order, table, (lengths[order][:, None] > np.arange(table.shape[1])).sum(axis=0)
+
+
+def segment_matrices(roles: list[np.ndarray]) -> np.ndarray:
+    """Least cost through each run of turns from each state to each: products of step matrices in (min, +), place by place."""
+    order, table, reach = _by_length(roles)
+    total = np.repeat(np.where(np.eye(5, dtype=bool), 0, BIG)[None], len(roles), axis=0)
+    for p, n in enumerate(reach):
+        total[:n] = (total[:n, :, :, None] + _COST[table[:n, p]][:, None, :, :]).min(axis=2)
+    out = np.empty_like(total)
+    out[order] = np.minimum(total, BIG)
+    return out
+
+
+def repairs(roles: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each run of turns between two states the states before and after each turn on the cheapest way."""
+    order, table, reach = _by_length(roles)
+    best, back = np.full((len(roles), 5), BIG), []
+    best[np.arange(len(roles)), start[order]] = 0
+    for p, n in enumerate(reach):
+        whole = best[:n, :, None] + _COST[table[:n, p]]
+        back.append(whole.argmin(axis=1))
+        best[:n] = whole.min(axis=1)
+    came, reached, at = np.zeros_like(table), np.zeros_like(table), end[order].copy()
+    for p in range(len(reach) - 1, -1, -1):
+        n = reach[p]
+        reached[:n, p] = at[:n]
+        at[:n] = back[p][np.arange(n), at[:n]]
+        came[:n, p] = at[:n]
+    place = np.empty(len(roles), np.int64)
+    place[order] = np.arange(len(roles))
+    return [(came[place[k], : len(r)], reached[place[k], : len(r)]) for k, r in enumerate(roles)]
 
 
 def _grouped(batches, keys: list[str]):
@@ -111,14 +129,22 @@ def _grouped(batches, keys: list[str]):
         yield last, pd.concat(held) if len(held) > 1 else held[0]
 
 
+def _some(groups, most: int):
+    """Lists of up to ``most`` groups."""
+    held = []
+    for group in groups:
+        held.append(group)
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def _matrices(batches):
-    rows = []
-    for (segment, conv), pdf in _grouped(batches, ["segment", "conv"]):
-        rows.append((conv, segment, len(pdf), segment_matrix(pdf["role"].to_numpy()).ravel().tolist()))
-        if len(rows) >= 4096:
-            yield _frame(rows)
-            rows = []
-    yield _frame(rows)
+    for groups in _some(_grouped(batches, ["segment", "conv"]), 4096):
+        costs = segment_matrices([pdf["role"].to_numpy() for _, pdf in groups])
+        yield _frame([(conv, segment, len(pdf), c.ravel().tolist()) for ((segment, conv), pdf), c in zip(groups, costs, strict=True)])
 
 
 def _frame(rows) -> pd.DataFrame:
@@ -147,34 +173,35 @@ def _routes(batches):
 
 
 def _render(batches):
-    rows = []
-    for (segment, conv), pdf in _grouped(batches, ["segment", "conv"]):
-        start, end, last, cost = (pdf[c].iloc[0] for c in ("start", "end", "last", "cost"))
-        merged = relabelled = inserted = 0
-        turns: list[list] = []
-        roles = pdf["role"].to_numpy()
-        for role, text, (action, q, before) in zip(roles, pdf["text"], repair_from(roles, int(start), int(end)), strict=True):
-            name = STATES[q]
-            text = "" if text is None else text
-            relabelled += int(role != 4 and role + 1 != q)
-            inserted += len(before)
-            turns += [[r, "", False] for r in before]
-            if action == "merge":
-                merged += 1
-                if turns:
-                    turns[-1][1] += "\n" + text
-                else:  # goes on with the turn that the segment before left
-                    turns.append([name, text, True])
-            else:
-                turns.append([name, text, False])
-        if last:
-            inserted += len(_END_PATH[int(end)])
-            turns += [[r, "", False] for r in _END_PATH[int(end)]]
-        rows.append((conv, segment, len(pdf), [t[0] for t in turns], [t[1] for t in turns], bool(turns and turns[0][2]), merged, relabelled, inserted, int(cost)))
-        if len(rows) >= 2048:
-            yield _rendered(rows)
-            rows = []
-    yield _rendered(rows)
+    for groups in _some(_grouped(batches, ["segment", "conv"]), 2048):
+        start, end = (np.array([pdf[c].iloc[0] for _, pdf in groups], np.int64) for c in ("start", "end"))
+        ways = repairs([pdf["role"].to_numpy() for _, pdf in groups], start, end)
+        yield _rendered([_turns(segment, conv, pdf, *way) for ((segment, conv), pdf), way in zip(groups, ways, strict=True)])
+
+
+def _turns(segment, conv, pdf: pd.DataFrame, came: np.ndarray, reached: np.ndarray) -> tuple:
+    """One segment's turns after the repair."""
+    merged = relabelled = inserted = 0
+    turns: list[list] = []
+    for role, text, s, q in zip(pdf["role"].tolist(), pdf["text"].tolist(), came.tolist(), reached.tolist(), strict=True):
+        action, before = _ACTION[role][s][q]
+        text = "" if text is None else text
+        relabelled += int(role != 4 and role + 1 != q)
+        inserted += len(before)
+        turns += [[r, "", False] for r in before]
+        if action == "merge":
+            merged += 1
+            if turns:
+                turns[-1][1] += "\n" + text
+            else:  # goes on with the turn that the segment before left
+                turns.append([STATES[q], text, True])
+        else:
+            turns.append([STATES[q], text, False])
+    if pdf["last"].iloc[0]:
+        tail = _END_PATH[int(pdf["end"].iloc[0])]
+        inserted += len(tail)
+        turns += [[r, "", False] for r in tail]
+    return conv, segment, len(pdf), [t[0] for t in turns], [t[1] for t in turns], bool(turns and turns[0][2]), merged, relabelled, inserted, int(pdf["cost"].iloc[0])
 
 
 def _rendered(rows) -> pd.DataFrame:
@@ -189,12 +216,14 @@ def repair_conversations(spark: SparkSession, df: DataFrame, *, conv_col="conv_i
     assistant in turn, tool after assistant, an assistant turn at the end. The cheapest mix of merging a turn into the
     one before (MERGE), relabelling it (RELABEL) and inserting empty turns (INSERT) is found by dynamic programming;
     ``cost`` is the whole conversation's. Roles are trimmed and lower-cased, ALIASES apply, an unknown or null role fits
-    any turn at no cost. Null texts are empty, null conversation ids make one conversation, repeated turns are turns,
-    an empty table gives an empty result; other columns are not looked at.
-
-    A conversation is cut into segments by its turn numbers, ``segment`` to each; the cost matrices of the segments
-    multiply in (min, +), so no task holds a whole conversation. Nearly every conversation has one segment and so one
-    row; ``rendered`` of the segments in order, concatenated, is the conversation.
+    any turn at no cost. Null texts are empty, null conversation ids make one conversation, null turn numbers come
+    first, repeated turns are turns, an empty table gives an empty result; other columns are not looked at. ``<|`` in a
+    text is rendered as ``<\\|``, so no text can forge a turn.
+
+    A conversation is cut into segments by the places of its turns in this order, ``segment`` to each, whatever their
+    numbers; the cost matrices of the segments multiply in (min, +), so no task holds the turns of a whole conversation,
+    only one matrix a segment. Nearly every conversation has one segment and so one row; ``rendered`` of the segments in
+    order, concatenated, is the conversation. The text of a very long turn is in one task.
     """
     stage = Stage(spark, "chat")
     role = F.lower(F.trim(F.col(role_col).cast("string")))
@@ -204,17 +233,18 @@ def repair_conversations(spark: SparkSession, df: DataFrame, *, conv_col="conv_i
     turns = df.select(
         F.col(conv_col).cast("long").alias("conv"),
         F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.floor(F.col(turn_col).cast("long") / segment), F.lit(-(1 << 62))).cast("long").alias("segment"),
         F.when(number < 0, 4).otherwise(number).alias("role"),
         F.col(text_col).cast("string").alias("text"),
     )
-    order = ["segment", "conv", "turn", "role", "text"]
+    turns = placed(stage, turns, ["conv"], [F.asc_nulls_first("turn"), F.asc("role"), F.asc_nulls_first("text")])
+    turns = stage.save(turns.withColumn("segment", F.floor((F.col("place") - 1) / segment)))
+    order = ["segment", "conv", "place"]
     dealt = turns.repartition("segment", "conv").sortWithinPartitions(*order)
     matrices = stage.save(dealt.select("conv", "segment", "role").mapInPandas(_matrices, "conv long, segment long, turns long, costs array<long>"))
     routes = matrices.select("conv", "segment", "costs").repartition("conv").sortWithinPartitions("conv", "segment")
     routes = stage.save(routes.mapInPandas(_routes, "conv long, segment long, start int, end int, last boolean, cost long"))
     routed = turns.alias("t").join(routes.alias("r"), F.col("t.conv").eqNullSafe(F.col("r.conv")) & (F.col("t.segment") == F.col("r.segment"))).select(
-        "t.conv", "t.segment", "t.turn", "t.role", "t.text", "start", "end", "last", "cost"
+        "t.conv", "t.segment", "t.place", "t.role", "t.text", "start", "end", "last", "cost"
     )
     rendered = routed.repartition("segment", "conv").sortWithinPartitions(*order).mapInPandas(
         _render, "conv long, segment long, turns_in long, roles array<string>, texts array<string>, continues boolean, merged long, relabelled long, inserted long, cost long"
@@ -224,7 +254,7 @@ def repair_conversations(spark: SparkSession, df: DataFrame, *, conv_col="conv_i
         F.arrays_zip("roles", "texts"),
         lambda x, i: F.concat(
             F.when(first & (i == 0), F.lit("\n")).otherwise(F.concat(F.when((i > 0) | (F.col("segment") > F.col("low")), F.lit("\n<|end|>\n")).otherwise(""), F.lit("<|"), x["roles"], F.lit("|>\n"))),
-            x["texts"],
+            F.replace(x["texts"], F.lit("<|"), F.lit("<\\|")),
         ),
     )
     low = matrices.groupBy("conv").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
