@@ -104,12 +104,11 @@ def mixed_documents(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     plan = plan.groupBy(F.col(id_col).alias("_mix_id"), F.col("_text_key").alias("_mix_text")).agg(
         F.sum(times).alias("_mix_times"), F.count("*").alias("_mix_rows")
     )
-    rows = df.withColumn("_text_key", F.xxhash64(text_col))
-    joined = rows.join(
-        plan.where("_mix_times > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_text_key") == F.col("_mix_text"))
+    joined = df.join(
+        plan.where("_mix_times > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_text"))
     )
     # equal rows: with k copies for n equal rows, the first k % n of them get one more
-    twin = Window.partitionBy(id_col, "_text_key").orderBy(F.lit(0))
+    twin = Window.partitionBy("_mix_id", "_mix_text").orderBy(F.lit(0))
     several = joined.where("_mix_rows > 1").withColumn("_mix_i", F.row_number().over(twin))
     single = joined.where("_mix_rows = 1").withColumn("_mix_i", F.lit(1))
     share = F.floor(F.col("_mix_times") / F.col("_mix_rows")) + (F.col("_mix_i") <= F.col("_mix_times") % F.col("_mix_rows")).cast("long")

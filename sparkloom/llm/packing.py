@@ -14,7 +14,11 @@ TOKEN_BUDGET = 65_536
 
 
 def length_cell(n: Column) -> Column:
-    """Cell of the histogram: exact below 512, then 256 cells for each power of two (at most 6,400 up to 2**31)."""
+    """Cell of the histogram: exact below 512, then 256 cells for each power of two (at most 6,400 up to 2**31).
+
+    Boundaries above 512 can thus lie up to 1/256 of a length above the best place: the padding of a row exceeds the
+    optimum's by less than 0.4 % of its bucket's length.
+    """
     shift = F.greatest(F.lit(0), F.length(F.bin(n)) - 9)
     return (shift * 256 + F.call_function("shiftright", n, shift)).cast("int")
 

@@ -9,11 +9,15 @@ from .store import bins_for
 from .text import hash_bin
 
 
+#: Steps that nearly every key gets by with, whatever the number of shards.
+FEW = 48
+
+
 def jump_hash(key: Column, shards: int) -> Column:
     """Jump consistent hash of ``key`` into ``shards``; no ring table.
 
     The generator that drives the jumps is ``xxhash64(key, step)``. A jump always leads further, so ``shards`` steps
-    suffice. With one more shard a key either stays or moves into the new one. A null key hashes like any other value.
+    suffice; about ln(shards) are needed, so what FEW steps leave over is rare and looked at apart. With one more shard a key either stays or moves into the new one. A null key hashes like any other value.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -24,7 +28,11 @@ def jump_hash(key: Column, shards: int) -> Column:
         return F.when(state["j"] < shards, F.struct(state["j"].alias("b"), onward.alias("j"))).otherwise(state)
 
     start = F.struct(F.lit(-1).cast("long").alias("b"), F.lit(0).cast("long").alias("j"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, step, lambda s: s["b"].cast("int"))
+    few = min(shards, FEW)
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, step)
+    if few < shards:  # the rest is evaluated only for keys that need it
+        state = F.when(state["j"] >= shards, state).otherwise(F.aggregate(F.sequence(F.lit(few + 1), F.lit(shards)), state, step))
+    return state["b"].cast("int")
 
 
 def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 8) -> DataFrame:
@@ -33,7 +41,8 @@ def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``size`` is the text's UTF-8 bytes plus 1 (null: 1); ``text_crc32`` is that of no bytes, 0, for a null text. ``slot`` counts from 0
     without gaps in each shard: shards are cut into bins of the id's hash, bins are counted, and a row's slot is the
     count of the bins before plus its place in its own bin, so no task sorts a whole shard. Rows with equal ids share
-    a shard and get slots of their own. Columns of the same names in ``df`` are replaced; an empty table stays empty.
+    a shard and get slots of their own. Columns of the same names in ``df`` are replaced; an empty table stays empty;
+    null ids are one id; texts of any length are only measured.
     """
     made = ["shard", "grown_shard", "size", "text_crc32", "slot"]
     if id_col in made or text_col in made:

@@ -1,70 +1,14 @@
-"""Tables written between stages, in the folder that all executors share.
-
-A written table cuts the lineage: a lost executor costs a re-read, not a re-run of everything before it.
-"""
+"""The library's written tables, and what only this subpackage needs of them."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set and all runs in one process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        elif spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="sparkloom-")
-            spark.sparkContext.setCheckpointDir(folder)
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
-
-
-class Stage:
-    """Writes tables under one folder and can drop those that nothing reads any more."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """``df`` computed once, as a Parquet table."""
-        self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
-        saved = self.spark.read.schema(df.schema).parquet(path)
-        saved._sparkloom_path = path
-        return saved
 
-    def save_dealt(self, df: DataFrame, columns: list[str]) -> DataFrame:
-        """``df`` computed once, as a bucketed table in this folder: joins and groupings by ``columns`` need not move it.
+from pyspark.sql import SparkSession
 
-        The table has a name of its own in the session's catalog; :meth:`drop` takes it out again.
-        """
-        self._n += 1
-        path, name = f"{self.root}/{self._n}", f"sparkloom_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = df.repartition(n, *columns)
-        dealt.write.bucketBy(n, *columns).sortBy(*columns).option("path", path).format("parquet").saveAsTable(name)
-        saved = self.spark.table(name)
-        saved._sparkloom_path, saved._sparkloom_table = path, name
-        return saved
+from ..store import Stage, shared_folder
 
-    def drop(self, saved: DataFrame) -> None:
-        """Deletes a table made by :meth:`save`; only call it when no lazy plan reads it."""
-        if hasattr(saved, "_sparkloom_table"):
-            self.spark.sql(f"DROP TABLE IF EXISTS {saved._sparkloom_table}")
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(saved._sparkloom_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Stage", "bins_for", "release_shuffles", "shared_folder"]
 
 
 def bins_for(rows: int, per_bin: int = 512, most: int = 1 << 16) -> int:

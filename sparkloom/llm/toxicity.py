@@ -240,7 +240,9 @@ def _live_words(batches, live: np.ndarray):
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``rows`` labelled documents of any length, the smallest by a hash of the id.
 
-    Rows with a null id, text or label are not learned from; an id labelled twice counts as toxic if one label is. The
+    Rows with a null id, text or label are not learned from; an id labelled twice counts as toxic if one label is, and
+    an id with several texts counts with one of them, always the same. Without labelled rows, or without a positive one,
+    the model scores 0 everywhere; very long texts count whole. Columns other than those named are not looked at. The
     texts stay with the tasks: the driver gets counts by slot, then the words that have a live feature.
     """
     stage = Stage(spark, "toxicity")
@@ -253,8 +255,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col="do
     # a bounded table: at most ``rows`` ids and labels
     sample = known.join(F.broadcast(chosen), F.col(id_col) == F.col("_tx_id")).select(
         F.col("_tx_id").alias("i"), F.col("_tx_y").cast("int").alias("y"), F.col(text_col).cast("string").alias("t")
-    ).dropDuplicates(["i"])
-    sample = stage.save(sample)
+    )
+    # of several texts of an id the least by hash, so reruns agree
+    sample = stage.save(sample.groupBy("i").agg(F.first("y").alias("y"), F.min_by("t", F.struct(F.xxhash64("t"), "t")).alias("t")))
     found = sample.mapInArrow(_counted, "slot long, seen long, positive long").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("positive").alias("positive")).toArrow()
     slot, seen, positive = (np.array(found.column(c).to_pylist(), np.int64) for c in ("slot", "seen", "positive"))
     of_slot = np.zeros((2, SLOTS + 1))
@@ -280,12 +283,15 @@ def _score(batches, model: Model, text_at: int):
             s = sentences(texts[i:j])
             z = model.sentence_logits(s)
             score[i:j] = model.document_scores(z, s.first_sentence)
-            for k in range(j - i):
-                a, b = s.first_sentence[k], s.first_sentence[k + 1]
-                if b > a:
-                    count[i + k], bad[i + k] = b - a, (z[a:b] >= 0).sum()
-                    top = a + int(z[a:b].argmax())
-                    worst[i + k], at[i + k], to[i + k] = 1 / (1 + np.exp(-z[top])), s.start[top], s.end[top]
+            some = np.flatnonzero(np.diff(s.first_sentence))
+            if len(some):
+                first = s.first_sentence[some]
+                n_own = np.diff(s.first_sentence)[some]
+                top_z = np.maximum.reduceat(z, first)
+                number = np.arange(len(z))
+                top = np.minimum.reduceat(np.where(z >= np.repeat(top_z, n_own), number, len(z)), first)
+                count[i + some], bad[i + some] = n_own, np.add.reduceat((z >= 0).astype(np.int64), first)
+                worst[i + some], at[i + some], to[i + some] = 1 / (1 + np.exp(-top_z)), s.start[top], s.end[top]
         made = {"score": score, "predicted": (score >= 0.5).astype(np.int32), "n_sentences": count, "n_offending": bad, "worst_score": worst, "worst_start": at, "worst_end": to}
         taken = {f"{MADE}{k}": pa.array(v) for k, v in made.items()}
         yield pa.RecordBatch.from_arrays([*batch.columns, *taken.values()], names=[*batch.schema.names, *taken])
@@ -298,7 +304,9 @@ def score_documents(df: DataFrame, model: Model, *, text_col: str = "text") -> D
     """``df`` with ``tox_score, tox_predicted, tox_n_sentences, tox_n_offending`` and the worst sentence.
 
     ``tox_worst_start, tox_worst_end`` are byte offsets in the text, ``tox_worst_score`` that sentence's score. Null and
-    empty texts have the score 0. Columns of ``df`` with these names are replaced; rows are neither lost nor merged.
+    empty texts have the score 0. Of sentences that score alike the first is the worst. Columns of ``df`` with these
+    names are replaced, others stay; rows are neither lost nor merged, repeated ones score alike, an empty table stays
+    empty. Texts of any length are scored whole.
     """
     made = [("score", "double"), ("predicted", "int"), ("n_sentences", "long"), ("n_offending", "long"), ("worst_score", "double"), ("worst_start", "long"), ("worst_end", "long")]
     df = df.drop(*[f"{MADE}{k}" for k, _ in made])

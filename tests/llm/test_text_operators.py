@@ -168,6 +168,62 @@ def test_jump_sharding(spark, edges, nothing):
     assert max(counts) < 1.15 * min(counts) and abs(sum(r.n9 == 8 for r in rows) - 20000 / 9) < 250
 
 
+def test_shards_equal_a_scalar_jump_hash(spark):
+    import struct
+
+    import pyspark.sql.functions as F
+    import xxhash
+
+    def scalar(key, shards):
+        b, j, step = -1, 0, 0
+        while j < shards:
+            b, step = j, step + 1
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+            draw = (xxhash.xxh64_intdigest(struct.pack("<i", step), seed) >> 33) + 1
+            j = int((b + 1) * (float(1 << 31) / draw))
+        return b
+
+    rows = spark.range(500).select("id", *[sharding.jump_hash(F.col("id"), n).alias(f"n{n}") for n in (8, 1000)]).collect()
+    assert all((r.n8, r.n1000) == (scalar(r.id, 8), scalar(r.id, 1000)) for r in rows)
+
+
+def test_packing_against_a_plain_one(spark):
+    rows = [(i % 9, " ".join(["w"] * (1 + i * i % 23))) for i in range(60)] + [(None, None), (3, "w")] * 2
+    out = packing.pack_batches(spark, spark.createDataFrame(rows, "doc_id long, text string"), buckets=4, token_budget=60).collect()
+    lengths = sorted(len((t or "").split()) + 1 for _, t in rows)
+    assert sorted(r.n_tokens for r in out) == lengths
+    import itertools
+
+    top = sorted(set(lengths))
+    best = min(sum(next(b for b in (*cut, top[-1]) if b >= n) - n for n in lengths) for cut in itertools.combinations(top[:-1], 3))
+    assert sum(r.padding for r in out) == best
+    full = defaultdict(int)
+    for r in out:
+        full[r.bucket, r.bucket_len, r.batch] += 1
+    for (bucket, width, batch), n in full.items():
+        last = max(b for k, _, b in full if k == bucket)
+        assert n == max(1, 60 // width) or batch == last
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Rows that are equal, or lack an id, are rows of their own in every operator that gives a row for a row."""
+    t = passage(1)
+    rows = [(1, t, "en", "a", "k"), (1, t, "en", "a", "k"), (None, t, "en", "a", "k"), (None, None, None, None, "k"), (2, passage(2), "en", "b", "k"), (2, t + " more", "en", "b", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string")
+    out = quality.quality_rules(spark, df).collect()
+    assert len(out) == 6 and len({(r.doc_id, r.n_words, r.kept) for r in out}) == 5
+    out = minhash.near_duplicates(spark, df, shingle=3, percent=85).collect()
+    assert len(out) == 6 and {(r.doc_id, r.component_id) for r in out if r.n_shingles} == {(1, 1), (None, 1), (2, 2), (2, 1)} and sum(r.kept for r in out) == 4
+    assert sorted(r.text for r in minhash.without_near_duplicates(spark, df).collect() if r.text) == sorted([t, t, passage(2)])
+    out = mixing.mix_sources(spark, df).collect()
+    assert len(out) == 6 and all(r.taken <= 3 * r.size for r in out)
+    assert mixing.mixed_documents(spark, df.withColumnRenamed("kept", "_text_key")).columns == ["doc_id", "text", "lang", "source", "_text_key"]
+    slots = defaultdict(list)
+    for r in sharding.assign_shards(df, shards=3).collect():
+        slots[r.shard].append(r.slot)
+    assert sorted(len(v) for v in slots.values()) and all(sorted(v) == list(range(len(v))) for v in slots.values()) and sum(map(len, slots.values())) == 6
+
+
 def test_packing(spark, edges, nothing):
     out = packing.pack_batches(spark, edges, buckets=3, token_budget=400).collect()
     assert sorted(r.doc_id for r in out) == [r[0] for r in EDGES]
