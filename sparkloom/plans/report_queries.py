@@ -286,7 +286,7 @@ SQL = {
     "backend_symbols": f"WITH {PATHS}, s AS (SELECT file_id, stem || '.' || functions[1] AS symbol FROM paths), t AS (SELECT *, {_terms('symbol')} AS w FROM s) SELECT file_id, symbol, CASE {_class_sql()} ELSE 'business_logic' END AS kind, CASE {_class_score()} ELSE 0.55 END::DOUBLE AS score FROM t",
     "probe_ranking": f"""WITH {_FILES}, top AS (SELECT *, row_number() OVER (ORDER BY cheap_score DESC, lower(path), file_id) AS rank FROM scored QUALIFY rank <= 40),
 s AS (SELECT *, regexp_matches(lower(name), '{FRAMEWORK_CONFIGS}')::INT + list_has_any(flatten(list_transform(above, lambda f: {SQL_TOKENS.format('f')})), {sql_list(_WORDS)})::INT + list_contains({sql_list(GENERIC_STEMS)}, string_split(lower(stem), '.')[1])::INT + list_has_any(low, {sql_list(SOURCE_FOLDERS)})::INT AS signals FROM top),
-j AS (SELECT file_id, path, 1 - (rank - 1) / 40::DOUBLE AS cheap, coalesce(least(n_chars, 2000) / 2000::DOUBLE, 0) AS probe, signals / 6::DOUBLE AS structural, size / 3000000::DOUBLE AS cost FROM s LEFT JOIN documents ON doc_id = file_id)
+j AS (SELECT file_id, path, 1 - (rank - 1) / 40::DOUBLE AS cheap, CASE WHEN n_chars IS NULL THEN 0 ELSE least(n_chars, 2000) / 2000::DOUBLE END AS probe, signals / 6::DOUBLE AS structural, size / 3000000::DOUBLE AS cost FROM s LEFT JOIN documents ON doc_id = file_id)
 SELECT file_id, path, round(0.35::DOUBLE * cheap + 0.30::DOUBLE * probe + 0.20::DOUBLE * structural - 0.15::DOUBLE * cost, 9) AS score FROM j ORDER BY score DESC, path LIMIT 25""",
     "starting_files": f"""WITH {_FILES} SELECT file_id, path, front, (cheap_score + CASE WHEN ext IN ('jsx', 'tsx') THEN 2 ELSE 1 END + CASE WHEN front IN ('page', 'component', 'form') THEN 3 WHEN front IN ('hook', 'route') THEN 2 ELSE 0 END)::BIGINT AS score FROM scored
 WHERE ext IN ('js', 'jsx', 'ts', 'tsx') AND NOT {_generated()} AND place_role NOT IN ('generated', 'vendor') AND NOT {_IS_TEST} AND front <> 'test' ORDER BY score DESC, lower(path), file_id LIMIT 15""",
