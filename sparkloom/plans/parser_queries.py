@@ -152,6 +152,28 @@ def save():
     pass
 """),
     ("broken.py", "def (@A@:\n"),
+    ("app-routing.ts", """import { Grid as G, @U@Tag } from "@acme/ui";
+import base from '@acme/ui/core';
+import x from "@acme/uikit";
+const routes = [
+  { path: '@A@', component: @U@Page },
+  // { path: 'gone', component: GonePage },
+  { path: "late", loadChildren: () => import('./@B@/late.module') },
+];
+"""),
+    ("webpack.config.js", """module.exports = { plugins: [new Federation({
+  remotes: { @A@: "@A@@http://x/remoteEntry.js" },
+  exposes: { './@B@': './src/@B@' },
+})] };
+customElements.define('@A@-card', Card);
+const t = `<@A@-card></@A@-card><b></b>`;
+"""),
+    ("page.html", """<a href="/login/@A@">Go</a>
+<button (click)="sign@U@">Login @B@</button>
+<button onClick="other">Other</button>
+<a routerLink="/home">Home</a>
+<form (ngSubmit)="loginUser"></form>
+"""),
 )
 
 #: For each query the facts by template.
@@ -166,6 +188,7 @@ FACTS = {
         "View.tsx": [("import", "default", "React", "react"), ("import", "dynamic", "", "./@A@"), ("export", "named", "@U@Page", "")],
         "x.component.ts": [("export", "named", "X", "")],
         "frame.ts": [("export", "named", "HOME_ROUTE", "")],
+        "app-routing.ts": [("import", "named", "{ Grid as G, @U@Tag }", "@acme/ui"), ("import", "default", "base", "@acme/ui/core"), ("import", "default", "x", "@acme/uikit"), ("import", "dynamic", "", "./@B@/late.module")],
     },
     "script_symbols": {
         "module.ts": [("class", "@U@Service"), ("hook", "use@U@"), ("function", "build@U@"), ("interface", "@U@Props"), ("type", "Id"), ("enum", "Color"), ("component", "@U@Card")],
@@ -178,6 +201,11 @@ FACTS = {
         "main.go": [("go", "ANY", "/@A@", "handle@U@"), ("go", "PUT", "/@B@", "show"), ("go", "GET", "/chi/@A@", "get@U@")],
         "app.py": [("python", "GET", "/@A@", ""), ("python", "POST,GET", "/@B@", "")],
     },
+    "frontend_boundaries": {
+        "app-routing.ts": [("route component", "@A@", "@U@Page"), ("route lazy", "late", "./@B@/late.module"), ("uses", "@acme/ui", "Grid"), ("uses", "@acme/ui", "@U@Tag"), ("uses", "@acme/ui/core", "base")],
+        "webpack.config.js": [("remotes", "@A@", "@A@@http://x/remoteEntry.js"), ("exposes", "./@B@", "./src/@B@"), ("defines", "@A@-card", "Card"), ("element", "@A@-card", "")],
+    },
+    "entry_candidates": {"page.html": [("route", "", "/login/@A@", "0.94"), ("tag", "sign@U@", "Login @B@", "0.84"), ("tag", "other", "Other", "0.35"), ("form", "loginUser", "form submit", "0.82")]},
     "go_functions": {"main.go": [("main",), ("Serve@U@",)]},
     "ui_links": {
         "View.tsx": [("react", "renders", "@U@Card"), ("react", "renders", "Layout.Row"), ("react", "hook", "useState"), ("react", "hook", "useAuth"), ("react", "calls", "fetch"), ("react", "calls", "@A@Api.load"), ("react", "lazy", "./@A@")],
@@ -209,6 +237,7 @@ FACTS = {
 }
 COLUMNS = {
     "script_modules": ("form", "kind", "name", "source"), "script_symbols": ("kind", "name"), "server_routes": ("framework", "method", "route", "handler"), "go_functions": ("name",), "ui_links": ("framework", "kind", "name"),
+    "frontend_boundaries": ("kind", "name", "value"), "entry_candidates": ("kind", "symbol", "label", "score"),
     "test_names": ("form", "name"), "workspace_references": ("kind", "name", "value"), "manifests": ("kind", "name", "value"), "python_sources": ("reader", "kind", "name", "line", "detail"),
 }
 
@@ -264,6 +293,21 @@ def ui_links(spark, sf_dir):
     return react.unionByName(_of(f, r"\.component\.ts$").select("file_id", F.lit("angular").alias("framework"), F.inline(scripts.angular_component(F.col("text")))))
 
 
+def frontend_boundaries(spark, sf_dir):
+    """Routes of Angular tables, uses of known packages, and the signs of module federations and custom elements."""
+    f = _of(sources(spark, sf_dir), _SCRIPT)
+    text = F.col("text")
+    out = f.select("file_id", F.inline(scripts.boundary_signals(text)))
+    routes = f.select("file_id", F.inline(scripts.angular_routes(text)).alias("k", "name", "value")).select("file_id", F.concat(F.lit("route "), "k").alias("kind"), "name", "value")
+    uses = f.select("file_id", F.lit("uses").alias("kind"), F.inline(scripts.library_usage(text, ["@acme/ui"])).alias("name", "value"))
+    return out.where(F.col("name").isNotNull()).unionByName(routes).unionByName(uses)
+
+
+def entry_candidates(spark, sf_dir):
+    f = _of(sources(spark, sf_dir), r"\.html$")
+    return f.select("file_id", F.inline(scripts.entry_candidates(F.col("text"), ["login"]))).withColumn("score", F.col("score").cast("string"))
+
+
 def test_names(spark, sf_dir):
     return _of(sources(spark, sf_dir), r"^test_.*\.py$|\.test\.[jt]s$").select("file_id", F.inline(scripts.test_functions(F.col("text"))))
 
@@ -315,4 +359,4 @@ SELECT target_path, count(*) AS n, count(*) FILTER (high) AS high, count(DISTINC
 UNION ALL SELECT 'files ' || f, (f + 4) // 5, f - 1 + f // 2, 2 * f + f - 1 + f // 2, 6 * f + 12 * ((f + 4) // 5) FROM range(50, 3050, 250) t(f)""",
 }
 
-QUERIES = {f.__name__: f for f in (script_modules, script_symbols, server_routes, go_functions, ui_links, test_names, workspace_references, manifests, python_sources, synthetic_repositories)}
+QUERIES = {f.__name__: f for f in (script_modules, script_symbols, server_routes, go_functions, ui_links, frontend_boundaries, entry_candidates, test_names, workspace_references, manifests, python_sources, synthetic_repositories)}

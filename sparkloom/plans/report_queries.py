@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normal as N
 from ..functions import paths as X
 from ..functions import relevance as R
-from ..operators import graph, joining
+from ..operators import folds, graph, joining
 from ..store import Stage
 from .code_queries import _DESCRIBED, _PLACED, TASKS, _candidate_sql, described_files
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_list
@@ -255,8 +255,95 @@ def related_edges(spark, sf_dir):
     return inside.unionByName(out).groupBy("direction").agg(F.count("*").alias("n"), F.min("node").alias("first"))
 
 
+def diff_verification(spark, sf_dir):
+    """What a change of each nation's orders means: fail, warn or pass by what was removed, added and left open."""
+    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey <> 24")
+    g = o.groupBy("c_nationkey").agg(F.count_if(F.col("o_orderkey") % 60 == 1).alias("removed"), F.count_if(F.col("o_orderkey") % 25 == 2).alias("added"), F.count_if((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 400 == 3)).alias("unresolved"))
+    status = F.when(F.col("unresolved") > 0, "fail").when(F.col("removed") > F.col("added"), "warn").otherwise("pass")
+    return g.withColumn("status", status)
+
+
+def strategy_costs(spark, sf_dir):
+    """Two strategies compared by segment: averages before and after, and whether the second earned its cost."""
+    c = read(spark, sf_dir, "customer").select("c_mktsegment", (F.floor(F.col("c_acctbal")) % 2 == 0).alias("second"), (F.floor(F.abs("c_acctbal")) % 8 / 8).alias("recall"), (F.col("c_custkey") % 4 / 4).alias("coverage"), (F.col("c_custkey") % 3).alias("missed"))
+    g = c.groupBy("c_mktsegment").agg(*[F.round(F.avg(F.when(F.col("second") == f, F.col(x))), 9).alias(f"{x}_{i}") for x in ("recall", "coverage") for i, f in ((0, False), (1, True))], *[F.sum(F.when(F.col("second") == f, F.col("missed"))).alias(f"missed_{i}") for i, f in ((0, False), (1, True))])
+    more = F.col("recall_1") - F.col("recall_0")
+    why = F.when(more > 1e-12, "recall").when(F.col("missed_1") < F.col("missed_0"), "fewer missed").when((F.abs(more) <= 1e-12) & (F.col("coverage_1") > F.col("coverage_0") + 1e-12), "coverage").otherwise("not earned")
+    return g.select("c_mktsegment", F.round(more, 9).alias("recall_gain"), F.round(F.col("coverage_1") - F.col("coverage_0"), 9).alias("coverage_gain"), why.alias("earned_by"))
+
+
+def symbol_hints(spark, sf_dir):
+    """Symbols by priority class (files selected, then by matched words) and score: two a file, forty in all."""
+    words = R.task_terms(TASKS[0])
+    f = code_files(spark, sf_dir).select("file_id", "path", F.col("path").isin("src/index.py", "src/UserCard").alias("selected"), F.explode(F.concat("classes", "functions")).alias("symbol"))
+    hits = lambda c: sum((X.plain_text(c).contains(w).cast("int") for w in words), F.lit(0))
+    either = sum(((X.plain_text(F.col("symbol")).contains(w) | X.plain_text(F.col("path")).contains(w)).cast("int") for w in words), F.lit(0))
+    f = f.withColumns({"s": hits(F.col("symbol")), "p": hits(F.col("path")), "m": either})
+    s, p = F.col("s"), F.col("p")
+    made = lambda rank, score: F.struct(F.lit(rank).alias("rank"), score.cast("long").alias("score"))
+    chosen = F.when(F.col("selected") & (s >= 2), made(0, 500 + 70 * s + 10 * p)).when(F.col("selected") & (s > 0), made(1, 400 + 60 * s + 8 * p)).when(F.col("selected") & (p > 0), made(2, 300 + 20 * p)).when(F.col("selected"), made(2, F.lit(280)))
+    rest = F.when(F.col("m") >= 2, made(3, 220 + 60 * s + 10 * p)).when(F.col("m") == 1, made(4, 140 + 40 * s + 5 * p)).otherwise(made(5, F.lit(0)))
+    f = f.withColumn("c", F.coalesce(chosen, rest)).select("file_id", "path", "symbol", "c.rank", "c.score").where("rank < 5")
+    order = [F.col("rank"), F.desc("score"), F.col("path"), F.col("symbol"), F.col("file_id")]
+    few = f.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(*order))).where("r <= 2").orderBy(*order).limit(40)
+    return few.select("file_id", "symbol", F.col("rank").cast("long").alias("rank"), "score", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+
+
+def workspace_relevance(spark, sf_dir):
+    """Suppliers as nodes by the words they share with a task, ten a word, and what speaks for them; the rest counted."""
+    s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    words = F.array(*[F.lit(w) for w in ("nation", "supplier", "7", "12")])
+    text = F.concat_ws(" ", F.regexp_replace("s_name", "[^A-Za-z0-9]+", " "), F.regexp_replace("n_name", "[^A-Za-z0-9]+", " "))
+    score = F.size(F.array_intersect(words, F.split(F.lower(text), " "))) * 10 + F.when(F.col("s_acctbal") > 0, 5).otherwise(0)
+    rows = s.select("s_suppkey", score.cast("long").alias("score"))
+    total = rows.agg(F.count("*")).scalar()
+    order = [F.desc("score"), F.col("s_suppkey")]
+    return rows.orderBy(*order).limit(12).select("s_suppkey", "score", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), (total - 12).alias("omitted"))
+
+
+def snippet_budget(spark, sf_dir):
+    """Snippets of each source in the order of their documents, as long as they fit in 900 tokens; later ones may fit."""
+    d = read(spark, sf_dir, "documents").select("source", "doc_id", F.least(F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / 3.3), F.lit(300)).cast("long").alias("tokens"))
+    return folds.fill_budget(spark, d, ["source"], [F.col("doc_id")], "doc_id", "tokens", 900).where("admitted").select("source", "doc_id", "tokens")
+
+
+def budget_downgrade(spark, sf_dir):
+    """Which representations become lighter, tier by tier and the largest first, until each nation's parts fit its budget."""
+    s = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 7 * 40 + 60).alias("tokens"))
+    steps = s.select("s_nationkey", "s_suppkey", "tokens", F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
+    saved = F.when(F.col("step") == 1, F.col("tokens") - F.floor(F.col("tokens") / 2)).otherwise(F.floor(F.col("tokens") / 2) - F.floor(F.col("tokens") / 8))
+    steps = steps.withColumns({"saved": saved, "whole": F.sum(F.when(F.col("step") == 1, F.col("tokens"))).over(Window.partitionBy("s_nationkey"))})
+    w = Window.partitionBy("s_nationkey").orderBy("step", F.desc("tokens"), "s_suppkey").rowsBetween(Window.unboundedPreceding, -1)
+    done = steps.withColumn("left", F.col("whole") - F.coalesce(F.sum("saved").over(w), F.lit(0))).where("left > 100")
+    return done.select("s_nationkey", "s_suppkey", F.col("step").cast("long").alias("step"), F.col("saved").cast("long").alias("saved"), F.col("left").cast("long").alias("tokens_before"))
+
+
+def library_probe(spark, sf_dir):
+    """Where an import's library is found: installed with declarations, vendored, an archive, opaque, or nowhere."""
+    f = code_files(spark, sf_dir)
+    wanted = f.select(F.explode("functions").alias("library")).groupBy("library").agg(F.count("*").alias("uses"))
+    found = f.select(F.col("functions")[0].alias("library"), F.when(F.col("path").startswith("node_modules") & F.col("path").endswith(".ts"), 0).when(F.col("path").startswith("vendor"), 1).when(F.col("path").endswith(".key"), 2).when(F.col("path").startswith("node_modules"), 3).alias("rank"), "path").where("rank is not null")
+    best = found.groupBy("library").agg(F.min(F.struct("rank", "path")).alias("b"))
+    kinds = F.array(*[F.lit(k) for k in ("declarations", "vendored", "archive", "opaque")])
+    return wanted.join(best, "library", "left").select("library", "uses", F.coalesce(F.get(kinds, F.col("b.rank")), F.lit("missing")).alias("kind"), F.col("b.path").alias("path"))
+
+
+def workflow_states(spark, sf_dir):
+    """What is wrong with the record of each conversation, and the next action."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = read(spark, sf_dir, "conversations").withColumn("prev", F.lag("role").over(w))
+    g = c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("first"), F.max_by("role", "turn").alias("last"), F.count("*").alias("n"), F.count_if(F.col("prev") == F.col("role")).alias("repeats"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty"))
+    issues = F.array_compact(F.array(F.when(~F.coalesce(F.lower("first").isin("user", "system"), F.lit(False)), "start"), F.when(F.col("repeats") > 0, "repeated"), F.when(F.col("empty") > 0, "empty"), F.when(F.col("n") % 2 == 1, "odd")))
+    action = F.when(F.array_contains(issues, "empty"), "stop").when(F.col("last") == "user", "answer").when(F.size(issues) > 0, "review").otherwise("done")
+    return g.select("conv_id", F.array_join(issues, ",").alias("issues"), action.alias("action"))
+
+
 # --- SQL
 
+_TASK_WORDS = R.task_terms(TASKS[0])
+_PLAIN = "lower(translate({0}, '\\_-', '/  '))"
+_HITS = {c: " + ".join(f"contains({_PLAIN.format(c)}, '{w}')::INT" for w in _TASK_WORDS) for c in ("symbol", "path")}
+_EITHER = " + ".join(f"(contains({_PLAIN.format('symbol')}, '{w}') OR contains({_PLAIN.format('path')}, '{w}'))::INT" for w in _TASK_WORDS)
 _FILES = f"""{_DESCRIBED}, {_PLACED}, scored AS (SELECT *, ({_candidate_sql(TASKS[0])})::BIGINT AS cheap_score FROM placed)"""
 _WORDS = R.task_words(TASKS[0], R.CANDIDATE_STOP_WORDS)
 _IS_TEST = "(list_has_any(low, ['__tests__', 'spec', 'specs', 'test', 'tests']) OR regexp_matches(lower(stem), '^test_|_test$|\\.test$|\\.spec$'))"
@@ -332,6 +419,35 @@ SELECT seed, node, min(depth)::BIGINT AS depth FROM (SELECT * FROM x UNION ALL S
 SELECT p_partkey, CASE WHEN doc_id IS NULL THEN 'missing' WHEN n > 20000 THEN 'too_large' WHEN n = 0 THEN 'empty' ELSE 'read' END AS status, CASE WHEN doc_id IS NOT NULL AND n <= 20000 THEN least(n, 500) END::BIGINT AS bytes FROM j""",
     "config_values": """SELECT event_id, 'a.id' AS key, event_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events
 UNION ALL SELECT event_id, 'a.in.' || k, json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""",
+    "diff_verification": """WITH g AS (SELECT c_nationkey, count(*) FILTER (o_orderkey % 60 = 1) AS removed, count(*) FILTER (o_orderkey % 25 = 2) AS added, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 400 = 3) AS unresolved FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 24 GROUP BY 1)
+SELECT *, CASE WHEN unresolved > 0 THEN 'fail' WHEN removed > added THEN 'warn' ELSE 'pass' END AS status FROM g""",
+    "strategy_costs": """WITH c AS (SELECT c_mktsegment, floor(c_acctbal)::BIGINT % 2 = 0 AS second, floor(abs(c_acctbal))::BIGINT % 8 / 8::DOUBLE AS recall, c_custkey % 4 / 4::DOUBLE AS coverage, c_custkey % 3 AS missed FROM customer),
+g AS (SELECT c_mktsegment, round(avg(recall) FILTER (NOT second), 9) AS r0, round(avg(recall) FILTER (second), 9) AS r1, round(avg(coverage) FILTER (NOT second), 9) AS c0, round(avg(coverage) FILTER (second), 9) AS c1, sum(missed) FILTER (NOT second) AS m0, sum(missed) FILTER (second) AS m1 FROM c GROUP BY 1)
+SELECT c_mktsegment, round(r1 - r0, 9) AS recall_gain, round(c1 - c0, 9) AS coverage_gain, CASE WHEN r1 - r0 > 1e-12 THEN 'recall' WHEN m1 < m0 THEN 'fewer missed' WHEN abs(r1 - r0) <= 1e-12 AND c1 > c0 + 1e-12 THEN 'coverage' ELSE 'not earned' END AS earned_by FROM g""",
+    "symbol_hints": f"""WITH {CODE}, f AS (SELECT file_id, path, path IN ('src/index.py', 'src/UserCard') AS selected, unnest(classes || functions) AS symbol FROM code), h AS (SELECT *, {_HITS['symbol']} AS s, {_HITS['path']} AS p, {_EITHER} AS m FROM f),
+c AS (SELECT *, CASE WHEN selected AND s >= 2 THEN 0 WHEN selected AND s > 0 THEN 1 WHEN selected THEN 2 WHEN m >= 2 THEN 3 WHEN m = 1 THEN 4 ELSE 5 END AS rank,
+  CASE WHEN selected AND s >= 2 THEN 500 + 70 * s + 10 * p WHEN selected AND s > 0 THEN 400 + 60 * s + 8 * p WHEN selected AND p > 0 THEN 300 + 20 * p WHEN selected THEN 280 WHEN m >= 2 THEN 220 + 60 * s + 10 * p WHEN m = 1 THEN 140 + 40 * s + 5 * p ELSE 0 END AS score FROM h),
+t AS (SELECT * FROM c WHERE rank < 5 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY rank, score DESC, path, symbol) <= 2)
+SELECT file_id, symbol, rank::BIGINT AS rank, score::BIGINT AS score, row_number() OVER (ORDER BY rank, score DESC, path, symbol, file_id) AS place FROM t QUALIFY place <= 40""",
+    "workspace_relevance": """WITH s AS (SELECT s_suppkey, s_acctbal, string_split(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g') || ' ' || regexp_replace(n_name, '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+r AS (SELECT s_suppkey, (10 * len(list_intersect(['nation', 'supplier', '7', '12'], w)) + CASE WHEN s_acctbal > 0 THEN 5 ELSE 0 END)::BIGINT AS score, count(*) OVER () - 12 AS omitted FROM s)
+SELECT s_suppkey, score, row_number() OVER (ORDER BY score DESC, s_suppkey) AS place, omitted FROM r QUALIFY place <= 12""",
+    "snippet_budget": """WITH RECURSIVE d AS (SELECT source, doc_id, least(ceil(length(coalesce(text, '')) / 3.3::DOUBLE), 300)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
+f AS (SELECT source, 0::BIGINT AS place, 0::BIGINT AS used, NULL::BIGINT AS doc_id, 0::BIGINT AS tokens, false AS admitted FROM (SELECT DISTINCT source FROM d)
+  UNION ALL SELECT d.source, d.place, CASE WHEN used + d.tokens <= 900 THEN used + d.tokens ELSE used END, d.doc_id, d.tokens, used + d.tokens <= 900 FROM f JOIN d ON d.source = f.source AND d.place = f.place + 1)
+SELECT source, doc_id, tokens FROM f WHERE admitted""",
+    "budget_downgrade": """WITH s AS (SELECT s_nationkey, s_suppkey, s_suppkey % 7 * 40 + 60 AS tokens FROM supplier), t AS (SELECT *, sum(tokens) OVER (PARTITION BY s_nationkey) AS whole FROM s),
+x AS (SELECT *, CASE WHEN step = 1 THEN tokens - tokens // 2 ELSE tokens // 2 - tokens // 8 END AS saved FROM t, (VALUES (1), (2)) v(step)),
+l AS (SELECT *, whole - coalesce(sum(saved) OVER (PARTITION BY s_nationkey ORDER BY step, tokens DESC, s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS tokens_before FROM x)
+SELECT s_nationkey, s_suppkey, step::BIGINT AS step, saved::BIGINT AS saved, tokens_before::BIGINT AS tokens_before FROM l WHERE tokens_before > 100""",
+    "library_probe": f"""WITH {CODE}, w AS (SELECT library, count(*) AS uses FROM (SELECT unnest(functions) AS library FROM code) GROUP BY 1),
+f AS (SELECT functions[1] AS library, CASE WHEN starts_with(path, 'node_modules') AND ends_with(path, '.ts') THEN 0 WHEN starts_with(path, 'vendor') THEN 1 WHEN ends_with(path, '.key') THEN 2 WHEN starts_with(path, 'node_modules') THEN 3 END AS rank, path FROM code),
+b AS (SELECT * FROM f WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY library ORDER BY rank, path) = 1)
+SELECT library, uses, coalesce(['declarations', 'vendored', 'archive', 'opaque'][rank + 1], 'missing') AS kind, path FROM w LEFT JOIN b USING (library)""",
+    "workflow_states": """WITH c AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
+g AS (SELECT conv_id, arg_min(role, turn) AS first, arg_max(role, turn) AS last, count(*) AS n, count(*) FILTER (prev = role) AS repeats, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty FROM c GROUP BY 1),
+i AS (SELECT *, list_filter([CASE WHEN NOT coalesce(lower(first) IN ('user', 'system'), false) THEN 'start' END, CASE WHEN repeats > 0 THEN 'repeated' END, CASE WHEN empty > 0 THEN 'empty' END, CASE WHEN n % 2 = 1 THEN 'odd' END], lambda x: x IS NOT NULL) AS issues FROM g)
+SELECT conv_id, array_to_string(issues, ',') AS issues, CASE WHEN list_contains(issues, 'empty') THEN 'stop' WHEN last = 'user' THEN 'answer' WHEN len(issues) > 0 THEN 'review' ELSE 'done' END AS action FROM i""",
     "related_edges": f"""WITH {_FILES}, {_EDGES}, m AS (SELECT file_id FROM scored WHERE cheap_score >= 6), e AS (SELECT DISTINCT source, target FROM priced WHERE cost >= 1),
 r AS (SELECT DISTINCT target AS node, 'inside' AS direction FROM e WHERE source IN (SELECT file_id FROM m) AND target IN (SELECT file_id FROM m) UNION SELECT DISTINCT target, 'out' FROM e WHERE source IN (SELECT file_id FROM m) AND target NOT IN (SELECT file_id FROM m) UNION SELECT DISTINCT source, 'in' FROM e WHERE target IN (SELECT file_id FROM m) AND source NOT IN (SELECT file_id FROM m))
 SELECT direction, count(*) AS n, min(node) AS first FROM r GROUP BY 1""",
@@ -340,4 +456,5 @@ SELECT direction, count(*) AS n, min(node) AS first FROM r GROUP BY 1""",
 QUERIES = {f.__name__: f for f in (
     backend_symbols, probe_ranking, starting_files, path_lookup, repository_matches, unresolved_relations, journey_checks, bounded_diagnostics, status_summaries, resolution_merge, role_assessments,
     representation_order, budget_values, byte_capped_probe, component_summary, call_trace, selected_sources, config_values, related_edges,
+    diff_verification, strategy_costs, symbol_hints, workspace_relevance, snippet_budget, budget_downgrade, library_probe, workflow_states,
 )}

@@ -160,6 +160,59 @@ def references(text: Column) -> Column:
     return F.concat(*out)
 
 
+def angular_routes(text: Column) -> Column:
+    """``[{kind, route, target}]`` of route tables: components, and parts that are loaded late."""
+    bare = without_comments(text)
+    plain = _found(bare, r"""\{\s*path\s*:\s*['"]([^'"\n]*)['"]\s*,\s*component\s*:\s*([A-Z]\w*)""", {"p": 1, "t": 2})
+    late = _found(bare, r"""\{\s*path\s*:\s*['"]([^'"\n]*)['"]\s*,\s*load(?:Children|Component)\s*:\s*\(\s*\)\s*=>\s*import\s*\(\s*['"]([^'"\n]+)['"]""", {"p": 1, "t": 2})
+    return F.concat(*[_rows(f, kind=_constant(k), route=lambda x: x["p"], target=lambda x: x["t"]) for k, f in (("component", plain), ("lazy", late))])
+
+
+def boundary_signals(text: Column) -> Column:
+    """``[{kind, name, value}]``: remotes and exposed parts of a module federation, custom elements defined and used."""
+    bare = without_comments(text)
+    out = []
+    for kind in ("remotes", "exposes"):
+        body = F.regexp_extract(bare, rf"\b{kind}\s*:\s*\{{([^}}]*)\}}", 1)
+        out.append(_rows(_found(body, r"""['"]?([\w./@$-]+)['"]?\s*:\s*['"]([^'"]+)['"]""", {"n": 1, "v": 2}), kind=_constant(kind), name=lambda x: x["n"], value=lambda x: x["v"]))
+    defined = _found(bare, r"""\bcustomElements\s*\.\s*define\s*\(\s*['"]([a-z][\w.]*-[\w.-]+)['"]\s*,\s*(\w+)""", {"n": 1, "v": 2})
+    used = F.array_distinct(_rows(_found(bare, r"<([a-z][\w.]*-[\w.-]+)", {"n": 1}), kind=_constant("element"), name=lambda x: x["n"], value=_constant("")))
+    return F.concat(*out, _rows(defined, kind=_constant("defines"), name=lambda x: x["n"], value=lambda x: x["v"]), used)
+
+
+def library_usage(text: Column, packages: list[str]) -> Column:
+    """``[{package, name}]``: what a script imports from known packages or parts of them, name by name."""
+    known = F.array(*[F.lit(p) for p in packages])
+    own = F.filter(script_imports(text), lambda x: F.exists(known, lambda p: (x["source"] == p) | x["source"].startswith(F.concat(p, F.lit("/")))))
+    names = lambda x: F.filter(F.transform(F.split(F.regexp_replace(x["clause"], "[{}]", ","), ","), lambda y: F.trim(F.regexp_replace(y, r"\s+as\s+\w+$", ""))), lambda y: y != "")
+    return F.flatten(F.transform(own, lambda x: F.transform(names(x), lambda y: F.struct(x["source"].alias("package"), y.alias("name")))))
+
+
+def entry_candidates(text: Column, words: list[str]) -> Column:
+    """``[{kind, symbol, label, score}]`` where a journey may start: links, buttons and handlers that speak of the words.
+
+    A route or an address of a link 0.94, a button's or link's label 0.84, an event's handler 0.82; a handler of nothing
+    that was asked for 0.35.
+    """
+    said = lambda c: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.lower(c).contains(w))
+    tags = _found(text, r"""<(a|button)\b([^>]*)>([^<]*)</""", {"t": 1, "a": 2, "l": 3})
+    route = lambda x: F.regexp_extract(x["a"], r"""\b(?:href|routerLink)\s*=\s*['"]([^'"]+)['"]""", 1)
+    handler = lambda x: F.regexp_extract(x["a"], r"""(?:\(click\)|onClick)\s*=\s*['"{]\s*(\w+)""", 1)
+    fact = lambda kind, symbol, label, score: F.struct(F.lit(kind).alias("kind"), symbol.alias("symbol"), label.alias("label"), F.lit(score).alias("score"))
+
+    def of_tag(x: Column) -> Column:
+        label, way, does = F.trim(x["l"]), route(x), handler(x)
+        asked = said(label) | said(does)
+        return F.array_compact(F.array(
+            F.when((way != "") & said(way), fact("route", F.lit(""), way, 0.94)),
+            F.when(asked, fact("tag", does, label, 0.84)).when(does != "", fact("tag", does, label, 0.35)),
+        ))
+
+    forms = _found(text, r"""<form\b[^>]*(?:\(ngSubmit\)|onSubmit)\s*=\s*['"{]\s*(\w+)""", {"h": 1})
+    submits = F.transform(F.filter(forms, lambda x: said(x["h"])), lambda x: fact("form", x["h"], F.lit("form submit"), 0.82))
+    return F.concat(F.flatten(F.transform(tags, of_tag)), submits)
+
+
 def nest_routes(files: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line, method, path, handler`` of controller classes: a route takes the prefix of its class and the next method.
 
