@@ -227,8 +227,7 @@ def repair_conversations(spark: SparkSession, df: DataFrame, *, conv_col="conv_i
     """
     stage = Stage(spark, "chat")
     role = F.lower(F.trim(F.col(role_col).cast("string")))
-    for alias, name in ALIASES.items():
-        role = F.when(role == alias, name).otherwise(role)
+    role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), role), role)
     number = F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ROLES]), role) - 1, F.lit(-1)).cast("int")
     turns = df.select(
         F.col(conv_col).cast("long").alias("conv"),
