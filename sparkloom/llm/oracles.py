@@ -153,10 +153,71 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+OP11 = """
+WITH fine AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT vec_id, (i - 1) // (len(v) // 16) AS part, (i - 1) % (len(v) // 16) AS place, v[i] AS x FROM fine, unnest(range(1, len(v) + 1)) AS u(i)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT vec_id FROM fine ORDER BY vec_id LIMIT 64)),
+books0 AS MATERIALIZED (SELECT part, entry, place, x FROM parts JOIN first USING (vec_id)),
+near0 AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, away * 64 + entry) AS entry, min(away) AS away FROM (
+    SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS away
+    FROM parts p JOIN books0 b ON p.part = b.part AND p.place = b.place GROUP BY p.vec_id, p.part, b.entry) GROUP BY vec_id, part),
+books1 AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM books0 b LEFT JOIN (
+    SELECT part, entry, place, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS x FROM near0 JOIN parts USING (vec_id, part) GROUP BY part, entry, place
+  ) m ON b.part = m.part AND b.entry = m.entry AND b.place = m.place),
+near1 AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, away * 64 + entry) AS entry, min(away) AS away FROM (
+    SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS away
+    FROM parts p JOIN books1 b ON p.part = b.part AND p.place = b.place GROUP BY p.vec_id, p.part, b.entry) GROUP BY vec_id, part),
+books2 AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce(m.x, b.x) AS x FROM books1 b LEFT JOIN (
+    SELECT part, entry, place, (sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS x FROM near1 JOIN parts USING (vec_id, part) GROUP BY part, entry, place
+  ) m ON b.part = m.part AND b.entry = m.entry AND b.place = m.place),
+near2 AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, away * 64 + entry) AS entry, min(away) AS away FROM (
+    SELECT p.vec_id, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS away
+    FROM parts p JOIN books2 b ON p.part = b.part AND p.place = b.place GROUP BY p.vec_id, p.part, b.entry) GROUP BY vec_id, part),
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(away)::BIGINT AS error FROM near2 GROUP BY vec_id),
+digest AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM books2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN fine USING (vec_id), digest
+"""
+
+OP12 = r"""
+WITH docs AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+by_doc AS (SELECT lang, source, r, term, count(*) AS n FROM docs, unnest(w) AS u(term) GROUP BY ALL),
+counts AS (SELECT lang, source, term, sum(n) AS n, count(*) AS d FROM by_doc GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS lang_n FROM counts GROUP BY ALL HAVING sum(d) >= 10),
+langs AS (SELECT lang, count(term) AS v, coalesce(sum(lang_n), 0) AS lang_total FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+cells AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, lang_n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+),
+rates AS (
+  SELECT lang, source, term, n, 1 + (1000000000 * (n + 2))::HUGEINT // (total + 2 * v)::HUGEINT AS p, 1 + (1000000000 * (lang_n + 2))::HUGEINT // (lang_total + 2 * v)::HUGEINT AS q
+  FROM cells JOIN langs USING (lang)
+),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+found AS (
+  SELECT lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b USING (lang) LEFT JOIN sums s USING (lang) WHERE a.source <> b.source AND (s.lang IS NULL OR (s.source = a.source AND s.item = b.source))
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM rates WHERE n > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 SQL = {
     "op1_quality_rules": OP1,
     "op2_minhash_near_dedup": OP2,
     "op3_embedding_near_dedup": OP3,
     "op6_line_dedup": OP6,
     "op9_source_mixing": OP9,
+    "op11_value_dictionaries": OP11,
+    "op12_source_divergence": OP12,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, embeddings, lines, minhash, mixing, oracles, packing, quality, repeats, sharding, toxicity
+from . import chat, codes, divergence, embeddings, lines, minhash, mixing, oracles, packing, pages, quality, repeats, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,19 @@ def op10_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress_vectors(spark, table(spark, sf_dir, "embeddings"))
+    return coded.drop("label").withColumn("codebooks_sha256", F.lit(codes.books_digest(books)))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -75,6 +88,9 @@ def queries() -> dict:
         "op8_length_packing": op8_length_packing,
         "op9_source_mixing": op9_source_mixing,
         "op10_jump_sharding": op10_jump_sharding,
+        "op11_value_dictionaries": op11_value_dictionaries,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_html_extraction": op13_html_extraction,
         "pipeline": corpus_pipeline.run,
     }
 
