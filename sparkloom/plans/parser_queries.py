@@ -174,6 +174,26 @@ const t = `<@A@-card></@A@-card><b></b>`;
 <a routerLink="/home">Home</a>
 <form (ngSubmit)="loginUser"></form>
 """),
+    ("hard.ts", """const quotes = /["'`{]/g; // a quote in an expression opens nothing
+import { @A@ } from "./@A@"; /* { export const gone = 1 */ import "./side";
+export function split(text = "}", { sep = /[/{]/ } = {}) {
+  const half = text.length / 2 / 1, tpl = `not ${"{"} code
+export const inside = "@B@";
+`;
+  return text.split(/\\/{2}/).map((x) => { return x; });
+}
+const long = "@LONG@";
+export class @U@Box extends Base<{ a: string }> {
+  run() { return 'it\\'s }'; }
+  inner = () => {
+  };
+}
+export const @B@Fn = async function () {
+};
+type Pair = { a: 1 };
+declare function noBody(a: string): void;
+function open(
+""".replace("@LONG@", "{'`" * 700)),
 )
 
 #: For each query the facts by template.
@@ -185,6 +205,7 @@ FACTS = {
             ("export", "listed", "z", ""), ("export", "listed", "all", ""), ("export", "listed", "q", "./q@B@"), ("export", "star", "", "./more@A@"),
         ],
         "cats.controller.ts": [("import", "named", "{ Controller, Get }", "@nestjs/common"), ("export", "named", "@U@Controller", ""), ("export", "named", "Hidden", "")],
+        "hard.ts": [("import", "named", "{ @A@ }", "./@A@"), ("export", "named", "split", ""), ("export", "named", "@U@Box", ""), ("export", "named", "@B@Fn", "")],
         "View.tsx": [("import", "default", "React", "react"), ("import", "dynamic", "", "./@A@"), ("export", "named", "@U@Page", "")],
         "x.component.ts": [("export", "named", "X", "")],
         "frame.ts": [("export", "named", "HOME_ROUTE", "")],
@@ -193,6 +214,7 @@ FACTS = {
     "script_symbols": {
         "module.ts": [("class", "@U@Service"), ("hook", "use@U@"), ("function", "build@U@"), ("interface", "@U@Props"), ("type", "Id"), ("enum", "Color"), ("component", "@U@Card")],
         "cats.controller.ts": [("class", "@U@Controller"), ("class", "Hidden")], "View.tsx": [("component", "@U@Page")], "x.component.ts": [("class", "X")],
+        "hard.ts": [("function", "split"), ("class", "@U@Box"), ("type", "Pair"), ("function", "noBody"), ("function", "open")],
     },
     "server_routes": {
         "server.js": [("express", "GET", "/@A@", "list@U@"), ("express", "POST", "/@A@/:id", ""), ("express", "GET", "/@B@", "show"), ("express", "DELETE", "/@B@", "drop")],

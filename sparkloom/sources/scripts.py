@@ -8,23 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_NAME = r"[A-Za-z_$][\w$]*"
-_COMMENTS = r"""("(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\[\s\S]|[^`\\])*`)|//[^\n]*|/\*[\s\S]*?\*/"""
-
-
-def without_comments(text: Column) -> Column:
-    """A script without its comments; what looks like a comment inside a string or template stays."""
-    return F.regexp_replace(text, _COMMENTS, "$1")
-
+from .lexer import code_mask, plain_strings, without_comments
 
-def without_strings(text: Column) -> Column:
-    """A script without comments and with empty strings, for looking at code alone."""
-    return F.regexp_replace(F.regexp_replace(text, _COMMENTS, "$1"), r"""(["'`])(?:\\[\s\S]|(?!\1)[^\\])*\1""", "$1$1")
+_NAME = r"[A-Za-z_$][\w$]*"
 
 
 def balanced(text: Column, opened: str = "{", closed: str = "}") -> Column:
     """Whether every brace outside strings and comments is closed, and none closed before it is opened."""
-    only = F.filter(F.split(F.regexp_replace(without_strings(text), f"[^\\{opened}\\{closed}]", ""), ""), lambda x: x != "")
+    only = F.filter(F.split(F.regexp_replace(code_mask(text), f"[^\\{opened}\\{closed}]", ""), ""), lambda x: x != "")
     start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("ok"))
     step = F.aggregate(only, start, lambda s, x: F.struct((s["n"] + F.when(x == opened, 1).otherwise(-1)).alias("n"), (s["ok"] & (s["n"] + F.when(x == opened, 1).otherwise(-1) >= 0)).alias("ok")))
     return (step["n"] == 0) & step["ok"]
@@ -42,11 +33,11 @@ def _rows(found: Column, **made) -> Column:
 
 def script_imports(text: Column) -> Column:
     """``[{form, clause, source}]``: default, named, namespace, effect, dynamic and require, each in the order of the text."""
-    bare = without_comments(text)
-    clauses = _found(bare, r"""(?m)^\s*import\s+(?:type\s+)?([\w$*{}\s,]+?)\s*from\s*['"]([^'"\n]+)['"]""", {"c": 1, "s": 2})
+    bare = plain_strings(text)
+    clauses = _found(bare, r"""(?m)^[ \t]*+import\s+(?:type\s+)?([\w$*{}\s,]+?)\s*from\s*['"]([^'"\n]+)['"]""", {"c": 1, "s": 2})
     form = lambda x: F.when(x["c"].contains("*"), "namespace").when(x["c"].startswith("{"), "named").otherwise("default")
     out = [_rows(clauses, form=form, clause=lambda x: F.regexp_replace(x["c"], r"\s+", " "), source=lambda x: x["s"])]
-    others = {"effect": r"""(?m)^\s*import\s*['"]([^'"\n]+)['"]""", "dynamic": r"""\bimport\s*\(\s*['"]([^'"\n]+)['"]""", "require": r"""\brequire\s*\(\s*['"]([^'"\n]+)['"]"""}
+    others = {"effect": r"""(?m)^[ \t]*+import\s*['"]([^'"\n]+)['"]""", "dynamic": r"""\bimport\s*\(\s*['"]([^'"\n]+)['"]""", "require": r"""\brequire\s*\(\s*['"]([^'"\n]+)['"]"""}
     for name, pattern in others.items():
         out.append(_rows(_found(bare, pattern, {"s": 1}), form=_constant(name), clause=_constant(""), source=lambda x: x["s"]))
     return F.concat(*out)
@@ -58,8 +49,8 @@ def _constant(value: str):
 
 def script_exports(text: Column) -> Column:
     """``[{form, name, source}]``: declared, listed and star exports; ``source`` for those that are handed on."""
-    bare = without_comments(text)
-    declared = _found(bare, rf"(?m)^\s*export\s+(default\s+)?(?:abstract\s+|async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+({_NAME})", {"d": 1, "n": 2})
+    bare = plain_strings(text)
+    declared = _found(bare, rf"(?m)^[ \t]*+export\s+(default\s+)?(?:abstract\s+|async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+({_NAME})", {"d": 1, "n": 2})
     out = [_rows(declared, form=lambda x: F.when(x["d"] != "", "default").otherwise("named"), name=lambda x: x["n"], source=_constant(""))]
     lists = _found(bare, r"""export\s*\{([^}]*)\}(?:\s*from\s*['"]([^'"\n]+)['"])?""", {"l": 1, "s": 2})
     each = F.flatten(F.transform(lists, lambda x: F.transform(F.filter(F.split(x["l"], ","), lambda y: F.trim(y) != ""), lambda y: F.struct(F.trim(F.regexp_replace(y, r"^.*\bas\s+", "")).alias("n"), x["s"].alias("s")))))
@@ -70,9 +61,9 @@ def script_exports(text: Column) -> Column:
 
 def script_declarations(text: Column) -> Column:
     """``[{kind, name}]``: functions, arrows, classes, interfaces, types, enums; ``use`` names are hooks, capitals components."""
-    bare = without_strings(text)
-    named = _found(bare, rf"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+|async\s+)?(function|class|interface|type|enum)\s+({_NAME})", {"k": 1, "n": 2})
-    arrows = _found(bare, rf"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+({_NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)(?:\s*:[^=\n]+)?|{_NAME})\s*=>", {"n": 1})
+    bare = code_mask(text)
+    named = _found(bare, rf"(?m)^[ \t]*+(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+|async\s+)?(function|class|interface|type|enum)\s+({_NAME})", {"k": 1, "n": 2})
+    arrows = _found(bare, rf"(?m)^[ \t]*+(?:export\s+)?(?:const|let|var)\s+({_NAME})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^)\n]*\)(?:\s*:[^=\n]+)?|{_NAME})\s*=>", {"n": 1})
     told = lambda k, n: F.when(k != "function", k).when(n.rlike("^use[A-Z]"), "hook").when(n.rlike("^[A-Z]"), "component").otherwise(k)
     return F.concat(_rows(named, kind=lambda x: told(x["k"], x["n"]), name=lambda x: x["n"]), _rows(arrows, kind=lambda x: told(F.lit("function"), x["n"]), name=lambda x: x["n"]))
 
@@ -82,7 +73,7 @@ def express_routes(text: Column) -> Column:
     bare = without_comments(text)
     calls = _found(bare, r"""\b(?:app|router)\.(get|post|put|patch|delete|options|head|all)\s*\(\s*(?:"([^"\n]+)"|'([^'\n]+)')\s*(?:,\s*([\w.]+)\s*\))?""", {"m": 1, "p": 2, "q": 3, "h": 4})
     out = _rows(calls, method=lambda x: F.upper(x["m"]), path=lambda x: F.concat(x["p"], x["q"]), handler=lambda x: x["h"])
-    chains = _found(bare, r"""\.route\s*\(\s*['"]([^'"\n]+)['"]\s*\)((?:\s*\.\s*(?:get|post|put|patch|delete)\s*\(\s*[\w.]+\s*\))+)""", {"p": 1, "c": 2})
+    chains = _found(bare, r"""\.route\s*\(\s*['"]([^'"\n]+)['"]\s*\)((?:\s*\.\s*(?:get|post|put|patch|delete)\s*\(\s*[\w.]+\s*\))++)""", {"p": 1, "c": 2})
 
     def links(x):
         verbs, handlers = (F.regexp_extract_all(x["c"], F.lit(r"\.\s*(get|post|put|patch|delete)\s*\(\s*([\w.]+)"), i) for i in (1, 2))
@@ -141,17 +132,17 @@ def go_facts(text: Column) -> Column:
 
 def test_functions(text: Column) -> Column:
     """``[{form, name}]``: Python functions named ``test_`` and script calls of test, it and describe."""
-    python = _found(text, r"(?m)^\s*(?:async\s+)?def\s+(test_\w+)", {"n": 1})
-    calls = _found(without_comments(text), r"""(?m)^\s*(test|it|describe)(?:\.\w+)?\s*\(\s*['"]([^'"\n]+)['"]""", {"f": 1, "n": 2})
+    python = _found(text, r"(?m)^[ \t]*+(?:async\s+)?def\s+(test_\w+)", {"n": 1})
+    calls = _found(without_comments(text), r"""(?m)^[ \t]*+(test|it|describe)(?:\.\w+)?\s*\(\s*['"]([^'"\n]+)['"]""", {"f": 1, "n": 2})
     return F.concat(_rows(python, form=_constant("def"), name=lambda x: x["n"]), _rows(calls, form=lambda x: x["f"], name=lambda x: x["n"]))
 
 
 def references(text: Column) -> Column:
     """``[{kind, name, value}]``: values of named settings that are addresses or routes, frames, messages and listeners."""
     bare = without_comments(text)
-    settings = _found(text, r"""(?m)^\s*(?:export\s+)?(?:const\s+)?([A-Za-z_][\w]*)\s*[:=]\s*['"]?((?:https?|wss?)://[^\s'",;]+)""", {"n": 1, "v": 2})
+    settings = _found(text, r"""(?m)^[ \t]*+(?:export\s+)?(?:const\s+)?([A-Za-z_][\w]*)\s*[:=]\s*['"]?((?:https?|wss?)://[^\s'",;]+)""", {"n": 1, "v": 2})
     kind = lambda x: F.when(x["n"].rlike("(?i)api|base|endpoint"), "api_base_url").otherwise("environment_url")
-    routes = _found(text, r"""(?m)^\s*(?:export\s+)?const\s+([A-Z_]+)\s*=\s*['"](/[^\s'"]*)['"]""", {"n": 1, "v": 2})
+    routes = _found(text, r"""(?m)^[ \t]*+(?:export\s+)?const\s+([A-Z_]+)\s*=\s*['"](/[^\s'"]*)['"]""", {"n": 1, "v": 2})
     frames = _found(bare, r"""<iframe\b[^>]*\bsrc\s*=\s*['"]([^'"\n]+)['"]""", {"v": 1})
     sent = _found(bare, r"""\.postMessage\s*\(\s*\{\s*type\s*:\s*['"]([^'"\n]+)['"]""", {"v": 1})
     heard = _found(bare, r"""addEventListener\s*\(\s*['"](message)['"]""", {"v": 1})
@@ -244,10 +235,10 @@ def manifest_facts(name: Column, text: Column) -> Column:
     config = F.from_json(without_comments(text), "compilerOptions struct<baseUrl:string, paths:map<string,array<string>>>")
     paths = F.transform(F.array_sort(F.map_entries(config["compilerOptions"]["paths"])), lambda e: fact("alias", e["key"], F.array_join(e["value"], ",")))
     listed = lambda pattern, kind: F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda x: fact(kind, x, F.lit("")))
-    go = F.concat(listed(r"(?m)^module\s+(\S+)", "module"), F.transform(_found(text, r"(?m)^replace\s+(\S+)\s+=>\s+(\.\S*)", {"n": 1, "v": 2}), lambda x: fact("replace", x["n"], x["v"])), listed(r"(?m)^\s*use\s+(\.\S*)", "use"))
+    go = F.concat(listed(r"(?m)^module\s+(\S+)", "module"), F.transform(_found(text, r"(?m)^replace\s+(\S+)\s+=>\s+(\.\S*)", {"n": 1, "v": 2}), lambda x: fact("replace", x["n"], x["v"])), listed(r"(?m)^[ \t]*+use\s+(\.\S*)", "use"))
     project = F.regexp_extract(text, r"(?s)\[project\](.*?)(?:\n\[|\z)", 1)
     python = F.concat(F.array(fact("package", F.regexp_extract(project, r'(?m)^name\s*=\s*"([^"]+)"', 1), F.lit(""))), F.transform(F.regexp_extract_all(text, F.lit(r'path\s*=\s*"([^"]+)"'), 1), lambda x: fact("dependency", F.lit(""), x)))
     return (
         F.when(low == "package.json", npm).when(low.startswith("tsconfig"), F.coalesce(paths, none)).when(low.isin("go.mod", "go.work"), go).when(low == "pyproject.toml", python)
-        .when(low == "pnpm-workspace.yaml", listed(r"(?m)^\s*-\s*['\"]?([^'\"\n]+?)['\"]?\s*$", "workspace")).when(low.rlike(r"^(docker-)?compose\.ya?ml$"), listed(r"(?m)^\s*(?:build|context):\s*['\"]?(\.[^'\"\s]*)['\"]?\s*$", "build")).otherwise(none)
+        .when(low == "pnpm-workspace.yaml", listed(r"(?m)^[ \t]*+-[ \t]*['\"]?([^'\"\n]+?)['\"]?\s*$", "workspace")).when(low.rlike(r"^(docker-)?compose\.ya?ml$"), listed(r"(?m)^[ \t]*+(?:build|context):\s*['\"]?(\.[^'\"\s]*)['\"]?\s*$", "build")).otherwise(none)
     )
