@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as X
 from ..functions import predicates as P
 from ..functions import relevance as R
+from ..operators import taskindex
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_distinct, sql_list, sql_terms
 
 TASKS = (
@@ -86,23 +87,16 @@ def file_bags(spark, sf_dir):
     return described_files(spark, sf_dir).select("file_id", F.array_join("bag", " ").alias("bag"), F.array_join("roles", " ").alias("roles"))
 
 
+def tasks(spark) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(TASKS)), "task long, text string")
+
+
 def task_ranking(spark, sf_dir):
     """For each task the selected files, then the best others; the three best if no file is a confident match."""
-    f = described_files(spark, sf_dir)
-    out = None
-    for i, task in enumerate(TASKS):
-        asks = R.task_hints(task)["tests"]
-        one = f.withColumns({"score": R.task_relevance(task, F.col("path"), F.col("roles")), "matched": F.size(R.matched_terms(task))})
-        one = one.withColumn("confidence", R.score_confidence(F.col("score"), F.col("matched"), F.col("roles")))
-        one = one.withColumns({"selected": F.col("path").isin(*SELECTED), "last": F.array_contains("roles", "test") & F.lit(not asks)}).where("selected or score > 0")
-        fits = F.col("selected") | F.col("confidence").isin("high", "medium") | (F.col("matched") > 0)
-        order = [F.desc("selected"), F.desc("fits"), F.col("last"), F.desc("score"), F.col("path"), F.col("file_id")]
-        best = one.withColumn("fits", fits).orderBy(*order).limit(SHOWN)  # a top-k; whether any file fits shows in its first rows
-        ranked = best.withColumns({"place": F.row_number().over(Window.orderBy(*order)), "any_fit": F.max("fits").over(Window.partitionBy())})
-        ranked = ranked.where(F.col("fits") | (~F.col("any_fit") & (F.col("place") <= 3)))
-        one = ranked.select(F.lit(i).cast("long").alias("task"), F.col("place").cast("long").alias("place"), "file_id", "path", F.col("score").cast("long").alias("score"), "confidence")
-        out = one if out is None else out.unionByName(one)
-    return out
+    asked = tasks(spark)
+    selected = asked.select("task", F.explode(F.array(*[F.lit(p) for p in SELECTED])).alias("path"))
+    scores = taskindex.file_scores(spark, asked, described_files(spark, sf_dir), selected=selected)
+    return taskindex.rank_files(scores, SHOWN).withColumn("place", F.col("place").cast("long"))
 
 
 def task_scores(spark, sf_dir):
