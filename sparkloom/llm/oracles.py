@@ -53,18 +53,22 @@ levels AS (
   UNION ALL SELECT 'a', NULL, NULL, feature, bin, top, sum(n) FROM fine GROUP BY ALL
 ),
 placed AS (
-  SELECT *, sum(n) OVER (PARTITION BY tag, lang, source, feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY tag, lang, source, feature) AS total FROM levels
+  SELECT *, sum(n) OVER (PARTITION BY tag, lang, source, feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY tag, lang, source, feature) AS total,
+    coalesce(sum(n) FILTER (bin = 0) OVER (PARTITION BY tag, lang, source, feature), 0) AS none,
+    CASE feature WHEN 'symbol_ppm' THEN 0.01::DOUBLE WHEN 'dup_line_ppm' THEN 0.9::DOUBLE END AS share FROM levels
 ),
 tails AS (
   SELECT tag, lang, source, feature, max(total) AS total, min(CASE WHEN upto >= 0.1::DOUBLE * total THEN top END) AS q10,
     min(CASE WHEN upto >= 0.5::DOUBLE * total THEN top END) AS q50, min(CASE WHEN upto >= 0.9::DOUBLE * total THEN top END) AS q90,
-    CASE feature WHEN 'symbol_ppm' THEN 5000 WHEN 'dup_line_ppm' THEN 100000 WHEN 'repeat_ppm' THEN 20000 ELSE 300 END AS more
+    min(CASE WHEN bin > 0 AND upto - none >= share * (total - none) THEN top END) AS least_some, max(total - none) AS positives,
+    CASE feature WHEN 'symbol_ppm' THEN 0 WHEN 'dup_line_ppm' THEN 0 WHEN 'repeat_ppm' THEN 20000 ELSE 300 END AS more
   FROM placed GROUP BY tag, lang, source, feature
 ),
-limits AS (SELECT tag, lang, source, feature, total, q90 + (q90 - q50) * 2 + more AS top, q10 - (q50 - q10) * 2 - more AS low FROM tails),
+limits AS (
+  SELECT tag, lang, source, feature, total >= 200 AND (feature NOT IN ('symbol_ppm', 'dup_line_ppm') OR q90 > 0 OR positives >= 20) AS tells, greatest(q90 + (q90 - q50) * 2 + more, CASE WHEN q90 > 0 OR positives >= 20 THEN least_some WHEN feature = 'symbol_ppm' THEN 5000 WHEN feature = 'dup_line_ppm' THEN 100000 END) AS top, q10 - (q50 - q10) * 2 - more AS low FROM tails),
 chosen AS (
-  SELECT s.lang, s.source, s.feature, CASE WHEN s.total >= 200 THEN s.top WHEN l.total >= 200 THEN l.top ELSE a.top END AS top,
-    CASE WHEN s.total >= 200 THEN s.low WHEN l.total >= 200 THEN l.low ELSE a.low END AS low
+  SELECT s.lang, s.source, s.feature, CASE WHEN s.tells THEN s.top WHEN l.tells THEN l.top ELSE a.top END AS top,
+    CASE WHEN s.tells THEN s.low WHEN l.tells THEN l.low ELSE a.low END AS low
   FROM (SELECT * FROM limits WHERE tag = 's') s
   JOIN (SELECT * FROM limits WHERE tag = 'l') l ON s.lang IS NOT DISTINCT FROM l.lang AND s.feature = l.feature
   JOIN (SELECT * FROM limits WHERE tag = 'a') a ON s.feature = a.feature

@@ -18,8 +18,15 @@ LEAST_ROWS = 200
 TWO_SIDED = ("word_len_milli",)
 #: A threshold lies this many times the distance from the median to the tail quantile beyond that quantile.
 REACH = 2
-#: What a threshold grants besides, in the feature's unit, as many groups have a tail of zeros.
-TOLERANCE = {"symbol_ppm": 5_000, "dup_line_ppm": 100_000, "repeat_ppm": 20_000, "word_len_milli": 300}
+#: What a threshold grants besides, in the feature's unit, as values come in coarse bins.
+TOLERANCE = {"symbol_ppm": 0, "dup_line_ppm": 0, "repeat_ppm": 20_000, "word_len_milli": 300}
+#: Of features that most documents have none of, the threshold is at least this quantile of the documents that have some:
+#: marks are rare in prose and make tables or noise, repeated lines are rare too but may be headings.
+POSITIVE = {"symbol_ppm": 0.01, "dup_line_ppm": 0.9}
+#: For that, a sketch needs so many documents that have some; where all documents together have fewer, the data say
+#: nothing of what is usual, and these values hold.
+LEAST_POSITIVE = 20
+UNKNOWN = {"symbol_ppm": 5_000, "dup_line_ppm": 100_000}
 
 
 def text_features(df: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -106,42 +113,53 @@ def quantile_sketches(rows: DataFrame, keys: list[str], features) -> DataFrame:
     return rows.select(*keys, pairs).groupBy(*keys, "feature", "bin").agg(F.count("*").alias("n"))
 
 
-def sketch_quantiles(sketch: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
-    """``keys, feature, rows`` and a column for each point: the top of the bin in which that quantile lies."""
+def sketch_quantiles(sketch: DataFrame, keys: list[str], points: dict[str, float], positive: dict[str, float]) -> DataFrame:
+    """``keys, feature, rows, positives``, a column for each point and ``some``: the top of the bin in which it lies.
+
+    ``some`` is the quantile ``positive[feature]`` of the values above zero, null for other features.
+    """
     from pyspark.sql import Window
 
     own = Window.partitionBy(*keys, "feature")
-    upto = F.sum("n").over(own.orderBy("bin"))
-    placed = sketch.select(*keys, "feature", "bin", upto.alias("_upto"), F.sum("n").over(own).alias("_all"))
+    upto, none = F.sum("n").over(own.orderBy("bin")), F.coalesce(F.sum(F.when(F.col("bin") == 0, F.col("n"))).over(own), F.lit(0))
+    placed = sketch.select(*keys, "feature", "bin", upto.alias("_upto"), F.sum("n").over(own).alias("_all"), none.alias("_none"))
     hit = [F.min(F.when(F.col("_upto") >= F.lit(q) * F.col("_all"), bin_top(F.col("bin")))).alias(c) for c, q in points.items()]
-    return placed.groupBy(*keys, "feature").agg(F.max("_all").alias("rows"), *hit)
+    share = F.create_map(*[F.lit(x) for pair in positive.items() for x in pair])[F.col("feature")]
+    above = (F.col("bin") > 0) & (F.col("_upto") - F.col("_none") >= share * (F.col("_all") - F.col("_none")))
+    some = F.min(F.when(above, bin_top(F.col("bin")))).alias("some")
+    return placed.groupBy(*keys, "feature").agg(F.max("_all").alias("rows"), F.max(F.col("_all") - F.col("_none")).alias("positives"), some, *hit)
 
 
 def adaptive_thresholds(rows: DataFrame, *, lang_col="lang", source_col="source", least_rows: int = LEAST_ROWS) -> DataFrame:
     """``lang, source`` with ``max_<feature>`` and, for TWO_SIDED ones, ``min_<feature>``, from tail quantiles of the sketches.
 
-    The upper limit is q90 + REACH * (q90 - q50) + TOLERANCE, the lower one q10 - REACH * (q50 - q10) - TOLERANCE. A
-    (language, source) with fewer than ``least_rows`` documents takes the merged sketch of its language, and if that is
-    small too, of all documents. Null is a language and a source of its own.
+    The upper limit is q90 + REACH * (q90 - q50) + TOLERANCE, the lower one q10 - REACH * (q50 - q10) - TOLERANCE; for
+    features in POSITIVE the upper one is at least that quantile of the values above zero. A (language, source) with
+    fewer than ``least_rows`` documents, or with a median and a tail of zeros and fewer than LEAST_POSITIVE values above it, takes the
+    merged sketch of its language, and if that says too little too, of all documents. Null is a language and a source of
+    its own.
     """
     fine = quantile_sketches(rows.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *FEATURES), ["lang", "source"], FEATURES)
     points = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
     by_lang = fine.groupBy("lang", "feature", "bin").agg(F.sum("n").alias("n"))
     overall = by_lang.groupBy("feature", "bin").agg(F.sum("n").alias("n"))
     grant = F.create_map(*[F.lit(x) for f in FEATURES for x in (f, TOLERANCE[f])])
+    unknown = F.create_map(*[F.lit(x) for f in UNKNOWN for x in (f, UNKNOWN[f])])
 
     def limit(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
-        q = sketch_quantiles(sketch, keys, points)
-        top = F.col("q90") + (F.col("q90") - F.col("q50")) * REACH + grant[F.col("feature")]
+        q = sketch_quantiles(sketch, keys, points, POSITIVE)
+        usual = F.when((F.col("q90") > 0) | (F.col("positives") >= LEAST_POSITIVE), F.col("some")).otherwise(unknown[F.col("feature")])
+        top = F.greatest(F.col("q90") + (F.col("q90") - F.col("q50")) * REACH + grant[F.col("feature")], usual)
+        tells = (F.col("rows") >= least_rows) & (~F.col("feature").isin(*POSITIVE) | (F.col("q90") > 0) | (F.col("positives") >= LEAST_POSITIVE))
         low = F.col("q10") - (F.col("q50") - F.col("q10")) * REACH - grant[F.col("feature")]
         named = [F.col(k).alias(f"{tag}_{k}") for k in keys]
-        return q.select(*named, F.col("feature").alias(f"{tag}_feature"), F.col("rows").alias(f"{tag}_rows"), F.struct(top.alias("top"), low.alias("low")).alias(f"{tag}_max"))
+        return q.select(*named, F.col("feature").alias(f"{tag}_feature"), tells.alias(f"{tag}_tells"), F.struct(top.alias("top"), low.alias("low")).alias(f"{tag}_max"))
 
     own, lang, all_ = limit(fine, ["lang", "source"], "s"), limit(by_lang, ["lang"], "l"), limit(overall, [], "a")
     chosen = (
         own.join(lang, F.col("s_lang").eqNullSafe(F.col("l_lang")) & (F.col("s_feature") == F.col("l_feature")))
         .join(all_, F.col("s_feature") == F.col("a_feature"))
-        .withColumn("limits", F.when(F.col("s_rows") >= least_rows, F.col("s_max")).when(F.col("l_rows") >= least_rows, F.col("l_max")).otherwise(F.col("a_max")))
+        .withColumn("limits", F.when(F.col("s_tells"), F.col("s_max")).when(F.col("l_tells"), F.col("l_max")).otherwise(F.col("a_max")))
     )
     return chosen.groupBy(F.col("s_lang").alias("lang"), F.col("s_source").alias("source")).agg(
         *[F.max(F.when(F.col("s_feature") == f, F.col("limits.top"))).alias(f"max_{f}") for f in FEATURES],

@@ -29,6 +29,25 @@ def test_quality_thresholds_reject_outliers(spark):
     assert not out[1000] and all(out[i] for i in range(300))
 
 
+def test_quality_limits_follow_the_tail(spark):
+    """No limit is a fixed value: where the group's tail moves, its limit moves along."""
+
+    def text(i, marks, lines):
+        return " ".join(f"word{(i * 7 + k * k) % 9973}" for k in range(80)) + " #" * marks + "".join(f"\nline{k}" for k in range(20)) + "\nline0" * lines
+
+    def limits(marks, lines):
+        rows = [(i, text(i, marks * (i % 12 == 0) * (1 + i % 3), lines * (i % 15 == 0)), "en", "st"[i % 2]) for i in range(1200)]
+        out = quality.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        return {r.source: (r.max_symbol_ppm, r.max_dup_line_ppm, r.max_repeat_ppm) for r in out.select("doc_id", "source", "max_symbol_ppm", "max_dup_line_ppm", "max_repeat_ppm").collect()}
+
+    low, high = limits(5, 2), limits(20, 8)
+    assert set(low) == {"s", "t"}
+    for group in low:
+        for a, b in zip(low[group][:2], high[group][:2], strict=True):
+            assert 0 < 2 * a < b
+        assert not set(low[group][:2]) & {*quality.UNKNOWN.values(), *quality.TOLERANCE.values()}
+
+
 @pytest.mark.parametrize("shingle, percent", [(3, 85), (5, 80)])
 def test_near_duplicates_on_edges(spark, edges, nothing, shingle, percent):
     want = brute.near_duplicates(PAIRS, shingle, percent)
