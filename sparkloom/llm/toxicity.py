@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,8 @@ from .store import Stage
 SAMPLE_ROWS = 8000
 SLOTS = 1 << 18
 CHUNK_BYTES = 4 << 20
+#: The most epochs of a fit; how many are used, a part of the learnable rows decides.
+EPOCHS = 24
 #: Besides the whole word, its first bytes are features, for inflected and compound words.
 PREFIXES = (4, 5, 6)
 
@@ -89,16 +92,15 @@ class Model:
         return np.clip(_sums(self.weights[s.features].sum(axis=0), s.first_word) + self.bias, -40, 40)
 
     def document_scores(self, logits: np.ndarray, first_sentence: np.ndarray) -> np.ndarray:
-        """Or of the leak and what the worst sentence adds to the bias alone; 0 for a text without sentences.
+        """Noisy-or of the leak and of all sentences, each by what it adds to the base rate; 0 without sentences.
 
-        A text is toxic if one of its sentences is: many that are each a little suspect are not one, so a clean text of
-        any length scores as its worst sentence would alone.
+        A sentence without evidence is at the base rate and adds nothing, so a clean text of any length scores as the
+        leak alone.
         """
         counts = np.diff(first_sentence)
         doc = np.repeat(np.arange(len(counts)), counts)
-        worst = np.zeros(len(counts))
-        np.maximum.at(worst, doc, excess(logits, self.bias))
-        return np.where(counts > 0, -np.expm1(-worst - softplus(self.leak)), 0.0)
+        total = np.bincount(doc, excess(logits, self.bias), minlength=len(counts))
+        return np.where(counts > 0, -np.expm1(-total - softplus(self.leak)), 0.0)
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -121,56 +123,91 @@ def live_slots(seen: np.ndarray, positive: np.ndarray, share: float, *, least_z:
     return live
 
 
-def fit(words: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, live: np.ndarray, *, epochs: int = 16, soft: int = 4, batch: int = 256, rate: float = 0.15, decay: float = 1e-5) -> Model:
-    """Minimises the documents' log loss by Adam; only document labels are used.
+@dataclass
+class Batch:
+    """Documents of a step: slots of their words, the sentence of each word, the document of each sentence, the labels."""
 
-    The first ``soft`` epochs go through the noisy-or of all sentences, so that each gets a share while none stands out
-    yet; the others through the worst sentence, as in :meth:`Model.document_scores`.
+    features: np.ndarray
+    sentence: np.ndarray
+    doc: np.ndarray
+    target: np.ndarray
 
-    ``words``: of each document with sentences the words that have a live feature, as (number of their sentence in the
-    document, ascending; slots of the word by column, SLOTS for those not live). Other words add nothing. Without a
-    positive label the model scores 0 everywhere.
-    """
-    if not len(words) or not labels.any():
-        return Model(np.zeros(SLOTS + 1, np.float32), -40.0)
-    order = np.random.default_rng(5).permutation(len(words))
-    kept = []
-    for i in range(0, len(order), batch):
-        own = order[i : i + batch]
+    def total(self, weights: np.ndarray, bias: float, leak: float) -> tuple[np.ndarray, np.ndarray]:
+        """(logits of the sentences, -log of the chance that a document is clean)."""
+        z = np.clip(np.bincount(self.sentence, weights[self.features].sum(axis=0), minlength=len(self.doc)) + bias, -40, 40)
+        return z, np.bincount(self.doc, excess(z, bias), minlength=len(self.target)) + softplus(leak)
+
+
+def batches_of(words: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int) -> list[Batch]:
+    order, out = np.random.default_rng(5).permutation(len(words)), []
+    for i in range(0, len(order), size):
+        own = order[i : i + size]
         numbers = np.concatenate([words[j][0] for j in own])
         doc = np.repeat(np.arange(len(own)), [len(words[j][0]) for j in own])
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (numbers[1:] != numbers[:-1])
-        kept.append((np.concatenate([words[j][1] for j in own], axis=1), np.cumsum(new) - 1, doc[new], labels[own].astype(float)))
-    weights, bias, leak = np.zeros(SLOTS + 1), -5.0, -5.0
+        out.append(Batch(np.concatenate([words[j][1] for j in own], axis=1), np.cumsum(new) - 1, doc[new], labels[own].astype(float)))
+    return out
+
+
+def log_loss(score: np.ndarray, target: np.ndarray) -> float:
+    score = np.clip(score, 1e-9, 1 - 1e-9)
+    return float(-(target * np.log(score) + (1 - target) * np.log1p(-score)).mean())
+
+
+def descend(batches: list[Batch], live: np.ndarray, *, epochs: int = EPOCHS, rate: float = 0.15, decay: float = 1e-5):
+    """Yields the model after each epoch: Adam on the documents' log loss, through the noisy-or of all their sentences.
+
+    The step's size falls with the epochs to come, so an epoch's model doesn't depend on where one stops.
+    """
+    weights, both = np.zeros(SLOTS + 1), np.array([-5.0, -5.0])
     m, v, t = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), 0
     mb, vb = np.zeros(2), np.zeros(2)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.005
-        for features, of_word, doc, target in kept:
+        for b in batches:
             t += 1
-            z = np.clip(np.bincount(of_word, weights[features].sum(axis=0), minlength=len(doc)) + bias, -40, 40)
+            bias, leak = both
+            z, total = b.total(weights, bias, leak)
+            score = np.clip(-np.expm1(-total), 1e-9, 1 - 1e-9)
+            # d loss / d total of each document, then of each sentence above the base rate
+            pull = np.where(b.target > 0, -(1 - score) / score, 1.0) / len(b.target)
+            own = np.where(z >= bias, pull[b.doc], 0)
             p, p0, pl = (1 / (1 + np.exp(-x)) for x in (z, bias, leak))
-            added = excess(z, bias)
-            if epoch < soft:
-                total, counted = np.bincount(doc, added, minlength=len(target)), z >= bias
-            else:
-                total = np.zeros(len(target))
-                np.maximum.at(total, doc, added)
-                counted = (z >= bias) & (added >= total[doc])
-            score = np.clip(-np.expm1(-total - softplus(leak)), 1e-9, 1 - 1e-9)
-            pull = np.where(target > 0, -(1 - score) / score, 1.0) / len(target)
-            own = np.where(counted, pull[doc], 0)
-            g = p * own
-            grad = sum(np.bincount(f, g[of_word], minlength=SLOTS + 1) for f in features)
+            g = (p * own)[b.sentence]
+            grad = sum(np.bincount(f, g, minlength=SLOTS + 1) for f in b.features)
             grad = np.where(live, grad + decay * weights, 0)
-            both = np.array([(own * (p - p0)).sum(), pl * pull.sum()])
+            other = np.array([(own * (p - p0)).sum(), pl * pull.sum()])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-            mb, vb = 0.9 * mb + 0.1 * both, 0.99 * vb + 0.01 * both**2
-            a, b = 1 - 0.9**t, 1 - 0.99**t
-            weights = weights - step * (m / a) / (np.sqrt(v / b) + 1e-6)
-            bias, leak = np.array([bias, leak]) - step * (mb / a) / np.sqrt(vb / b + 1e-12)
-    return Model(weights.astype(np.float32), float(bias), float(leak))
+            mb, vb = 0.9 * mb + 0.1 * other, 0.99 * vb + 0.01 * other**2
+            a, c = 1 - 0.9**t, 1 - 0.99**t
+            weights = weights - step * (m / a) / (np.sqrt(v / c) + 1e-6)
+            both = both - step * (mb / a) / np.sqrt(vb / c + 1e-12)
+        yield Model(weights.astype(np.float32), float(both[0]), float(both[1]))
+
+
+def fit(words: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, live: np.ndarray, aside: np.ndarray | None = None, *, size: int = 256) -> Model:
+    """The model of the epoch that suits the rows ``aside`` best, fitted on all rows; without ``aside``, of the last epoch.
+
+    ``words``: of each document with sentences the words that have a live feature, as (number of their sentence in the
+    document, ascending; slots of the word by column, SLOTS for those not live). Other words add nothing. ``aside``
+    marks rows that the first fit leaves out. Without a positive label the model scores 0 everywhere.
+    """
+    if not len(words) or not labels.any():
+        return Model(np.zeros(SLOTS + 1, np.float32), -40.0)
+    best = EPOCHS
+    if aside is not None and labels[aside].any() and labels[~aside].any():
+        some = [np.flatnonzero(aside), np.flatnonzero(~aside)]
+        check, rest = (batches_of([words[i] for i in own], labels[own], size) for own in some)
+        losses = []
+        for model in descend(rest, live):
+            found = [(-np.expm1(-b.total(model.weights, model.bias, model.leak)[1]), b.target) for b in check]
+            losses.append(log_loss(*(np.concatenate(x) for x in zip(*found, strict=True))))
+        best = 1 + int(np.argmin(losses))
+    for n, model in enumerate(descend(batches_of(words, labels, size), live), 1):
+        if n == best:
+            return model
+    raise AssertionError("an epoch is chosen")
 
 
 def held_out(id_col: str) -> Column:
@@ -242,7 +279,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col="do
 
     Rows with a null id, text or label are not learned from; an id labelled twice counts as toxic if one label is, and
     an id with several texts counts with one of them, always the same. Without labelled rows, or without a positive one,
-    the model scores 0 everywhere; very long texts count whole. Columns other than those named are not looked at. The
+    the model scores 0 everywhere; very long texts count whole. A fifth of the sample, by a second hash of the id, says
+    after how many epochs to stop; rows held out play no part in it. Columns other than those named are not looked at. The
     texts stay with the tasks: the driver gets counts by slot, then the words that have a live feature.
     """
     stage = Stage(spark, "toxicity")
@@ -268,9 +306,10 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col="do
     stage.drop(sample)
     ids, y = words.column("i").to_pylist(), np.array(words.column("y").to_pylist(), int)
     order = sorted(range(len(ids)), key=ids.__getitem__)
+    aside = np.array([zlib.crc32(f"aside {ids[i]}".encode()) % 5 == 0 for i in order], bool)
     numbers, slots = words.column("numbers").combine_chunks(), words.column("slots").combine_chunks()
     made = [(numbers[i].values.to_numpy(), slots[i].values.to_numpy().reshape(1 + len(PREFIXES), -1)) for i in order]
-    return fit(made, y[order], live)
+    return fit(made, y[order], live, aside)
 
 
 def _score(batches, model: Model, text_at: int):

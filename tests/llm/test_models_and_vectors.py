@@ -149,39 +149,97 @@ def test_toxicity_on_held_out_rows_and_sentences(spark):
     assert toxicity.score_documents(df.where("false"), model).count() == 0
 
 
-def test_noisy_or_and_its_gradient_against_plain_ones():
-    """The first steps of the fit against sums written out, and the scores against one sentence at a time."""
+def sig(z):
+    return 1 / (1 + np.exp(-z))
+
+
+def test_noisy_or_against_one_sentence_at_a_time():
     texts = ["Bad word here. Fine one.", "fine fine. fine", "", "Bad. Bad! bad?"]
     s = toxicity.sentences([t.encode() for t in texts])
     weights = np.zeros(toxicity.SLOTS + 1, np.float32)
-    weights[toxicity.sentences([b"bad"]).features[0]] = 6
+    weights[toxicity.sentences([b"bad"]).features[0]] = 3
     model = toxicity.Model(weights, -5.0, -9.0)
     got = model.document_scores(model.sentence_logits(s), s.first_sentence)
-    sig = lambda z: 1 / (1 + np.exp(-z))
     for k, t in enumerate(texts):
-        worst = 0.0
+        clean = 1 - sig(-9.0)
         for sentence in [x for x in __import__("re").split("[.!?\n]", t) if x.strip()]:
             z = sum(weights[f].sum() for f in toxicity.sentences([sentence.encode()]).features.T) - 5.0
-            worst = max(worst, (sig(z) - sig(-5.0)) / (1 - sig(-5.0)))
-        want = 1 - (1 - worst) * (1 - sig(-9.0)) if t else 0.0
-        assert abs(got[k] - want) < 1e-6
-    words = [(np.array([0, 1], np.int32), np.array([[1, 2], [toxicity.SLOTS] * 2, [toxicity.SLOTS] * 2, [toxicity.SLOTS] * 2], np.int32)), (np.array([0], np.int32), np.array([[1], [toxicity.SLOTS], [toxicity.SLOTS], [toxicity.SLOTS]], np.int32))]
-    live = np.zeros(toxicity.SLOTS + 1, bool)
-    live[[1, 2]] = True
-    one = toxicity.fit(words, np.array([1, 0]), live, epochs=1, soft=1, rate=0.1)
-    # Adam's first step goes by the gradient's sign: slot 2 is in the positive text only, slot 1 in both
-    assert one.weights[2] > 0 and abs(one.weights[2]) <= 0.106 and np.count_nonzero(one.weights) == 2
-
-    def loss(w1, w2):
-        def score(zs):
-            p0 = sig(-5.0)
-            return 1 - (1 - sig(-5.0)) * np.prod([1 - max(0, (sig(z - 5.0) - p0) / (1 - p0)) for z in zs])
-        return (-np.log(score([w1, w2])) - np.log(1 - score([w1]))) / 2
-
-    step = 1e-4
-    for slot, at in ((1, (step, 0)), (2, (0, step))):
-        slope = (loss(*at) - loss(0, 0)) / step
-        assert np.sign(one.weights[slot]) == -np.sign(slope)
+            clean *= 1 - (sig(z) - sig(-5.0)) / (1 - sig(-5.0))
+        assert abs(got[k] - (1 - clean if t else 0.0)) < 1e-6
+    assert got[3] > 2 * got[0] > 0  # three suspect sentences count for more than one
+
+
+def plain_fit(documents, labels, epochs, rate=0.15, decay=1e-5):
+    """Weights by slot after full-batch Adam, with the loss's slopes taken by differences."""
+    slots = sorted({w for d in documents for s in d for w in s})
+    at = np.array([0.0] * len(slots) + [-5.0, -5.0])
+    place = {w: i for i, w in enumerate(slots)}
+
+    def loss(x):
+        total = 0.0
+        for d, y in zip(documents, labels, strict=True):
+            clean = 1 - sig(x[-1])
+            for s in d:
+                z, bias = sum(x[place[w]] for w in s) + x[-2], x[-2]
+                clean *= 1 - max(0.0, (sig(z) - sig(bias)) / (1 - sig(bias)))
+            total -= np.log(1 - clean) if y else np.log(clean)
+        return total / len(labels)
+
+    m, v = np.zeros(len(at)), np.zeros(len(at))
+    for t in range(1, epochs + 1):
+        step = rate * (1 - (t - 1) / epochs) + 0.005
+        slope = np.array([(loss(at + e) - loss(at - e)) / 2e-6 for e in np.eye(len(at)) * 1e-6])
+        slope[:-2] += decay * at[:-2]
+        m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
+        at = at - step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    return {w: at[i] for w, i in place.items()}, at[-2], at[-1]
+
+
+def test_fit_against_a_plain_one():
+    # after the first step each word of these has its own sign, so no sentence stays on the kink at the base rate
+    documents = [[[1, 2], [3]], [[1], [1, 3]], [[2, 4], [4]], [[3], [5]], [[2], [5, 3]], [[4, 1]]]
+    labels = np.array([1, 0, 1, 0, 1, 0])
+    none = toxicity.SLOTS
+
+    def words(d):
+        numbers = np.repeat(np.arange(len(d)), [len(s) for s in d]).astype(np.int32)
+        slots = np.full((1 + len(toxicity.PREFIXES), len(numbers)), none, np.int32)
+        slots[0] = [w for s in d for w in s]
+        return numbers, slots
+
+    live = np.zeros(none + 1, bool)
+    live[1:6] = True
+    batch = toxicity.batches_of([words(d) for d in documents], labels, 256)
+    start = next(iter(toxicity.descend(batch, live, epochs=1)))
+    weights, bias, leak = plain_fit(documents, labels, 1)
+    # at the kink itself the one-sided slope is used, where differences see half of it; signs and steps are the same
+    assert all(np.sign(start.weights[w]) == np.sign(x) for w, x in weights.items() if abs(x) > 0.01)
+    several = list(toxicity.descend(batch, live, epochs=60))[-1]
+    weights, bias, leak = plain_fit(documents, labels, 60)
+    total = lambda w, b, k: [1 - (1 - sig(k)) * np.prod([1 - max(0, (sig(sum(w[x] for x in s) + b) - sig(b)) / (1 - sig(b))) for s in d]) for d in documents]
+    assert np.allclose(total(several.weights, several.bias, several.leak), total(weights, bias, leak), atol=0.02)
+    assert [x > 0.5 for x in total(several.weights, several.bias, several.leak)] == [y == 1 for y in labels]
+
+
+def test_rows_aside_choose_the_epoch():
+    rng = np.random.default_rng(0)
+    none = toxicity.SLOTS
+
+    def words(slots):
+        table = np.full((1 + len(toxicity.PREFIXES), len(slots)), none, np.int32)
+        table[0] = slots
+        return np.arange(len(slots), dtype=np.int32), table
+
+    labels = rng.integers(0, 2, 400)
+    made = [words([1 + int(rng.integers(0, 3)) if rng.random() < 0.7 + 0.3 * y else 9] if y else [9, int(rng.integers(1, 12))]) for y in labels]
+    live = np.zeros(none + 1, bool)
+    live[1:12] = True
+    aside = np.arange(400) % 5 == 0
+    model = toxicity.fit(made, labels, live, aside)
+    every = list(toxicity.descend(toxicity.batches_of(made, labels, 256), live))
+    assert len(every) == toxicity.EPOCHS and any(np.array_equal(model.weights, m.weights) for m in every)
+    # labels of the rows aside decide the number of epochs only
+    assert np.array_equal(toxicity.fit(made, labels, live).weights, every[-1].weights)
 
 
 def test_toxicity_does_not_go_by_length(spark):
