@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as X
 from ..store import Stage
+from .substrings import texts_with
 
 
 def interacting_caps(spark: SparkSession, df: DataFrame, order: str, caps: dict[str, int], total: int) -> DataFrame:
@@ -98,27 +99,48 @@ def detected_frameworks(df: DataFrame, unit: list[str], framework: str, kind: st
     return out.select(*unit, framework, "score", ((F.col("score") >= least) & (F.col("_must") | free)).alias("detected"))
 
 
-def best_source_of_tests(files: DataFrame, path: str) -> DataFrame:
-    """``test, source, score``: the source file that each test most likely tests.
+# fixed values: points of a match between a test and a source
+FILENAME, REFERENCED, CHOSEN, MOST_TERMS, SAME_FOLDER, PER_FOLDER, FOLDERS_COUNTED = 300, 180, 40, 15, 80, 15, 3
 
-    The test's stem without its mark must be the source's (300) or be contained in it or contain it (180); nearness of
-    the folders adds up to 80, each shared term of the paths 4. Joined by the tokens that the stems share, so no test
-    meets files that it has nothing in common with. Ties go to the greatest path.
+
+def best_source_of_tests(files: DataFrame, path: str, texts: Column, terms: Column, selected: Column) -> DataFrame:
+    """``test, source, score, exact``: the source file that each test most likely tests; tests without one have no row.
+
+    A source counts if the test's stem is the source's, with ``test_`` before it or not, or if the test's path or
+    ``texts`` (an array, its imports) contain the source's stem, in lower case and with spaces for ``_`` and ``-``. A
+    path, module or name that is spoken of contains the stem, so the stem alone is looked for. Nearness of the folders,
+    being ``selected`` and the number of the source's ``terms`` add to the score. Ties go to the exact, the selected,
+    the shorter and then the greater path. A null path is no file; equal paths are one file, with the least of its texts.
+
+    No test meets all sources of a common stem: of a stem the best source is taken for each folder, and for each of the
+    first folders of the path that count for nearness, and a test meets those of its own folders only.
     """
     p = F.col(path)
-    bare = F.regexp_replace(F.lower(X.stem(p)), r"^test_|_test$|\.test$|\.spec$", "")
-    rows = files.select(p.alias("p"), bare.alias("stem"), X.folders(p).alias("above"), X.identifier_terms(p).alias("terms"), X.is_matching_test(p).alias("t")).distinct()
-    rows = rows.withColumn("token", F.explode(F.array_distinct(X.name_tokens(F.col("stem")))))
-    tests, sources = rows.where("t").alias("a"), rows.where("not t").alias("b")
-    same, part = F.col("a.stem") == F.col("b.stem"), F.col("a.stem").contains(F.col("b.stem")) | F.col("b.stem").contains(F.col("a.stem"))
-    met = tests.join(sources, "token").where(same | part)
-    # files in a source folder for tests are as near as the folder below it
-    near = X.directory_proximity(F.col("a.above"), F.col("b.above"))
-    shared = F.size(F.array_intersect("a.terms", "b.terms"))
-    score = F.when(same, 300).otherwise(180) + near + shared * 4
-    found = met.select(F.col("a.p").alias("test"), F.col("b.p").alias("source"), score.cast("long").alias("score")).distinct()
-    best = found.groupBy("test").agg(F.max(F.struct("score", "source")).alias("_b"))
-    return best.select("test", F.col("_b.source").alias("source"), F.col("_b.score").alias("score"))
+    normal = lambda c: F.lower(F.translate(c, "\\_-", "/  "))
+    rows = files.where(p.isNotNull()).select(p.alias("p"), X.stem(p).alias("stem"), X.folders(p).alias("above"), X.is_matching_test(p).alias("t"), F.coalesce(texts, F.array().cast("array<string>")).alias("texts"), F.size(terms).alias("n_terms"), F.coalesce(selected, F.lit(False)).alias("selected"))
+    rows = rows.groupBy("p", "stem", "above", "t").agg(F.min("texts").alias("texts"), F.max("n_terms").alias("n_terms"), F.max("selected").alias("selected"))
+
+    def places(above: Column, shared: Column) -> Column:
+        """A file's own folder, and its first folders by number, as keys with their points."""
+        near = F.transform(F.sequence(F.lit(0), F.lit(FOLDERS_COUNTED)), lambda k: F.when(F.size(shared) >= k, F.struct(F.concat(k.cast("string"), F.lit(" "), F.array_join(F.slice(shared, F.lit(1), k), "/")).alias("place"), (k * PER_FOLDER).alias("near"))))
+        return F.array_compact(F.concat(near, F.array(F.struct(F.concat(F.lit("= "), F.array_join(above, "/")).alias("place"), F.lit(SAME_FOLDER).alias("near")))))
+
+    own = F.struct((F.when(F.col("selected"), CHOSEN).otherwise(0) + F.least("n_terms", F.lit(MOST_TERMS))).alias("own"), "selected", (-F.char_length("p")).alias("short"), F.col("p").alias("source"))
+    sources = rows.where("NOT t").select("stem", normal(F.col("stem")).alias("needle"), F.explode(places(F.col("above"), F.col("above"))["place"]).alias("place"), own.alias("best"))
+    sources = sources.groupBy("stem", "needle", "place").agg(F.max("best").alias("best"))
+
+    bare = F.regexp_replace("stem", r"(?i)\.(test|spec)$", "")
+    tests = rows.where("t").select(F.col("p").alias("test"), bare.alias("bare"), F.col("above"), normal(F.array_join(F.concat(F.array("p"), "texts"), " ")).alias("hint"))
+    spoken = texts_with(sources.select("needle"), tests, "test", "hint")
+    named = tests.select("test", F.explode(F.array_distinct(F.array("bare", F.regexp_replace("bare", "^test_", "")))).alias("stem"))
+    meets = spoken.join(sources.select("needle", "stem").distinct(), "needle").select("test", "stem", F.lit(REFERENCED).alias("said"), F.lit(0).alias("named"))
+    meets = meets.unionByName(named.join(sources.select("stem").distinct(), "stem").select("test", "stem", F.lit(0).alias("said"), F.lit(FILENAME).alias("named")))
+    meets = meets.groupBy("test", "stem").agg(F.max("said").alias("said"), F.max("named").alias("named"))
+    at = tests.select("test", F.inline(places(F.col("above"), F.filter("above", lambda x: x != "__tests__"))))
+    score = (F.col("said") + F.col("named") + F.col("near") + F.col("best.own")).cast("long")
+    found = meets.join(at, "test").join(sources.drop("needle"), ["stem", "place"])
+    top = F.max(F.struct(score.alias("score"), (F.col("named") > 0).alias("exact"), "best.selected", "best.short", "best.source"))
+    return found.groupBy("test").agg(top.alias("_b")).select("test", "_b.source", "_b.score", "_b.exact")
 
 
 def ordered_limits(df: DataFrame, group: str, order: list[Column], per_group: int, total: int) -> DataFrame:

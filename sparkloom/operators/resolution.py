@@ -50,14 +50,15 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, path: str, imported: s
 
     A relative import is looked up from the importer's folder, any other by the alias patterns; each gives candidates,
     which one join with the files settles, the first in order winning. An import with an alias that finds nothing and a
-    relative one without a file are unresolved, others external.
+    relative one without a file are unresolved, others external. Every row of ``imports`` comes back; one whose path or
+    import is null is unresolved.
     """
     source, name = F.col(path), F.col(imported)
     relative = X.is_relative_import(name)
     targets = alias_targets(name, patterns)
     bases = F.when(relative, F.array_compact(F.array(joined_path(X.folders(source), name)))).otherwise(targets)
     tried = F.flatten(F.transform(bases, source_candidates))
-    rows = imports.select(source.alias("_p"), name.alias("_i"), relative.alias("_rel"), (F.size(targets) > 0).alias("_alias"), tried.alias("_tried")).distinct()
+    rows = imports.select(source.alias("_p"), name.alias("_i"), relative.alias("_rel"), (F.size(targets) > 0).alias("_alias"), tried.alias("_tried")).where("_p IS NOT NULL AND _i IS NOT NULL").distinct()
     opened = rows.select("_p", "_i", F.posexplode("_tried").alias("_at", "_candidate"))
     known = files.select(F.col(path).alias("_candidate")).distinct()
     hits = opened.join(known, "_candidate").groupBy("_p", "_i").agg(F.min(F.struct("_at", "_candidate")).alias("_hit"))
@@ -65,7 +66,8 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, path: str, imported: s
     hit = F.col("_hit").isNotNull()
     status = F.when(F.col("_rel") & hit, "relative").when(hit, "alias").when(F.col("_rel") | F.col("_alias"), "unresolved").otherwise("external")
     settled = found.select("_p", "_i", F.col("_hit._candidate").alias("resolved"), status.alias("status"))
-    return imports.join(settled, (source == F.col("_p")) & (name == F.col("_i"))).drop("_p", "_i")
+    out = imports.join(settled, (source == F.col("_p")) & (name == F.col("_i")), "left").drop("_p", "_i")
+    return out.withColumn("status", F.coalesce("status", F.lit("unresolved")))
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame, path: str, imported: str, stdlib: tuple[str, ...]) -> DataFrame:

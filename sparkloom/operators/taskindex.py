@@ -2,8 +2,8 @@
 
 Scores are those of :func:`sparkloom.functions.relevance.task_relevance`, which reads one task as literals and every
 file for it. Here the words of all files are written once as postings, tasks are rows, and one join and one aggregation
-score all pairs that have anything in common. A term that is only part of a word is found by the word's trigrams, so no
-term is compared with every word.
+score all pairs that have anything in common. A term that is only part of a word is found by the word's grams, so no term is
+compared with every word.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from ..functions import relevance as R
 from ..functions import text as T
 from ..store import Stage
 from .ranking import top_per_group
+from .substrings import words_with
 
 #: Fields of a file, as bits: its name, path, symbols, imports, routes; its bag of terms; texts without spaces; a word of the
 #: bag that is the term.
@@ -41,19 +42,6 @@ def postings(files: DataFrame, key: str) -> DataFrame:
     return files.select(key, F.inline(every)).groupBy(key, "word").agg(F.bit_or("bit").alias("fields"))
 
 
-def _matches(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``term, word`` for all words that contain a term of three characters or more.
-
-    A term is looked up by the rarest of its trigrams: a word that contains the term has it too.
-    """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - 2), lambda i: F.substring(c, i, F.lit(3))))
-    long = vocabulary.where(F.char_length("word") >= 3).select("word", F.explode(grams(F.col("word"))).alias("gram"))
-    counts = long.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = terms.select("term", F.explode(grams(F.col("term"))).alias("gram")).join(counts, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m"))
-    rarest = asked.where("m.n > 0").select("term", F.col("m.gram").alias("gram"))
-    return long.join(rarest, "gram").where(F.contains("word", "term")).select("term", "word").distinct()
-
-
 def file_scores(spark: SparkSession, tasks: DataFrame, files: DataFrame, *, task: str = "task", text: str = "text", key: str = "file_id", selected: DataFrame | None = None, path: str = "path") -> DataFrame:
     """``task, key, path, score, n_matched, confidence, is_test, selected`` of all pairs with a score or a selection.
 
@@ -70,7 +58,7 @@ def file_scores(spark: SparkSession, tasks: DataFrame, files: DataFrame, *, task
     of_terms = asked.select(task, F.explode("wide").alias("term"), F.lit(False).alias("phrase"))
     of_phrases = asked.select(task, F.explode(F.array_distinct(F.transform("phrases", lambda p: F.replace(p, F.lit(" "), F.lit(""))))).alias("term"), F.lit(True).alias("phrase"))
     wanted = stage.save(of_terms.unionByName(of_phrases))
-    met = _matches(wanted.select("term").distinct(), index.select("word").distinct())
+    met = words_with(wanted, index)
     found = wanted.join(met, "term").join(index, "word")
     own_bits = F.when(F.col("phrase"), F.col("fields").bitwiseAND(CLOSE)).otherwise(F.col("fields").bitwiseAND(~CLOSE) + F.when((F.col("fields").bitwiseAND(BAG) > 0) & (F.col("word") == F.col("term")), EXACT).otherwise(0))
     by_term = found.groupBy(task, key, "term", "phrase").agg(F.bit_or(own_bits).alias("fields")).where("fields > 0")

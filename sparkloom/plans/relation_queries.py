@@ -11,6 +11,7 @@ from ..functions import normal as N
 from ..functions import paths as X
 from ..functions import text as T
 from ..operators import compare, graph, relations, resolution
+from .code_queries import SELECTED
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_distinct, sql_list, sql_terms
 
 # fixed values: kinds of edges and evidence, with their priority and cost
@@ -65,9 +66,8 @@ def traversal(spark, sf_dir):
 
 
 def traced_edges(spark, sf_dir):
-    """The distinct edges of the seeds (every 50th file) and how many of the seeds have each target."""
-    e = priced_edges(spark, sf_dir).where("source % 50 = 0")
-    return e.groupBy("target").agg(F.count_distinct("source").alias("seeds"), F.sum("cost").alias("cost"), F.min("rank").alias("rank"))
+    """The distinct edges of all files and how many of the files have each target."""
+    return priced_edges(spark, sf_dir).groupBy("target").agg(F.count_distinct("source").alias("seeds"), F.sum("cost").alias("cost"), F.min("rank").alias("rank"))
 
 
 def script_resolution(spark, sf_dir):
@@ -86,7 +86,11 @@ def module_resolution(spark, sf_dir):
 
 
 def test_sources(spark, sf_dir):
-    return relations.best_source_of_tests(code_files(spark, sf_dir), "path")
+    """The best source of each test, by names, imports, nearness, the selected files and the terms of the source."""
+    f = code_files(spark, sf_dir)
+    said = F.concat(F.array("path"), "classes", "functions", F.flatten(F.transform("routes", lambda r: F.array(r["method"], r["path"], r["source"]))))
+    terms = F.array_distinct(F.flatten(F.transform(said, X.identifier_terms)))
+    return relations.best_source_of_tests(f, "path", F.col("imports"), terms, F.col("path").isin(*SELECTED))
 
 
 def test_hints(spark, sf_dir):
@@ -125,7 +129,7 @@ SIGNALS = {"view": 0.05, "click": 0.10, "signup": 0.35, "purchase": 0.45, "error
 
 
 def signal_scores(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("value < 30")
+    e = read(spark, sf_dir, "events")
     return relations.evidence_score(e, ["user_id"], "event_type", SIGNALS, ("view", "click"))
 
 
@@ -342,17 +346,19 @@ _SUMS = "count(*) AS files, sum(len(functions) + len(classes))::BIGINT AS symbol
 SQL = {
     "edge_order": f"WITH {_EDGES} SELECT * FROM priced",
     "traversal": _TRAVERSAL,
-    "traced_edges": f"WITH {_EDGES} SELECT target, count(DISTINCT source) AS seeds, sum(cost) AS cost, min(rank) AS rank FROM priced WHERE source % 50 = 0 GROUP BY target",
+    "traced_edges": f"WITH {_EDGES} SELECT target, count(DISTINCT source) AS seeds, sum(cost) AS cost, min(rank) AS rank FROM priced GROUP BY target",
     "script_resolution": f"WITH {CODE}, {_resolution_sql('code', PATTERNS, 'res')} SELECT file_id, n, imported, resolved, status FROM res",
     "module_resolution": f"""WITH {PATHS}, py AS (SELECT * FROM paths WHERE ends_with(path, '.py')), names AS (SELECT array_to_string(above || [stem], '.') AS m, min(path) AS by_name FROM py GROUP BY 1),
 i AS (SELECT file_id, path, above, n, ['src.index', 'main', 'os.path', 'requests', 'user_service', 'app.models.x'][n + 1] AS imported FROM py, range(6) t(n)), files AS (SELECT DISTINCT path AS f FROM code)
 SELECT file_id, n, imported, coalesce(by_name, f) AS resolved, CASE WHEN coalesce(by_name, f) IS NOT NULL THEN 'internal' WHEN list_contains({sql_list(STDLIB)}, string_split(imported, '.')[1]) THEN 'external' ELSE 'unresolved' END AS status
 FROM i LEFT JOIN names ON m = imported LEFT JOIN files ON f = array_to_string(above || [imported || '.py'], '/')""",
-    "test_sources": f"""WITH {PATHS}, r AS (SELECT DISTINCT path, above, {_MATCHING} AS t, regexp_replace(lower(stem), '^test_|_test$|\\.test$|\\.spec$', '') AS bare, {sql_distinct(sql_terms("path"))} AS terms FROM paths),
-w AS (SELECT *, {SQL_TOKENS.format("bare")} AS tokens FROM r),
-m AS (SELECT a.path AS test, b.path AS source, (CASE WHEN a.bare = b.bare THEN 300 ELSE 180 END + CASE WHEN a.above = b.above THEN 80 ELSE least(45, 15 * (SELECT coalesce(max(k), 0) FROM range(0, 9) u(k) WHERE k <= len(a.above) AND k <= len(b.above) AND a.above[1:k] = b.above[1:k])) END
-  + 4 * len(list_intersect(a.terms, b.terms)))::BIGINT AS score FROM w a JOIN w b ON a.t AND NOT b.t AND list_has_any(a.tokens, b.tokens) AND (contains(a.bare, b.bare) OR contains(b.bare, a.bare)))
-SELECT test, source, score FROM m QUALIFY row_number() OVER (PARTITION BY test ORDER BY score DESC, source DESC) = 1""",
+    "test_sources": f"""WITH {PATHS}, said AS (SELECT path, stem, above, {_MATCHING} AS t, imports, len(list_distinct(flatten(list_transform([path] || classes || functions || flatten(list_transform(routes, lambda r: [r.method, r.path, r.source])), lambda t: {sql_terms("t")})))) AS n FROM paths),
+r AS (SELECT path, any_value(stem) AS stem, any_value(above) AS above, bool_or(t) AS t, min(imports) AS imports, max(n) AS n, path IN {sql_list(SELECTED).replace("[", "(").replace("]", ")")} AS selected FROM said GROUP BY path),
+x AS (SELECT *, lower(translate(array_to_string([path] || imports, ' '), '\\_-', '/  ')) AS hint, regexp_replace(stem, '\\.(test|spec)$', '', 'i') AS bare, lower(translate(stem, '\\_-', '/  ')) AS needle, list_filter(above, lambda f: f <> '__tests__') AS low FROM r),
+m AS (SELECT a.path AS test, b.path AS source, a.bare IN (b.stem, 'test_' || b.stem) AS exact, b.selected,
+  (300 * (a.bare IN (b.stem, 'test_' || b.stem))::INT + 180 * contains(a.hint, b.needle)::INT + CASE WHEN a.above = b.above THEN 80 ELSE least(45, 15 * (SELECT coalesce(max(k), 0) FROM range(0, 9) u(k) WHERE k <= len(a.low) AND k <= len(b.above) AND a.low[1:k] = b.above[1:k])) END
+  + 40 * b.selected::INT + least(b.n, 15))::BIGINT AS score FROM x a JOIN x b ON a.t AND NOT b.t AND (a.bare IN (b.stem, 'test_' || b.stem) OR contains(a.hint, b.needle)))
+SELECT test, source, score, exact FROM m QUALIFY row_number() OVER (PARTITION BY test ORDER BY score DESC, exact DESC, selected DESC, length(source), source DESC) = 1""",
     "test_hints": f"""WITH {PATHS}, s AS (SELECT path, file_id, unnest(classes || functions) AS symbol, generate_subscripts(classes || functions, 1) AS n FROM paths WHERE {_MATCHING}),
 few AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY file_id, n) <= 2) SELECT row_number() OVER (ORDER BY path, file_id, n) AS place, path, file_id, symbol FROM few QUALIFY place <= 40""",
     "merged_relationships": f"""WITH {_RELATIONS}, said AS (SELECT *, min(kind) FILTER (origin = 'explicit') OVER (PARTITION BY a, b) AS first FROM rel), live AS (SELECT * FROM said WHERE first IS NULL OR origin = 'explicit' OR kind = first),
@@ -362,7 +368,7 @@ scores AS (SELECT a, b, kind, r, max(score) AS score FROM ranked GROUP BY ALL),
 SELECT h.a, h.b, h.kind, origin, score, n, array_to_string(e[1:3], ',') AS evidence, greatest(len(e) - 3, 0)::BIGINT AS omitted FROM heads h JOIN scores s ON (h.a, h.b, h.kind, best) = (s.a, s.b, s.kind, r) JOIN ev ON (h.a, h.b, h.kind) = (ev.a, ev.b, ev.kind)""",
     "origin_scores": f"""WITH {_RELATIONS}, g AS (SELECT a, origin, count(*) FILTER (evidence <> 'e16') AS n, max(CASE evidence WHEN 'e0' THEN 0.9 WHEN 'e1' THEN 0.6 WHEN 'e2' THEN 0.6 ELSE 0.3 END::DOUBLE) FILTER (evidence <> 'e16') AS top FROM rel GROUP BY ALL)
 SELECT a, origin, n, CASE WHEN origin = 'explicit' THEN 1.0 WHEN n = 0 THEN 0.25 ELSE round(least(CASE WHEN origin IN ('workspace_file', 'local_path_reference') THEN greatest(top, 0.75) ELSE top END, 0.95), 3) END::DOUBLE AS score FROM g""",
-    "signal_scores": """WITH g AS (SELECT user_id, list(DISTINCT event_type) AS k FROM events WHERE value < 30 GROUP BY 1),
+    "signal_scores": """WITH g AS (SELECT user_id, list(DISTINCT event_type) AS k FROM events GROUP BY 1),
 s AS (SELECT user_id, len(k) AS n_signals, list_sum(list_transform(k, lambda x: CASE x WHEN 'view' THEN 5 WHEN 'click' THEN 10 WHEN 'signup' THEN 35 WHEN 'purchase' THEN 45 ELSE 20 END))::BIGINT AS p, NOT list_has_any(k, ['signup', 'purchase', 'error']) AS weak FROM g),
 t AS (SELECT user_id, n_signals, least(CASE WHEN weak THEN least(p, 30) ELSE p END, 95) / 100.0::DOUBLE AS score FROM s)
 SELECT user_id, n_signals, score, CASE WHEN score >= 0.65 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS band FROM t""",

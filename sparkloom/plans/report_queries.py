@@ -22,7 +22,7 @@ from .relation_queries import _EDGES, priced_edges, read
 BUDGETS = {"tiny": 2000, "small": 4000, "medium": 8000, "large": 16000}
 SOURCE_FOLDERS = ("api", "app", "components", "core", "features", "hooks", "lib", "pages", "routes", "services", "src")
 GENERIC_STEMS = ("api", "app", "config", "helper", "helpers", "index", "main", "routes", "service", "util", "utils")
-FRAMEWORK_CONFIGS = r"^(babel|eslint|jest|next|postcss|tailwind|vite)\.config\."
+FRAMEWORK_CONFIGS = r"^(babel|eslint|jest|next|postcss|tailwind|vite)\.config\.|^(angular\.json|package\.json|pyproject\.toml|requirements\.txt|setup\.cfg|setup\.py|tsconfig\.json)$"
 REFERENCE_RELATIONS = {"api_base_url": "calls_api", "environment_url": "calls_api", "iframe_src": "embeds_iframe", "post_message": "sends_messages_to", "message_listener": "receives_messages_from"}
 SYMBOL_CLASSES = (
     ("validation", ("validate", "validator", "valid"), 0.68), ("authorization", ("authorize", "authorization", "permission", "role", "policy"), 0.70),
@@ -164,7 +164,7 @@ def resolution_merge(spark, sf_dir):
 def role_assessments(spark, sf_dir):
     """The role of each customer: the configured one, else what its orders suggest, else unknown; and how sure that is."""
     c = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("configured"))
-    o = read(spark, sf_dir, "orders").where("o_custkey % 4 <> 1").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.max(F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.6).otherwise(0.3)).alias("s"), F.bool_and(F.col("o_orderstatus") == "P").alias("weak"))
+    o = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.max(F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.6).otherwise(0.3)).alias("s"), F.bool_and(F.col("o_orderstatus") == "P").alias("weak"))
     best = o.groupBy("o_custkey").agg(F.max(F.struct("s", "n", F.col("o_orderpriority").alias("role"), "weak")).alias("b"))
     j = c.join(best, F.col("c_custkey") == F.col("o_custkey"), "left")
     known, found = F.col("configured").isNotNull(), F.col("b").isNotNull()
@@ -208,7 +208,7 @@ def byte_capped_probe(spark, sf_dir):
 
 def component_summary(spark, sf_dir):
     """Strong components of the edges of the files: their size, edges inside and the cheapest of them."""
-    e = priced_edges(spark, sf_dir).where("source % 3 = target % 3").select("source", "target", "cost")
+    e = priced_edges(spark, sf_dir).select("source", "target", "cost")
     c = graph.strong_components(spark, e, "source", "target")
     inside = e.join(c.withColumnRenamed("node", "source"), "source").join(c.select(F.col("node").alias("target"), F.col("component").alias("other")), "target").where("component = other")
     sizes = c.groupBy("component").agg(F.count("*").alias("nodes"))
@@ -216,9 +216,9 @@ def component_summary(spark, sf_dir):
 
 
 def call_trace(spark, sf_dir):
-    """Files that a call chain of three edges reaches from every 40th file, by the least number of steps."""
-    e = priced_edges(spark, sf_dir).where("rank = 2").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
-    at = e.where("a % 40 = 0").select(F.col("a").alias("seed"), F.col("b").alias("node"), F.lit(1).alias("depth"))
+    """Files that a call chain of three edges reaches from each file, by the least number of steps."""
+    e = priced_edges(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    at = e.select(F.col("a").alias("seed"), F.col("b").alias("node"), F.lit(1).alias("depth"))
     every = at
     for depth in (2, 3):
         at = at.join(e, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), F.lit(depth).alias("depth")).distinct()
@@ -249,7 +249,7 @@ def related_edges(spark, sf_dir):
     """Edges that touch the files of the first task's terms: first those between them, then those that leave or enter."""
     f = described_files(spark, sf_dir).where(R.candidate_score(TASKS[0]) >= 6).select("file_id")
     f = Stage(spark, "related").save(f)
-    e = priced_edges(spark, sf_dir).where("cost >= 1").select("source", "target", "edge_type").distinct()
+    e = priced_edges(spark, sf_dir).select("source", "target", "edge_type").distinct()
     out = joining.neighbours_of_set(e, f, "source", "target", "file_id").withColumn("node", F.col("node").cast("long"))
     inside = e.join(f.select(F.col("file_id").alias("source")), "source", "left_semi").join(f.select(F.col("file_id").alias("target")), "target", "left_semi").select(F.col("target").alias("node"), F.lit("inside").alias("direction")).distinct()
     return inside.unionByName(out).groupBy("direction").agg(F.count("*").alias("n"), F.min("node").alias("first"))
@@ -397,7 +397,7 @@ f AS (SELECT * FROM o WHERE (o_orderstatus <> 'O' OR s = 'info') AND NOT (o_orde
 SELECT o_orderpriority, count(*) FILTER (s = 'info') AS info, count(*) FILTER (s = 'warning') AS warning, count(*) FILTER (s = 'error') AS error, CASE WHEN bool_or(s = 'error') THEN 'blocked' WHEN bool_or(s = 'warning') THEN 'partial' ELSE 'ready' END AS readiness FROM f GROUP BY 1""",
     "resolution_merge": """WITH l AS (SELECT DISTINCT l_partkey % 60 AS library, l_returnflag AS class, 'n' || (l_suppkey % 9) AS note, l_linenumber::BIGINT AS files, l_linestatus AS status FROM lineitem)
 SELECT library, class, array_to_string(list_sort(list(DISTINCT note)), ',') AS notes, sum(files)::BIGINT AS files, min(status) AS status, count(*) AS n FROM l GROUP BY ALL""",
-    "role_assessments": """WITH o AS (SELECT o_custkey, o_orderpriority AS role, count(*) AS n, max(CASE o_orderstatus WHEN 'F' THEN 0.9 WHEN 'O' THEN 0.6 ELSE 0.3 END::DOUBLE) AS s, bool_and(o_orderstatus = 'P') AS weak FROM orders WHERE o_custkey % 4 <> 1 GROUP BY ALL),
+    "role_assessments": """WITH o AS (SELECT o_custkey, o_orderpriority AS role, count(*) AS n, max(CASE o_orderstatus WHEN 'F' THEN 0.9 WHEN 'O' THEN 0.6 ELSE 0.3 END::DOUBLE) AS s, bool_and(o_orderstatus = 'P') AS weak FROM orders GROUP BY ALL),
 b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC, n DESC, role DESC, weak DESC) = 1), j AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS configured, b.* FROM customer LEFT JOIN b ON c_custkey = o_custkey)
 SELECT c_custkey, CASE WHEN configured IS NOT NULL THEN 'explicit' WHEN role IS NOT NULL THEN 'discovered' ELSE 'default' END AS origin, coalesce(configured, role, 'unknown') AS role,
   CASE WHEN configured IS NOT NULL THEN 1.0 WHEN role IS NULL THEN 0.1 ELSE least(CASE WHEN weak THEN least(s, 0.35) ELSE s END, 0.9) END::DOUBLE AS score, configured IS NOT NULL AND role IS NOT NULL AND substr(configured, 1, 1) <> substr(role, 3, 1) AS conflict FROM j""",
@@ -409,11 +409,11 @@ SELECT p_partkey, raw, target, CASE WHEN target IS NOT NULL THEN greatest(1, flo
     "byte_capped_probe": """WITH d AS (SELECT source, doc_id, octet_length(encode(coalesce(text, ''))) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents QUALIFY place <= 12),
 w AS (SELECT *, CASE WHEN size > 60000 THEN 0 ELSE least(size, 400) END AS want FROM d), b AS (SELECT *, coalesce(sum(want) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
 SELECT source, doc_id, place, greatest(0, least(want, 2000 - before))::BIGINT AS bytes, CASE WHEN size > 60000 THEN 'too_large' WHEN before >= 2000 THEN 'total_bytes' WHEN greatest(0, least(want, 2000 - before)) < least(size, 400) THEN 'cut' END AS reason FROM b""",
-    "component_summary": f"""WITH RECURSIVE {_EDGES}, e AS (SELECT source AS a, target AS b, cost FROM priced WHERE source % 3 = target % 3), d AS (SELECT DISTINCT a, b FROM e WHERE a <> b), reach AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM reach r JOIN d ON r.b = d.a),
+    "component_summary": f"""WITH RECURSIVE {_EDGES}, e AS (SELECT source AS a, target AS b, cost FROM priced), d AS (SELECT DISTINCT a, b FROM e WHERE a <> b), reach AS (SELECT a, b FROM d UNION SELECT r.a, d.b FROM reach r JOIN d ON r.b = d.a),
 c AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a),
 i AS (SELECT p.component, count(*) AS edges, min(cost) AS cheapest FROM e JOIN c p ON p.node = a JOIN c q ON q.node = b AND q.component = p.component GROUP BY 1)
 SELECT component, nodes, edges, cheapest FROM (SELECT component, count(*) AS nodes FROM c GROUP BY 1) JOIN i USING (component)""",
-    "call_trace": f"""WITH {_EDGES}, e AS (SELECT DISTINCT source AS a, target AS b FROM priced WHERE rank = 2), x AS (SELECT a AS seed, b AS node, 1 AS depth FROM e WHERE a % 40 = 0), y AS (SELECT DISTINCT seed, b AS node, 2 AS depth FROM x JOIN e ON node = a), z AS (SELECT DISTINCT seed, b AS node, 3 AS depth FROM y JOIN e ON node = a)
+    "call_trace": f"""WITH {_EDGES}, e AS (SELECT DISTINCT source AS a, target AS b FROM priced), x AS (SELECT a AS seed, b AS node, 1 AS depth FROM e), y AS (SELECT DISTINCT seed, b AS node, 2 AS depth FROM x JOIN e ON node = a), z AS (SELECT DISTINCT seed, b AS node, 3 AS depth FROM y JOIN e ON node = a)
 SELECT seed, node, min(depth)::BIGINT AS depth FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z) WHERE seed <> node GROUP BY ALL""",
     "selected_sources": """WITH j AS (SELECT p_partkey, doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM part LEFT JOIN documents ON doc_id = p_partkey * 2 WHERE p_partkey % 9 = 0)
 SELECT p_partkey, CASE WHEN doc_id IS NULL THEN 'missing' WHEN n > 20000 THEN 'too_large' WHEN n = 0 THEN 'empty' ELSE 'read' END AS status, CASE WHEN doc_id IS NOT NULL AND n <= 20000 THEN least(n, 500) END::BIGINT AS bytes FROM j""",
@@ -448,7 +448,7 @@ SELECT library, uses, coalesce(['declarations', 'vendored', 'archive', 'opaque']
 g AS (SELECT conv_id, arg_min(role, turn) AS first, arg_max(role, turn) AS last, count(*) AS n, count(*) FILTER (prev = role) AS repeats, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty FROM c GROUP BY 1),
 i AS (SELECT *, list_filter([CASE WHEN NOT coalesce(lower(first) IN ('user', 'system'), false) THEN 'start' END, CASE WHEN repeats > 0 THEN 'repeated' END, CASE WHEN empty > 0 THEN 'empty' END, CASE WHEN n % 2 = 1 THEN 'odd' END], lambda x: x IS NOT NULL) AS issues FROM g)
 SELECT conv_id, array_to_string(issues, ',') AS issues, CASE WHEN list_contains(issues, 'empty') THEN 'stop' WHEN last = 'user' THEN 'answer' WHEN len(issues) > 0 THEN 'review' ELSE 'done' END AS action FROM i""",
-    "related_edges": f"""WITH {_FILES}, {_EDGES}, m AS (SELECT file_id FROM scored WHERE cheap_score >= 6), e AS (SELECT DISTINCT source, target FROM priced WHERE cost >= 1),
+    "related_edges": f"""WITH {_FILES}, {_EDGES}, m AS (SELECT file_id FROM scored WHERE cheap_score >= 6), e AS (SELECT DISTINCT source, target FROM priced),
 r AS (SELECT DISTINCT target AS node, 'inside' AS direction FROM e WHERE source IN (SELECT file_id FROM m) AND target IN (SELECT file_id FROM m) UNION SELECT DISTINCT target, 'out' FROM e WHERE source IN (SELECT file_id FROM m) AND target NOT IN (SELECT file_id FROM m) UNION SELECT DISTINCT source, 'in' FROM e WHERE target IN (SELECT file_id FROM m) AND source NOT IN (SELECT file_id FROM m))
 SELECT direction, count(*) AS n, min(node) AS first FROM r GROUP BY 1""",
 }
