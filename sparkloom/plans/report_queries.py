@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normal as N
 from ..functions import paths as X
 from ..functions import relevance as R
-from ..operators import folds, graph, joining
+from ..operators import folds, graph, joining, jsonwalk
 from ..store import Stage
 from .code_queries import _DESCRIBED, _PLACED, TASKS, _candidate_sql, described_files
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_list
@@ -235,14 +235,21 @@ def selected_sources(spark, sf_dir):
     return j.select("p_partkey", F.when(F.col("text").isNull(), "missing").when(n > 20000, "too_large").when(n == 0, "empty").otherwise("read").alias("status"), F.when(n <= 20000, F.least(n, F.lit(500))).alias("bytes"))
 
 
+def configs(spark, sf_dir) -> DataFrame:
+    """``event_id, j``: a nested configuration for each event; that of every fiftieth is broken off."""
+    props, k = F.coalesce("props", F.lit("{}")), F.col("event_id").cast("string")
+    j = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "a": {"list": [1, {"note": "token=abc, ok", "Api-Key": {"x": 1}}, [null, true, []]], "in": '), props, F.lit(', "id": '), k, F.lit("}}"))
+    return read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, F.substring(j, F.lit(1), F.char_length(j) - 1)).otherwise(j).alias("j"))
+
+
 def config_values(spark, sf_dir):
-    """Key paths and values of JSON properties, three levels deep."""
-    e = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"a": {"id": '), F.col("event_id").cast("string"), F.lit(', "in": '), "props", F.lit('}, "type": "'), "event_type", F.lit('"}')).alias("j"))
-    top = e.select("event_id", F.from_json("j", "a struct<id:long, in:map<string,string>>, type string").alias("v"))
-    pair = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
-    inner = F.transform(F.map_entries("v.a.in"), lambda x: pair(F.concat(F.lit("a.in."), x["key"]), x["value"]))
-    rows = F.concat(F.array(pair(F.lit("a.id"), F.col("v.a.id").cast("string")), pair(F.lit("type"), F.col("v.type"))), inner)
-    return top.select("event_id", F.inline(rows))
+    """Key paths, kinds and values of nested configurations, at any depth."""
+    return jsonwalk.json_leaves(spark, configs(spark, sf_dir), "event_id", "j").select("event_id", F.array_join("path", ".").alias("key"), "kind", "value")
+
+
+def redacted_configs(spark, sf_dir):
+    """The configurations with sorted names and masked secrets."""
+    return jsonwalk.redacted_json(spark, configs(spark, sf_dir), "event_id", "j")
 
 
 def related_edges(spark, sf_dir):
@@ -369,6 +376,8 @@ def _generated() -> str:
     return _GENERATED
 
 
+_CONFIGS = """j AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN j[:length(j) - 1] ELSE j END AS j FROM (SELECT event_id, '{"type": "' || event_type || '", "a": {"list": [1, {"note": "token=abc, ok", "Api-Key": {"x": 1}}, [null, true, []]], "in": ' || coalesce(props, '{}') || ', "id": ' || event_id || '}}' AS j FROM events))"""
+
 SQL = {
     "backend_symbols": f"WITH {PATHS}, s AS (SELECT file_id, stem || '.' || functions[1] AS symbol FROM paths), t AS (SELECT *, {_terms('symbol')} AS w FROM s) SELECT file_id, symbol, CASE {_class_sql()} ELSE 'business_logic' END AS kind, CASE {_class_score()} ELSE 0.55 END::DOUBLE AS score FROM t",
     "probe_ranking": f"""WITH {_FILES}, top AS (SELECT *, row_number() OVER (ORDER BY cheap_score DESC, lower(path), file_id) AS rank FROM scored QUALIFY rank <= 40),
@@ -417,8 +426,14 @@ SELECT component, nodes, edges, cheapest FROM (SELECT component, count(*) AS nod
 SELECT seed, node, min(depth)::BIGINT AS depth FROM (SELECT * FROM x UNION ALL SELECT * FROM y UNION ALL SELECT * FROM z) WHERE seed <> node GROUP BY ALL""",
     "selected_sources": """WITH j AS (SELECT p_partkey, doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM part LEFT JOIN documents ON doc_id = p_partkey * 2 WHERE p_partkey % 9 = 0)
 SELECT p_partkey, CASE WHEN doc_id IS NULL THEN 'missing' WHEN n > 20000 THEN 'too_large' WHEN n = 0 THEN 'empty' ELSE 'read' END AS status, CASE WHEN doc_id IS NOT NULL AND n <= 20000 THEN least(n, 500) END::BIGINT AS bytes FROM j""",
-    "config_values": """SELECT event_id, 'a.id' AS key, event_id::VARCHAR AS value FROM events UNION ALL SELECT event_id, 'type', event_type FROM events
-UNION ALL SELECT event_id, 'a.in.' || k, json_extract_string(props, '$.' || k) FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)""",
+    "config_values": f"""WITH RECURSIVE {_CONFIGS},
+w AS (SELECT event_id, []::VARCHAR[] AS path, j::JSON AS v FROM j WHERE json_valid(j) UNION ALL SELECT w.event_id, list_append(w.path, e.key::VARCHAR), e.value FROM w, json_each(w.v) e WHERE json_type(w.v) IN ('OBJECT', 'ARRAY'))
+SELECT event_id, array_to_string(path, '.') AS key, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS kind,
+  CASE json_type(v) WHEN 'VARCHAR' THEN v->>'$' ELSE v::VARCHAR END AS value FROM w WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY') OR v::VARCHAR IN ('{{}}', '[]')
+UNION ALL SELECT event_id, '', 'error', NULL FROM j WHERE NOT json_valid(j)""",
+    "redacted_configs": f"""WITH {_CONFIGS}, p AS (SELECT event_id, event_type, coalesce(props, '{{}}')::JSON AS props FROM events),
+s AS (SELECT event_id, event_type, '{{' || coalesce((SELECT string_agg('"' || e.key || '":' || e.value::VARCHAR, ',' ORDER BY e.key) FROM json_each(p.props) e), '') || '}}' AS inside FROM p)
+SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN '{{"a":{{"id":' || event_id || ',"in":' || inside || ',"list":[1,{{"Api-Key":"[redacted]","note":"token=[redacted], ok"}},[null,true,[]]]}},"type":"' || event_type || '"}}' END AS redacted FROM s""",
     "diff_verification": """WITH g AS (SELECT c_nationkey, count(*) FILTER (o_orderkey % 60 = 1) AS removed, count(*) FILTER (o_orderkey % 25 = 2) AS added, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 400 = 3) AS unresolved FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 24 GROUP BY 1)
 SELECT *, CASE WHEN unresolved > 0 THEN 'fail' WHEN removed > added THEN 'warn' ELSE 'pass' END AS status FROM g""",
     "strategy_costs": """WITH c AS (SELECT c_mktsegment, floor(c_acctbal)::BIGINT % 2 = 0 AS second, floor(abs(c_acctbal))::BIGINT % 8 / 8::DOUBLE AS recall, c_custkey % 4 / 4::DOUBLE AS coverage, c_custkey % 3 AS missed FROM customer),
@@ -455,6 +470,6 @@ SELECT direction, count(*) AS n, min(node) AS first FROM r GROUP BY 1""",
 
 QUERIES = {f.__name__: f for f in (
     backend_symbols, probe_ranking, starting_files, path_lookup, repository_matches, unresolved_relations, journey_checks, bounded_diagnostics, status_summaries, resolution_merge, role_assessments,
-    representation_order, budget_values, byte_capped_probe, component_summary, call_trace, selected_sources, config_values, related_edges,
+    representation_order, budget_values, byte_capped_probe, component_summary, call_trace, selected_sources, config_values, redacted_configs, related_edges,
     diff_verification, strategy_costs, symbol_hints, workspace_relevance, snippet_budget, budget_downgrade, library_probe, workflow_states,
 )}
