@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a bucket of a dealt table, and Spark's own limit of their number.
+BUCKET_BYTES, MOST_BUCKETS = 256 << 20, 100_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a folder of our own only where none is set and all runs in one process."""
@@ -19,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             folder = current.get()
-        elif spark.sparkContext.master.startswith("local"):
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             folder = tempfile.mkdtemp(prefix="sparkloom-")
             spark.sparkContext.setCheckpointDir(folder)
         else:
@@ -44,14 +47,16 @@ class Stage:
         saved._sparkloom_path = path
         return saved
 
-    def save_dealt(self, df: DataFrame, columns: list[str]) -> DataFrame:
+    def save_dealt(self, df: DataFrame, columns: list[str], size: int = 0) -> DataFrame:
         """``df`` computed once, as a bucketed table in this folder: joins and groupings by ``columns`` need not move it.
 
-        The table has a name of its own in the session's catalog; :meth:`drop` takes it out again.
+        A bucket is read by one task, so their number goes by ``size``, the bytes of ``df``: about BUCKET_BYTES each, and
+        no fewer than the shuffle's partitions. The table has a name of its own in the session's catalog; :meth:`drop`
+        takes it out again.
         """
         self._n += 1
         path, name = f"{self.root}/{self._n}", f"sparkloom_{uuid.uuid4().hex}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = min(MOST_BUCKETS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
         dealt = df.repartition(n, *columns)
         dealt.write.bucketBy(n, *columns).sortBy(*columns).option("path", path).format("parquet").saveAsTable(name)
         saved = self.spark.table(name)
