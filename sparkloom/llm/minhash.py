@@ -24,6 +24,8 @@ MARGIN = 5.0
 ROUNDS = 3
 #: Members of a family that meet in one task, from each of two blocks, where no pivot settles it.
 BLOCK = 256
+#: Bytes of a text for each of its shingles, about.
+WORD_BYTES = 8
 #: Members that are confirmed against one copy of a pivot's text.
 PER_PIVOT = 64
 
@@ -147,7 +149,7 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int
     return dealt.mapInArrow(lambda batches: _confirm(batches, shingle, percent), "a long, b long").distinct()
 
 
-def _texts_of(stage: Stage, df: DataFrame, signed: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts_of(stage: Stage, df: DataFrame, signed: DataFrame, wanted: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """``node, text`` of the nodes ``node, id, text_key``, one row each, dealt by node so that later joins don't move them."""
     again = stage.save(signed.groupBy("id", "text_key").count().where("count > 1").select(F.col("id").alias("i"), F.col("text_key").alias("k")))
     same = F.col("w.id").eqNullSafe(F.col("t.id")) & (F.col("w.text_key") == F.col("t.text_key"))
@@ -156,7 +158,7 @@ def _texts_of(stage: Stage, df: DataFrame, signed: DataFrame, wanted: DataFrame,
     once, several = wanted.join(again, known, "left_anti"), wanted.join(again, known, "left_semi")
     rows = once.alias("w").join(texts.alias("t"), same).select("node", "text")
     more = several.alias("w").join(texts.alias("t"), same).select("node", "text").dropDuplicates(["node"])
-    return stage.save_dealt(rows.unionByName(more), ["node"])
+    return stage.save_dealt(rows.unionByName(more), ["node"], size)
 
 
 def _relabel(stage: Stage, labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -203,7 +205,8 @@ def near_duplicates(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     several = entries.groupBy("bucket").count().where("count > 1").select("bucket")
     shared = stage.save(entries.join(several, "bucket"))
     wanted = classes.select("node", F.col("rep.id").alias("id"), F.col("rep.text_key").alias("text_key")).join(shared.select("node").distinct(), "node")
-    texts = _texts_of(stage, df, signed, wanted, id_col, text_col)
+    words = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    texts = _texts_of(stage, df, signed, wanted, id_col, text_col, words * WORD_BYTES)
     release_shuffles(spark)
     labels = classes.select("node", F.col("node").alias("component"))
     left, first = shared.withColumn("component", F.col("node")), None

@@ -59,7 +59,7 @@ def mix_sources(
     first, and the last one is cut exactly where the words reach floor(target), so the document there is taken in part.
     The sort is by range: bins of the key are summed, prefix sums of the bins give each bin's start, and a window
     inside the bin gives the rest. A null text or one without words has size 0 and takes 0. Rows that are equal in id
-    and text are rows of their own. An empty table gives an empty result. ``_text_key`` is the text's hash.
+    and text are rows of their own. Texts of any length are only counted. An empty table gives an empty result. ``_text_key`` is the text's hash.
     """
     stage = Stage(spark, "mixing")
     sized = stage.save(
@@ -71,7 +71,9 @@ def mix_sources(
         )
     )
     bins = bins_for(sized.count())
-    keyed = sized.withColumn("_key", random_key(F.col(id_col), seed)).withColumn("_bin", hash_bin(F.col("_key"), bins))
+    # null ids are told apart by their texts, or all of them would lie in one bin
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.col("_text_key").cast("string")))
+    keyed = sized.withColumn("_key", random_key(own, seed)).withColumn("_bin", hash_bin(F.col("_key"), bins))
     by_bin = keyed.groupBy("source", "_bin").agg(F.sum("size").alias("_bin_size"))
     targets = source_targets(by_bin.groupBy("source").agg(F.sum("_bin_size").alias("source_size")), weights=weights, most=most)
     starts = by_bin.withColumn(
@@ -97,7 +99,8 @@ def mixed_documents(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     """The mix itself: each document as often as the mix takes it, whole, with the columns of ``df``.
 
     A document that the cut takes in part is repeated once more if at least half of it is taken. Rows equal in id and
-    text are told apart only by number, so the copies that they get together are shared among them.
+    text share the copies that they get together, in the order of a hash of all columns. Null ids are ids of their own by
+    text, null sources are a source; null texts are in no mix. An empty table gives an empty one.
     """
     plan = mix_sources(spark, df, id_col=id_col, text_col=text_col, **how)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("long")
@@ -107,8 +110,9 @@ def mixed_documents(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_id
     joined = df.join(
         plan.where("_mix_times > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text_col) == F.col("_mix_text"))
     )
-    # equal rows: with k copies for n equal rows, the first k % n of them get one more
-    twin = Window.partitionBy("_mix_id", "_mix_text").orderBy(F.lit(0))
+    # equal rows: with k copies for n equal rows, the first k % n of them get one more; which these are, a hash of
+    # all columns says, so reruns agree
+    twin = Window.partitionBy("_mix_id", "_mix_text").orderBy(F.xxhash64(F.to_json(F.struct(*[F.col(c) for c in df.columns]))))
     several = joined.where("_mix_rows > 1").withColumn("_mix_i", F.row_number().over(twin))
     single = joined.where("_mix_rows = 1").withColumn("_mix_i", F.lit(1))
     share = F.floor(F.col("_mix_times") / F.col("_mix_rows")) + (F.col("_mix_i") <= F.col("_mix_times") % F.col("_mix_rows")).cast("long")

@@ -490,14 +490,15 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     stage = Stage(spark, "repeats")
     rows = _rows(stage, df, id_col, text_col)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    keys = stage.save(rows.where(F.octet_length("text") >= LENGTH).select("doc", "k", F.unhex(F.sha2("text", 256)).alias("key")))
+    keys = stage.save(rows.where(F.octet_length("text") >= LENGTH).select("doc", "k", F.unhex(F.sha2("text", 256)).alias("key"), F.octet_length("text").cast("long").alias("n")))
+    size = keys.agg(F.sum("n")).first()[0] or 0
     firsts = keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("high")).where("owner < high")
     copies = stage.save(keys.join(firsts, "key").where("owner < doc").select("doc", "k").distinct())
     again = stage.save(keys.groupBy("doc", "k").count().where("count > 1").select("doc", "k"))
     stage.drop(keys)
     long = rows.where(F.octet_length("text") >= LENGTH).select("doc", "k", "text").join(copies, ["doc", "k"], "left_anti")
     once = long.join(again, ["doc", "k"], "left_anti").unionByName(long.join(again, ["doc", "k"], "left_semi").dropDuplicates(["doc", "k"]))
-    docs = stage.save_dealt(once, ["doc", "k"])
+    docs = stage.save_dealt(once, ["doc", "k"], size)
     release_shuffles(spark)
     anchors = stage.save(docs.mapInArrow(_anchors, "h long, doc long, k long"))
     known = stage.save(anchors.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("h"))
@@ -538,6 +539,7 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     cut = docs.join(found, ["doc", "k"], "left").select("doc", "k", "text", "spans")
     cut = cut.mapInArrow(_cut, "doc long, k long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     cut = stage.save(cut)
+    stage.drop(docs)
     gone = copies.withColumn("copy", F.lit(True))
     sized = rows.select("id", "doc", "k", n_bytes.alias("n_bytes"), F.when(n_bytes < LENGTH, F.sha2(F.coalesce("text", F.lit("")), 256)).alias("own"))
     out = sized.join(cut, ["doc", "k"], "left").join(gone, ["doc", "k"], "left")

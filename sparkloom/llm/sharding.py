@@ -39,9 +39,9 @@ def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """Every row with ``shard``, ``grown_shard`` (with one shard more), ``size``, ``text_crc32`` and ``slot``.
 
     ``size`` is the text's UTF-8 bytes plus 1 (null: 1); ``text_crc32`` is that of no bytes, 0, for a null text. ``slot`` counts from 0
-    without gaps in each shard: shards are cut into bins of the id's hash, bins are counted, and a row's slot is the
-    count of the bins before plus its place in its own bin, so no task sorts a whole shard. Rows with equal ids share
-    a shard and get slots of their own. Columns of the same names in ``df`` are replaced; an empty table stays empty;
+    without gaps in each shard: shards are cut into bins of a hash of id and text, bins are counted, and a row's slot is the
+    count of the bins before plus its place in its own bin, so no task sorts a whole shard, nor all texts of one id. Rows
+    with equal ids share a shard and get slots of their own. Columns of the same names in ``df`` are replaced; an empty table stays empty;
     null ids are one id; texts of any length are only measured.
     """
     made = ["shard", "grown_shard", "size", "text_crc32", "slot"]
@@ -49,12 +49,12 @@ def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("rename the id or text column first")
     bins = bins_for(df.count())
     df = df.drop(*made)
-    key = F.xxhash64(F.col(id_col), F.lit(10))
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(10))
 
     def place(rows: DataFrame) -> DataFrame:
         return rows.withColumn("shard", jump_hash(F.col(id_col), shards)).withColumn("_shard_bin", hash_bin(key, bins))
 
-    counts = place(df.select(id_col)).groupBy("shard", "_shard_bin").count()
+    counts = place(df.select(id_col, text_col)).groupBy("shard", "_shard_bin").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("_shard_bin")) - F.col("count")
     starts = counts.select("shard", "_shard_bin", before.alias("_shard_before"))
     rows = (
@@ -74,5 +74,8 @@ def assign_shards(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """The rows as Parquet, one folder a shard; rows of one shard are spread over several files, not one task."""
+    """The rows as Parquet, one folder a shard; rows of one shard are spread over several files, not one task.
+
+    Null columns are written as they are, a null ``shard`` under Spark's default name; an empty table leaves an empty folder.
+    """
     sharded.write.partitionBy("shard").mode("overwrite").parquet(path)
