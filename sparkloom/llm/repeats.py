@@ -19,9 +19,9 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of runs in a shard of the suffix arrays, and the different runs that one anchor may bring into it; an anchor
 #: with more is refined by its neighbouring bytes, and what is still larger is cut into several shards.
 SHARD_BYTES = 1 << 20
-SHARD_RUNS = 1 << 12
+SHARD_RUNS = 1 << 8
 #: Runs of each of the shards into which such an anchor is cut.
-CUT_RUNS = 1 << 9
+CUT_RUNS = 1 << 8
 #: Of the LENGTH - ANCHOR bytes of a string outside its anchor, at least SIDE lie after it or more than SIDE before it.
 SIDE = (LENGTH - ANCHOR) // 2
 _PLACE = np.uint64((1 << 24) - 1)
