@@ -6,24 +6,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import normal as N
 from ..functions import paths as X
 from ..functions import relevance as R
-from ..operators import folds, graph, joining, jsonwalk
+from ..functions import text as T
+from ..operators import graph, joining, jsonwalk, reports, resolution
+from ..operators.reports import REFERENCE_RELATIONS
 from ..store import Stage
-from .code_queries import _DESCRIBED, _PLACED, TASKS, _candidate_sql, described_files
+from .code_queries import _DESCRIBED, _PLACED, TASKS, _candidate_sql, described_files, tasks
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_list
-from .relation_queries import _EDGES, priced_edges, read
+from .relation_queries import _EDGES, PATTERNS, _resolution_sql, priced_edges, read
 
 # fixed values: presets of budgets, folders and names that rescue a file, words of back-end symbols
 BUDGETS = {"tiny": 2000, "small": 4000, "medium": 8000, "large": 16000}
 SOURCE_FOLDERS = ("api", "app", "components", "core", "features", "hooks", "lib", "pages", "routes", "services", "src")
 GENERIC_STEMS = ("api", "app", "config", "helper", "helpers", "index", "main", "routes", "service", "util", "utils")
 FRAMEWORK_CONFIGS = r"^(babel|eslint|jest|next|postcss|tailwind|vite)\.config\.|^(angular\.json|package\.json|pyproject\.toml|requirements\.txt|setup\.cfg|setup\.py|tsconfig\.json)$"
-REFERENCE_RELATIONS = {"api_base_url": "calls_api", "environment_url": "calls_api", "iframe_src": "embeds_iframe", "post_message": "sends_messages_to", "message_listener": "receives_messages_from"}
 SYMBOL_CLASSES = (
     ("validation", ("validate", "validator", "valid"), 0.68), ("authorization", ("authorize", "authorization", "permission", "role", "policy"), 0.70),
     ("authentication", ("authenticate", "authentication", "auth", "login", "token", "session"), 0.68),
@@ -83,105 +83,70 @@ def starting_files(spark, sf_dir):
 
 
 def path_lookup(spark, sf_dir):
-    """For each wanted ending the first file in order that is it or ends with it."""
+    """For each wanted ending the first file that is it or ends with it; every file's last two parts are wanted too."""
     f = code_files(spark, sf_dir)
-    names = F.explode(F.array(*[F.lit(x) for x in ("index.py", "src/UserCard", "app.routes.ts", "never.x")])).alias("wanted")
-    hits = f.select("file_id", "path", names).where((F.col("path") == F.col("wanted")) | F.col("path").endswith(F.col("wanted")))
-    return hits.groupBy("wanted").agg(F.min("file_id").alias("file_id"), F.min_by("path", "file_id").alias("path"))
+    given = spark.createDataFrame([("index.py",), ("src/UserCard",), ("app.routes.ts",), ("never.x",)], "wanted string")
+    own = f.select(F.substring_index("path", "/", -2).alias("wanted"))
+    return reports.lookup_endings(given.unionByName(own).distinct(), f, "wanted", "file_id", "path")
 
 
 def repository_matches(spark, sf_dir):
     """The repository (a nation) that an address names, by the whole address or else by its port; two are ambiguous."""
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("http://"), F.lower("n_name"), F.lit(".example.com")).alias("url"), (F.col("n_nationkey") % 20 + 3000).cast("long").alias("port"))
-    p = read(spark, sf_dir, "pages")
     k = F.col("page_id")
-    r = p.select("page_id", (k % 25).cast("int").alias("own"), F.when(k % 3 == 0, F.concat(F.lit("HTTP://NATION_"), (k % 25).cast("string"), F.lit(".Example.com/"))).when(k % 3 == 1, F.concat(F.lit("http://localhost:"), (k % 23 + 3000).cast("string"))).otherwise(F.col("url")).alias("v"))
-    r = r.select("page_id", "own", N.reference_url(F.col("v")).alias("url"), N.port_of(F.col("v")).alias("port"))
-    by_url = r.join(n.select("url", "n_nationkey"), "url").where("n_nationkey <> own").select("page_id", "n_nationkey", F.lit(0.95).alias("score"))
-    by_port = r.join(n.select("port", "n_nationkey"), "port").where("n_nationkey <> own").select("page_id", "n_nationkey", F.lit(0.82).alias("score"))
-    best = by_url.unionByName(by_port).groupBy("page_id", "score").agg(F.count_distinct("n_nationkey").alias("n"), F.min("n_nationkey").alias("target"))
-    best = best.groupBy("page_id").agg(F.max(F.struct("score", "n", "target")).alias("b"))
-    out = r.select("page_id").join(best, "page_id", "left")
-    status = F.when(F.col("b").isNull(), "none").when(F.col("b.n") > 1, "ambiguous").otherwise("matched")
-    return out.select("page_id", status.alias("status"), F.when(F.col("b.n") == 1, F.col("b.target")).alias("target"), F.col("b.score").alias("score"))
+    said = F.when(k % 3 == 0, F.concat(F.lit("HTTP://NATION_"), (k % 25).cast("string"), F.lit(".Example.com/"))).when(k % 3 == 1, F.concat(F.lit("http://localhost:"), (k % 23 + 3000).cast("string"))).otherwise(F.col("url"))
+    r = read(spark, sf_dir, "pages").select("page_id", (k % 25).cast("int").alias("own"), said.alias("address"))
+    return reports.match_addresses(r, n, "page_id", "own", "address", "n_nationkey", "url", "port")
 
 
 def unresolved_relations(spark, sf_dir):
     """References as relations between nations: the type decides, then self, then which end is unknown."""
-    s = read(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     kinds = F.array(*[F.lit(x) for x in (*REFERENCE_RELATIONS, "shared_constant")])
-    r = s.select(k, F.element_at(kinds, (k % (len(REFERENCE_RELATIONS) + 1) + 1).cast("int")).alias("reference"), F.col("s_nationkey").alias("source"), ((k * 3) % 29).cast("int").alias("target"))
-    made = F.create_map(*[F.lit(x) for pair in REFERENCE_RELATIONS.items() for x in pair])
-    r = r.withColumn("relation", F.try_element_at(made, F.col("reference")))
-    known = read(spark, sf_dir, "nation").where("n_nationkey % 7 <> 1").select("n_nationkey")
-    out = r.join(known.withColumnRenamed("n_nationkey", "a"), F.col("source") == F.col("a"), "left").join(known.withColumnRenamed("n_nationkey", "b"), F.col("target") == F.col("b"), "left")
-    a, b = F.col("a").isNull(), F.col("b").isNull()
-    reason = F.when(F.col("relation").isNull(), "unsupported_type").when(F.col("source") == F.col("target"), "self").when(a & b, "both_missing").when(a, "source_missing").when(b, "target_missing").otherwise("resolved")
-    return out.select("s_suppkey", "relation", reason.alias("reason"))
+    r = read(spark, sf_dir, "supplier").select(k, F.element_at(kinds, (k % (len(REFERENCE_RELATIONS) + 1) + 1).cast("int")).alias("reference"), F.col("s_nationkey").alias("source"), ((k * 3) % 29).cast("int").alias("target"))
+    known = read(spark, sf_dir, "nation").where("n_nationkey % 7 <> 1")
+    return reports.relation_hints(r, known, "s_suppkey", "reference", "source", "target", "n_nationkey")
 
 
 def journey_checks(spark, sf_dir):
     """For each user (a journey): steps, kinds, transitions between unlike kinds, back steps, and whether a signup is followed by a purchase."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = read(spark, sf_dir, "events").withColumns({"next": F.lead("event_type").over(w), "seen": F.collect_set("event_type").over(w.rowsBetween(Window.unboundedPreceding, -1)), "place": F.row_number().over(w)})
-    back = F.array_contains("seen", F.col("event_type")) & (F.col("event_type") != F.coalesce(F.lag("event_type").over(w), F.lit("")))
-    g = e.withColumn("back", back).groupBy("user_id").agg(
-        F.count("*").alias("steps"), F.count_distinct("event_type").alias("kinds"), F.count_if(F.col("next") != F.col("event_type")).alias("transitions"), F.count_if("back").alias("back_steps"),
-        F.min(F.when(F.col("event_type") == "signup", F.col("place"))).alias("s"), F.max(F.when(F.col("event_type") == "purchase", F.col("place"))).alias("p"),
-    )
-    gap = F.when(F.col("s").isNotNull() & ~F.coalesce(F.col("p") > F.col("s"), F.lit(False)), "no purchase after signup")
-    ready = F.when(gap.isNotNull(), "partial").when(F.col("kinds") == 5, "complete").otherwise("limited")
-    rank = F.col("kinds") * 2 + F.when(ready == "complete", 18).otherwise(0) - F.when(gap.isNotNull(), 0.5).otherwise(0.0)
-    return g.select("user_id", "steps", "kinds", "transitions", "back_steps", gap.alias("gap"), ready.alias("readiness"), rank.cast("double").alias("rank"))
+    return reports.journey_summary(read(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], "signup", "purchase", 5, "no purchase after signup")
 
 
 def bounded_diagnostics(spark, sf_dir):
     """Of each user's errors the first three; a last row says how many were left out."""
     e = read(spark, sf_dir, "events").where("event_type = 'error'")
-    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    few = e.withColumn("place", F.row_number().over(w)).where("place <= 3").select("user_id", F.col("place").cast("long").alias("place"), F.col("event_id").cast("string").alias("item"))
-    more = e.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 3").select("user_id", F.lit(4).cast("long").alias("place"), F.concat(F.lit("omitted "), (F.col("n") - 3).cast("string")).alias("item"))
-    return few.unionByName(more)
+    return reports.bounded_items(e, "user_id", [F.desc("value"), F.col("event_id")], F.col("event_id"), 3)
 
 
 def status_summaries(spark, sf_dir):
     """One row a stage: counts by severity, the worst of them and the readiness that follows."""
     o = read(spark, sf_dir, "orders").select("o_orderpriority", F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("error")), (F.col("o_orderkey") % 3 + 1).cast("int")).alias("s"), "o_orderstatus").where("o_orderstatus <> 'O' or s = 'info'")
     o = o.where("not (o_orderpriority like '1%' and s = 'error') and not (o_orderpriority like '2%' and s <> 'info')")
-    rank = F.max(F.when(F.col("s") == "error", 2).when(F.col("s") == "warning", 1).otherwise(0))
-    g = o.groupBy("o_orderpriority").agg(*[F.count_if(F.col("s") == x).alias(x) for x in ("info", "warning", "error")], rank.alias("worst"))
-    return g.select("o_orderpriority", "info", "warning", "error", F.element_at(F.array(F.lit("ready"), F.lit("partial"), F.lit("blocked")), F.col("worst") + 1).alias("readiness"))
+    return reports.severity_summary(o, "o_orderpriority", "s")
 
 
 def resolution_merge(spark, sf_dir):
     """Equal identities merged: the union of notes, sums of counters, the least status."""
-    l = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 60).alias("library"), F.col("l_returnflag").alias("class"), F.concat(F.lit("n"), (F.col("l_suppkey") % 9).cast("string")).alias("note"), F.col("l_linenumber").cast("long").alias("files"), F.col("l_linestatus").alias("status")).distinct()
-    g = l.groupBy("library", "class").agg(F.array_join(F.sort_array(F.collect_set("note")), ",").alias("notes"), F.sum("files").alias("files"), F.min("status").alias("status"), F.count("*").alias("n"))
-    return g
+    note = F.concat(F.lit("n"), (F.col("l_suppkey") % 9).cast("string"))
+    l = read(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 60).alias("library"), F.col("l_returnflag").alias("class"), note.alias("note"), F.col("l_linenumber").cast("long").alias("count"), F.col("l_linestatus").alias("state"))
+    return reports.merge_resolutions(l, ["library", "class"], "note", "count", "state")
 
 
 def role_assessments(spark, sf_dir):
     """The role of each customer: the configured one, else what its orders suggest, else unknown; and how sure that is."""
-    c = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("configured"))
-    o = read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("n"), F.max(F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.6).otherwise(0.3)).alias("s"), F.bool_and(F.col("o_orderstatus") == "P").alias("weak"))
-    best = o.groupBy("o_custkey").agg(F.max(F.struct("s", "n", F.col("o_orderpriority").alias("role"), "weak")).alias("b"))
-    j = c.join(best, F.col("c_custkey") == F.col("o_custkey"), "left")
-    known, found = F.col("configured").isNotNull(), F.col("b").isNotNull()
-    score = F.when(known, 1.0).when(~found, 0.1).otherwise(F.least(F.when(F.col("b.weak"), F.least(F.col("b.s"), F.lit(0.35))).otherwise(F.col("b.s")), F.lit(0.9)))
-    origin = F.when(known, "explicit").when(found, "discovered").otherwise("default")
-    conflict = known & found & (F.substring("configured", 1, 1) != F.substring("b.role", 3, 1))
-    return j.select("c_custkey", origin.alias("origin"), F.coalesce("configured", "b.role", F.lit("unknown")).alias("role"), score.alias("score"), conflict.alias("conflict"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("segment"))
+    strength = F.when(F.col("o_orderstatus") == "F", 0.9).when(F.col("o_orderstatus") == "O", 0.6).otherwise(0.3)
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("priority"), strength.alias("strength"), (F.col("o_orderstatus") == "P").alias("weak"))
+    conflict = F.substring("configured", 1, 1) != F.substring("found", 3, 1)
+    return reports.assess_roles(c, o, "c_custkey", "segment", "priority", "strength", "weak", conflict=conflict)
 
 
 def representation_order(spark, sf_dir):
     """Representations by tier, then by tokens with the unknown last, and the running savings."""
-    p = read(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in ("whole", "symbol", "outline", "path")]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("tier"), F.when(F.col("p_partkey") % 5 > 0, (F.col("p_size") * 37 % 101).cast("long")).alias("tokens"))
-    tier = F.array_position(F.array(*[F.lit(x) for x in ("whole", "symbol", "outline", "path")]), F.col("tier"))
-    order = [tier.asc(), F.asc_nulls_last("tokens"), F.col("p_partkey")]
-    top = p.orderBy(*order).limit(200)
-    w = Window.orderBy(*order)
-    return top.select("p_partkey", "tier", "tokens", F.row_number().over(w).cast("long").alias("place"), F.sum(F.coalesce("tokens", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
+    tiers = ("whole", "symbol", "outline", "path")
+    p = read(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in tiers]), (F.col("p_partkey") % 4 + 1).cast("int")).alias("tier"), F.when(F.col("p_partkey") % 5 > 0, (F.col("p_size") * 37 % 101).cast("long")).alias("tokens"))
+    return reports.order_representations(p, "p_partkey", "tier", "tokens", tiers, 200)
 
 
 def budget_values(spark, sf_dir):
@@ -265,64 +230,42 @@ def related_edges(spark, sf_dir):
 def diff_verification(spark, sf_dir):
     """What a change of each nation's orders means: fail, warn or pass by what was removed, added and left open."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).where("c_nationkey <> 24")
-    g = o.groupBy("c_nationkey").agg(F.count_if(F.col("o_orderkey") % 60 == 1).alias("removed"), F.count_if(F.col("o_orderkey") % 25 == 2).alias("added"), F.count_if((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 400 == 3)).alias("unresolved"))
-    status = F.when(F.col("unresolved") > 0, "fail").when(F.col("removed") > F.col("added"), "warn").otherwise("pass")
-    return g.withColumn("status", status)
+    k = F.col("o_orderkey")
+    return reports.change_status(o, "c_nationkey", k % 60 == 1, k % 25 == 2, (F.col("o_orderstatus") == "P") & (k % 400 == 3))
 
 
 def strategy_costs(spark, sf_dir):
     """Two strategies compared by segment: averages before and after, and whether the second earned its cost."""
     c = read(spark, sf_dir, "customer").select("c_mktsegment", (F.floor(F.col("c_acctbal")) % 2 == 0).alias("second"), (F.floor(F.abs("c_acctbal")) % 8 / 8).alias("recall"), (F.col("c_custkey") % 4 / 4).alias("coverage"), (F.col("c_custkey") % 3).alias("missed"))
-    g = c.groupBy("c_mktsegment").agg(*[F.round(F.avg(F.when(F.col("second") == f, F.col(x))), 9).alias(f"{x}_{i}") for x in ("recall", "coverage") for i, f in ((0, False), (1, True))], *[F.sum(F.when(F.col("second") == f, F.col("missed"))).alias(f"missed_{i}") for i, f in ((0, False), (1, True))])
-    more = F.col("recall_1") - F.col("recall_0")
-    why = F.when(more > 1e-12, "recall").when(F.col("missed_1") < F.col("missed_0"), "fewer missed").when((F.abs(more) <= 1e-12) & (F.col("coverage_1") > F.col("coverage_0") + 1e-12), "coverage").otherwise("not earned")
-    return g.select("c_mktsegment", F.round(more, 9).alias("recall_gain"), F.round(F.col("coverage_1") - F.col("coverage_0"), 9).alias("coverage_gain"), why.alias("earned_by"))
+    return reports.compare_strategies(c, "c_mktsegment", "second", "recall", "missed", "coverage")
 
 
 def symbol_hints(spark, sf_dir):
     """Symbols by priority class (files selected, then by matched words) and score: two a file, forty in all."""
-    words = R.task_terms(TASKS[0])
-    f = code_files(spark, sf_dir).select("file_id", "path", F.col("path").isin("src/index.py", "src/UserCard").alias("selected"), F.explode(F.concat("classes", "functions")).alias("symbol"))
-    hits = lambda c: sum((X.plain_text(c).contains(w).cast("int") for w in words), F.lit(0))
-    either = sum(((X.plain_text(F.col("symbol")).contains(w) | X.plain_text(F.col("path")).contains(w)).cast("int") for w in words), F.lit(0))
-    f = f.withColumns({"s": hits(F.col("symbol")), "p": hits(F.col("path")), "m": either})
-    s, p = F.col("s"), F.col("p")
-    made = lambda rank, score: F.struct(F.lit(rank).alias("rank"), score.cast("long").alias("score"))
-    chosen = F.when(F.col("selected") & (s >= 2), made(0, 500 + 70 * s + 10 * p)).when(F.col("selected") & (s > 0), made(1, 400 + 60 * s + 8 * p)).when(F.col("selected") & (p > 0), made(2, 300 + 20 * p)).when(F.col("selected"), made(2, F.lit(280)))
-    rest = F.when(F.col("m") >= 2, made(3, 220 + 60 * s + 10 * p)).when(F.col("m") == 1, made(4, 140 + 40 * s + 5 * p)).otherwise(made(5, F.lit(0)))
-    f = f.withColumn("c", F.coalesce(chosen, rest)).select("file_id", "path", "symbol", "c.rank", "c.score").where("rank < 5")
-    order = [F.col("rank"), F.desc("score"), F.col("path"), F.col("symbol"), F.col("file_id")]
-    few = f.withColumn("r", F.row_number().over(Window.partitionBy("file_id").orderBy(*order))).where("r <= 2").orderBy(*order).limit(40)
-    return few.select("file_id", "symbol", F.col("rank").cast("long").alias("rank"), "score", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
+    f = code_files(spark, sf_dir).select("file_id", "path", F.explode(F.concat("classes", "functions")).alias("symbol"))
+    selected = F.array(F.lit("src/index.py"), F.lit("src/UserCard"))
+    t = tasks(spark).where("task = 0").select("task", T.task_terms(F.col("text")).alias("terms"), selected.alias("selected"))
+    return reports.symbol_hints(f, t, "file_id", "path", "symbol", "task", "terms", "selected", per_file=2, most=40).drop("task")
 
 
 def workspace_relevance(spark, sf_dir):
     """Suppliers as nodes by the words they share with a task, ten a word, and what speaks for them; the rest counted."""
     s = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    words = F.array(*[F.lit(w) for w in ("nation", "supplier", "7", "12")])
     text = F.concat_ws(" ", F.regexp_replace("s_name", "[^A-Za-z0-9]+", " "), F.regexp_replace("n_name", "[^A-Za-z0-9]+", " "))
-    score = F.size(F.array_intersect(words, F.split(F.lower(text), " "))) * 10 + F.when(F.col("s_acctbal") > 0, 5).otherwise(0)
-    rows = s.select("s_suppkey", score.cast("long").alias("score"))
-    total = rows.agg(F.count("*")).scalar()
-    order = [F.desc("score"), F.col("s_suppkey")]
-    return rows.orderBy(*order).limit(12).select("s_suppkey", "score", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), (total - 12).alias("omitted"))
+    t = spark.createDataFrame([(0, ["nation", "supplier", "7", "12"])], "task long, words array<string>")
+    return reports.relevant_nodes(s, t, "s_suppkey", text, F.when(F.col("s_acctbal") > 0, 5).otherwise(0), "task", "words", most=12).drop("task")
 
 
 def snippet_budget(spark, sf_dir):
     """Snippets of each source in the order of their documents, as long as they fit in 900 tokens; later ones may fit."""
     d = read(spark, sf_dir, "documents").select("source", "doc_id", F.least(F.ceil(F.char_length(F.coalesce("text", F.lit(""))) / 3.3), F.lit(300)).cast("long").alias("tokens"))
-    return folds.fill_budget(spark, d, ["source"], [F.col("doc_id")], "doc_id", "tokens", 900).where("admitted").select("source", "doc_id", "tokens")
+    return reports.snippets(spark, d, "source", "doc_id", "tokens", 900)
 
 
 def budget_downgrade(spark, sf_dir):
     """Which representations become lighter, tier by tier and the largest first, until each nation's parts fit its budget."""
     s = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") % 7 * 40 + 60).alias("tokens"))
-    steps = s.select("s_nationkey", "s_suppkey", "tokens", F.explode(F.array(F.lit(1), F.lit(2))).alias("step"))
-    saved = F.when(F.col("step") == 1, F.col("tokens") - F.floor(F.col("tokens") / 2)).otherwise(F.floor(F.col("tokens") / 2) - F.floor(F.col("tokens") / 8))
-    steps = steps.withColumns({"saved": saved, "whole": F.sum(F.when(F.col("step") == 1, F.col("tokens"))).over(Window.partitionBy("s_nationkey"))})
-    w = Window.partitionBy("s_nationkey").orderBy("step", F.desc("tokens"), "s_suppkey").rowsBetween(Window.unboundedPreceding, -1)
-    done = steps.withColumn("left", F.col("whole") - F.coalesce(F.sum("saved").over(w), F.lit(0))).where("left > 100")
-    return done.select("s_nationkey", "s_suppkey", F.col("step").cast("long").alias("step"), F.col("saved").cast("long").alias("saved"), F.col("left").cast("long").alias("tokens_before"))
+    return reports.downgrade_to_budget(s, "s_nationkey", "s_suppkey", "tokens", 100)
 
 
 def library_probe(spark, sf_dir):
@@ -337,12 +280,15 @@ def library_probe(spark, sf_dir):
 
 def workflow_states(spark, sf_dir):
     """What is wrong with the record of each conversation, and the next action."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = read(spark, sf_dir, "conversations").withColumn("prev", F.lag("role").over(w))
-    g = c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("first"), F.max_by("role", "turn").alias("last"), F.count("*").alias("n"), F.count_if(F.col("prev") == F.col("role")).alias("repeats"), F.count_if(F.coalesce(F.length("text"), F.lit(0)) == 0).alias("empty"))
-    issues = F.array_compact(F.array(F.when(~F.coalesce(F.lower("first").isin("user", "system"), F.lit(False)), "start"), F.when(F.col("repeats") > 0, "repeated"), F.when(F.col("empty") > 0, "empty"), F.when(F.col("n") % 2 == 1, "odd")))
-    action = F.when(F.array_contains(issues, "empty"), "stop").when(F.col("last") == "user", "answer").when(F.size(issues) > 0, "review").otherwise("done")
-    return g.select("conv_id", F.array_join(issues, ",").alias("issues"), action.alias("action"))
+    return reports.record_issues(read(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+def route_risks(spark, sf_dir):
+    """Files with routes by what of their imports is not resolved."""
+    f = code_files(spark, sf_dir)
+    i = f.select("file_id", "path", F.explode("imports").alias("imported"))
+    lost = resolution.resolve_scripts(i, f, "path", "imported", PATTERNS).where("status = 'unresolved'")
+    return reports.routes_at_risk(f, "file_id", "routes", "imports", lost)
 
 
 # --- SQL
@@ -386,7 +332,7 @@ j AS (SELECT file_id, path, 1 - (rank - 1) / 40::DOUBLE AS cheap, CASE WHEN n_ch
 SELECT file_id, path, round(0.35::DOUBLE * cheap + 0.30::DOUBLE * probe + 0.20::DOUBLE * structural - 0.15::DOUBLE * cost, 9) AS score FROM j ORDER BY score DESC, path LIMIT 25""",
     "starting_files": f"""WITH {_FILES} SELECT file_id, path, front, (cheap_score + CASE WHEN ext IN ('jsx', 'tsx') THEN 2 ELSE 1 END + CASE WHEN front IN ('page', 'component', 'form') THEN 3 WHEN front IN ('hook', 'route') THEN 2 ELSE 0 END)::BIGINT AS score FROM scored
 WHERE ext IN ('js', 'jsx', 'ts', 'tsx') AND NOT {_generated()} AND place_role NOT IN ('generated', 'vendor') AND NOT {_IS_TEST} AND front <> 'test' ORDER BY score DESC, lower(path), file_id LIMIT 15""",
-    "path_lookup": f"WITH {CODE}, w AS (SELECT unnest(['index.py', 'src/UserCard', 'app.routes.ts', 'never.x']) AS wanted) SELECT wanted, min(file_id) AS file_id, arg_min(path, file_id) AS path FROM w JOIN code ON ends_with(path, wanted) GROUP BY wanted",
+    "path_lookup": f"WITH {CODE}, w AS (SELECT unnest(['index.py', 'src/UserCard', 'app.routes.ts', 'never.x']) AS wanted UNION SELECT array_to_string(string_split(path, '/')[-2:], '/') FROM code) SELECT wanted, min(file_id) AS file_id, arg_min(path, file_id) AS path FROM w JOIN code ON ends_with(path, wanted) GROUP BY wanted",
     "repository_matches": r"""WITH n AS (SELECT n_nationkey, 'http://' || lower(n_name) || '.example.com' AS url, n_nationkey % 20 + 3000 AS port FROM nation),
 r AS (SELECT page_id, page_id % 25 AS own, CASE WHEN page_id % 3 = 0 THEN 'http://nation_' || (page_id % 25) || '.example.com' WHEN page_id % 3 = 1 THEN 'http://localhost:' || (page_id % 23 + 3000) ELSE url END AS url, CASE WHEN page_id % 3 = 1 THEN page_id % 23 + 3000 END AS port FROM pages),
 h AS (SELECT page_id, n_nationkey, 0.95::DOUBLE AS score FROM r JOIN n USING (url) WHERE n_nationkey <> own UNION ALL SELECT page_id, n_nationkey, 0.82 FROM r JOIN n USING (port) WHERE n_nationkey <> own),
@@ -445,7 +391,7 @@ c AS (SELECT *, CASE WHEN selected AND s >= 2 THEN 0 WHEN selected AND s > 0 THE
 t AS (SELECT * FROM c WHERE rank < 5 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY rank, score DESC, path, symbol) <= 2)
 SELECT file_id, symbol, rank::BIGINT AS rank, score::BIGINT AS score, row_number() OVER (ORDER BY rank, score DESC, path, symbol, file_id) AS place FROM t QUALIFY place <= 40""",
     "workspace_relevance": """WITH s AS (SELECT s_suppkey, s_acctbal, string_split(lower(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g') || ' ' || regexp_replace(n_name, '[^A-Za-z0-9]+', ' ', 'g')), ' ') AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-r AS (SELECT s_suppkey, (10 * len(list_intersect(['nation', 'supplier', '7', '12'], w)) + CASE WHEN s_acctbal > 0 THEN 5 ELSE 0 END)::BIGINT AS score, count(*) OVER () - 12 AS omitted FROM s)
+r AS (SELECT s_suppkey, (10 * len(list_intersect(['nation', 'supplier', '7', '12'], w)) + CASE WHEN s_acctbal > 0 THEN 5 ELSE 0 END)::BIGINT AS score, greatest(count(*) OVER () - 12, 0) AS omitted FROM s)
 SELECT s_suppkey, score, row_number() OVER (ORDER BY score DESC, s_suppkey) AS place, omitted FROM r QUALIFY place <= 12""",
     "snippet_budget": """WITH RECURSIVE d AS (SELECT source, doc_id, least(ceil(length(coalesce(text, '')) / 3.3::DOUBLE), 300)::BIGINT AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents),
 f AS (SELECT source, 0::BIGINT AS place, 0::BIGINT AS used, NULL::BIGINT AS doc_id, 0::BIGINT AS tokens, false AS admitted FROM (SELECT DISTINCT source FROM d)
@@ -459,6 +405,8 @@ SELECT s_nationkey, s_suppkey, step::BIGINT AS step, saved::BIGINT AS saved, tok
 f AS (SELECT functions[1] AS library, CASE WHEN starts_with(path, 'node_modules') AND ends_with(path, '.ts') THEN 0 WHEN starts_with(path, 'vendor') THEN 1 WHEN ends_with(path, '.key') THEN 2 WHEN starts_with(path, 'node_modules') THEN 3 END AS rank, path FROM code),
 b AS (SELECT * FROM f WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY library ORDER BY rank, path) = 1)
 SELECT library, uses, coalesce(['declarations', 'vendored', 'archive', 'opaque'][rank + 1], 'missing') AS kind, path FROM w LEFT JOIN b USING (library)""",
+    "route_risks": f"""WITH {CODE}, {_resolution_sql("code", PATTERNS, "res")}, lost AS (SELECT file_id, count(*) AS n, bool_or(regexp_matches(imported, '^\\.\\.?/')) AS near FROM res WHERE status = 'unresolved' GROUP BY 1)
+SELECT file_id, len(routes) AS n_routes, coalesce(n, 0) AS n_unresolved, CASE WHEN near THEN 'high' WHEN n > 0 THEN 'medium' ELSE 'low' END AS risk FROM code LEFT JOIN lost USING (file_id) WHERE len(routes) > 0""",
     "workflow_states": """WITH c AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations),
 g AS (SELECT conv_id, arg_min(role, turn) AS first, arg_max(role, turn) AS last, count(*) AS n, count(*) FILTER (prev = role) AS repeats, count(*) FILTER (coalesce(length(text), 0) = 0) AS empty FROM c GROUP BY 1),
 i AS (SELECT *, list_filter([CASE WHEN NOT coalesce(lower(first) IN ('user', 'system'), false) THEN 'start' END, CASE WHEN repeats > 0 THEN 'repeated' END, CASE WHEN empty > 0 THEN 'empty' END, CASE WHEN n % 2 = 1 THEN 'odd' END], lambda x: x IS NOT NULL) AS issues FROM g)
@@ -471,5 +419,5 @@ SELECT direction, count(*) AS n, min(node) AS first FROM r GROUP BY 1""",
 QUERIES = {f.__name__: f for f in (
     backend_symbols, probe_ranking, starting_files, path_lookup, repository_matches, unresolved_relations, journey_checks, bounded_diagnostics, status_summaries, resolution_merge, role_assessments,
     representation_order, budget_values, byte_capped_probe, component_summary, call_trace, selected_sources, config_values, redacted_configs, related_edges,
-    diff_verification, strategy_costs, symbol_hints, workspace_relevance, snippet_budget, budget_downgrade, library_probe, workflow_states,
+    diff_verification, strategy_costs, symbol_hints, workspace_relevance, snippet_budget, budget_downgrade, library_probe, workflow_states, route_risks,
 )}
