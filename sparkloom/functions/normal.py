@@ -61,11 +61,6 @@ def stable_digest(fields: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
 
 
-def digest_of_group(line: Column) -> Column:
-    """An aggregate: SHA-256 of a group's lines in order; each line is digested first, so a group is held as digests."""
-    return F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(line, 256))), ","), 256)
-
-
 def is_expired(created: Column, now: Column, most_seconds: float) -> Column:
     """Whether a time is further back than ``most_seconds``; unknown times count as expired."""
     return F.coalesce(F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp")) > most_seconds * 1_000_000, F.lit(True))

@@ -65,3 +65,16 @@ def quality_at_k(ranked: DataFrame, expected: DataFrame, task: str, item: str, r
         task, "evaluated", share(c, F.col("_critical"), 1.0).alias("critical_recall"), share(u, F.col("_useful"), 1.0).alias("useful_coverage"),
         share(d, n, 0.0).alias("distractor_rate"), (F.col("_critical") - c).alias("missed_critical"), share(n - c - u, n, 0.0).alias("context_waste"),
     )
+
+
+def group_digests(df: DataFrame, keys: list[str], line: Column, digits: int = 4) -> DataFrame:
+    """``keys, digest, n``: a SHA-256 of each group's lines, whatever their order; equal lines count as often as they come.
+
+    Each line is digested; the digests are put together in order by their first ``digits`` hexadecimal digits, and these
+    again for the group. So no task holds a group's lines, only those of a bin, and the list of its bins, at most
+    16^digits. A null line is a line of its own.
+    """
+    own = df.select(*keys, F.sha2(F.coalesce(line.cast("string"), F.lit("\x00")), 256).alias("_h"))
+    bins = own.groupBy(*keys, F.substring("_h", 1, digits).alias("_bin")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_h")), ","), 256).alias("_d"), F.count("*").alias("_n"))
+    of_bins = F.transform(F.sort_array(F.collect_list(F.struct("_bin", "_d"))), lambda x: x["_d"])
+    return bins.groupBy(*keys).agg(F.sha2(F.array_join(of_bins, ","), 256).alias("digest"), F.sum("_n").alias("n"))

@@ -18,17 +18,17 @@ def placed(stage: Stage, df: DataFrame, keys: list[str], order: list[Column]) ->
     The rows are dealt by range of (keys, order) and sorted; the rows of a group before a task's are counted by task.
     """
     # rows that are equal in all of it can be split too
-    tied = df.withColumn("_tie", F.monotonically_increasing_id())
-    rows = tied.repartitionByRange(*[F.col(k) for k in keys], *order, F.col("_tie")).sortWithinPartitions(*keys, *order, "_tie").drop("_tie")
-    rows = stage.save(rows.withColumns({"_task": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
-    w = Window.partitionBy(*keys).orderBy("_task")
-    tasks = rows.groupBy(*keys, "_task").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    starts = tasks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_task").alias("_t"), "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
-    same = F.col("_task") == F.col("_t")
+    tied = df.withColumn("_placed_tie", F.monotonically_increasing_id())
+    rows = tied.repartitionByRange(*[F.col(k) for k in keys], *order, F.col("_placed_tie")).sortWithinPartitions(*keys, *order, "_placed_tie").drop("_placed_tie")
+    rows = stage.save(rows.withColumns({"_placed_task": F.spark_partition_id(), "_placed_row": F.monotonically_increasing_id()}))
+    w = Window.partitionBy(*keys).orderBy("_placed_task")
+    tasks = rows.groupBy(*keys, "_placed_task").agg(F.count("*").alias("_n"), F.min("_placed_row").alias("_first"))
+    starts = tasks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_placed_task").alias("_t"), "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_before"))
+    same = F.col("_placed_task") == F.col("_t")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = rows.join(starts, same)
-    return out.select(*df.columns, (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("place"))
+    return out.select(*df.columns, (F.col("_before") + F.col("_placed_row") - F.col("_first") + 1).alias("place"))
 
 
 def fill_budget(spark: SparkSession, df: DataFrame, keys: list[str], order: list[Column], item: str, cost: str, budget: int) -> DataFrame:

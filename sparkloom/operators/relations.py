@@ -65,10 +65,15 @@ def merge_by_origin(df: DataFrame, keys: list[str], origin: str, ranks: dict[str
 
 
 def without_suppressed(df: DataFrame, pair: list[str], kind: str, origin: str, explicit: str) -> DataFrame:
-    """Rows of a pair but those inferred for another kind than the pair's explicit one (the first, where several)."""
-    w = Window.partitionBy(*pair)
-    said = F.min(F.when(F.col(origin) == explicit, F.col(kind))).over(w)
-    return df.withColumn("_said", said).where(F.col("_said").isNull() | (F.col(origin) == explicit) | (F.col(kind) == F.col("_said"))).drop("_said")
+    """Rows of a pair but those inferred for another kind than the pair's explicit one (the first, where several).
+
+    What is explicit is grouped first and joined, so the rows of a pair that nearly all share need not meet in one task.
+    """
+    said = df.where(F.col(origin) == explicit).groupBy(*[F.col(c).alias(f"_said_{i}") for i, c in enumerate(pair)]).agg(F.min(kind).alias("_said"))
+    same = F.lit(True)
+    for i, c in enumerate(pair):
+        same = same & F.col(c).eqNullSafe(F.col(f"_said_{i}"))
+    return df.join(said, same, "left").where(F.col("_said").isNull() | (F.col(origin) == explicit) | (F.col(kind) == F.col("_said"))).select(*df.columns)
 
 
 def evidence_score(df: DataFrame, keys: list[str], signal: str, weights: dict[str, float], weak: tuple[str, ...]) -> DataFrame:

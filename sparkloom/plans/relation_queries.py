@@ -194,9 +194,9 @@ def cache_reuse(spark, sf_dir):
     """For each customer nation whether a cached state of its orders up to the cut can be reused, and why not."""
     o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     line = F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")
-    made = [N.digest_of_group(line).alias("digest"), F.count("*").alias("n"), F.max("o_orderdate").alias("latest")]
-    before = o.where("o_orderkey % 40 <> 3 or c_nationkey > 5").groupBy("c_nationkey").agg(*made)
-    after = o.groupBy("c_nationkey").agg(*made)
+    cached = o.where("o_orderkey % 40 <> 3 or c_nationkey > 5")
+    before = compare.group_digests(cached, ["c_nationkey"], line).join(cached.groupBy("c_nationkey").agg(F.max("o_orderdate").alias("latest")), "c_nationkey")
+    after = compare.group_digests(o, ["c_nationkey"], line)
     both = after.alias("x").join(before.alias("y"), "c_nationkey", "left")
     old = N.is_expired(F.col("y.latest"), F.lit("1998-08-02 00:00:00").cast("timestamp"), 86400.0 * 3)
     reasons = N.reuse_reasons({k: F.col(f"y.{k}") for k in ("digest", "n")}, {k: F.col(f"x.{k}") for k in ("digest", "n")}, old)
@@ -386,7 +386,8 @@ SELECT page_id, 'str:' || v AS exact, 'str:' || lower(v) AS case_insensitive, 's
     "line_places": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT *, string_split(t, chr(10))[2:9] AS w FROM d), k AS (SELECT *, array_to_string(w[1:4], chr(10)) AS kept FROM s)
 SELECT doc_id, (length(t[1:length(t) // 2]) - length(replace(t[1:length(t) // 2], chr(10), '')) + 1)::BIGINT AS line, sha256(substr(kept, 1, 120)) AS snippet, len(w) > 4 OR length(kept) > 120 AS truncated FROM k""",
     "cache_reuse": """WITH o AS (SELECT c_nationkey, o_orderkey, sha256(o_orderkey || '|' || o_orderstatus) AS h, o_orderdate FROM orders JOIN customer ON o_custkey = c_custkey),
-x AS (SELECT c_nationkey, sha256(array_to_string(list_sort(list(h)), ',')) AS digest, count(*) AS n FROM o GROUP BY 1), y AS (SELECT c_nationkey, sha256(array_to_string(list_sort(list(h)), ',')) AS digest, count(*) AS n, max(o_orderdate) AS latest FROM o WHERE o_orderkey % 40 <> 3 OR c_nationkey > 5 GROUP BY 1),
+x AS (SELECT c_nationkey, sha256(string_agg(d, ',' ORDER BY bin)) AS digest, sum(n)::BIGINT AS n FROM (SELECT c_nationkey, h[:4] AS bin, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM o GROUP BY ALL) GROUP BY 1),
+y AS (SELECT c_nationkey, sha256(string_agg(d, ',' ORDER BY bin)) AS digest, sum(n)::BIGINT AS n, max(latest) AS latest FROM (SELECT c_nationkey, h[:4] AS bin, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n, max(o_orderdate) AS latest FROM o WHERE o_orderkey % 40 <> 3 OR c_nationkey > 5 GROUP BY ALL) GROUP BY 1),
 r AS (SELECT x.c_nationkey, list_filter([CASE WHEN x.digest IS DISTINCT FROM y.digest THEN 'digest_changed' END, CASE WHEN x.n IS DISTINCT FROM y.n THEN 'n_changed' END, CASE WHEN coalesce(TIMESTAMP '1998-08-02' - latest > INTERVAL 3 DAY, true) THEN 'too_old' END], lambda z: z IS NOT NULL) AS reasons, x.n - coalesce(y.n, 0) AS n_more, y.n AS had FROM x LEFT JOIN y USING (c_nationkey))
 SELECT c_nationkey, CASE WHEN had IS NULL THEN 'miss' WHEN len(reasons) = 0 THEN 'hit' ELSE 'stale' END AS status, array_to_string(reasons, ',') AS reasons, n_more FROM r""",
     "scan_drift": """WITH g AS (SELECT year(o_orderdate) AS y, count(*) AS n, count(*) FILTER ((o_orderkey % 30 = 0 AND year(o_orderdate) % 3 = 0) OR (o_orderkey % 4 = 0 AND year(o_orderdate) % 5 = 0)) AS during, count(*) FILTER (o_orderkey % 11 = 0 AND year(o_orderdate) % 2 = 0) AS since FROM orders GROUP BY 1),

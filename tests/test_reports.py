@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import reports
+from sparkloom.operators import compare, folds, relations, reports
+from sparkloom.store import Stage
 
 
 def rows(df, *order):
@@ -93,3 +94,21 @@ def test_empty_tables(spark, most):
     none = spark.createDataFrame([], "g string, k long, t long")
     assert reports.downgrade_to_budget(none, "g", "k", "t", most).count() == 0
     assert reports.bounded_items(none, "g", [F.col("k")], F.col("t"), most).count() == 0
+
+
+def test_digests_of_groups(spark):
+    a = [("g", f"line {i % 7}") for i in range(50)] + [("h", "x"), ("h", None), (None, "x")]
+    one = rows(compare.group_digests(spark.createDataFrame(a, "g string, t string"), ["g"], F.col("t"), 1), "g")
+    two = rows(compare.group_digests(spark.createDataFrame(a[::-1], "g string, t string").repartition(7), ["g"], F.col("t"), 1), "g")
+    less = rows(compare.group_digests(spark.createDataFrame(a[1:], "g string, t string"), ["g"], F.col("t"), 1), "g")
+    assert one == two and [x[2] for x in one] == [1, 50, 2] and one[1][1] != less[1][1] and one[2] == less[2] and len({x[1] for x in one}) == 3
+
+
+def test_suppression_keeps_columns_and_nulls(spark):
+    df = spark.createDataFrame([("a", "b", "calls", "explicit", 1), ("a", "b", "embeds", "inferred", 2), ("a", "b", "calls", "inferred", 3), ("a", None, "x", "inferred", 4), (None, None, "y", "explicit", 5), (None, None, "x", "inferred", 6)], "s string, t string, kind string, origin string, n int")
+    assert [r[-1] for r in rows(relations.without_suppressed(df, ["s", "t"], "kind", "origin", "explicit"), "n")] == [1, 3, 4, 5]
+
+
+def test_places_with_clashing_names(spark):
+    df = spark.createDataFrame([("g", i, "x") for i in range(9)], "g string, _row int, _tie string")
+    assert [(r[1], r[3]) for r in rows(folds.placed(Stage(spark, "t"), df, ["g"], [F.desc("_row")]), "_row")] == [(i, 9 - i) for i in range(9)]
