@@ -58,7 +58,8 @@ class Stage:
         path, name = f"{self.root}/{self._n}", f"sparkloom_{uuid.uuid4().hex}"
         n = min(MOST_BUCKETS, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
         dealt = df.repartition(n, *columns)
-        dealt.write.bucketBy(n, *columns).sortBy(*columns).option("path", path).format("parquet").saveAsTable(name)
+        # whole texts are written: the better codec takes less disk
+        dealt.write.bucketBy(n, *columns).sortBy(*columns).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
         saved = self.spark.table(name)
         saved._sparkloom_path, saved._sparkloom_table = path, name
         return saved
