@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .functions import predicates as P
 from .functions import text as T
 from .operators import compare, folds, graph, joining, ranking, relations
-from .plans import code_queries, graph_queries, parser_queries, relation_queries, report_queries, route_queries, syntax_queries
+from .plans import code_queries, contract_queries, graph_queries, parser_queries, relation_queries, report_queries, route_queries, syntax_queries
 from .sources import parsing, tables
 from .streaming import changes
 
@@ -371,8 +371,8 @@ QUERIES = {f.__name__: f for f in (
 
 
 def queries() -> dict:
-    return QUERIES | code_queries.QUERIES | relation_queries.QUERIES | parser_queries.QUERIES | report_queries.QUERIES | syntax_queries.QUERIES | route_queries.QUERIES | graph_queries.QUERIES
+    return QUERIES | code_queries.QUERIES | relation_queries.QUERIES | parser_queries.QUERIES | report_queries.QUERIES | syntax_queries.QUERIES | route_queries.QUERIES | graph_queries.QUERIES | contract_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | code_queries.SQL | relation_queries.SQL | parser_queries.SQL | report_queries.SQL | syntax_queries.SQL | route_queries.SQL | graph_queries.SQL
+    return SQL | code_queries.SQL | relation_queries.SQL | parser_queries.SQL | report_queries.SQL | syntax_queries.SQL | route_queries.SQL | graph_queries.SQL | contract_queries.SQL
