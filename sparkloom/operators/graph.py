@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..store import Stage
@@ -126,55 +123,61 @@ def best_walk(spark: SparkSession, edges: DataFrame, starts: DataFrame, source:
     return at.select("seed", F.posexplode("path").alias("step", "node"))
 
 
+def _taken(edges: Column, depth: Column, n: Column, cost: Column, max_edges: int, max_cost: float) -> Column:
+    """``n, cost, stop, more`` after the edges in order, until a cap stops them; ``more`` joins the frontier."""
+    start = F.struct(n.alias("n"), cost.alias("cost"), F.lit(None).cast("string").alias("stop"), F.transform(F.slice(edges, 1, 0), lambda e: F.struct(e["rank"].alias("rank"), e["cost"].alias("cost"), depth.alias("depth"), e["target"].alias("node"))).alias("more"))
+
+    def step(s: Column, e: Column) -> Column:
+        full, dear = s["n"] >= max_edges, s["cost"] + e["cost"] > max_cost
+        stopped = lambda why: F.struct(s["n"].alias("n"), s["cost"].alias("cost"), why.alias("stop"), s["more"].alias("more"))
+        one = F.array(F.struct(e["rank"].alias("rank"), e["cost"].alias("cost"), (depth + 1).alias("depth"), e["target"].alias("node")))
+        took = F.struct((s["n"] + 1).alias("n"), (s["cost"] + e["cost"]).alias("cost"), F.when(s["n"] + 1 >= max_edges, "edges").alias("stop"), F.concat(s["more"], one).alias("more"))
+        return F.when(s["stop"].isNotNull(), s).when(full, stopped(F.lit("edges"))).when(dear, stopped(F.lit("cost"))).otherwise(took)
+
+    return F.aggregate(edges, start, step)
+
+
 def traverse(edges: DataFrame, seeds: DataFrame, *, max_depth: int = 2, max_files: int = 40, max_edges: int = 100, max_cost: float = 100.0) -> DataFrame:
     """``seed, place, node, depth, n_edges, cost, stop``: the nodes that a best-first traversal visits from each seed, in order.
 
     ``edges``: source, target, rank (smaller first), cost, ord (the order of a node's edges). From the frontier the node
     of least (rank, cost, depth, name) is visited next, its edges are taken in order, and a node in the frontier keeps
     its better key. ``stop`` names the cap that ended the traversal: files, edges or cost; null if the frontier ran dry.
-    At most ``max_edges`` edges are taken in all, so no more than that of a node are read, and a seed's neighbourhood to
-    ``max_depth``, which one task takes, is bounded by the caps.
+    At most ``max_edges`` edges are taken in all, so no more than that of a node are read.
+
+    All traversals take a step at a time: a round joins each seed's next node with that node's edges, and is written. A
+    seed is one row with its frontier (at most ``max_edges``) and the nodes that it has seen (at most ``max_files``), so
+    the tables never exceed the seeds by more than the caps, whatever the depth; finished seeds leave the rounds.
     """
+    spark = edges.sparkSession
+    stage = Stage(spark, "traverse")
     own = Window.partitionBy("source").orderBy("ord", "target")
     steps = edges.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= max_edges + 1)
-    at = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
-    kind = at.schema["seed"].dataType.simpleString()
-    around = None
-    for _ in range(max_depth):
-        found = at.join(steps, F.col("node") == F.col("source")).select("seed", "source", "target", "rank", "cost", "_n")
-        around = found if around is None else around.unionByName(found)
-        at = found.select("seed", F.col("target").alias("node")).distinct()
-    start = seeds.select("seed", F.col("seed").alias("source"), F.lit(None).cast(kind).alias("target"), F.lit(0).alias("rank"), F.lit(0.0).alias("cost"), F.lit(0).alias("_n"))
-    every = start.distinct() if around is None else start.distinct().unionByName(around.distinct())
-    every = every.select("seed", "source", "target", F.col("rank").cast("long").alias("rank"), F.col("cost").cast("double").alias("cost"), "_n")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = pdf["seed"].iloc[0]
-        real = pdf[pdf["_n"] > 0].sort_values(["source", "_n"])
-        out = {k: list(zip(g["target"], g["rank"], g["cost"], strict=True)) for k, g in real.groupby("source", sort=False)}
-        frontier, seen, rows = [(-1, 0.0, 0, seed)], set(), []
-        n_edges, cost, stop = 0, 0.0, None
-        while frontier and stop is None:
-            _, _, depth, node = heapq.heappop(frontier)
-            if node in seen:
-                continue
-            if len(seen) >= max_files:
-                stop = "files"
-                break
-            seen.add(node)
-            rows.append((node, depth))
-            for target, rank, price in out.get(node, []) if depth < max_depth else []:
-                if n_edges >= max_edges:
-                    stop = "edges"
-                elif cost + price > max_cost:
-                    stop = "cost"
-                else:
-                    n_edges, cost = n_edges + 1, cost + price
-                    heapq.heappush(frontier, (rank, price, depth + 1, target))
-                    stop = "edges" if n_edges >= max_edges else None
-                if stop:
-                    break
-        made = [(seed, i + 1, node, depth, n_edges, cost, stop) for i, (node, depth) in enumerate(rows)]
-        return pd.DataFrame(made, columns=["seed", "place", "node", "depth", "n_edges", "cost", "stop"])
-
-    return every.groupBy("seed").applyInPandas(walk, f"seed {kind}, place long, node {kind}, depth long, n_edges long, cost double, stop string")
+    entry = F.struct("_n", F.col("rank").cast("long").alias("rank"), F.col("cost").cast("double").alias("cost"), "target")
+    lists = stage.save(steps.groupBy(F.col("source").alias("node")).agg(F.array_sort(F.collect_list(entry)).alias("edges")))
+    first = F.struct(F.lit(-1).cast("long").alias("rank"), F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("depth"), F.col("seed").alias("node"))
+    visited = F.struct(F.col("seed").alias("node"), F.lit(0).cast("long").alias("depth"))
+    at = seeds.select("seed").where("seed IS NOT NULL").distinct().select("seed", F.array(first).alias("front"), F.slice(F.array(visited), 1, 0).alias("seen"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("stop"))
+    done = []
+    for _ in range(max_files + 1):
+        new = F.filter("front", lambda x: ~F.exists("seen", lambda y: y["node"] == x["node"]))
+        at = at.withColumn("front", F.when(F.col("stop").isNull(), new).otherwise(F.col("front")))
+        at = at.withColumn("stop", F.when(F.col("stop").isNull() & (F.size("front") > 0) & (F.size("seen") >= max_files), "files").otherwise(F.col("stop")))
+        at = stage.save(at)
+        over = F.col("stop").isNotNull() | (F.size("front") == 0)
+        done.append(at.where(over).select("seed", "seen", "n", "cost", "stop"))
+        live = at.where(~over)
+        if live.isEmpty():
+            break
+        pick = live.withColumn("pick", F.array_min("front")).withColumn("node", F.col("pick.node"))
+        met = pick.join(lists, "node", "left")
+        none = F.slice(F.coalesce("edges", F.array().cast(lists.schema["edges"].dataType)), 1, 0)
+        usable = F.when((F.col("pick.depth") < max_depth) & F.col("edges").isNotNull(), F.col("edges")).otherwise(none)
+        met = met.withColumn("took", _taken(usable, F.col("pick.depth"), F.col("n"), F.col("cost"), max_edges, max_cost))
+        seen = F.concat("seen", F.array(F.struct(F.col("pick.node").alias("node"), F.col("pick.depth").alias("depth"))))
+        at = met.select("seed", F.concat("front", F.col("took.more")).alias("front"), seen.alias("seen"), F.col("took.n").alias("n"), F.col("took.cost").alias("cost"), F.col("took.stop").alias("stop"))
+    every = done[0]
+    for one in done[1:]:
+        every = every.unionByName(one)
+    rows = every.select("seed", F.posexplode("seen").alias("place", "v"), "n", "cost", "stop")
+    return rows.select("seed", (F.col("place") + 1).cast("long").alias("place"), "v.node", "v.depth", F.col("n").alias("n_edges"), "cost", "stop")

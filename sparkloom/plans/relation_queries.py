@@ -60,8 +60,8 @@ def edge_order(spark, sf_dir):
 
 
 def traversal(spark, sf_dir):
-    """Best-first traversals from every 50th file."""
-    seeds = read(spark, sf_dir, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("seed"))
+    """Best-first traversals from every file."""
+    seeds = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed"))
     return graph.traverse(priced_edges(spark, sf_dir), seeds, max_depth=4, max_files=12, max_edges=25, max_cost=20.0)
 
 
@@ -294,7 +294,7 @@ priced AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, targe
 _TARGETS = "targets AS (SELECT source, list({'r': rank, 'c': cost, 't': target} ORDER BY ord) AS out FROM priced GROUP BY source)"
 _TRAVERSAL = f"""WITH RECURSIVE {_EDGES}, {_TARGETS},
 walk AS (
-  SELECT p_partkey AS seed, 0::BIGINT AS place, NULL::BIGINT AS node, NULL::BIGINT AS depth, [{{'r': -1::BIGINT, 'c': 0.0::DOUBLE, 'd': 0::BIGINT, 't': p_partkey}}] AS front, []::BIGINT[] AS seen, 0::BIGINT AS n_edges, 0.0::DOUBLE AS cost, NULL::VARCHAR AS stop FROM part WHERE p_partkey % 50 = 0
+  SELECT p_partkey AS seed, 0::BIGINT AS place, NULL::BIGINT AS node, NULL::BIGINT AS depth, [{{'r': -1::BIGINT, 'c': 0.0::DOUBLE, 'd': 0::BIGINT, 't': p_partkey}}] AS front, []::BIGINT[] AS seen, 0::BIGINT AS n_edges, 0.0::DOUBLE AS cost, NULL::VARCHAR AS stop FROM part
   UNION ALL
   SELECT seed, place + 1, m.t, m.d, list_filter(front, lambda x: x.t <> m.t) || list_transform(got, lambda x: {{'r': x.r, 'c': x.c, 'd': m.d + 1, 't': x.t}}), list_append(seen, m.t), n_edges + len(got), cost + coalesce(list_sum(list_transform(got, lambda x: x.c)), 0),
     CASE WHEN len(got) < len(out) THEN CASE WHEN n_edges + len(got) >= 25 THEN 'edges' ELSE 'cost' END WHEN len(got) > 0 AND n_edges + len(got) >= 25 THEN 'edges' WHEN len(seen) + 1 >= 12 AND len(list_filter(list_filter(front, lambda x: x.t <> m.t) || list_transform(got, lambda x: {{'r': x.r, 'c': x.c, 'd': m.d + 1, 't': x.t}}), lambda x: NOT list_contains(list_append(seen, m.t), x.t))) > 0 THEN 'files' END
