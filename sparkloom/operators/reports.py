@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal as N
 from ..functions import paths as X
-from . import folds
+from . import compare, folds
 from .ranking import top_per_group
 from .substrings import words_with
 
@@ -251,3 +251,46 @@ def routes_at_risk(files: DataFrame, key: str, routes: str, imports: str, unreso
 def snippets(spark, df: DataFrame, group: str, key: str, tokens: str, budget: int) -> DataFrame:
     """``group, key, tokens`` of the snippets that fit in the budget, in the order of their keys; later ones may fit."""
     return folds.fill_budget(spark, df, [group], [F.col(key)], key, tokens, budget).where("admitted").select(group, key, tokens)
+
+
+def changed_items(old: DataFrame, new: DataFrame, key: str, lists: list[str]) -> DataFrame:
+    """``key, category, name, status``: items of the lists that came or went between two versions of a table."""
+
+    def of(category: str) -> Column:
+        own = F.coalesce(F.col(category), F.array().cast("array<string>"))
+        return F.transform(own, lambda x: F.struct(F.lit(category).alias("category"), x.alias("name")))
+
+    def items(df: DataFrame) -> DataFrame:
+        return df.select(key, F.inline(F.concat(*map(of, lists))))
+
+    return compare.set_diff(items(old), items(new), [key, "category", "name"]).where("status <> 'kept'")
+
+
+def changed_sets(old: DataFrame, new: DataFrame, key: str, item: str) -> DataFrame:
+    """``key, added, removed``: of each key the different items that came and went, in order; keys without a change are left out.
+
+    Items are compared one by one before they are gathered, so what stays is in no list.
+    """
+    a, b = (df.select(key, F.col(item).alias("item")).where(F.col(key).isNotNull() & F.col("item").isNotNull()).distinct() for df in (old, new))
+    came, went = b.join(a, [key, "item"], "left_anti").withColumn("came", F.lit(True)), a.join(b, [key, "item"], "left_anti").withColumn("came", F.lit(False))
+    said = lambda hit: F.array_join(F.array_sort(F.collect_set(F.when(hit, F.col("item")))), " ")
+    return came.unionByName(went).groupBy(key).agg(said(F.col("came")).alias("added"), said(~F.col("came")).alias("removed"))
+
+
+def totals(df: DataFrame, by: str, sums: dict[str, Column]) -> DataFrame:
+    """``by, <sums>, is_total``: the sums by value of a column, and of all rows in a row of its own."""
+    return df.rollup(by).agg(*[c.alias(k) for k, c in sums.items()], F.grouping(by).cast("long").alias("is_total"))
+
+
+def first_distinct(df: DataFrame, value: str, order: list[str], most: int) -> DataFrame:
+    """``value`` and the columns of ``order``: the first ``most`` different values, each where it is seen first."""
+    first = df.groupBy(value).agg(F.min(F.struct(*order)).alias("_at"))
+    return first.orderBy("_at").limit(most).select(value, *[F.col(f"_at.{c}").alias(c) for c in order])
+
+
+def group_relationships(df: DataFrame, keys: list[str], other: list[str], origin: str, score: str, high: float = 0.7, medium: float = 0.4) -> DataFrame:
+    """``keys, n, n_distinct, high, low, origins``: relationships by key: how many, different ones, strong and weak ones."""
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_distinct(*other).alias("n_distinct"), F.count_if(F.col(score) >= high).alias("high"), F.count_if(F.coalesce(F.col(score) < medium, F.lit(True))).alias("low"),
+        F.array_join(F.array_sort(F.collect_set(origin)), ",").alias("origins"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normal as N
 from ..functions import paths as X
 from ..functions import text as T
-from ..operators import compare, graph, relations, resolution
+from ..operators import compare, graph, relations, reports, resolution
 from .code_queries import SELECTED
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_distinct, sql_list, sql_terms
 
@@ -222,35 +222,26 @@ def _versions(spark, sf_dir):
 
 def surface_diff(spark, sf_dir):
     """Symbols of files that came or went between two versions."""
-    def of(category: str):
-        return F.transform(category, lambda x: F.struct(F.lit(category).alias("category"), x.alias("name")))
-
-    out = [v.select("file_id", F.inline(F.concat(of("classes"), of("functions")))) for v in _versions(spark, sf_dir)]
-    return compare.set_diff(out[0], out[1], ["file_id", "category", "name"]).where("status <> 'kept'")
+    return reports.changed_items(*_versions(spark, sf_dir), "file_id", ["classes", "functions"])
 
 
 def unresolved_diff(spark, sf_dir):
     """Unresolved imports per file that came or went between two versions."""
-    pages = [("@app/*", "src/pages/*")]
     rows = []
-    for v, patterns in zip(_versions(spark, sf_dir), (pages, PATTERNS), strict=True):
+    for v, patterns in zip(_versions(spark, sf_dir), ([("@app/*", "src/pages/*")], PATTERNS), strict=True):
         i = v.select("file_id", "path", F.explode("imports").alias("imported"))
-        r = resolution.resolve_scripts(i, v, "path", "imported", patterns).where("status = 'unresolved'")
-        rows.append(r.groupBy("file_id").agg(F.collect_set("imported").alias("u")))
-    old, new = rows[0].withColumnRenamed("u", "a"), rows[1].withColumnRenamed("u", "b")
-    both = old.join(new, "file_id", "full_outer")
-    none = F.array().cast("array<string>")
-    a, b = F.coalesce("a", none), F.coalesce("b", none)
-    said = lambda x: F.array_join(F.sort_array(x), " ")
-    return both.select("file_id", said(F.array_except(b, a)).alias("added"), said(F.array_except(a, b)).alias("removed")).where("added <> '' or removed <> ''")
+        rows.append(resolution.resolve_scripts(i, v, "path", "imported", patterns).where("status = 'unresolved'"))
+    return reports.changed_sets(*rows, "file_id", "imported")
 
 
 def code_summary(spark, sf_dir):
     """Sums over all files in one row, and counts by language of files, symbols and routes."""
     f = code_files(spark, sf_dir).withColumn("language", X.language(F.col("path")))
-    made = [F.count("*").alias("files"), F.sum(F.size("functions") + F.size("classes")).alias("symbols"), F.sum(F.size("imports")).alias("imports"), F.sum(F.size("routes")).alias("routes"),
-            F.count_if((F.size("routes") > 0) & F.exists("imports", X.is_relative_import)).alias("route_files_at_risk")]
-    return f.rollup("language").agg(*made, F.grouping("language").cast("long").alias("is_total")).orderBy("language")
+    sums = {
+        "files": F.count("*"), "symbols": F.sum(F.size("functions") + F.size("classes")), "imports": F.sum(F.size("imports")), "routes": F.sum(F.size("routes")),
+        "route_files_at_risk": F.count_if((F.size("routes") > 0) & F.exists("imports", X.is_relative_import)),
+    }
+    return reports.totals(f, "language", sums)
 
 
 def top_files(spark, sf_dir):
@@ -262,8 +253,7 @@ def top_files(spark, sf_dir):
 def first_symbols(spark, sf_dir):
     """The first twelve different symbols in the order of the files."""
     s = code_files(spark, sf_dir).select("file_id", F.posexplode(F.concat("classes", "functions")).alias("n", "symbol"))
-    first = s.groupBy("symbol").agg(F.min(F.struct("file_id", "n")).alias("at"))
-    return first.orderBy("at").limit(12).select("symbol", F.col("at.file_id").alias("file_id"))
+    return reports.first_distinct(s, "symbol", ["file_id", "n"], 12).drop("n")
 
 
 def route_table(spark, sf_dir):
@@ -274,13 +264,7 @@ def route_table(spark, sf_dir):
 
 def grouped_relationships(spark, sf_dir):
     """Relationships by source and by kind: how many, distinct ones, and how strong."""
-    r = relationships(spark, sf_dir)
-    band = F.when(F.col("score") >= 0.7, "high").when(F.col("score") >= 0.4, "medium").otherwise("low")
-    g = r.withColumn("band", band).groupBy("a", "kind").agg(
-        F.count("*").alias("n"), F.count_distinct("b", "origin").alias("n_distinct"), F.count_if(F.col("band") == "high").alias("high"), F.count_if(F.col("band") == "low").alias("low"),
-        F.array_join(F.sort_array(F.collect_set("origin")), ",").alias("origins"),
-    )
-    return g
+    return reports.group_relationships(relationships(spark, sf_dir), ["a", "kind"], ["b", "origin"], "origin", "score")
 
 
 # --- SQL

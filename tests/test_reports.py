@@ -112,3 +112,19 @@ def test_suppression_keeps_columns_and_nulls(spark):
 def test_places_with_clashing_names(spark):
     df = spark.createDataFrame([("g", i, "x") for i in range(9)], "g string, _row int, _tie string")
     assert [(r[1], r[3]) for r in rows(folds.placed(Stage(spark, "t"), df, ["g"], [F.desc("_row")]), "_row")] == [(i, 9 - i) for i in range(9)]
+
+
+def test_changes_of_lists_and_sets(spark):
+    old = spark.createDataFrame([(1, ["a", "b"], None), (2, ["x"], ["f"])], "k long, c array<string>, d array<string>")
+    new = spark.createDataFrame([(1, ["b"], ["g"]), (3, ["x"], None)], "k long, c array<string>, d array<string>")
+    assert rows(reports.changed_items(old, new, "k", ["c", "d"]), "k", "category", "name") == [(1, "c", "a", "removed"), (1, "d", "g", "added"), (2, "c", "x", "removed"), (2, "d", "f", "removed"), (3, "c", "x", "added")]
+    a, b = spark.createDataFrame([(1, "p"), (1, "p"), (1, "q"), (2, "r"), (None, "s"), (1, None)], "k long, i string"), spark.createDataFrame([(1, "q"), (1, "z"), (1, "y"), (2, "r")], "k long, i string")
+    assert rows(reports.changed_sets(a, b, "k", "i"), "k") == [(1, "y z", "p")]
+
+
+def test_totals_and_firsts(spark):
+    df = spark.createDataFrame([("x", 1, "v"), ("x", 2, "w"), (None, 3, "v")], "g string, n long, v string")
+    assert rows(reports.totals(df, "g", {"n": F.sum("n")}), "is_total", "g") == [(None, 3, 0), ("x", 3, 0), (None, 6, 1)]
+    assert [tuple(r) for r in reports.first_distinct(df, "v", ["n"], 5).collect()] == [("v", 1), ("w", 2)]
+    r = spark.createDataFrame([("a", "b", "o", 0.9), ("a", "b", "o", 0.1), ("a", "c", "i", None)], "a string, b string, o string, s double")
+    assert rows(reports.group_relationships(r, ["a"], ["b", "o"], "o", "s"), "a") == [("a", 3, 2, 1, 2, "i,o")]
