@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths as X
+from ..store import unsent
 
 # fixed values: what a script import may leave out, in the order in which it is tried
 SCRIPT_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -61,12 +62,12 @@ def resolve_scripts(imports: DataFrame, files: DataFrame, path: str, imported: s
     rows = imports.select(source.alias("_p"), name.alias("_i"), relative.alias("_rel"), (F.size(targets) > 0).alias("_alias"), tried.alias("_tried")).where("_p IS NOT NULL AND _i IS NOT NULL").distinct()
     opened = rows.select("_p", "_i", F.posexplode("_tried").alias("_at", "_candidate"))
     known = files.select(F.col(path).alias("_candidate")).distinct()
-    hits = opened.join(known, "_candidate").groupBy("_p", "_i").agg(F.min(F.struct("_at", "_candidate")).alias("_hit"))
-    found = rows.drop("_tried").join(hits, ["_p", "_i"], "left")
+    hits = opened.join(unsent(known), "_candidate").groupBy("_p", "_i").agg(F.min(F.struct("_at", "_candidate")).alias("_hit"))
+    found = rows.drop("_tried").join(unsent(hits), ["_p", "_i"], "left")
     hit = F.col("_hit").isNotNull()
     status = F.when(F.col("_rel") & hit, "relative").when(hit, "alias").when(F.col("_rel") | F.col("_alias"), "unresolved").otherwise("external")
     settled = found.select("_p", "_i", F.col("_hit._candidate").alias("resolved"), status.alias("status"))
-    out = imports.join(settled, (source == F.col("_p")) & (name == F.col("_i")), "left").drop("_p", "_i")
+    out = imports.join(unsent(settled), (source == F.col("_p")) & (name == F.col("_i")), "left").drop("_p", "_i")
     return out.withColumn("status", F.coalesce("status", F.lit("unresolved")))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import prefixes
 from ..sources import routers
+from ..store import spread
 
 DJANGO = """urlpatterns = [
     path('@A@/', views.@A@),
@@ -57,7 +58,7 @@ def _files(spark, sf_dir, template: str, path: Column, more: Column | None = Non
     filled = {"@A@": words[0], "@B@": words[1], "@K@": k.cast("string"), "@L@": (2 * k).cast("string"), "@R@": (2 * k + 1).cast("string"), "@MORE@": more}
     for mark, value in filled.items():
         text = text if value is None else F.replace(text, F.lit(mark), value)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(path.alias("path"), text.alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name"), "p_partkey").select(path.alias("path"), text.alias("text"))
 
 
 def _named(before: str, after: str) -> Column:
