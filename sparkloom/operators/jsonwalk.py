@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normal as N
-from ..store import Stage
+from ..store import Stage, unsent
 
 # fixed values: parts of names of secrets, secrets inside a text, and how long a text may get
 SECRET_NAMES = ("password", "secret", "token", "api_key", "apikey", "private_key", "credential", "authorization")
@@ -102,14 +102,18 @@ def redacted_json(spark: SparkSession, df: DataFrame, key: str, text: str) -> Da
     below = None
     for level in reversed(levels):
         own = level.select(key, "path", "name", "kind", F.when(~F.col("kind").isin("object", "array") | secret | _text(F.col("v")).isin("{}", "[]"), told).alias("json"))
+        own = own.select(key, "path", "name", "json", F.when(F.col("json").isNull(), F.col("kind") == "array").alias("of_array"))
         if below is not None:
-            parent = F.slice("path", F.lit(1), F.size("path") - 1)
-            member = F.struct(F.when(F.col("of_array"), F.col("name").cast("long")).alias("place"), "name", "json")
-            kinds = own.where("json IS NULL").select(key, F.col("path").alias("up"), (F.col("kind") == "array").alias("of_array"))
-            met = below.select(key, parent.alias("up"), "name", "json").join(kinds, [key, "up"]).groupBy(key, "up", "of_array").agg(F.sort_array(F.collect_list(member)).alias("m"))
-            inside = F.array_join(F.transform("m", lambda x: F.when(F.col("of_array"), x["json"]).otherwise(F.concat(_quoted(x["name"]), F.lit(":"), x["json"]))), ",")
-            made = met.select(key, F.col("up").alias("path"), F.when(F.col("of_array"), F.concat(F.lit("["), inside, F.lit("]"))).otherwise(F.concat(F.lit("{"), inside, F.lit("}"))).alias("made"))
-            own = own.join(made, [key, "path"], "left").withColumn("json", F.coalesce("json", "made")).drop("made")
+            # an opened value and its members meet in one grouping, so no table is joined or sent around
+            up = below.select(key, F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.struct("name", "json").alias("member"))
+            opened = own.where("json IS NULL").select(key, "path", "name", "of_array", F.lit(None).cast(up.schema["member"].dataType).alias("member"))
+            met = opened.unionByName(up.withColumns({"name": F.lit(None).cast("string"), "of_array": F.lit(None).cast("boolean")})).groupBy(key, "path").agg(
+                F.max("name").alias("name"), F.max("of_array").alias("of_array"), F.collect_list("member").alias("m")
+            )
+            placed = F.transform("m", lambda x: F.struct(F.when(F.col("of_array"), x["name"].cast("long")).alias("place"), x["name"].alias("name"), x["json"].alias("json")))
+            inside = F.array_join(F.transform(F.sort_array(placed), lambda x: F.when(F.col("of_array"), x["json"]).otherwise(F.concat(_quoted(x["name"]), F.lit(":"), x["json"]))), ",")
+            made = F.when(F.col("of_array"), F.concat(F.lit("["), inside, F.lit("]"))).otherwise(F.concat(F.lit("{"), inside, F.lit("}")))
+            own = own.where("json IS NOT NULL").drop("of_array").unionByName(met.select(key, "path", "name", made.alias("json")))
         below = stage.save(own.select(key, "path", "name", "json"))
     every = df.select(key)
-    return every.withColumn("redacted", F.lit(None).cast("string")) if below is None else every.join(below.select(key, F.col("json").alias("redacted")), key, "left")
+    return every.withColumn("redacted", F.lit(None).cast("string")) if below is None else every.join(unsent(below.select(key, F.col("json").alias("redacted"))), key, "left")

@@ -14,7 +14,7 @@ from ..functions import relevance as R
 from ..functions import text as T
 from ..operators import graph, joining, jsonwalk, reports, resolution
 from ..operators.reports import REFERENCE_RELATIONS
-from ..store import Stage
+from ..store import Stage, spread
 from .code_queries import _DESCRIBED, _PLACED, TASKS, _candidate_sql, described_files, tasks
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_list
 from .relation_queries import _EDGES, PATTERNS, _resolution_sql, priced_edges, read
@@ -204,7 +204,8 @@ def configs(spark, sf_dir) -> DataFrame:
     """``event_id, j``: a nested configuration for each event; that of every fiftieth is broken off."""
     props, k = F.coalesce("props", F.lit("{}")), F.col("event_id").cast("string")
     j = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "a": {"list": [1, {"note": "token=abc, ok", "Api-Key": {"x": 1}}, [null, true, []]], "in": '), props, F.lit(', "id": '), k, F.lit("}}"))
-    return read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 == 0, F.substring(j, F.lit(1), F.char_length(j) - 1)).otherwise(j).alias("j"))
+    events = spread(read(spark, sf_dir, "events").select("event_id", "event_type", "props"), "event_id")
+    return events.select("event_id", F.when(F.col("event_id") % 50 == 0, F.substring(j, F.lit(1), F.char_length(j) - 1)).otherwise(j).alias("j"))
 
 
 def config_values(spark, sf_dir):
