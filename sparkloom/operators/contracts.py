@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..store import Stage
+from ..store import Stage, unsent
 
 
 # fixed values: which types of references can show a contract of a kind
@@ -52,20 +52,36 @@ def locate_contracts(spark: SparkSession, contracts: DataFrame, references: Data
     """
     types = F.create_map(*[x for k, v in compatible.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v]))])
     place = ["repository", "path"]
+    stage = Stage(spark, "contracts")
     c = contracts.select("contract", "kind", *place, "symbol").distinct()
-    r = references.select(*place, "name", F.col("line").alias("at"), "type", "value").withColumn("ref", F.monotonically_increasing_id())
-    r = Stage(spark, "contracts").save(r)  # written, so the numbers stay
+    # equal references are one row with their number, so a hot path is as large as its different references
+    r = references.select(*place, "name", F.col("line").alias("at"), "type", "value").groupBy(*place, "name", "at", "type", "value").agg(F.count("*").alias("refs"))
+    r = stage.save(r.withColumn("ref", F.monotonically_increasing_id()))  # written, so the numbers stay
     # of each reference the declarations around it, only where a contract asks for their name
     asked = c.where("symbol IS NOT NULL").select(*place, F.col("symbol").alias("declared")).distinct()
     held = spans.select(*place, "declared", F.col("line").alias("start"), "end_line").join(asked, [*place, "declared"], "left_semi")
-    names = points_in_spans(r, held, place, "at", "start", "end_line").select("ref", F.col("declared").alias("of"))
-    names = names.unionByName(r.where("name IS NOT NULL").select("ref", F.col("name").alias("of"))).groupBy("ref").agg(F.collect_set("of").alias("names"))
-    told = r.join(names, "ref", "left").select(*place, "names", "type", "value")
-    met = c.join(told, place, "left")
+    held = held.distinct()  # a declaration that is there twice holds nothing more
+    names = points_in_spans(r.select("ref", *place, "at"), held, place, "at", "start", "end_line").select("ref", F.col("declared").alias("of"))
+    names = names.unionByName(r.where("name IS NOT NULL").select("ref", F.col("name").alias("of"))).distinct()
+    # contracts of one place, kind and symbol see the same: what is seen is counted once for all of them, and references
+    # by what a contract can ask for, their place, symbol, type and value, before the two meet
+    wanted = stage.save(c.select("kind", *place, "symbol").distinct())
+    by_type = r.groupBy(*place, "type", "value").agg(F.sum("refs").alias("refs"))
+    by_name = r.join(unsent(names), "ref").groupBy(*place, F.col("of").alias("symbol"), "type", "value").agg(F.sum("refs").alias("refs"))
     fits = F.coalesce(F.array_contains(F.try_element_at(types, F.col("kind")), F.col("type")), F.lit(False))
-    here = fits & (F.col("symbol").isNull() | F.coalesce(F.array_contains("names", F.col("symbol")), F.lit(False)))
-    g = met.groupBy("contract", *place, "symbol").agg(
-        F.count("type").alias("_any"), F.count_if(fits).alias("_fit"), F.count_if(here).alias("n"), F.array_sort(F.collect_set(F.when(here, F.col("value")))).alias("observed")
-    )
+    total = lambda which: F.coalesce(F.sum(F.when(which, F.col("refs"))), F.lit(0))
+    seen = F.array_sort(F.collect_set(F.when(fits, F.col("value"))))
+    asks = ["kind", *place, "symbol"]
+    whole = wanted.join(unsent(by_type), place).groupBy(*asks).agg(total(F.col("type").isNotNull()).alias("_any"), total(fits).alias("_fit"), seen.alias("_seen"))
+    named = wanted.where("symbol IS NOT NULL").join(unsent(by_name), [*place, "symbol"]).groupBy(*asks).agg(total(fits).alias("_n"), seen.alias("_named"))
+    # null kinds and symbols are values of their own here
+    same = lambda x, y: F.equal_null(f"{x}.kind", f"{y}.kind") & F.equal_null(f"{x}.symbol", f"{y}.symbol") & (F.col(f"{x}.repository") == F.col(f"{y}.repository")) & (F.col(f"{x}.path") == F.col(f"{y}.path"))
+    told = whole.alias("x").join(unsent(named.alias("y")), same("x", "y"), "left").select("x.*", "y._n", "y._named")
+    met = c.alias("x").join(unsent(told.alias("y")), same("x", "y"), "left").select("x.*", *[f"y.{k}" for k in ("_any", "_fit", "_seen", "_n", "_named")])
+    every = F.col("symbol").isNull()
+    n = F.when(every, F.col("_fit")).otherwise(F.col("_n"))
+    observed = F.flatten(F.collect_list(F.when(every, F.col("_seen")).otherwise(F.col("_named"))))
+    # a contract of several kinds is one row
+    g = met.groupBy("contract", *place, "symbol").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in (("_any", F.col("_any")), ("_fit", F.col("_fit")), ("n", n))], F.array_sort(F.array_distinct(observed)).alias("observed"))
     status = F.when(F.col("_any") == 0, "path_not_found").when(F.col("_fit") == 0, "incompatible").when(F.col("n") == 0, "symbol_not_found").when(F.size("observed") > 1, "ambiguous").otherwise("observed")
     return g.select("contract", *place, "symbol", status.alias("status"), "n", "observed")
