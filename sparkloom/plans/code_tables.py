@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import spread
+
 FOLDERS = (
     "src", "src/components", "src/pages", "tests", "src/hooks", "src/api", "src/store", "node_modules/lib", "dist/js", "docs", "config", "scripts",
     "public/images", "app/services", "src/forms", "src/routes", "web.egg-info", "vendor/x", "packages/core/src", "e2e", "home/.ssh", "app/models",
@@ -39,7 +41,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).otherwise(F.array().cast(strings))
     route = F.struct(_pick(("GET", "POST", "DELETE"), k).alias("method"), F.concat(F.lit("/api/"), a, F.lit("/{id}")).alias("path"), F.concat(a, F.lit("_view")).alias("source"))
     none = F.array().cast("array<struct<method:string,path:string,source:string>>")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name"), "p_partkey").select(
         k.alias("file_id"),
         path.alias("path"),
         ((k * 7919) % 3000000).alias("size"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import parsing, scripts, tables
+from ..store import spread
 
 TEMPLATES = (
     ("module.ts", """// import no from "./no"
@@ -271,7 +272,7 @@ def sources(spark, sf_dir) -> DataFrame:
     text = F.element_at(F.array(*[F.lit(t) for _, t in TEMPLATES]), n)
     for mark, word in (("@A@", words[0]), ("@B@", words[1]), ("@U@", F.initcap(words[0]))):
         text = F.replace(text, F.lit(mark), word)
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("file_id"), F.element_at(F.array(*[F.lit(x) for x, _ in TEMPLATES]), n).alias("name"), text.alias("text"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name"), "p_partkey").select(k.alias("file_id"), F.element_at(F.array(*[F.lit(x) for x, _ in TEMPLATES]), n).alias("name"), text.alias("text"))
 
 
 def _of(files: DataFrame, pattern: str) -> DataFrame:
