@@ -22,8 +22,11 @@ SHARD_BYTES = 1 << 20
 SHARD_RUNS = 1 << 8
 #: Runs of each of the shards into which such an anchor is cut.
 CUT_RUNS = 1 << 8
-#: Of the LENGTH - ANCHOR bytes of a string outside its anchor, at least SIDE lie after it or more than SIDE before it.
-SIDE = (LENGTH - ANCHOR) // 2
+#: Bytes of an anchor after it was refined once, twice and so on: of the bytes of a string outside its anchor half lie
+#: after it or more than half before it, and these are added to the anchor.
+WIDTHS = [ANCHOR]
+while WIDTHS[-1] < LENGTH - 8:
+    WIDTHS.append(WIDTHS[-1] + (LENGTH - WIDTHS[-1]) // 2)
 _PLACE = np.uint64((1 << 24) - 1)
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -155,11 +158,34 @@ _RUN = ["h", "piece", "doc", "k", "at", "n"]
 _RUN_TYPES = "h long, piece long, doc long, k long, at int, n int"
 
 
+def _refined(sums: np.ndarray, first: np.ndarray, count: np.ndarray, offset: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """The runs at these places, split by the bytes beside their anchor of ``width`` bytes.
+
+    Of a run's strings those with ``side`` bytes or more after the anchor have these bytes and the old anchor for their new
+    one; the others have as many before it, and these. Which half a string is in, its anchor's offset says, so equal
+    strings still have equal anchors. Returns the new runs' old ones, first places, counts, offsets, and hashes of anchor
+    and run.
+    """
+    side = (LENGTH - width) // 2
+    most = LENGTH - width - side
+    anchor, last = first + offset, first + count - 1
+    right = np.maximum(first, anchor - most)
+    has_right, has_left = right <= last, first < anchor - most
+    of_right = _hashes(sums, np.where(has_right, anchor, 0), np.where(has_right, anchor + width + side, 0))
+    of_left = _hashes(sums, np.where(has_left, anchor - side, 0), np.where(has_left, anchor + width, 0)) ^ np.uint64(1)
+    old = np.concatenate([np.flatnonzero(has_right), np.flatnonzero(has_left)])
+    is_right = np.repeat([True, False], [has_right.sum(), has_left.sum()])
+    begin = np.where(is_right, right[old], first[old])
+    n = np.where(is_right, last[old], np.minimum(last, anchor - most - 1)[old]) - begin + 1
+    at = np.where(is_right, anchor[old], anchor[old] - side) - begin
+    kinds = np.where(is_right, of_right[old], of_left[old]).view(np.int64)
+    return old, begin, n, at, kinds, _hashes(sums, begin, begin + n + LENGTH - 1).view(np.int64)
+
+
 def _bytes(batches, refine: bool):
     """Rows ``h, piece, doc, k, at, n, bytes`` of the runs ``h, piece, at, n`` that each text is asked for.
 
-    ``refine`` splits each run in two: strings with SIDE bytes or more after the anchor, whose new anchor are these
-    bytes and the old one, and strings with more than SIDE before it, likewise. Equal strings still have equal anchors.
+    ``refine`` splits each run by the bytes beside its anchor.
     """
     for batch in batches:
         docs, ks, texts = _keyed_texts(batch)
@@ -175,25 +201,32 @@ def _bytes(batches, refine: bool):
             first, count, offset = base[text] + at[a:b], n[a:b].astype(np.int64) % 64, n[a:b].astype(np.int64) // 64
             kinds, key = h[a:b], piece[a:b]
             if refine:
-                sums = _prefix_sums(body)
-                anchor, last = first + offset, first + count - 1
-                right = np.maximum(first, anchor - SIDE)
-                has_right, has_left = right <= last, first < anchor - SIDE
-                left_last = np.minimum(last, anchor - SIDE - 1)
-                # 33 bytes each: the anchor with the SIDE bytes after it, or before it
-                of_right = _hashes(sums, np.where(has_right, anchor, 0), np.where(has_right, anchor + ANCHOR + SIDE, 0))
-                of_left = _hashes(sums, np.where(has_left, anchor - SIDE, 0), np.where(has_left, anchor + ANCHOR, 0)) ^ np.uint64(1)
-                pick = np.concatenate([np.flatnonzero(has_right), np.flatnonzero(has_left)])
-                side = np.repeat([0, 1], [has_right.sum(), has_left.sum()])
-                text, offset = text[pick], np.zeros(len(pick), np.int64)
-                first, last = np.where(side == 0, right[pick], first[pick]), np.where(side == 0, last[pick], left_last[pick])
-                count = last - first + 1
-                kinds = np.where(side == 0, of_right[pick], of_left[pick]).view(np.int64)
-                key = _hashes(sums, first, first + count + LENGTH - 1).view(np.int64)
-            for c in range(0, len(first), 1 << 15):
-                own = slice(c, c + (1 << 15))
-                made = [kinds[own], key[own], docs[i:j][text[own]], ks[i:j][text[own]], (first[own] - base[text[own]]).astype(np.int32), (count[own] + 64 * offset[own]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in made], _slices(body, first[own], count[own] + LENGTH - 1)], names=[*_RUN, "bytes"])
+                old, first, count, offset, kinds, key = _refined(_prefix_sums(body), first, count, offset, ANCHOR)
+                text = text[old]
+            yield from _run_batches(body, first, count, offset, kinds, key, docs[i:j][text], ks[i:j][text], first - base[text])
+
+
+def _finer(batches, width: int):
+    """Rows ``h, piece, doc, k, at, n, bytes`` of the same, whose anchors have ``width`` bytes, split by the bytes beside these."""
+    for batch in batches:
+        docs, ks, at, n = (batch.column(c).to_numpy() for c in ("doc", "k", "at", "n"))
+        data = batch.column("bytes").cast(pa.binary())
+        body, ends = _values(data)
+        old, first, count, offset, kinds, key = _refined(_prefix_sums(body), ends[:-1], n.astype(np.int64) % 64, n.astype(np.int64) // 64, width)
+        yield from _run_batches(body, first, count, offset, kinds, key, docs[old], ks[old], at[old] + first - ends[old])
+
+
+def _run_batches(body, first, count, offset, kinds, key, docs, ks, at):
+    for c in range(0, len(first), 1 << 15):
+        own = slice(c, c + (1 << 15))
+        made = [kinds[own], key[own], docs[own], ks[own], at[own].astype(np.int32), (count[own] + 64 * offset[own]).astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in made], _slices(body, first[own], count[own] + LENGTH - 1)], names=[*_RUN, "bytes"])
+
+
+def _values(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The joined bytes of a binary array, and where each value begins in them, with the end."""
+    ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    return np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
 def _slices(body: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
@@ -273,8 +306,7 @@ class Shard:
     """Runs of bytes in one suffix array: equal strings of LENGTH bytes are neighbours with as long a common prefix."""
 
     def __init__(self, data: pa.Array):
-        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
-        values = np.frombuffer(data.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        values, ends = _values(data)
         self.lengths = np.diff(ends)
         self.run = np.repeat(np.arange(len(data)), self.lengths + 1)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]])
@@ -345,11 +377,43 @@ def _one(column: pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy()
 
 
+def repeating(data: pa.Array, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """What of the runs may be in a run of another document: the runs' numbers, the place in each, and the bytes there.
+
+    By hashes of the strings, which equal strings share: from a run's first such string to its last, so none is left out.
+    """
+    body, ends = _values(data)
+    n = np.maximum(np.diff(ends) - (LENGTH - 1), 0)
+    run = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(run)) + np.repeat(ends[:-1] - (np.cumsum(n) - n), n)
+    sums = _prefix_sums(body)
+    key = (sums[place + LENGTH] - sums[place]) * _powers(len(sums), _INVERSE)[place]
+    order = np.argsort(key)
+    key, own = key[order], docs[run[order]]
+    same = key[1:] == key[:-1]
+    # a group of equal hashes has several documents if two neighbours in it differ
+    group = np.cumsum(np.concatenate([[0], ~same])) if len(key) else np.zeros(0, np.int64)
+    several = np.zeros(len(key) + 1, bool)
+    several[group[1:][same & (own[1:] != own[:-1])]] = True
+    hit = np.sort(order[several[group]])
+    new = np.flatnonzero(np.diff(run[hit], prepend=-1))
+    begin, end = place[hit[new]], place[hit[np.append(new[1:], len(hit))[: len(new)] - 1]] + LENGTH
+    kept = run[hit[new]]
+    return kept, begin - ends[kept], _slices(body, begin, end - begin)
+
+
 def _by_suffixes(batches):
-    """Rows ``h, doc, k, at, bytes`` sorted by h: shards of whole anchors, in which a smaller owner takes a string."""
+    """Rows ``h, doc, k, at, bytes`` sorted by h: shards of whole anchors, in which a smaller owner takes a string.
+
+    Strings whose hash no other document has are left out of the suffix array at both ends of a run.
+    """
     for table in _held(batches, 1, SHARD_BYTES):
         docs, ks, at = (_one(table.column(c)) for c in (1, 2, 3))
-        shard = Shard(_binary(table))
+        kept, begin, data = repeating(_binary(table), docs)
+        if not len(kept):
+            continue
+        docs, ks, at = docs[kept], ks[kept], at[kept] + begin
+        shard = Shard(data)
         low = shard.spread(shard.least(docs))
         yield shard.spans(np.flatnonzero(low < docs[shard.run[shard.order]]), docs, ks, at)
 
@@ -430,10 +494,12 @@ def _judge(stage: Stage, runs_: DataFrame) -> DataFrame:
     of their anchor. Both are sums that are taken before the shuffle, so a hot anchor is no hot task.
     """
     owners = stage.save(runs_.groupBy("h", "piece").agg(F.min("doc").alias("owner")))
+    release_shuffles(stage.spark)
     kinds = owners.groupBy("h").agg(F.count("*").alias("kinds"))
     judged = runs_.join(owners.join(kinds, "h"), ["h", "piece"]).where("kinds > 1 or owner < doc")
     judged = stage.save(judged.select(*runs_.columns, (F.col("owner") < F.col("doc")).alias("whole"), "kinds"))
     stage.drop(owners)
+    release_shuffles(stage.spark)
     return judged
 
 
@@ -447,6 +513,12 @@ def _in_shards(runs_: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_by_suffixes, _SPAN_TYPES)
 
 
+def _refine(runs_: DataFrame, width: int) -> DataFrame:
+    """The runs with bytes of anchors of ``width`` bytes, split by the bytes beside these."""
+    own = runs_.select(*_RUN, "bytes")
+    return own.mapInArrow(lambda batches: _finer(batches, width), f"{_RUN_TYPES}, bytes binary")
+
+
 def _across_shards(stage: Stage, runs_: DataFrame) -> DataFrame:
     """Spans of runs whose anchors are cut into several shards (h, part), each with a suffix array of its own.
 
@@ -485,7 +557,7 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     are dealt to shards, each shard sorts its runs in a suffix array, and equal strings are neighbours with 50 common
     bytes. Equal strings have equal anchors, so shards of whole anchors need no merging. 5. Runs of an anchor with more
     than SHARD_RUNS kinds are split by the 17 bytes after or before it, and 3. and 4. apply to them; what has too many
-    kinds even so is cut into several shards that are merged by binary search.
+    kinds even so is split by further bytes (WIDTHS), and at last cut into several shards that are merged by binary search.
     """
     stage = Stage(spark, "repeats")
     rows = _rows(stage, df, id_col, text_col)
@@ -526,15 +598,25 @@ def repeated_strings(spark: SparkSession, df: DataFrame, *, id_col: str = "doc_i
     refined = with_bytes(judged.where(f"not whole and kinds > {SHARD_RUNS}"), True)
     finer = _judge(stage, refined)
     stage.drop(refined)
-    spans += [x.where("whole").select(*_span_of_run()) for x in (judged, finer)]
-    spans.append(_in_shards(finer.where(f"not whole and kinds <= {SHARD_RUNS}")))
+    steps = [judged, finer]
+    spans.append(stage.save(_in_shards(finer.where(f"not whole and kinds <= {SHARD_RUNS}"))))
+    for width in WIDTHS[1:-1]:
+        hot = finer.where(f"not whole and kinds > {SHARD_RUNS}")
+        if hot.isEmpty():
+            break
+        refined = stage.save(_refine(hot, width))
+        finer = _judge(stage, refined)
+        stage.drop(refined)
+        steps.append(finer)
+        spans.append(stage.save(_in_shards(finer.where(f"not whole and kinds <= {SHARD_RUNS}"))))
+    spans += [x.where("whole").select(*_span_of_run()) for x in steps]
     spans.append(_across_shards(stage, finer.where(f"not whole and kinds > {SHARD_RUNS}")))
     every = spans[0]
     for more in spans[1:]:
         every = every.unionByName(more)
     found = stage.save(every.groupBy("doc", "k").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    stage.drop(judged)
-    stage.drop(finer)
+    for step in steps:
+        stage.drop(step)
     release_shuffles(spark)
     cut = docs.join(found, ["doc", "k"], "left").select("doc", "k", "text", "spans")
     cut = cut.mapInArrow(_cut, "doc long, k long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")

@@ -120,6 +120,30 @@ def test_repeated_strings_of_rows_with_equal_or_no_ids(spark, ids):
     assert out == sorted((repr(i), *v) for (_, i, _), v in zip(rows, brute.repeated_strings_of_rows([r[1:] for r in rows]), strict=True))
 
 
+def test_only_runs_with_repeated_strings_are_sorted():
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = passage(3, 40).encode()[:200], passage(8, 40).encode()[:200]
+    runs = [b"x" * 7 + a[:60] + b[:30], a[5:80], b[100:180], b"y" * 60, b"y" * 60, b"short", a[150:]]
+    kept, begin, data = repeats.repeating(pa.array(runs, pa.binary()), np.array([1, 2, 3, 4, 4, 5, 6]))
+    assert kept.tolist() == [0, 1] and begin.tolist() == [12, 0] and data.to_pylist() == [a[5:60]] * 2
+    assert not len(repeats.repeating(pa.array([], pa.binary()), np.zeros(0, np.int64))[0])
+
+
+def test_a_passage_with_many_continuations_is_split_before_its_strings_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "SHARD_RUNS", 8)
+    seen = []
+    across = repeats._across_shards
+    monkeypatch.setattr(repeats, "_across_shards", lambda stage, runs: seen.append(runs.selectExpr("sum(n % 64)").first()[0] or 0) or across(stage, runs))
+    shared = passage(7, 40)[:170]
+    rows = [(i, f"{i * 7919 % 10007:05d}{i * 104729 % 99991:05d}" * 5 + shared + f"{i * 15485863 % 99991:05d}{i * 31337 % 10007:05d}" * 5) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.repeated_strings(spark, df).collect()}
+    assert out == brute.repeated_strings(rows)
+    assert seen[0] < 16 * len(rows)  # of the 220 strings of each text that touch the passage
+
+
 def test_suffix_array_and_prefixes():
     import numpy as np
 
