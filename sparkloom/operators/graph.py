@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..store import Stage
+from ..store import Stage, unsent
 
 #: Rounds after which the known rows of a reachability are written as one table again.
 MERGED = 8
@@ -61,7 +61,7 @@ def strong_components(spark: SparkSession, edges: DataFrame, source: str, target
 
     By colouring: edges whose ends lack an edge in or out are trimmed until none is left; every node takes the smallest
     node that leads to it; of each colour, the nodes that lead back to it within the colour are its component. They
-    leave, and the rest goes on. The tables never exceed the edges.
+    leave, and the rest goes on. The tables never exceed the edges, and no join sends one around.
     """
     stage = Stage(spark, "scc")
     live = stage.save(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a <> b").distinct())
@@ -69,7 +69,7 @@ def strong_components(spark: SparkSession, edges: DataFrame, source: str, target
     left = _size(live)
     while left:
         while True:  # trim
-            kept = live.join(live.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(live.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+            kept = live.join(unsent(live.select(F.col("b").alias("a")).distinct()), "a", "left_semi").join(unsent(live.select(F.col("a").alias("b")).distinct()), "b", "left_semi")
             live, before = stage.save(kept.select("a", "b")), left
             left = _size(live)
             if left == before:
@@ -78,26 +78,26 @@ def strong_components(spark: SparkSession, edges: DataFrame, source: str, target
             break
         colour = stage.save(live.select(F.col("a").alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
-            offered = live.join(colour, F.col("a") == F.col("node")).select(F.col("b").alias("node"), "colour")
+            offered = live.join(unsent(colour), F.col("a") == F.col("node")).select(F.col("b").alias("node"), "colour")
             new = stage.save(colour.unionByName(offered).groupBy("node").agg(F.min("colour").alias("colour")))
-            changed = not new.join(colour, ["node", "colour"], "left_anti").isEmpty()
+            changed = not new.join(unsent(colour), ["node", "colour"], "left_anti").isEmpty()
             colour = new
             if not changed:
                 break
-        inside = live.join(colour.select(F.col("node").alias("a"), F.col("colour").alias("c")), "a").join(colour.select(F.col("node").alias("b"), F.col("colour").alias("d")), "b")
+        inside = live.join(unsent(colour.select(F.col("node").alias("a"), F.col("colour").alias("c"))), "a").join(unsent(colour.select(F.col("node").alias("b"), F.col("colour").alias("d"))), "b")
         inside = stage.save(inside.where("c = d").select("a", "b", "c"))
         back = stage.save(colour.where("node = colour").select("node", "colour"))
         newest = back
         while not newest.isEmpty():
-            grown = inside.join(newest, (F.col("b") == F.col("node")) & (F.col("c") == F.col("colour"))).select(F.col("a").alias("node"), "colour").distinct()
-            newest = stage.save(grown.join(back, ["node", "colour"], "left_anti"))
+            grown = inside.join(unsent(newest), (F.col("b") == F.col("node")) & (F.col("c") == F.col("colour"))).select(F.col("a").alias("node"), "colour").distinct()
+            newest = stage.save(grown.join(unsent(back), ["node", "colour"], "left_anti"))
             back = stage.save(back.unionByName(newest))
         found = found.unionByName(back.select("node", F.col("colour").alias("component")))
-        gone = back.select("node")
+        gone = unsent(back.select("node"))
         live = stage.save(live.join(gone, F.col("a") == F.col("node"), "left_anti").join(gone, F.col("b") == F.col("node"), "left_anti"))
         left = _size(live)
     several = found.groupBy("component").count().where("count > 1").select("component")
-    return found.join(several, "component", "left_semi").select("node", "component")
+    return found.join(unsent(several), "component", "left_semi").select("node", "component")
 
 
 def connectivity(nodes: DataFrame, edges: DataFrame, node: str, source: str, target: str) -> DataFrame:

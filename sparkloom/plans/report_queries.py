@@ -14,7 +14,7 @@ from ..functions import relevance as R
 from ..functions import text as T
 from ..operators import graph, joining, jsonwalk, reports, resolution
 from ..operators.reports import REFERENCE_RELATIONS
-from ..store import Stage, spread
+from ..store import Stage, spread, unsent
 from .code_queries import _DESCRIBED, _PLACED, TASKS, _candidate_sql, described_files, tasks
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_list
 from .relation_queries import _EDGES, PATTERNS, _resolution_sql, priced_edges, read
@@ -174,9 +174,9 @@ def byte_capped_probe(spark, sf_dir):
 def component_summary(spark, sf_dir):
     """Strong components of the edges of the files: their size, edges inside and the cheapest of them."""
     e = priced_edges(spark, sf_dir).select("source", "target", "cost")
-    c = graph.strong_components(spark, e, "source", "target")
-    inside = e.join(c.withColumnRenamed("node", "source"), "source").join(c.select(F.col("node").alias("target"), F.col("component").alias("other")), "target").where("component = other")
-    sizes = c.groupBy("component").agg(F.count("*").alias("nodes"))
+    c = Stage(spark, "components").save(graph.strong_components(spark, e, "source", "target"))
+    inside = e.join(unsent(c.withColumnRenamed("node", "source")), "source").join(unsent(c.select(F.col("node").alias("target"), F.col("component").alias("other"))), "target").where("component = other")
+    sizes = unsent(c.groupBy("component").agg(F.count("*").alias("nodes")))
     return sizes.join(inside.groupBy("component").agg(F.count("*").alias("edges"), F.min("cost").alias("cheapest")), "component")
 
 

@@ -2,9 +2,10 @@
 
 import time
 
-from sparkloom.operators import contracts, jsonwalk, prefixes
+from sparkloom.operators import contracts, graph, jsonwalk, prefixes
 from sparkloom.plans import code_tables, parser_queries, route_queries
 from sparkloom.sources import routers
+from sparkloom.store import Stage
 
 
 def plan(df) -> str:
@@ -44,6 +45,16 @@ def test_routes_are_not_sent_around(spark):
     assert "Broadcast" not in plan(got) and [r.url for r in got.collect()] == ["/a/b"]
 
 
+def test_components_are_not_sent_around(spark, monkeypatch):
+    plans = []
+    save = Stage.save
+    monkeypatch.setattr(Stage, "save", lambda self, df: plans.append(plan(df)) or save(self, df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1)], "a long, b long")
+    got = graph.strong_components(spark, edges, "a", "b")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert len(plans) > 5 and not any("Broadcast" in x for x in [*plans, plan(got)])
+
+
 def test_rows_of_one_file_are_dealt(spark, sf):
     for df in (code_tables.code_files(spark, sf), parser_queries.sources(spark, sf), route_queries._files(spark, sf, "", route_queries._named("a", ""))):
         assert df.rdd.getNumPartitions() >= 8
