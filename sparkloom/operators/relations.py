@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,22 +25,37 @@ def interacting_caps(spark: SparkSession, df: DataFrame, order: str, caps: dict[
     keys = {c: f"_cap_{i}" for i, c in enumerate(caps)}
     rows = df.withColumns({k: F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c, k in keys.items()}).withColumn("_state", F.lit(0))
     rows = stage.save(rows)
+    at = F.struct(F.col(order).alias("at"))  # a struct, so a null comes before all others
 
-    def before(key: str, hit: Column) -> Column:
-        return F.coalesce(F.sum(hit.cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    def filled(hits: dict[str, Column]) -> DataFrame:
+        """``rows`` with, for each name, an array by cap: whether the rows before, of those that it hits, fill the cap.
 
-    while not rows.where("_state = 0").isEmpty():
-        likely, sure = F.lit(True), F.lit(False)
+        They do from the row on that follows the cap's last; of a value only the first rows up to the cap are numbered,
+        whatever its number of rows, and Spark cuts each task's rows to these before they meet.
+        """
+        out = rows
         for c, cap in caps.items():
-            likely = likely & (before(keys[c], F.col("_state") < 2) < cap)
-            sure = sure | (before(keys[c], F.col("_state") == 1) >= cap)
-        rows = stage.save(rows.withColumn("_state", F.when(F.col("_state") > 0, F.col("_state")).when(sure, 2).when(likely, 1).otherwise(0)))
-    reason = F.lit(None).cast("string")
-    for c, cap in reversed(caps.items()):
-        reason = F.when(before(keys[c], F.col("_state") == 1) >= cap, c).otherwise(reason)
+            for name, hit in hits.items():
+                flag = f"_{name}{keys[c]}"
+                if cap <= 0:
+                    out = out.withColumn(flag, F.lit(True))
+                    continue
+                n = F.row_number().over(Window.partitionBy(keys[c]).orderBy(order))
+                last = rows.where(hit).select(keys[c], order).withColumn("_n", n).where(F.col("_n") == cap)
+                last = stage.save(last.select(keys[c], at.alias("_last")))
+                out = out.join(last, keys[c], "left").withColumn(flag, F.coalesce(at > F.col("_last"), F.lit(False))).drop("_last")
+        return out
+
+    every = lambda name: [F.col(f"_{name}{k}") for k in keys.values()]
+    while not rows.where("_state = 0").isEmpty():
+        judged = filled({"likely": F.col("_state") < 2, "sure": F.col("_state") == 1})
+        sure, unlikely = (reduce(or_, every(name), F.lit(False)) for name in ("sure", "likely"))
+        state = F.when(F.col("_state") > 0, F.col("_state")).when(sure, 2).when(~unlikely, 1).otherwise(0)
+        rows = stage.save(judged.withColumn("_state", state).select(rows.columns))
+    reason = F.coalesce(*[F.when(full, c) for c, full in zip(caps, every("sure"), strict=True)], F.lit(None).cast("string"))
     # the rows kept at last are few: the first ``total`` in order
     cut = rows.where("_state = 1").orderBy(order).limit(total).agg(F.when(F.count("*") == total, F.max(order)).alias("cut")).scalar()
-    out = rows.withColumns({"_reason": reason, "_cut": cut})
+    out = filled({"sure": F.col("_state") == 1}).withColumns({"_reason": reason, "_cut": cut})
     late = F.coalesce(F.col(order) > F.col("_cut"), F.lit(False))
     out = out.withColumn("drop_reason", F.when(late, "total").when(F.col("_state") == 2, F.col("_reason")))
     return out.select(*df.columns, F.col("drop_reason").isNull().alias("kept"), "drop_reason")

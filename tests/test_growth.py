@@ -2,7 +2,7 @@
 
 import time
 
-from sparkloom.operators import contracts, graph, jsonwalk, prefixes
+from sparkloom.operators import contracts, graph, jsonwalk, prefixes, relations
 from sparkloom.plans import code_tables, parser_queries, route_queries
 from sparkloom.sources import routers
 from sparkloom.store import Stage
@@ -55,6 +55,19 @@ def test_components_are_not_sent_around(spark, monkeypatch):
     assert len(plans) > 5 and not any("Broadcast" in x for x in [*plans, plan(got)])
 
 
+def test_rows_of_a_hot_value_are_not_sorted_in_one_task(spark, monkeypatch):
+    plans = []
+    save = Stage.save
+    monkeypatch.setattr(Stage, "save", lambda self, df: plans.append(plan(df)) or save(self, df))
+    df = spark.range(1000).selectExpr("id AS ord", "'x' AS s", "id % 500 AS t", "CAST(NULL AS STRING) AS u")
+    got = relations.interacting_caps(spark, df, "ord", {"s": 30, "t": 1, "u": 25}, 20)
+    why = {r.ord: r.drop_reason for r in got.collect()}
+    assert why == {i: None if i < 20 else "total" for i in range(1000)}
+    assert all(x.count("Window [") <= x.count("WindowGroupLimit") for x in [*plans, plan(got)]) and sum(x.count("Window [") for x in plans) > 5
+    none = relations.interacting_caps(spark, df, "ord", {"s": 30, "t": 0}, 20)
+    assert {r.drop_reason for r in none.collect()} == {"t"}
+
+
 def test_rows_of_one_file_are_dealt(spark, sf):
     for df in (code_tables.code_files(spark, sf), parser_queries.sources(spark, sf), route_queries._files(spark, sf, "", route_queries._named("a", ""))):
         assert df.rdd.getNumPartitions() >= 8
