@@ -53,6 +53,23 @@ def test_traces_of_random_graphs(spark):
             assert r.fan_out == max((fans.count(x) for x in fans), default=0)
 
 
+def test_traces_that_have_arrived_go_no_further(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(9), rng.randrange(9), rng.choice("xyzw")) for _ in range(27)]
+    df = spark.createDataFrame(edges, "source long, target long, kind string")
+    seeds = spark.createDataFrame([(i,) for i in range(9)], "seed long")
+    expected = searched(edges, range(9), MOVES, "f", 4)
+    first = {}
+    for (seed, _, state), by in expected.items():
+        if state == "r":
+            first[seed] = min(first.get(seed, 9), by[0])
+    reach = traces.constrained_reach(spark, df, seeds, MOVES, "f", max_depth=4, until="r")
+    got = {(r.seed, r.node, r.state): (r.depth, r.parent, r.parent_state, r.kind) for r in reach.collect()}
+    assert got == {k: v for k, v in expected.items() if v[0] <= first.get(k[0], 9)} and len(got) < len(expected)
+    ways = lambda x: sorted(tuple(r) for r in traces.trace_paths(spark, x, "r").collect())
+    assert ways(reach) == ways(traces.constrained_reach(spark, df, seeds, MOVES, "f", max_depth=4))
+
+
 def test_condensed_random_graphs(spark):
     rng = random.Random(8)
     for n in (6, 14):
