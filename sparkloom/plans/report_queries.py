@@ -14,7 +14,7 @@ from ..functions import relevance as R
 from ..functions import text as T
 from ..operators import graph, joining, jsonwalk, reports, resolution
 from ..operators.reports import REFERENCE_RELATIONS
-from ..store import Stage, spread, unsent
+from ..store import Stage, dealt, spread, unsent
 from .code_queries import _DESCRIBED, _PLACED, TASKS, _candidate_sql, described_files, tasks
 from .code_tables import CODE, PATHS, SQL_TOKENS, code_files, sql_list
 from .relation_queries import _EDGES, PATTERNS, _resolution_sql, priced_edges, read
@@ -182,13 +182,18 @@ def component_summary(spark, sf_dir):
 
 def call_trace(spark, sf_dir):
     """Files that a call chain of three edges reaches from each file, by the least number of steps."""
-    e = priced_edges(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct()
+    stage = Stage(spark, "calls")
+    e = stage.save(priced_edges(spark, sf_dir).select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     at = e.select(F.col("a").alias("seed"), F.col("b").alias("node"), F.lit(1).alias("depth"))
-    every = at
+    every, in_all = at, e.count()
+    fan = e.groupBy("a").agg(F.count("*").alias("n"))
     for depth in (2, 3):
-        at = at.join(e, F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"), F.lit(depth).alias("depth")).distinct()
-        every = every.unionByName(at)
-    return every.where("seed <> node").groupBy("seed", "node").agg(F.min("depth").cast("long").alias("depth"))
+        # the rows that the join makes, before it is run
+        met = at.groupBy("node").agg(F.count("*").alias("m")).join(unsent(fan), F.col("node") == F.col("a")).agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0))).first()[0]
+        grown = dealt(at, met, "node").join(unsent(dealt(e, met, "a")), F.col("node") == F.col("a")).select("seed", F.col("b").alias("node"))
+        at = stage.save(dealt(grown, met, "seed", "node").distinct().withColumn("depth", F.lit(depth)))
+        every, in_all = every.unionByName(at), in_all + at.count()
+    return dealt(every.where("seed <> node"), in_all, "seed", "node").groupBy("seed", "node").agg(F.min("depth").cast("long").alias("depth"))
 
 
 def selected_sources(spark, sf_dir):

@@ -2,8 +2,9 @@
 
 import time
 
+from sparkloom import store
 from sparkloom.operators import contracts, graph, jsonwalk, prefixes, relations
-from sparkloom.plans import code_tables, parser_queries, route_queries
+from sparkloom.plans import code_tables, parser_queries, report_queries, route_queries
 from sparkloom.sources import routers
 from sparkloom.store import Stage
 
@@ -68,6 +69,14 @@ def test_rows_of_a_hot_value_are_not_sorted_in_one_task(spark, monkeypatch):
     assert {r.drop_reason for r in none.collect()} == {"t"}
 
 
+def test_a_task_of_a_call_trace_has_few_rows(spark, sf, monkeypatch):
+    wanted = {tuple(r) for r in report_queries.call_trace(spark, sf).collect()}
+    monkeypatch.setattr(store, "PART_ROWS", 100)
+    got = report_queries.call_trace(spark, sf)
+    parts = got.rdd.glom().map(len).collect()
+    assert {tuple(r) for r in got.collect()} == wanted and len(wanted) > 3000 and max(parts) < 250
+
+
 def test_rows_of_one_file_are_dealt(spark, sf):
     for df in (code_tables.code_files(spark, sf), parser_queries.sources(spark, sf), route_queries._files(spark, sf, "", route_queries._named("a", ""))):
         assert df.rdd.getNumPartitions() >= 8
